@@ -45,123 +45,112 @@ LIFECYCLE_INPUTS = (
 )
 
 
-def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
-
-
-def _result(label: Column | str, reason: Column | str, rule: str) -> Column:
-    as_column = [x if isinstance(x, Column) else F.lit(x) for x in (label, reason)]
-    return F.struct(as_column[0].alias("label"), as_column[1].alias("reason"), F.lit(rule).alias("rule"))
+# Ordered rules: condition, label, reason, rule name. Conditions read the columns prepared in lifecycle();
+# a label or reason in parentheses is an expression.
+_RULES = (
+    ("eol_state = 'Scheduled'", "EOL-Scheduled", "('Scheduled EOL' || _successor)", "planned_eol"),
+    ("archived OR disabled", "EOL-Confirmed", "Repository archived or disabled", "archived_or_disabled"),
+    ("eol_state = 'EOL'", "EOL-Confirmed", "(coalesce(eol_reason, 'End of life') || _successor)", "primary_eol"),
+    ("(_maint < 0 OR _vuln < 0) AND latest_human_commit IS NOT NULL AND _human > {dormant} AND _has_advisories"
+     " AND _severe", "EOL-Effective", "Unmaintained, unpatched vulnerabilities", "residual_vulnerabilities"),
+    ("_stable_age <= {recent}", "Active", "Actively maintained with recent releases", "recent_stable"),
+    ("_pre_age <= {recent_pre}", "Active", "Actively maintained with recent pre-release", "recent_prerelease"),
+    ("_human <= {commit_gap} AND ecosystem IN ({vcs_direct})", "Active", "Active commits (VCS-direct delivery)",
+     "commits_vcs_direct"),
+    ("_human <= {commit_gap} AND _maint >= {maint_ok}", "Active", "Active commits, no recent publish",
+     "commits_maintained"),
+    ("_human <= {commit_gap} AND _maint < 0", "Active", "Active commits, scorecard unavailable",
+     "commits_no_scorecard"),
+    ("_human <= {commit_gap}", "Stalled", "Active commits but low maintenance", "commits_low_maintenance"),
+    ("days_since_commit >= {commit_missing}", "Review Needed", "Commit data missing", "commit_data_missing"),
+    # commit data, no recent activity
+    ("_commit AND _vuln >= {vuln_good} AND _years >= {frozen_years}", "Legacy-Safe",
+     "Dormant but no known vulnerabilities", "safe_by_vulnerability_score"),
+    ("_commit AND _vuln >= {vuln_good}", "Stalled", "Low vulnerability risk but inactive",
+     "stalled_good_vulnerability_score"),
+    ("_commit AND _adv = 0 AND _human > {dormant}", "Legacy-Safe", "Dormant but no known vulnerabilities",
+     "safe_no_advisories"),
+    ("_commit AND _low AND _human > {dormant} AND _vuln >= 0 AND _vuln < {vuln_poor}", "EOL-Effective",
+     "Unmaintained, unpatched vulnerabilities", "low_maintenance_vulnerable"),
+    ("_commit AND _low AND _human > {dormant}", "Stalled", "Low maintenance, long-term inactive",
+     "low_maintenance_dormant"),
+    ("_commit AND _low", "Stalled", "Low maintenance", "low_maintenance"),
+    ("_commit AND _maint >= 0", "Stalled", "Maintained but no recent activity", "maintained_inactive"),
+    ("_commit AND _publish <= {dormant}", "Stalled", "No recent activity, recent publish",
+     "inactive_recent_publish"),
+    ("_commit AND _publish > {dormant} AND _human > {dormant}", "Stalled", "Long-term inactive, no recent releases",
+     "inactive_old_publish"),
+    ("_commit AND _publish IS NULL", "Stalled", "No recent activity, no registry data", "inactive_no_registry"),
+    ("_commit", "Review Needed", "Insufficient data for assessment", "commit_inconclusive"),
+    # no commit data
+    ("_maint >= {maint_ok}", "Stalled", "Maintained but no commit data", "no_commit_maintained"),
+    ("_maint >= 0 AND _has_advisories AND _publish > {dormant}", "(_by_severity)",
+     "Unmaintained, unpatched vulnerabilities", "no_commit_low_vulnerable"),
+    ("_maint >= 0", "Stalled", "Low maintenance, no commit data", "no_commit_low"),
+    ("_has_advisories AND _publish > {dormant}", "(_by_severity)", "Unpatched vulnerabilities, no recent releases",
+     "no_commit_vulnerable_old"),
+    ("_has_advisories", "Stalled", "Unpatched vulnerabilities, recent publish", "no_commit_vulnerable_recent"),
+    ("_publish <= {recent}", "Active", "Recently published, no known vulnerabilities", "no_commit_recent_publish"),
+    ("_publish <= {dormant}", "Stalled", "No vulnerabilities but no recent releases", "no_commit_mid_publish"),
+    ("_publish IS NOT NULL", "Legacy-Safe", "Dormant but no known vulnerabilities", "no_commit_old_publish"),
+    ("TRUE", "Review Needed", "Insufficient data for assessment", "no_data"),
+)
 
 
-def _ordered(rules: Iterable[tuple[Column, Column]], otherwise: Column) -> Column:
-    """First rule whose condition holds, as one CASE expression."""
-    chain = None
-    for condition, value in rules:
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    return chain.otherwise(otherwise)
+def _sql(text: str) -> str:
+    return text if text.startswith("(") else "'" + text.replace("'", "\\'") + "'"
+
+
+def _rule_case(cfg: Thresholds) -> str:
+    """The ordered rules as one CASE expression; the first condition that holds wins."""
+    limits = {
+        "recent": cfg.recent_stable_days,
+        "recent_pre": cfg.recent_prerelease_days,
+        "commit_gap": cfg.human_commit_gap_days,
+        "commit_missing": cfg.recent_stable_days * cfg.legacy_frozen_years * 10,
+        "frozen_years": cfg.legacy_frozen_years,
+        "dormant": cfg.eol_inactivity_days,
+        "vuln_good": cfg.vuln_good_min,
+        "vuln_poor": cfg.vuln_poor_max,
+        "maint_ok": cfg.maintenance_ok_min,
+        "vcs_direct": ", ".join(f"'{e}'" for e in VCS_DIRECT_ECOSYSTEMS),
+    }
+    branches = [
+        f"WHEN {condition.format(**limits)} THEN "
+        f"named_struct('label', {_sql(label)}, 'reason', {_sql(reason)}, 'rule', '{rule}')"
+        for condition, label, reason, rule in _RULES
+    ]
+    return "CASE " + " ".join(branches) + " END"
 
 
 def lifecycle(analysis: DataFrame, as_of: str, cfg: Thresholds = DEFAULTS) -> DataFrame:
-    """Add lifecycle_label, lifecycle_reason and lifecycle_rule: an ordered rule list in one CASE."""
-    facts = analysis.withColumns(
-        {
-            "_stable_age": age_days(F.col("stable.published_at"), as_of),
-            "_pre_age": age_days(F.col("prerelease.published_at"), as_of),
-            "_human_age": F.coalesce(age_days(F.col("latest_human_commit"), as_of), F.lit(NO_DATE_DAYS)),
-            "_publish_age": F.least(
-                *[
-                    age_days(F.col(f"{slot}.published_at"), as_of)
-                    for slot in ("stable", "prerelease", "max_semver", "requested")
-                ]
-            ),
-            "_maint": F.coalesce(F.col("maintained_score").cast("double"), F.lit(-1.0)),
-            "_vuln": F.coalesce(F.col("vulnerability_score").cast("double"), F.lit(-1.0)),
-            "_adv": F.coalesce(F.col("advisory_count"), F.lit(0)),
-        }
-    )
-    human, publish = F.col("_human_age"), F.coalesce("_publish_age", F.lit(NO_DATE_DAYS))
-    maint, vuln, adv = F.col("_maint"), F.col("_vuln"), F.col("_adv")
-    dormant = cfg.eol_inactivity_days
-    years = F.when(human == NO_DATE_DAYS, F.lit(NO_DATE_YEARS)).otherwise(human / 365.0)
-    published = publish != NO_DATE_DAYS
-    stale_publish = published & (publish > dormant)
-    commit = _flag("has_commit_data")
-    has_maint, maint_ok = maint >= 0, maint >= cfg.maintenance_ok_min
-    has_advisories = (adv >= cfg.residual_advisories) & (adv > 0)
-    severe = (F.coalesce("unknown_count", F.lit(0)) > 0) | (F.coalesce("high_count", F.lit(0)) > 0)
-    severe = (adv > 0) & severe
-    residual = F.col("latest_human_commit").isNotNull() & (human > dormant) & has_advisories & severe
-    recent_commit = human <= cfg.human_commit_gap_days
-    successor = F.when(
-        F.coalesce("eol_successor", F.lit("")) != "", F.concat(F.lit("; successor: "), F.col("eol_successor"))
-    ).otherwise("")
-
-    def eol_or_stalled() -> Column:
-        return F.when(severe, "EOL-Effective").otherwise("Stalled")
-
-    low = has_maint & ~maint_ok
-    rules = [
-        (F.coalesce(F.col("eol_state") == "Scheduled", F.lit(False)),
-         _result("EOL-Scheduled", F.concat(F.lit("Scheduled EOL"), successor), "planned_eol")),
-        (_flag("archived") | _flag("disabled"),
-         _result("EOL-Confirmed", "Repository archived or disabled", "archived_or_disabled")),
-        (F.coalesce(F.col("eol_state") == "EOL", F.lit(False)),
-         _result("EOL-Confirmed", F.concat(F.coalesce("eol_reason", F.lit("End of life")), successor), "primary_eol")),
-        (((maint < 0) | (vuln < 0)) & residual,
-         _result("EOL-Effective", "Unmaintained, unpatched vulnerabilities", "residual_vulnerabilities")),
-        (F.col("_stable_age") <= cfg.recent_stable_days,
-         _result("Active", "Actively maintained with recent releases", "recent_stable")),
-        (F.col("_pre_age") <= cfg.recent_prerelease_days,
-         _result("Active", "Actively maintained with recent pre-release", "recent_prerelease")),
-        (recent_commit & F.col("ecosystem").isin(*VCS_DIRECT_ECOSYSTEMS),
-         _result("Active", "Active commits (VCS-direct delivery)", "commits_vcs_direct")),
-        (recent_commit & maint_ok, _result("Active", "Active commits, no recent publish", "commits_maintained")),
-        (recent_commit & ~has_maint,
-         _result("Active", "Active commits, scorecard unavailable", "commits_no_scorecard")),
-        (recent_commit, _result("Stalled", "Active commits but low maintenance", "commits_low_maintenance")),
-        (F.coalesce("days_since_commit", F.lit(NO_DATE_DAYS))
-         >= cfg.recent_stable_days * cfg.legacy_frozen_years * 10,
-         _result("Review Needed", "Commit data missing", "commit_data_missing")),
-        # commit data, no recent activity
-        (commit & (vuln >= cfg.vuln_good_min) & (years >= cfg.legacy_frozen_years),
-         _result("Legacy-Safe", "Dormant but no known vulnerabilities", "safe_by_vulnerability_score")),
-        (commit & (vuln >= cfg.vuln_good_min),
-         _result("Stalled", "Low vulnerability risk but inactive", "stalled_good_vulnerability_score")),
-        (commit & (adv == 0) & (human > dormant),
-         _result("Legacy-Safe", "Dormant but no known vulnerabilities", "safe_no_advisories")),
-        (commit & low & (human > dormant) & (vuln >= 0) & (vuln < cfg.vuln_poor_max),
-         _result("EOL-Effective", "Unmaintained, unpatched vulnerabilities", "low_maintenance_vulnerable")),
-        (commit & low & (human > dormant),
-         _result("Stalled", "Low maintenance, long-term inactive", "low_maintenance_dormant")),
-        (commit & low, _result("Stalled", "Low maintenance", "low_maintenance")),
-        (commit & has_maint,
-         _result("Stalled", "Maintained but no recent activity", "maintained_inactive")),
-        (commit & published & (publish <= dormant),
-         _result("Stalled", "No recent activity, recent publish", "inactive_recent_publish")),
-        (commit & stale_publish & (human > dormant),
-         _result("Stalled", "Long-term inactive, no recent releases", "inactive_old_publish")),
-        (commit & ~published,
-         _result("Stalled", "No recent activity, no registry data", "inactive_no_registry")),
-        (commit, _result("Review Needed", "Insufficient data for assessment", "commit_inconclusive")),
-        # no commit data
-        (has_maint & maint_ok, _result("Stalled", "Maintained but no commit data", "no_commit_maintained")),
-        (has_maint & has_advisories & stale_publish,
-         _result(eol_or_stalled(), "Unmaintained, unpatched vulnerabilities", "no_commit_low_vulnerable")),
-        (has_maint, _result("Stalled", "Low maintenance, no commit data", "no_commit_low")),
-        (has_advisories & stale_publish,
-         _result(eol_or_stalled(), "Unpatched vulnerabilities, no recent releases", "no_commit_vulnerable_old")),
-        (has_advisories,
-         _result("Stalled", "Unpatched vulnerabilities, recent publish", "no_commit_vulnerable_recent")),
-        (published & (publish <= cfg.recent_stable_days),
-         _result("Active", "Recently published, no known vulnerabilities", "no_commit_recent_publish")),
-        (published & (publish <= dormant),
-         _result("Stalled", "No vulnerabilities but no recent releases", "no_commit_mid_publish")),
-        (published, _result("Legacy-Safe", "Dormant but no known vulnerabilities", "no_commit_old_publish")),
-    ]
-    fallback = _result("Review Needed", "Insufficient data for assessment", "no_data")
-    return facts.withColumn("lifecycle", _ordered(rules, fallback)).drop(
-        "_stable_age", "_pre_age", "_human_age", "_publish_age", "_maint", "_vuln", "_adv"
+    """Add lifecycle (struct label, reason, rule): an ordered rule list in one CASE."""
+    slots = ("stable", "prerelease", "max_semver", "requested")
+    ages = {slot: age_days(F.col(f"{slot}.published_at"), as_of) for slot in slots}
+    prepared = {
+        "_stable_age": ages["stable"],
+        "_pre_age": ages["prerelease"],
+        "_publish": F.least(*ages.values()),
+        "_human": F.coalesce(age_days(F.col("latest_human_commit"), as_of), F.lit(NO_DATE_DAYS)),
+        "_maint": F.expr("coalesce(cast(maintained_score AS DOUBLE), -1.0D)"),
+        "_vuln": F.expr("coalesce(cast(vulnerability_score AS DOUBLE), -1.0D)"),
+        "_adv": F.expr("coalesce(advisory_count, 0)"),
+        "_commit": F.expr("coalesce(has_commit_data, false)"),
+        "_successor": F.expr("coalesce('; successor: ' || nullif(eol_successor, ''), '')"),
+    }
+    derived = {
+        "_years": F.expr(f"CASE WHEN _human = {NO_DATE_DAYS} THEN {NO_DATE_YEARS}D ELSE _human / 365.0D END"),
+        "_low": F.expr(f"_maint >= 0 AND _maint < {cfg.maintenance_ok_min}"),
+        "_has_advisories": F.expr(f"_adv >= {cfg.residual_advisories} AND _adv > 0"),
+        "_severe": F.expr("_adv > 0 AND (coalesce(unknown_count, 0) > 0 OR coalesce(high_count, 0) > 0)"),
+    }
+    by_severity = {"_by_severity": F.expr("CASE WHEN _severe THEN 'EOL-Effective' ELSE 'Stalled' END")}
+    return (
+        analysis.withColumns(prepared)
+        .withColumns(derived)
+        .withColumns(by_severity)
+        .withColumn("lifecycle", F.expr(_rule_case(cfg)))
+        .drop(*prepared, *derived, *by_severity)
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depvital.operators.eol_text import detect_eol, npm_successor
+from depvital.operators.eol_text import eol_announcement, npm_successor
 
 # --- fixed values: ecosystems with a registry rule of their own ---------------
 AUTHORITATIVE = ("npm", "nuget", "composer", "packagist", "maven", "pypi", "cargo")
@@ -27,23 +27,44 @@ DEPSDEV_SYSTEMS = {
 HUMAN_SOURCE = "HumanCatalog"
 
 
-def _evidence(order: int, terminal: bool, source: str, summary: Column | str, confidence: float,
-              successor: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(order).alias("order"),
-        F.lit(terminal).alias("terminal"),
-        F.lit(source).alias("source"),
-        (summary if isinstance(summary, Column) else F.lit(summary)).alias("summary"),
-        F.lit(confidence).alias("confidence"),
-        (successor if successor is not None else none).alias("successor"),
+# Rules in evaluation order: condition, order, terminal, source, summary, confidence, successor. Summary,
+# confidence and successor are SQL; conditions read the columns prepared in rule_hits().
+_RULES = (
+    ("ecosystem IN ('composer', 'packagist') AND flag = 'abandoned'", 1, True, "Packagist",
+     "'Package marked abandoned'", "1.0D", "_next"),
+    ("_nuget AND _next IS NOT NULL", 2, True, "NuGet", "'Package deprecated with successor'", "0.9D", "_next"),
+    ("_nuget AND _reason LIKE '%criticalbugs%'", 2, True, "NuGet", "'Package deprecated: CriticalBugs'", "1.0D", "NULL"),
+    ("_nuget AND _reason LIKE '%legacy%'", 2, False, "NuGet", "'Package deprecated: Legacy (no successor)'", "0.7D",
+     "NULL"),
+    ("_nuget AND _reason LIKE '%other%'", 2, False, "NuGet",
+     "CASE WHEN _strong_wording THEN 'Package deprecated: Other (strong wording)' ELSE 'Package deprecated: Other' END",
+     "CASE WHEN _strong_wording THEN 0.8D ELSE 0.5D END", "NULL"),
+    ("ecosystem = 'npm' AND flag = 'unpublished' AND _on_stable", 3, True, "npmjs", "'Unpublished in npm registry'",
+     "0.95D", "_npm_next"),
+    ("ecosystem = 'npm' AND flag = 'deprecated' AND _on_stable", 3, True, "npmjs", "'Deprecated in npm registry'",
+     "0.9D", "_npm_next"),
+    ("ecosystem = 'npm' AND flag = 'unpublished' AND _on_input", 4, True, "npmjs", "'Unpublished in npm registry'",
+     "0.95D", "_npm_next"),
+    ("ecosystem = 'npm' AND flag = 'deprecated' AND _on_input", 4, True, "npmjs", "'Deprecated in npm registry'",
+     "0.9D", "_npm_next"),
+    ("ecosystem = 'pypi' AND flag = 'inactive_classifier'", 5, True, "PyPI",
+     "'Classifier: Development Status :: 7 - Inactive'", "1.0D", "NULL"),
+    ("ecosystem = 'pypi' AND flag = 'yanked' AND _pinned", 6, True, "PyPI", "'Version yanked on PyPI' || _note",
+     "0.95D", "NULL"),
+    ("ecosystem = 'cargo' AND flag = 'yanked' AND _pinned", 7, True, "crates.io", "'Version yanked on crates.io'",
+     "1.0D", "NULL"),
+    ("ecosystem = 'maven' AND flag = 'relocated' AND _input IS NOT NULL", 8, True, "Maven",
+     "'Artifact relocated' || _note", "0.95D", "_next"),
+)
+
+
+def _rule_struct(order: int, terminal: bool, source: str, summary: str, confidence: str, successor: str) -> str:
+    return (
+        f"named_struct('order', {order}, 'terminal', {str(terminal).lower()}, 'source', '{source}', 'summary', {summary}, "
+        f"'confidence', {confidence}, 'successor', CAST({successor} AS STRING))"
     )
 
 
-def _nonblank(name: str) -> Column:
-    return F.when(F.trim(F.coalesce(F.col(name), F.lit(""))) != "", F.col(name))
-
-
 def rule_hits(packages: DataFrame, signals: DataFrame) -> DataFrame:
     """Evidence rows of every registry rule that fires.
 
@@ -52,66 +73,43 @@ def rule_hits(packages: DataFrame, signals: DataFrame) -> DataFrame:
     reason, message, successor.
     """
     base = packages.select("package_id", "ecosystem", "namespace", "name", "version", "stable")
-    # one package row against its few signals; the larger side is partitioned by package already
-    joined = base.join(
-        signals.where(F.col("source") != "catalog").withColumnRenamed("version", "signal_version"), "package_id"
+    registry = signals.where("source <> 'catalog'").withColumnRenamed("version", "signal_version")
+    wording = eol_announcement(F.col("message"), F.col("name"), "message")["kind"]
+    prepared = {
+        "_input": "nullif(version, '')",
+        "_stable": "nullif(stable.version, '')",
+        "_next": "nullif(trim(successor), '')",
+        "_reason": "lower(coalesce(reason, ''))",
+        "_note": "coalesce(': ' || nullif(trim(message), ''), '')",
+        "_nuget": "ecosystem = 'nuget' AND flag = 'deprecated'",
+    }
+    applies = {
+        "_pinned": "coalesce(_input, _stable) IS NOT NULL"
+        " AND (signal_version IS NULL OR signal_version = coalesce(_input, _stable))",
+        "_on_stable": "_stable IS NOT NULL AND (signal_version IS NULL OR signal_version = _stable)",
+        "_on_input": "_stable IS NULL AND _input IS NOT NULL AND (signal_version IS NULL OR signal_version = _input)",
+    }
+    joined = (
+        base.join(registry, "package_id")
+        .withColumns({name: F.expr(sql) for name, sql in prepared.items()})
+        .withColumns({name: F.expr(sql) for name, sql in applies.items()})
+    )
+    # filter on the conditions, not on the evidence, so that no text is read to decide whether a rule fires
+    fired = joined.where(" OR ".join(f"({rule[0]})" for rule in _RULES)).withColumns(
+        {
+            "_strong_wording": F.when(F.col("_nuget"), F.coalesce(wording.isin("strong", "explicit"), F.lit(False))),
+            "_npm_next": npm_successor(F.col("message"), F.col("name"), F.concat_ws("/", "namespace", "name")),
+        }
     )
-    joined = detect_eol(joined, "message", text="message", name="name")
-    eco, source, flag = F.col("ecosystem"), F.col("source"), F.col("flag")
-    input_version = F.when(F.col("version") != "", F.col("version"))
-    stable = F.when(F.col("stable.version") != "", F.col("stable.version"))
-    any_version = F.col("signal_version").isNull()
-    wanted = F.coalesce(input_version, stable)
-    pinned = wanted.isNotNull() & (any_version | (F.col("signal_version") == wanted))
-    on_stable = stable.isNotNull() & (any_version | (F.col("signal_version") == stable))
-    on_input = stable.isNull() & input_version.isNotNull() & (any_version | (F.col("signal_version") == input_version))
-    reason = F.lower(F.coalesce(F.col("reason"), F.lit("")))
-    successor = _nonblank("successor")
-    full_name = F.concat_ws("/", "namespace", "name")
-    npm_next = npm_successor(F.col("message"), F.col("name"), full_name)
-    strong_wording = F.col("eol_kind").isin("strong", "explicit")
-
-    def npm(order: int, applies: Column) -> list[tuple[Column, Column]]:
-        return [
-            ((eco == "npm") & (flag == "unpublished") & applies,
-             _evidence(order, True, "npmjs", "Unpublished in npm registry", 0.95, npm_next)),
-            ((eco == "npm") & (flag == "deprecated") & applies,
-             _evidence(order, True, "npmjs", "Deprecated in npm registry", 0.9, npm_next)),
-        ]
-
-    nuget = (eco == "nuget") & (flag == "deprecated")
-    yank_note = F.concat(F.lit("Version yanked on PyPI"), F.coalesce(F.concat(F.lit(": "), _nonblank("message")), F.lit("")))
-    moved_note = F.concat(F.lit("Artifact relocated"), F.coalesce(F.concat(F.lit(": "), _nonblank("message")), F.lit("")))
-    rules = [
-        (eco.isin("composer", "packagist") & (flag == "abandoned"),
-         _evidence(1, True, "Packagist", "Package marked abandoned", 1.0, successor)),
-        (nuget & successor.isNotNull(),
-         _evidence(2, True, "NuGet", "Package deprecated with successor", 0.9, successor)),
-        (nuget & reason.contains("criticalbugs"),
-         _evidence(2, True, "NuGet", "Package deprecated: CriticalBugs", 1.0)),
-        (nuget & reason.contains("legacy"),
-         _evidence(2, False, "NuGet", "Package deprecated: Legacy (no successor)", 0.7)),
-        (nuget & reason.contains("other") & strong_wording,
-         _evidence(2, False, "NuGet", "Package deprecated: Other (strong wording)", 0.8)),
-        (nuget & reason.contains("other"), _evidence(2, False, "NuGet", "Package deprecated: Other", 0.5)),
-        *npm(3, on_stable),
-        *npm(4, on_input),
-        ((eco == "pypi") & (flag == "inactive_classifier"),
-         _evidence(5, True, "PyPI", "Classifier: Development Status :: 7 - Inactive", 1.0)),
-        ((eco == "pypi") & (flag == "yanked") & pinned, _evidence(6, True, "PyPI", yank_note, 0.95)),
-        ((eco == "cargo") & (flag == "yanked") & pinned,
-         _evidence(7, True, "crates.io", "Version yanked on crates.io", 1.0)),
-        ((eco == "maven") & (flag == "relocated") & input_version.isNotNull(),
-         _evidence(8, True, "Maven", moved_note, 0.95, successor)),
-    ]
-    chain = None
-    for condition, value in rules:
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    from_registry = joined.select("package_id", chain.alias("hit")).where("hit IS NOT NULL").select("package_id", "hit.*")
+    case = "CASE " + " ".join(f"WHEN {rule[0]} THEN {_rule_struct(*rule[1:])}" for rule in _RULES) + " END"
+    from_registry = fired.select("package_id", F.expr(case).alias("hit")).select("package_id", "hit.*")
     fallback = packages.where(
         F.col("stable.is_deprecated") & ~F.lower("ecosystem").isin(*AUTHORITATIVE)
         & F.lower("ecosystem").isin(*DEPSDEV_SYSTEMS)
-    ).select("package_id", _evidence(9, True, "deps.dev", "Marked deprecated in deps.dev", 0.95).alias("hit"))
+    ).select(
+        "package_id",
+        F.expr(_rule_struct(9, True, "deps.dev", "'Marked deprecated in deps.dev'", "0.95D", "NULL")).alias("hit"),
+    )
     return from_registry.unionByName(fallback.select("package_id", "hit.*"))
 
 
@@ -143,8 +141,8 @@ def catalog_enricher(eol: DataFrame, catalog: DataFrame) -> DataFrame:
     c = catalog.select(
         "package_id",
         F.when(F.col("flag") == "eol", "EOL").when(F.col("flag") == "scheduled", "Scheduled").alias("c_state"),
-        _nonblank("reason").alias("c_reason"),
-        _nonblank("successor").alias("c_successor"),
+        F.expr("nullif(trim(reason), '')").alias("c_reason"),
+        F.expr("nullif(trim(successor), '')").alias("c_successor"),
         F.col("scheduled").alias("c_scheduled"),
     )
     return eol.join(c, "package_id", "full").select(

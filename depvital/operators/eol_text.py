@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depvital.functions import phrases as P
+from depvital.functions.binding import let
 
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -105,31 +106,53 @@ def announced_date(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _hit(kind: str, phrase: Column | str, date: Column | None = None) -> Column:
+def _hit(kind: Column | str, phrase: Column, date: Column | None = None) -> Column:
     return F.struct(
-        F.lit(kind).alias("kind"),
-        (phrase if isinstance(phrase, Column) else F.lit(phrase)).alias("phrase"),
+        (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"),
+        phrase.alias("phrase"),
         (date if date is not None else F.lit(None).cast("string")).alias("date"),
     )
 
 
+def _strong_phrase(lowered: Column, token: Column) -> Column:
+    """First catalogue phrase in the sentence; ambiguous ones need a mention of the project."""
+    catalogue = F.array(*[F.lit(p) for p in P.STRONG_PHRASES])
+    fits = F.filter(
+        catalogue, lambda p: F.contains(lowered, p) & (token | ~p.isin(*P.AMBIGUOUS_PHRASES))
+    )
+    return F.get(fits, F.lit(0))
+
+
+def _contextual_index(lowered: Column) -> Column:
+    chain = None
+    for i, (_, pattern, _) in enumerate(P.CONTEXTUAL_PATTERNS):
+        test = lowered.rlike(pattern)
+        chain = F.when(test, i) if chain is None else chain.when(test, i)
+    return chain
+
+
+def _date_of(sentence: Column, index: Column) -> Column:
+    chain = None
+    for i, (_, pattern, group) in enumerate(P.CONTEXTUAL_PATTERNS):
+        if group:
+            date = _cut(F.regexp_extract(sentence, pattern, group))
+            chain = F.when(index == i, date) if chain is None else chain.when(index == i, date)
+    return F.nullif(chain, F.lit(""))
+
+
 def _sentence_hit(sentence: Column, profile: Profile, name: Column) -> Column:
     """Strong phrase, else contextual pattern, of one sentence; NULL when it has neither."""
-    lowered = F.lower(sentence)
-    token = _has_token(lowered, profile, name)
-    chain = F.when(_any_of(lowered, P.SENTENCE_NEGATIVES), F.lit(None))
-    for phrase in P.STRONG_PHRASES:
-        condition = lowered.contains(phrase)
-        if phrase in P.AMBIGUOUS_PHRASES:
-            condition = condition & token
-        chain = chain.when(condition, _hit("strong", phrase))
-    for _, pattern, group in P.CONTEXTUAL_PATTERNS:
-        date = None
-        if group:
-            raw = _cut(F.regexp_extract(sentence, pattern, group))
-            date = F.when(raw != "", raw)
-        chain = chain.when(lowered.rlike(pattern), _hit("contextual", "end of life", date))
-    return chain
+
+    def judge(lowered: Column) -> Column:
+        strong = _strong_phrase(lowered, _has_token(lowered, profile, name))
+        contextual = let(
+            _contextual_index(lowered),
+            lambda i: F.when(i.isNotNull(), _hit("contextual", F.lit("end of life"), _date_of(sentence, i))),
+        )
+        found = let(strong, lambda p: F.when(p.isNotNull(), _hit("strong", p)).otherwise(contextual))
+        return F.when(~_any_of(lowered, P.SENTENCE_NEGATIVES), found)
+
+    return let(F.lower(sentence), judge)
 
 
 _LEADING_COMPONENTS = (
@@ -140,18 +163,25 @@ _LEADING_COMPONENTS = (
 def _detect(text: Column, profile: Profile, name: Column) -> Column:
     """Core pass over one text: component sentences at the start are passed over, explicit wording wins,
     then the first sentence with a strong or contextual hit."""
-    body = _cut(F.regexp_replace(text, _LEADING_COMPONENTS, ""))
-    lowered = F.lower(body)
-    scoped = ~body.rlike(P.COMPONENT_ANYWHERE) | lowered.contains("this project") | lowered.contains("this package")
-    explicit = F.regexp_extract(body, profile.explicit, 0)
-    hits = F.filter(
-        F.transform(split_sentences(body), lambda s: _sentence_hit(s, profile, name)), lambda h: h.isNotNull()
-    )
-    return (
-        F.when((body == "") | body.rlike(P.COMPONENT_AT_START), F.lit(None))
-        .when((explicit != "") & scoped, _hit("explicit", explicit))
-        .when(body.rlike(_TRIGGER), F.get(hits, F.lit(0)))
-    )
+
+    def judge(body: Column) -> Column:
+        lowered = F.lower(body)
+        scoped = ~body.rlike(P.COMPONENT_ANYWHERE) | lowered.contains("this project") | lowered.contains("this package")
+        worth_reading = F.filter(split_sentences(body), lambda s: s.rlike(_TRIGGER))
+        hits = F.filter(
+            F.transform(worth_reading, lambda s: _sentence_hit(s, profile, name)), lambda h: h.isNotNull()
+        )
+        return F.when(
+            (body != "") & ~body.rlike(P.COMPONENT_AT_START),
+            let(
+                F.regexp_extract(body, profile.explicit, 0),
+                lambda phrase: F.when((phrase != "") & scoped, _hit("explicit", phrase)).otherwise(
+                    F.get(hits, F.lit(0))
+                ),
+            ),
+        )
+
+    return let(_cut(F.regexp_replace(text, _LEADING_COMPONENTS, "")), judge)
 
 
 def _explicit_anywhere(text: Column, profile: Profile) -> Column:
@@ -159,8 +189,8 @@ def _explicit_anywhere(text: Column, profile: Profile) -> Column:
     scoped = ~text.rlike(P.COMPONENT_ANYWHERE) | (
         (lowered.contains("this project") | lowered.contains("this package")) & ~text.rlike(P.COMPONENT_AT_START)
     )
-    phrase = F.regexp_extract(text, profile.explicit, 0)
-    return F.when((phrase != "") & scoped, _hit("explicit", phrase))
+    found = F.regexp_extract(text, profile.explicit, 0)
+    return let(found, lambda phrase: F.when((phrase != "") & scoped, _hit("explicit", phrase)))
 
 
 def before_changelog(text: Column) -> Column:
@@ -185,45 +215,61 @@ def _window_after(text: Column, lowered: Column, phrase: Column) -> Column:
     return F.when(at > 0, F.substring_index(window, "\n", P.SUCCESSOR_WINDOW_NEWLINES + 1)).otherwise("")
 
 
-def detect_eol(docs: DataFrame, profile: str, text: str = "text", name: str = "name") -> DataFrame:
-    """Add eol_kind, eol_phrase, eol_successor and eol_date; all NULL where nothing is announced."""
+def eol_announcement(text: Column, name: Column, profile: str) -> Column:
+    """Struct (kind, phrase, successor, date) of the announcement in a text; NULL where there is none."""
     rules = PROFILES[profile]
-    own_name = F.lower(F.coalesce(F.col(name), F.lit("")))
-    doc, lowered = F.col("_doc"), F.col("_lower")
-    core = _detect(before_changelog(doc) if rules.trims_changelog else doc, rules, own_name)
-    if rules.trims_changelog:
-        core = F.coalesce(_explicit_anywhere(doc, rules), core)
-    trigger = doc.rlike(rules.explicit) | doc.rlike(_TRIGGER)
-    kind, phrase = F.col("_hit.kind"), F.lower(F.col("_hit.phrase"))
-    sentence = F.col("_sentence")
-    ambiguous = phrase.isin(*P.AMBIGUOUS_PHRASES)
-    token = _has_token(sentence, rules, own_name)
-    platform = sentence.rlike(P.PLATFORM_VERSION) & ~token
-    kept = (
-        F.col("_hit").isNotNull()
-        & ~_any_of(sentence, P.SENTENCE_NEGATIVES)
-        & ~((kind == "explicit") & ambiguous & ~token)
-        & ~(kind.isin("explicit", "strong") & ambiguous & platform)
-    )
-    successor = successor_in(_window_after(doc, lowered, phrase), rules.successors)
-    if rules.drops_self:
-        successor = F.when((own_name == "") | (F.lower(successor) != own_name), successor)
-    return (
-        docs.withColumn("_doc", _cut(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_lower", F.lower("_doc"))
-        .withColumn("_hit", F.when(trigger & ~_any_of(lowered, rules.negatives), core))
-        .withColumn("_sentence", F.when(F.col("_hit").isNotNull(), _sentence_around(lowered, phrase)))
-        .withColumn("_kept", F.coalesce(kept, F.lit(False)))
-        .withColumns(
-            {
-                "eol_kind": F.when(F.col("_kept"), kind),
-                "eol_phrase": F.when(F.col("_kept"), F.col("_hit.phrase")),
-                "eol_successor": F.when(F.col("_kept"), successor),
-                "eol_date": F.when(F.col("_kept"), F.coalesce("_hit.date", announced_date(doc))),
-            }
+    raw = F.coalesce(text, F.lit(""))
+    own_name = F.lower(F.coalesce(name, F.lit("")))
+
+    def judge(doc: Column, lowered: Column, hit: Column, phrase: Column, sentence: Column) -> Column:
+        kind = hit["kind"]
+        ambiguous = phrase.isin(*P.AMBIGUOUS_PHRASES)
+        token = _has_token(sentence, rules, own_name)
+        platform = sentence.rlike(P.PLATFORM_VERSION) & ~token
+        kept = (
+            hit.isNotNull()
+            & ~_any_of(sentence, P.SENTENCE_NEGATIVES)
+            & ~((kind == "explicit") & ambiguous & ~token)
+            & ~(kind.isin("explicit", "strong") & ambiguous & platform)
         )
-        .drop("_doc", "_lower", "_hit", "_sentence", "_kept")
-    )
+        successor = successor_in(_window_after(doc, lowered, phrase), rules.successors)
+        if rules.drops_self:
+            found = successor
+            successor = let(found, lambda s: F.when((own_name == "") | (F.lower(s) != own_name), s))
+        return F.when(
+            kept,
+            F.struct(
+                kind.alias("kind"),
+                hit["phrase"].alias("phrase"),
+                successor.alias("successor"),
+                F.coalesce(hit["date"], announced_date(doc)).alias("date"),
+            ),
+        )
+
+    def with_hit(doc: Column, lowered: Column) -> Column:
+        core = _detect(before_changelog(doc) if rules.trims_changelog else doc, rules, own_name)
+        if rules.trims_changelog:
+            core = F.coalesce(_explicit_anywhere(doc, rules), core)
+        return let(
+            core,
+            lambda hit: let(
+                F.lower(hit["phrase"]),
+                lambda phrase: let(
+                    _sentence_around(lowered, phrase), lambda sentence: judge(doc, lowered, hit, phrase, sentence)
+                ),
+            ),
+        )
+
+    trigger = (raw.rlike(rules.explicit) | raw.rlike(_TRIGGER)) & ~_any_of(F.lower(raw), rules.negatives)
+    return F.when(trigger, let(_cut(raw), lambda doc: let(F.lower(doc), lambda lowered: with_hit(doc, lowered))))
+
+
+def detect_eol(docs: DataFrame, profile: str, text: str = "text", name: str = "name") -> DataFrame:
+    """Add eol_kind, eol_phrase, eol_successor and eol_date; all NULL where nothing is announced."""
+    found = docs.withColumn("_eol", eol_announcement(F.col(text), F.col(name), profile))
+    return found.withColumns(
+        {f"eol_{field}": F.col(f"_eol.{field}") for field in ("kind", "phrase", "successor", "date")}
+    ).drop("_eol")
 
 
 def phrase_hits(docs: DataFrame, tiers: Iterable[str] = ("strong",), key: str = "doc_id") -> DataFrame:

@@ -8,9 +8,13 @@ choose attribute values; they never select rows.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from depvital.session import ensure_checkpoint_dir
+from depvital.sources import facts
+
 AS_OF = "2024-02-01 00:00:00"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -33,20 +37,19 @@ def _eco(key: str) -> str:
     return _ECO_CASE.replace("{key}", key)
 
 
-_CHECK_ROWS = "\n  UNION ALL ".join(
-    ["SELECT repo_id, 'Maintained' AS check_name, (repo_id * 7) % 13 - 2 AS score FROM {fx_repos}"]
-    + [
-        "SELECT repo_id, 'Vulnerabilities' AS check_name, least(10, (repo_id * 5 + 77) % 14 - 2) AS score "
-        "FROM {fx_repos}"
-    ]
+_CHECK_STRUCTS = ", ".join(
+    ["{open}'Maintained'{sep}(repo_id * 7) % 13 - 2{close}"]
+    + ["{open}'Vulnerabilities'{sep}least(10, (repo_id * 5 + 77) % 14 - 2){close}"]
     + [
-        f"SELECT repo_id, '{name}' AS check_name, least(10, (repo_id * 7) % 13 - 2 + (repo_id + {k}) % 3) AS score "
-        "FROM {fx_repos}"
+        f"{{open}}'{name}'{{sep}}least(10, (repo_id * 7) % 13 - 2 + (repo_id + {k}) % 3){{close}}"
         for k, name in enumerate(_BUILD_CHECKS)
     ]
 )
+_SPARK_CHECKS = _CHECK_STRUCTS.format(open="named_struct('check_name', ", sep=", 'score', ", close=")")
+_DUCK_CHECKS = _CHECK_STRUCTS.format(open="{{'check_name': ", sep=", 'score': ", close="}}")
 
-VIEWS: dict[str, str] = {
+# a view is one shared text, or a (Spark, DuckDB) pair where the two spell an explode differently
+VIEWS: dict[str, str | tuple[str, str]] = {
     # one row per (package, version); shifted publish dates spread the ages over all rules
     "fx_versions": f"""
 SELECT package_id, version, published_at, is_default, is_deprecated FROM (
@@ -92,15 +95,20 @@ FROM {events}
     "fx_repos": """
 SELECT repo_id, 'https://github.com/owner' || (repo_id % 50) || '/repo' || repo_id AS repo_url,
   repo_id % 17 = 0 AS archived, repo_id % 41 = 0 AS disabled, repo_id % 9 = 0 AS fork,
-  (repo_id * 37) % 5000 AS stars, (repo_id * 11) % 700 AS forks,
+  CAST((repo_id * 31) % 101 AS DOUBLE) / 10 AS overall_score, (repo_id * 37) % 5000 AS stars, (repo_id * 11) % 700 AS forks,
   CASE WHEN repo_id % 3 = 0 THEN 'https://home.example.org/' || repo_id END AS homepage,
   CASE WHEN repo_id % 4 <> 1 THEN 'Repository   ' || repo_id || ' of the sample. It has more text' END AS description,
   CASE WHEN repo_id % 5 = 0 THEN 'develop' END AS default_branch,
   CASE repo_id % 6 WHEN 0 THEN 'Go' WHEN 1 THEN 'Python' WHEN 2 THEN 'Java' WHEN 3 THEN 'Rust'
     WHEN 4 THEN 'C#' ELSE NULL END AS language
-FROM (SELECT DISTINCT repo_id FROM {fx_packages}) r
+FROM (SELECT DISTINCT p_partkey % (2 * (SELECT count(DISTINCT user_id) FROM {events})) AS repo_id FROM {part}) r
 """,
-    "fx_scores": f"SELECT repo_id, check_name, score FROM (\n  {_CHECK_ROWS}\n) s WHERE score > -2",
+    "fx_scores": (
+        f"SELECT repo_id, c.check_name, c.score FROM {{fx_repos}} LATERAL VIEW explode(array({_SPARK_CHECKS})) t AS c "
+        "WHERE c.score > -2",
+        f"SELECT repo_id, c.check_name, c.score FROM (SELECT repo_id, unnest([{_DUCK_CHECKS}]) AS c FROM {{fx_repos}}) t "
+        "WHERE c.score > -2",
+    ),
     "fx_registry": """
 SELECT package_id, source, flag, version, reason, message, successor, scheduled FROM (
   SELECT package_id,
@@ -164,32 +172,65 @@ SELECT p_partkey AS package_id, 'registry' AS source, (p_partkey * 29) % 1000 AS
 }
 
 
+def spark_text(name: str) -> str:
+    view = VIEWS[name]
+    return view[0] if isinstance(view, tuple) else view
+
+
+def duckdb_text(name: str) -> str:
+    view = VIEWS[name]
+    return (view[1] if isinstance(view, tuple) else view).replace("{{", "\0").replace("}}", "\1")
+
+
 def _inputs(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
 class Fixtures:
-    """Lazily built tables and views of one scale-factor folder."""
+    """Tables and views of one scale-factor folder.
+
+    Views that stand for fact tables are written once per session, as snapshots in the shared checkpoint
+    folder, and read back from there: jobs then see plain tables, as they would in use.
+    """
+
+    _folders: dict[tuple[str, str], str] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
         self._built: dict[str, DataFrame] = {}
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in self._folders:
+            self._folders[key] = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+            self._saved[key] = set()
+        self.folder = self._folders[key]
+        self.saved = self._saved[key]
+
+    _saved: dict[tuple[str, str], set[str]] = {}
+
+    def _view(self, name: str) -> DataFrame:
+        sql = spark_text(name)
+        return self.spark.sql(sql, **{dep: self[dep] for dep in _inputs(sql)})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
+            table = name.removeprefix("fx_")
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif table in facts.SCHEMAS:
+                if name not in self.saved:
+                    facts.save_table(self._view(name), self.folder, table)
+                    self.saved.add(name)
+                df = facts.load_table(self.spark, self.folder, table)
             else:
-                sql = VIEWS[name]
-                df = self.spark.sql(sql, **{dep: self[dep] for dep in _inputs(sql)})
+                df = self._view(name)
             self._built[name] = df
         return self._built[name]
 
 
 def duckdb_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it names, as common table expressions."""
-    known = {**VIEWS, **(extra or {})}
+    known = {**{name: duckdb_text(name) for name in VIEWS}, **(extra or {})}
     ordered: list[str] = []
 
     def visit(text: str) -> None:
@@ -200,6 +241,10 @@ def duckdb_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
                     ordered.append(name)
 
     visit(sql)
-    parts = [f"{name} AS (\n{re.sub(r'{(\w+)}', r'\1', known[name]).strip()}\n)" for name in ordered]
+
+    def plain(text: str) -> str:
+        return re.sub(r"\{(\w+)\}", r"\1", text).replace("\0", "{").replace("\1", "}").strip()
+
+    parts = [f"{name} AS (\n{plain(known[name])}\n)" for name in ordered]
     recursive = "RECURSIVE " if parts else ""
     return (f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + sql.strip()
