@@ -125,11 +125,11 @@ def diet_rows(entries: DataFrame) -> DataFrame:
         "purl",
         "ecosystem",
         "scope",
-        F.round("priority", 6).alias("priority"),
+        F.round("priority", 9).alias("priority"),
         "difficulty",
-        F.round("graph_impact", 6).alias("graph_impact"),
-        F.round("coupling_effort", 6).alias("coupling_effort"),
-        F.round("health_risk", 6).alias("health_risk"),
+        F.round("graph_impact", 9).alias("graph_impact"),
+        F.round("coupling_effort", 9).alias("coupling_effort"),
+        F.round("health_risk", 9).alias("health_risk"),
         "exclusive_transitive",
         "total_transitive",
         "is_unused",

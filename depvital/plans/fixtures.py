@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from depvital.operators import graph
 from depvital.session import ensure_checkpoint_dir
 from depvital.sources import facts
 
@@ -215,6 +216,8 @@ class Fixtures:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             table = name.removeprefix("fx_")
+            if name == "fx_reach":
+                return self._reach()
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif table in facts.SCHEMAS:
@@ -227,18 +230,28 @@ class Fixtures:
             self._built[name] = df
         return self._built[name]
 
+    def _reach(self) -> DataFrame:
+        """Reachable pairs, computed once per session; several jobs start from them."""
+        if "fx_reach" not in self.saved:
+            found = graph.reachability(self["fx_edges"], self["fx_direct"])
+            facts.save_table(found, self.folder, "reach")
+            self.saved.add("fx_reach")
+        self._built["fx_reach"] = facts.load_table(self.spark, self.folder, "reach")
+        return self._built["fx_reach"]
+
 
 def duckdb_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it names, as common table expressions."""
     known = {**{name: duckdb_text(name) for name in VIEWS}, **(extra or {})}
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\w+", text):
-            if name in known and name not in ordered:
+            if name in known and name not in seen:
+                seen.add(name)
                 visit(known[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(sql)
 

@@ -231,6 +231,91 @@ FROM (SELECT r.*,
       AS reason,
     CASE WHEN version_count IS NULL AND repo_url IS NULL AND eol_state IS NULL THEN 'package not found' END AS error
   FROM o_ruled r JOIN o_rule_text USING (rule_no)) x
+""",
+    "o_reach": """
+SELECT project_id, package_id AS direct_id, package_id AS node FROM fx_direct
+UNION
+SELECT r.project_id, r.direct_id, e.dst FROM o_reach r
+JOIN fx_edges e ON e.project_id = r.project_id AND e.src = r.node
+""",
+    "o_pairs": """
+SELECT r.*, d.package_id IS NOT NULL AS node_direct FROM o_reach r
+LEFT JOIN fx_direct d ON d.project_id = r.project_id AND d.package_id = r.node WHERE r.node <> r.direct_id
+""",
+    "o_gmetrics": """
+SELECT d.project_id, d.package_id AS direct_id, coalesce(t.total, 0) AS total_transitive,
+  coalesce(t.excl, 0) AS exclusive_transitive, coalesce(t.total, 0) - coalesce(t.excl, 0) AS shared_transitive,
+  coalesce(v.n, 0) AS via_count
+FROM fx_direct d
+LEFT JOIN (SELECT project_id, direct_id, count(*) AS total, sum((providers = 1)::INT) AS excl FROM (
+    SELECT *, count(*) OVER (PARTITION BY project_id, node) AS providers FROM o_pairs WHERE NOT node_direct) x
+  GROUP BY 1, 2) t ON t.project_id = d.project_id AND t.direct_id = d.package_id
+LEFT JOIN (SELECT project_id, node, count(*) AS n FROM o_pairs WHERE node_direct GROUP BY 1, 2) v
+  ON v.project_id = d.project_id AND v.node = d.package_id
+""",
+    "o_nodes": """
+SELECT project_id, src AS node FROM fx_edges UNION SELECT project_id, dst FROM fx_edges
+UNION SELECT project_id, package_id FROM fx_direct
+""",
+    "o_health": """
+SELECT package_id, is_eol, is_stalled, health_status, adv, max_cvss3, overall_score,
+  CASE WHEN overall_score > 0 THEN least(r2 + (1.0 - overall_score / 10.0) * 0.1, 1.0) ELSE r2 END AS health_risk
+FROM (SELECT *, CASE WHEN adv > 0 THEN least(r1 + max_cvss3 / 10.0 * 0.2, 1.0) ELSE r1 END AS r2 FROM (
+  SELECT s.package_id, coalesce(s.eol_state = 'EOL', FALSE) AS is_eol, s.adv, s.max_cvss3,
+    CASE WHEN s.archived THEN 'Archived' ELSE s.status END AS health_status, r.overall_score,
+    (s.eol_state IS NULL AND s.status = 'Stalled') OR coalesce(s.days_any > 365, FALSE) AS is_stalled,
+    greatest(CASE WHEN s.eol_state = 'EOL' THEN CASE WHEN s.status = 'EOL-Effective' THEN 0.85 ELSE 0.9 END
+        WHEN s.eol_state = 'Scheduled' THEN 0.7 WHEN s.status = 'Stalled' THEN 0.6 WHEN s.status = 'Legacy-Safe' THEN 0.4
+        WHEN s.status = 'Review Needed' THEN 0.5 ELSE 0.2 END,
+      CASE WHEN s.archived THEN 0.85 ELSE 0.0 END, CASE WHEN s.days_any > 365 THEN 0.6 ELSE 0.0 END)::DOUBLE AS r1
+  FROM o_scan s JOIN fx_packages p USING (package_id) LEFT JOIN fx_repos r ON r.repo_id = p.repo_id) h1) h2
+""",
+    "o_entries": """
+SELECT g.project_id, g.direct_id AS package_id, p.purl, p.ecosystem, g.exclusive_transitive, g.total_transitive,
+  g.via_count, max(g.exclusive_transitive) OVER (PARTITION BY g.project_id) AS max_excl,
+  coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls, coalesce(c.api_breadth, 0) AS api,
+  coalesce(c.has_blank_import, FALSE) AS blank,
+  c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM fx_coupling) AS is_unused,
+  coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status
+FROM o_gmetrics g JOIN fx_packages p ON p.package_id = g.direct_id
+LEFT JOIN fx_coupling c ON c.project_id = g.project_id AND c.package_id = g.direct_id
+LEFT JOIN o_health h ON h.package_id = g.direct_id
+""",
+    "o_plan": """
+SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank,
+  CASE WHEN effort < 1e-9 THEN 'trivial' WHEN effort < 0.25 THEN 'easy' WHEN effort < 0.6 THEN 'moderate' ELSE 'hard' END
+    AS difficulty
+FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0, 0.1::DOUBLE) ELSE p0 END AS priority FROM (
+  SELECT *, CASE WHEN is_unused THEN greatest(impact * health_risk * greatest(1 - effort, 0.05::DOUBLE),
+      0.3::DOUBLE * impact + 0.3::DOUBLE * health_risk + 0.2::DOUBLE)
+    ELSE impact * health_risk * greatest(1 - effort, 0.05::DOUBLE) END AS p0 FROM (
+    SELECT *, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
+        ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (exclusive_transitive / max_excl), 1.0::DOUBLE) END AS impact,
+      CASE WHEN is_unused OR (blank AND calls <= 1 AND api = 0) OR (files = 0 AND calls = 0 AND api = 0) THEN 0.0::DOUBLE
+        ELSE 0.4::DOUBLE * (1 / (1 + exp(-0.8::DOUBLE * (files - 5)))) + 0.4::DOUBLE * (1 / (1 + exp(-0.2::DOUBLE * (calls - 20))))
+          + 0.2::DOUBLE * (1 / (1 + exp(-0.4::DOUBLE * (api - 10)))) END AS effort
+    FROM o_entries) e1) e2) e3
+""",
+    "o_graph_plan": """
+SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank FROM (
+  SELECT project_id, package_id, purl, CASE WHEN is_eol OR health_status = 'Archived'
+    THEN greatest(impact * health_risk, 0.1::DOUBLE) ELSE impact * health_risk END AS priority FROM (
+    SELECT *, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
+      ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (exclusive_transitive / max_excl), 1.0::DOUBLE) END AS impact FROM o_entries) e) f
+""",
+    "o_details": """
+SELECT advisory_id, max(cvss3) AS cvss3, 'Title of ' || advisory_id AS title FROM fx_advisories GROUP BY advisory_id
+""",
+    "o_slot_versions": """
+SELECT package_id, 'stable' AS slot, stable AS version FROM o_slots WHERE stable IS NOT NULL
+UNION ALL SELECT package_id, 'max_semver', top FROM o_slots WHERE top IS NOT NULL
+""",
+    "o_slot_advisories": """
+SELECT s.package_id, s.slot, s.version, a.advisory_id, d.title, d.cvss3,
+  CASE WHEN d.cvss3 <= 0 THEN NULL WHEN d.cvss3 < 4 THEN 'LOW' WHEN d.cvss3 < 7 THEN 'MEDIUM' WHEN d.cvss3 < 9 THEN 'HIGH'
+    ELSE 'CRITICAL' END AS severity, 'DIRECT' AS relation
+FROM o_slot_versions s JOIN fx_advisories a ON a.package_id = s.package_id AND a.version = s.version
+JOIN o_details d ON d.advisory_id = a.advisory_id
 """,
 }
 
@@ -256,8 +341,8 @@ SELECT package_id, position, version, v4 = 1 AS stable FROM (
 WHERE position <= 2
 """,
     "commit_stats": """
-SELECT repo_id, total_commits, user_commits, bot_commits, round(user_commits / total_commits, 6) AS user_ratio,
-  round(bot_commits / total_commits, 6) AS bot_ratio FROM o_activity
+SELECT repo_id, total_commits, user_commits, bot_commits, round(user_commits / total_commits, 9) AS user_ratio,
+  round(bot_commits / total_commits, 9) AS bot_ratio FROM o_activity
 """,
     "repo_activity": """
 SELECT repo_id, strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest_commit,
@@ -280,7 +365,7 @@ SELECT package_id, purl, label AS lifecycle_label, reason AS lifecycle_reason, s
 """,
     "label_distribution": """
 WITH e AS (SELECT label, reason FROM o_scan WHERE error IS NULL), n AS (SELECT count(*) AS total FROM e)
-SELECT label, reason, packages, round(packages * 100.0 / (SELECT total FROM n), 6) AS percent,
+SELECT label, reason, packages, round(packages * 100.0 / (SELECT total FROM n), 9) AS percent,
   CASE WHEN label = 'Active' THEN 'active' WHEN label = 'Stalled' THEN 'stalled' WHEN label LIKE 'EOL-%' THEN 'eol'
     WHEN label = 'Review Needed' THEN 'review' ELSE 'other' END AS bucket
 FROM (SELECT label, NULL AS reason, count(*) AS packages FROM e GROUP BY label
@@ -292,6 +377,83 @@ SELECT count(*) AS total, sum((verdict = 'ok')::INT) AS ok_count, sum((verdict =
   sum((build_label = 'Hardened')::INT) AS hardened_count, sum((build_label = 'Moderate')::INT) AS moderate_count,
   sum((build_label = 'Weak')::INT) AS weak_count, sum((build_label = 'Ungraded')::INT) AS ungraded_count
 FROM o_scan
+""",
+    "reachability": "SELECT project_id, direct_id, node FROM o_pairs",
+    "graph_metrics": "SELECT * FROM o_gmetrics",
+    "indirect_via": """
+SELECT project_id, node AS direct_id, direct_id AS via_id FROM o_pairs WHERE node_direct
+""",
+    "via_parents": """
+SELECT o.project_id, o.node, p.name AS via_name FROM o_pairs o JOIN fx_packages p ON p.package_id = o.direct_id
+WHERE NOT node_direct
+""",
+    "relation_classes": """
+SELECT n.project_id, n.node, CASE WHEN n.project_id NOT IN (SELECT project_id FROM fx_edges) THEN 'unknown'
+  WHEN d.package_id IS NOT NULL THEN 'direct' ELSE 'transitive' END AS relation
+FROM o_nodes n LEFT JOIN fx_direct d ON d.project_id = n.project_id AND d.package_id = n.node
+""",
+    "dependency_counts": """
+SELECT c.c_custkey AS package_id, n.direct_count, n.transitive_count, n.direct_count IS NOT NULL AS has_graph
+FROM customer c LEFT JOIN (
+  SELECT o.project_id, count(d.package_id) FILTER (WHERE o.project_id IN (SELECT project_id FROM fx_edges)) AS direct_count,
+    count(*) - count(d.package_id) FILTER (WHERE o.project_id IN (SELECT project_id FROM fx_edges)) AS transitive_count
+  FROM o_nodes o LEFT JOIN fx_direct d ON d.project_id = o.project_id AND d.package_id = o.node GROUP BY 1) n
+  ON n.project_id = c.c_custkey
+""",
+    "total_transitive": """
+SELECT o.project_id, count(*) AS total_transitive FROM o_nodes o
+WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.project_id = o.project_id AND d.package_id = o.node) GROUP BY 1
+""",
+    "health_risk": """
+SELECT package_id, is_eol, is_stalled, health_status, round(health_risk, 9) AS health_risk FROM o_health
+""",
+    "diet_plan": """
+SELECT project_id, rank, purl, ecosystem, CAST(NULL AS VARCHAR) AS scope, round(priority, 9) AS priority, difficulty,
+  round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(health_risk, 9) AS health_risk,
+  exclusive_transitive, total_transitive, is_unused, health_status AS maintenance_status FROM o_plan
+""",
+    "diet_summary": """
+SELECT p.project_id, count(*) AS total_direct, sum(exclusive_transitive) AS exclusive_total,
+  sum(is_unused::INT) AS unused_direct, sum((difficulty IN ('trivial', 'easy') AND priority > 0.3)::INT) AS easy_wins,
+  sum((priority > 0.2)::INT) AS actionable, sum((via_count > 0)::INT) AS stays_indirect,
+  coalesce(max(t.n), 0) AS total_transitive
+FROM o_plan p LEFT JOIN (SELECT project_id, count(*) AS n FROM o_nodes o
+  WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.project_id = o.project_id AND d.package_id = o.node) GROUP BY 1) t
+  ON t.project_id = p.project_id GROUP BY p.project_id
+""",
+    "graph_only_plan": """
+SELECT project_id, rank, package_id, round(priority, 9) AS priority, 'trivial' AS difficulty FROM o_graph_plan
+""",
+    "slot_advisories": "SELECT * FROM o_slot_advisories",
+    "transitive_advisories": """
+WITH home AS (SELECT package_id, min(project_id) AS project_id FROM fx_direct GROUP BY 1),
+carried AS (SELECT r.direct_id AS package_id, a.advisory_id, min(p.name) AS dependency_name, max(a.cvss3) AS cvss3
+  FROM home h JOIN o_pairs r ON r.project_id = h.project_id AND r.direct_id = h.package_id
+  JOIN o_slots s ON s.package_id = r.node JOIN fx_advisories a ON a.package_id = r.node AND a.version = s.stable
+  JOIN fx_packages p ON p.package_id = r.node GROUP BY 1, 2),
+graphs AS (SELECT p.package_id, CASE p.package_id % 3 WHEN 0 THEN s.stable WHEN 1 THEN NULL ELSE p.version END AS gv
+  FROM fx_packages p JOIN o_slots s USING (package_id))
+SELECT v.package_id, v.slot, v.version, c.advisory_id, c.dependency_name, c.cvss3,
+  CASE WHEN c.cvss3 <= 0 THEN NULL WHEN c.cvss3 < 4 THEN 'LOW' WHEN c.cvss3 < 7 THEN 'MEDIUM' WHEN c.cvss3 < 9 THEN 'HIGH'
+    ELSE 'CRITICAL' END AS severity, 'TRANSITIVE' AS relation
+FROM o_slot_versions v JOIN graphs g USING (package_id) JOIN carried c USING (package_id)
+WHERE (g.gv IS NULL OR g.gv = v.version) AND NOT EXISTS (SELECT 1 FROM o_slot_advisories k
+  WHERE k.package_id = v.package_id AND k.slot = v.slot AND k.advisory_id = c.advisory_id)
+""",
+    "top_advisories": """
+SELECT package_id, version, string_agg(advisory_id, ';' ORDER BY pos) FILTER (WHERE pos <= 3) AS top_ids,
+  max(cvss3) AS top_cvss3, count(*) AS advisory_count, greatest(count(*) - 3, 0) AS more_count
+FROM (SELECT *, row_number() OVER (PARTITION BY package_id, version ORDER BY cvss3 DESC, advisory_id) AS pos
+  FROM fx_advisories) a GROUP BY 1, 2
+""",
+    "advisory_sources": """
+SELECT CASE WHEN advisory_id LIKE 'GHSA-%' THEN 'GHSA' WHEN advisory_id LIKE 'CVE-%' THEN 'CVE'
+    WHEN advisory_id LIKE 'GO-%' THEN 'OSV' ELSE 'OTHER' END AS source,
+  CASE WHEN cvss3 <= 0 THEN NULL WHEN cvss3 < 4 THEN 'LOW' WHEN cvss3 < 7 THEN 'MEDIUM' WHEN cvss3 < 9 THEN 'HIGH'
+    ELSE 'CRITICAL' END AS severity, count(*) AS advisories,
+  min(CASE WHEN advisory_id LIKE 'GHSA-%' THEN 'https://github.com/advisories/' WHEN advisory_id LIKE 'CVE-%'
+    THEN 'https://nvd.nist.gov/vuln/detail/' ELSE 'https://osv.dev/' END || advisory_id) AS first_url
+FROM fx_advisories GROUP BY 1, 2
 """,
 }
 

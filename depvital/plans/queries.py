@@ -78,7 +78,7 @@ def fallback_versions(fx: Fixtures) -> DataFrame:
 @query
 def commit_stats(fx: Fixtures) -> DataFrame:
     stats = repos.commit_stats(fx["fx_commits"], AS_OF)
-    return stats.withColumns({c: F.round(c, 6) for c in ("user_ratio", "bot_ratio")})
+    return stats.withColumns({c: F.round(c, 9) for c in ("user_ratio", "bot_ratio")})
 
 
 @query
@@ -137,3 +137,147 @@ def label_distribution(fx: Fixtures) -> DataFrame:
 @query
 def scan_summary(fx: Fixtures) -> DataFrame:
     return reports.scan_summary(_scan(fx))
+
+
+# --- dependency graphs ----------------------------------------------------------
+
+
+@query
+def reachability(fx: Fixtures) -> DataFrame:
+    return graph.reachability(fx["fx_edges"], fx["fx_direct"]).drop("level")
+
+
+@query
+def graph_metrics(fx: Fixtures) -> DataFrame:
+    return graph.graph_metrics(fx["fx_reach"], fx["fx_direct"])
+
+
+@query
+def indirect_via(fx: Fixtures) -> DataFrame:
+    return graph.indirect_via(fx["fx_reach"], fx["fx_direct"])
+
+
+@query
+def via_parents(fx: Fixtures) -> DataFrame:
+    return graph.via_parents(fx["fx_reach"], fx["fx_direct"], fx["fx_packages"])
+
+
+def _nodes(fx: Fixtures) -> DataFrame:
+    ends = fx["fx_edges"].select("project_id", F.explode(F.array("src", "dst")).alias("node"))
+    return ends.unionByName(fx["fx_direct"].withColumnRenamed("package_id", "node")).distinct()
+
+
+@query
+def relation_classes(fx: Fixtures) -> DataFrame:
+    return graph.classify_relation(_nodes(fx), fx["fx_direct"], fx["fx_edges"])
+
+
+@query
+def dependency_counts(fx: Fixtures) -> DataFrame:
+    related = graph.classify_relation(_nodes(fx), fx["fx_direct"], fx["fx_edges"])
+    nodes = related.select(
+        F.col("project_id").alias("package_id"),
+        F.when(F.col("relation") == "direct", "DIRECT").otherwise("INDIRECT").alias("relation"),
+    )
+    customers = fx["customer"].select(F.col("c_custkey").alias("package_id"))
+    return repos.dependency_counts(customers, nodes)
+
+
+@query
+def total_transitive(fx: Fixtures) -> DataFrame:
+    roots = fx["fx_direct"].groupBy("project_id").agg(F.max("package_id").alias("root"))
+    return graph.total_transitive(_nodes(fx), fx["fx_direct"], roots)
+
+
+# --- removal planning --------------------------------------------------------------
+
+
+@query
+def health_risk(fx: Fixtures) -> DataFrame:
+    return diet.health_risk(_scan(fx)).select(
+        "package_id", "is_eol", "is_stalled", "health_status", F.round("health_risk", 9).alias("health_risk")
+    )
+
+
+def _plan(fx: Fixtures) -> DataFrame:
+    return removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), fx["fx_coupling"])
+
+
+@query
+def diet_plan(fx: Fixtures) -> DataFrame:
+    return reports.diet_rows(_plan(fx))
+
+
+@query
+def diet_summary(fx: Fixtures) -> DataFrame:
+    entries = _plan(fx)
+    roots = fx["fx_direct"].groupBy("project_id").agg(F.lit(-1).cast("long").alias("root"))
+    return diet.diet_summary(entries, graph.total_transitive(_nodes(fx), fx["fx_direct"], roots))
+
+
+@query
+def graph_only_plan(fx: Fixtures) -> DataFrame:
+    """The plan without source coupling: nothing is unused and no effort is counted."""
+    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx))
+    return plan.select("project_id", "rank", "package_id", F.round("priority", 9).alias("priority"), "difficulty")
+
+
+# --- advisories on slots ---------------------------------------------------------------
+
+
+def _slot_advisories(fx: Fixtures, slots: DataFrame) -> DataFrame:
+    keys = fx["fx_advisories"].select("package_id", "version", "advisory_id")
+    details = fx["fx_advisories"].groupBy("advisory_id").agg(
+        F.max("cvss3").alias("cvss3"), F.max(F.concat(F.lit("Title of "), F.col("advisory_id"))).alias("title")
+    )
+    return advisories.join_advisories(slots, keys, details)
+
+
+@query
+def slot_advisories(fx: Fixtures) -> DataFrame:
+    return _slot_advisories(fx, _slots(fx))
+
+
+def _transitive(fx: Fixtures) -> DataFrame:
+    slots = _slots(fx)
+    home = fx["fx_direct"].groupBy(F.col("package_id").alias("direct_id")).agg(F.min("project_id").alias("project_id"))
+    reach = (
+        fx["fx_reach"]
+        .join(home, ["project_id", "direct_id"])
+        .select(F.col("direct_id").alias("package_id"), F.col("node").alias("dependency_id"))
+    )
+    names = fx["fx_packages"].select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
+    stable = slots.select("package_id", F.col("stable.version").alias("version"))
+    version_advisories = (
+        stable.join(fx["fx_advisories"], ["package_id", "version"])
+        .select(F.col("package_id").alias("dependency_id"), "advisory_id", "cvss3")
+    )
+    roots = fx["fx_packages"].join(stable.withColumnRenamed("version", "stable_version"), "package_id").select(
+        "package_id",
+        F.expr("CASE package_id % 3 WHEN 0 THEN stable_version WHEN 1 THEN NULL ELSE version END").alias(
+            "graph_version"
+        ),
+    )
+    return advisories.transitive_advisories(
+        slots, _slot_advisories(fx, slots), reach.join(names, "dependency_id"), version_advisories, roots
+    )
+
+
+@query
+def transitive_advisories(fx: Fixtures) -> DataFrame:
+    return _transitive(fx)
+
+
+@query
+def top_advisories(fx: Fixtures) -> DataFrame:
+    described = advisories.describe_advisories(fx["fx_advisories"])
+    return advisories.top_advisories(described)
+
+
+@query
+def advisory_sources(fx: Fixtures) -> DataFrame:
+    return (
+        advisories.describe_advisories(fx["fx_advisories"])
+        .groupBy("source", "severity")
+        .agg(F.count(F.lit(1)).alias("advisories"), F.min("url").alias("first_url"))
+    )

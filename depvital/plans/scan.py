@@ -52,7 +52,7 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
         eol = eol.transform(enricher)
     metrics = adv.advisory_metrics(facts["advisories"], cfg).withColumnRenamed("version", "fact_version")
     activity = repos.repo_activity(facts["commits"], as_of).withColumn("has_commit_data", F.lit(True))
-    state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled")
+    state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled", "overall_score")
     per_repo = (
         state.join(activity.select("repo_id", "latest_human_commit", "days_since_commit", "has_commit_data"),
                    "repo_id", "left")

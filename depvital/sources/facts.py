@@ -19,6 +19,7 @@ SCHEMAS: dict[str, str] = {
     "dependents": "package_id BIGINT, source STRING, dependent_count BIGINT",
     "edges": "project_id BIGINT, src BIGINT, dst BIGINT",
     "direct": "project_id BIGINT, package_id BIGINT",
+    "reach": "project_id BIGINT, direct_id BIGINT, node BIGINT, level INT",
     "coupling": "project_id BIGINT, package_id BIGINT, import_files BIGINT, call_sites BIGINT, api_breadth BIGINT, "
     "has_blank_import BOOLEAN",
 }
