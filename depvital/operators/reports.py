@@ -46,7 +46,7 @@ def label_distribution(entries: DataFrame) -> DataFrame:
         "label",
         F.when(F.col("is_total") == 0, F.col("reason")).alias("reason"),
         F.col("rows").alias("packages"),
-        F.round(F.col("rows") * 100.0 / F.col("evaluated"), 6).alias("percent"),
+        F.round(F.col("rows") * 100.0 / F.col("evaluated"), 9).alias("percent"),
         label_bucket(F.col("label")).alias("bucket"),
     )
 

@@ -122,6 +122,6 @@ def coverage_report(analysis: DataFrame) -> DataFrame:
         missing = ~F.col(f"has_{name}")
         columns += [
             F.count_if(missing).alias(f"missing_{name}"),
-            F.round(F.avg(missing.cast("double")), 6).alias(f"missing_{name}_share"),
+            F.round(F.avg(missing.cast("double")), 9).alias(f"missing_{name}_share"),
         ]
     return analysis.agg(*columns)

@@ -173,18 +173,110 @@ SELECT p_partkey AS package_id, 'registry' AS source, (p_partkey * 29) % 1000 AS
 }
 
 
+def _spelling(index: str) -> str:
+    """One of twelve licence spellings: canonical, other case, alias, address, free text or nothing."""
+    return (
+        f"CASE ({index}) % 12 WHEN 0 THEN 'MIT' WHEN 1 THEN 'mit' WHEN 2 THEN 'Apache License 2.0' "
+        "WHEN 3 THEN 'Apache-2.0' WHEN 4 THEN 'NOASSERTION' WHEN 5 THEN 'Custom  License' WHEN 7 THEN 'BSD 3-Clause' "
+        "WHEN 8 THEN 'GPL-3.0-only' WHEN 9 THEN 'https://www.apache.org/licenses/LICENSE-2.0.txt' "
+        "WHEN 10 THEN 'LGPL 2.1' WHEN 11 THEN 'non-standard' END"
+    )
+
+
+def _address(index: str) -> str:
+    return (
+        f"CASE ({index}) % 5 WHEN 0 THEN 'https://www.apache.org/licenses/LICENSE-2.0.txt' "
+        "WHEN 1 THEN 'http://opensource.org/licenses/MIT/' WHEN 2 THEN 'www.gnu.org/licenses/gpl.html' "
+        "WHEN 3 THEN 'https://example.org/license' END"
+    )
+
+
+def _both(template: str) -> tuple[str, str]:
+    """Spark and DuckDB spellings of a text that uses LIST(..) and ENTRY(name, url)."""
+    spark = re.sub(r"ENTRY\((.*?) ;; (.*?)\)ENTRY", r"named_struct('name', \1, 'url', \2)", template)
+    duck = re.sub(r"ENTRY\((.*?) ;; (.*?)\)ENTRY", r"struct_pack(name := \1, url := \2)", template)
+    return spark.replace("LIST(", "array("), duck.replace("LIST(", "list_value(")
+
+
+_TEXT_CASES = (
+    "This project has been discontinued and archived.",
+    "The library has reached end of life and should not be used.",
+    "This project is not deprecated and still maintained.",
+    "This project is no longer maintained. Please use coolpkg instead",
+    "This project is no longer maintained and moved to @scope/newpkg",
+    "The library has reached end of. life status soon",
+    "Deprecated function foo() will be removed. See the notes.",
+    "Python 2.7 is no longer supported.",
+    "This repository is deprecated: use betterlib instead.",
+    "Support continues until 2025-06-30 for this release, which is EOL for the project.",
+    "No longer supported.",
+    "The old branch was retired but the project is actively maintained.",
+    "This package will be removed on 2024-12-31. Superseded by other-lib.",
+    "Sunsetting this project. Replaced by newthing, see docs.",
+    "Moved into read-only mode after 2023-01-15 no support is given.",
+    "",
+)
+_ANNOUNCEMENT = "CASE {key} % 16 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXT_CASES)) + " END"
+
+VIEWS["fx_licenses"] = _both(f"""
+SELECT package_id, {_spelling('package_id')} AS project_raw, {_spelling('package_id * 5 + 3')} AS github_spdx,
+  {_spelling('package_id * 7 + 1')} AS github_name,
+  CASE package_id % 4 WHEN 1 THEN LIST({_spelling('package_id + 1')})
+    WHEN 2 THEN LIST({_spelling('package_id + 1')}, {_spelling('package_id + 2')})
+    WHEN 3 THEN LIST({_spelling('package_id + 3')}, {_spelling('package_id + 3')}) END AS version_spdx,
+  CASE WHEN package_id % 3 > 0 THEN LIST({_spelling('package_id + 5')}, {_spelling('package_id + 7')}) END AS version_raw,
+  CASE WHEN ecosystem = 'maven' THEN LIST(
+    ENTRY({_spelling('package_id * 11 + 5')} ;; {_address('package_id * 3')})ENTRY,
+    ENTRY({_spelling('package_id * 3 + 2')} ;; {_address('package_id * 2 + 1')})ENTRY) END AS manifest,
+  package_id % 6 <> 0 AS requested_known
+FROM {{fx_packages}}
+""")
+VIEWS["fx_pom_entries"] = f"""
+SELECT package_id, 0 AS position, CASE WHEN package_id % 3 = 0 THEN '$' || '{{{{license.name}}}}' ELSE {_spelling('package_id + 2')} END
+    AS name, {_address('package_id')} AS url FROM {{fx_packages}}
+UNION ALL SELECT package_id, 1 AS position, {_spelling('package_id * 5')} AS name,
+  CASE WHEN package_id % 4 = 0 THEN '$' || '{{{{license.url}}}}' ELSE {_address('package_id * 7')} END AS url FROM {{fx_packages}}
+"""
+VIEWS["fx_pom_properties"] = f"""
+SELECT package_id, 'license.name' AS key, CASE WHEN package_id % 2 = 0 THEN '$' || '{{{{base.name}}}}' ELSE 'mit' END AS value
+  FROM {{fx_packages}}
+UNION ALL SELECT package_id, 'base.name' AS key, {_spelling('package_id * 7')} AS value FROM {{fx_packages}}
+UNION ALL SELECT package_id, 'license.url' AS key, 'https://mit-license.org/' AS value FROM {{fx_packages}}
+"""
+_EXPRESSIONS = (
+    "MIT", "MIT OR Apache-2.0", "(MIT OR Apache-2.0) AND ISC", "GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0+",
+    "MIT AND (", "Apache License 2.0 or mit", "(MIT OR GPL-2.0-only) WITH X-exception",
+    "(Zlib OR (BSD-3-Clause AND Custom  Terms)) WITH Y AND ISC", "OR-tools License OR BSL-1.0",
+)
+VIEWS["fx_expressions"] = (
+    "SELECT package_id, CASE package_id % 10 "
+    + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXPRESSIONS))
+    + " END AS expression FROM {fx_packages}"
+)
+VIEWS["fx_readmes"] = f"""
+SELECT doc_id, 'p' || doc_id AS name, text || '
+' || {_ANNOUNCEMENT.replace('{key}', 'doc_id')} AS text FROM {{documents}}
+"""
+VIEWS["fx_messages"] = f"""
+SELECT package_id, name, {_ANNOUNCEMENT.replace('{key}', 'package_id')} AS text FROM {{fx_packages}}
+"""
+
+
 def spark_text(name: str) -> str:
     view = VIEWS[name]
     return view[0] if isinstance(view, tuple) else view
 
 
 def duckdb_text(name: str) -> str:
+    """Text of a view with plain table names; doubled braces are literal ones, as for Spark."""
     view = VIEWS[name]
-    return (view[1] if isinstance(view, tuple) else view).replace("{{", "\0").replace("}}", "\1")
+    text = view[1] if isinstance(view, tuple) else view
+    named = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text)
+    return named.replace("{{", "{").replace("}}", "}").strip()
 
 
 def _inputs(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)))
 
 
 class Fixtures:
@@ -254,10 +346,6 @@ def duckdb_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
                 ordered.append(name)
 
     visit(sql)
-
-    def plain(text: str) -> str:
-        return re.sub(r"\{(\w+)\}", r"\1", text).replace("\0", "{").replace("\1", "}").strip()
-
-    parts = [f"{name} AS (\n{plain(known[name])}\n)" for name in ordered]
+    parts = [f"{name} AS (\n{known[name].strip()}\n)" for name in ordered]
     recursive = "RECURSIVE " if parts else ""
     return (f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + sql.strip()

@@ -6,6 +6,19 @@ that several statements use.
 
 from __future__ import annotations
 
+from depvital.functions.phrases import (
+    AMBIGUOUS_PHRASES,
+    CHANGELOG_HEADING,
+    CONTEXTUAL_PATTERNS,
+    EXPLICIT_LABEL,
+    PHRASE_TIERS,
+    PLATFORM_VERSION,
+    README_EXPLICIT,
+    SENTENCE_NEGATIVES,
+    STRONG_PHRASES,
+)
+from depvital.functions.spdx import CORE_IDS, CUSTOM_ALIASES, URL_LICENSES
+from depvital.operators.eol_text import PROFILES
 from depvital.plans.fixtures import AS_OF, duckdb_ctes
 
 _TS = f"TIMESTAMP '{AS_OF}'"
@@ -16,6 +29,123 @@ def _age(ts: str) -> str:
     return f"CAST(trunc((epoch_us({_TS}) - epoch_us({ts})) / 86400000000.0) AS INTEGER)"
 
 
+def _dictionary() -> str:
+    ids = ", ".join(f"('{i}')" for i in CORE_IDS)
+    custom = ", ".join(f"('{k}', '{v}')" for k, v in CUSTOM_ALIASES.items())
+    key = r"trim(upper(regexp_replace({x}, '[-_./+ \t\n\r]+', ' ', 'g')))"
+    return f"""
+SELECT key, min(rank) AS rank, arg_min(id, rank * 1000 + pos) AS id FROM (
+  SELECT key, id, rank, row_number() OVER (ORDER BY rank, id) AS pos FROM (
+    SELECT upper(id) AS key, id, 0 AS rank FROM (VALUES {ids}) a(id)
+    UNION ALL SELECT {key.format(x='k')}, id, 1 FROM (VALUES {custom}) c(k, id)
+    UNION ALL SELECT {key.format(x='id')}, id, 2 FROM (VALUES {ids}) a(id)
+    UNION ALL SELECT {key.format(x="replace(id, '-', '')")}, id, 2 FROM (VALUES {ids}) a(id)) e) f GROUP BY key
+"""
+
+
+def _normalized(source: str, raw: str = "raw") -> str:
+    """Rows of a table with license_id, is_spdx and match_type of a raw spelling."""
+    return rf"""
+SELECT n.*, CASE WHEN t = '' THEN NULL WHEN upper(t) IN ('NOASSERTION', 'NONE') THEN upper(t)
+    ELSE coalesce(d0.id, d1.id, regexp_replace(t, '\s+', '-', 'g')) END AS license_id,
+  t <> '' AND upper(t) NOT IN ('NOASSERTION', 'NONE') AND coalesce(d0.id, d1.id) IS NOT NULL AS is_spdx,
+  CASE WHEN t = '' THEN 'none' WHEN upper(t) IN ('NOASSERTION', 'NONE') THEN 'no-assertion' WHEN d0.id = t THEN 'exact'
+    WHEN d0.id IS NOT NULL THEN 'case-fold' WHEN d1.id IS NOT NULL THEN 'alias' ELSE 'heuristic' END AS match_type
+FROM (SELECT *, trim(coalesce({raw}, '')) AS t FROM {source}) n
+LEFT JOIN o_dict d0 ON d0.rank = 0 AND d0.key = upper(n.t)
+LEFT JOIN o_dict d1 ON d1.key = trim(upper(regexp_replace(n.t, '[-_./+ \t\n\r]+', ' ', 'g')))
+"""
+
+
+def _url_id(url: str) -> str:
+    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in URL_LICENSES.items()) + "}"
+    full = f"CASE WHEN contains({url}, '://') THEN trim({url}) ELSE 'https://' || trim({url}) END"
+    host = f"regexp_replace(lower(regexp_extract({full}, '^[A-Za-z+.-]+://([^/?#:]*)', 1)), '^www\\.', '')"
+    path = f"regexp_replace(lower(regexp_extract({full}, '^[A-Za-z+.-]+://[^/?#]*([^?#]*)', 1)), '/$', '')"
+    path = f"regexp_replace({path}, '\\.(txt|html|htm)$', '')"
+    return f"element_at({table}, {host} || {path})[1]"
+
+
+def _eol(source: str, key: str, profile: str) -> str:
+    """End-of-life announcements of a table with text and name, by sentence rows and first hits."""
+    rules = PROFILES[profile]
+
+    def any_of(text: str, words: tuple[str, ...]) -> str:
+        return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+    def token(text: str) -> str:
+        return f"({any_of(text, rules.tokens)} OR (nm <> '' AND contains({text}, nm)))"
+
+    strong = " ".join(
+        f"WHEN contains(ls, '{p}')" + (f" AND {token('ls')}" if p in AMBIGUOUS_PHRASES else "") + f" THEN '{p}'"
+        for p in STRONG_PHRASES
+    )
+    contextual = " ".join(f"WHEN regexp_matches(ls, '{p}') THEN {i}" for i, (_, p, _) in enumerate(CONTEXTUAL_PATTERNS))
+    sentence_date = " ".join(
+        f"WHEN {i} THEN nullif(trim(regexp_extract(s, '{p}', {g})), '')" for i, (_, p, g) in enumerate(CONTEXTUAL_PATTERNS) if g
+    )
+    text_date = ", ".join(f"nullif(trim(regexp_extract(doc, '{p}', {g})), '')" for _, p, g in CONTEXTUAL_PATTERNS if g)
+    successor = ", ".join(
+        f"nullif(trim(regexp_extract(win, '{p}', {g}), '.,;:()[]{{}} '), '')" for p, g in rules.successors
+    )
+    component = "deprecated (argument|parameter|function|method|class|module)"
+    lead = r"(?i)^(?:deprecated\s+(?:argument|parameter|function|method|class|module)\b[^.!?\n]*[.!?\n]\s*)+"
+    start = r"(?i)^deprecated\s+(argument|parameter|function|method|class|module)\b"
+    anywhere = "NULL"
+    prelude = "doc"
+    if rules.trims_changelog:
+        anywhere = (
+            f"CASE WHEN NOT regexp_matches(low, '{component}') OR ({any_of('low', ('this project', 'this package'))} "
+            f"AND NOT regexp_matches(doc, '{start}')) THEN nullif(regexp_extract(doc, '{rules.explicit}'), '') END"
+        )
+        heading = CHANGELOG_HEADING
+        found = f"strpos(doc, regexp_extract(doc, '{heading}'))"
+        prelude = (
+            f"CASE WHEN regexp_matches(doc, '{heading}') AND {found} > 200 THEN trim(left(doc, {found} - 1), ' \t\n\r') "
+            "ELSE doc END"
+        )
+    own = "lower(name)" if rules.drops_self else "''"
+    sql = f"""
+SELECT {key}, CASE WHEN kept THEN kind END AS eol_kind, CASE WHEN kept THEN phrase END AS eol_phrase,
+  CASE WHEN kept AND (lower(succ) <> {own} OR {own} = '') THEN succ END AS eol_successor,
+  CASE WHEN kept THEN coalesce(hit_date, {text_date}) END AS eol_date
+FROM (SELECT *, coalesce({successor}) AS succ, kind IS NOT NULL AND NOT {any_of('sent', SENTENCE_NEGATIVES)}
+    AND NOT (kind = 'explicit' AND amb AND NOT {token('sent')})
+    AND NOT (kind IN ('explicit', 'strong') AND amb AND regexp_matches(sent, '{PLATFORM_VERSION}') AND NOT {token('sent')})
+    AS kept
+FROM (SELECT *, lower(phrase) IN ({', '.join(f"'{p}'" for p in AMBIGUOUS_PHRASES)}) AS amb,
+    CASE WHEN strpos(low, lower(phrase)) = 0 THEN '' ELSE array_to_string(
+      string_split(substr(doc, strpos(low, lower(phrase)), 400), chr(10))[1:4], chr(10)) END AS win,
+    CASE WHEN strpos(low, lower(phrase)) = 0 THEN '' ELSE trim(
+      regexp_extract(substr(low, 1, strpos(low, lower(phrase)) - 1), '[^.!?\n]*$') || lower(phrase)
+      || regexp_extract(substr(low, strpos(low, lower(phrase)) + length(phrase)), '^[^.!?\n]*'), ' \t\r') END AS sent
+FROM (SELECT d.*, CASE WHEN neg THEN NULL WHEN first_explicit IS NOT NULL THEN 'explicit'
+      WHEN dead THEN NULL WHEN body_explicit IS NOT NULL THEN 'explicit' ELSE h.kind END AS kind,
+    CASE WHEN neg THEN NULL WHEN first_explicit IS NOT NULL THEN first_explicit WHEN dead THEN NULL
+      WHEN body_explicit IS NOT NULL THEN body_explicit ELSE h.phrase END AS phrase,
+    CASE WHEN neg OR first_explicit IS NOT NULL OR dead OR body_explicit IS NOT NULL THEN NULL ELSE h.hit_date END AS hit_date
+FROM (SELECT *, body = '' OR regexp_matches(body, '{start}') AS dead,
+    CASE WHEN NOT regexp_matches(lower(body), '{component}') OR {any_of('lower(body)', ('this project', 'this package'))}
+      THEN nullif(regexp_extract(body, '{rules.explicit}'), '') END AS body_explicit
+  FROM (SELECT *, {any_of('low', rules.negatives)} AS neg, {anywhere} AS first_explicit,
+      regexp_replace({prelude}, '{lead}', '') AS body
+    FROM (SELECT {key}, name, lower(name) AS nm, trim(text, E' \t\n\r') AS doc, lower(trim(text, E' \t\n\r')) AS low
+      FROM {source}) a) b) d
+LEFT JOIN (SELECT {key}, arg_min(kind, i) AS kind, arg_min(phrase, i) AS phrase,
+    first(hit_date ORDER BY i) AS hit_date FROM (
+  SELECT {key}, i, CASE WHEN strong IS NOT NULL THEN 'strong' ELSE 'contextual' END AS kind,
+    coalesce(strong, 'end of life') AS phrase, CASE WHEN strong IS NULL THEN CASE ctx {sentence_date} END END AS hit_date
+  FROM (SELECT *, CASE {strong} END AS strong, CASE {contextual} END AS ctx FROM (
+    SELECT *, lower(s) AS ls FROM (
+      SELECT {key}, nm, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
+        SELECT {key}, lower(name) AS nm, regexp_split_to_array(regexp_replace({prelude}, '{lead}', ''), '[.!?\n]') AS l
+        FROM (SELECT *, trim(text, E' \t\n\r') AS doc FROM {source}) z) y) x) w
+    WHERE NOT {any_of('ls', SENTENCE_NEGATIVES)}) v
+  WHERE strong IS NOT NULL OR ctx IS NOT NULL) u GROUP BY {key}) h USING ({key})) k) m) o
+"""
+    return sql
+
+
 PARTS: dict[str, str] = {
     "o_versions": r"""
 SELECT *, NOT regexp_matches(lower(version), 'alpha|beta|rc|dev|snapshot|pre') AS looks_stable,
@@ -317,6 +447,122 @@ SELECT s.package_id, s.slot, s.version, a.advisory_id, d.title, d.cvss3,
 FROM o_slot_versions s JOIN fx_advisories a ON a.package_id = s.package_id AND a.version = s.version
 JOIN o_details d ON d.advisory_id = a.advisory_id
 """,
+    "o_dict": _dictionary(),
+    "o_spellings": """
+SELECT package_id, 'project' AS slot, 0 AS position, project_raw AS raw, NULL AS url FROM fx_licenses
+UNION ALL SELECT package_id, 'github_spdx', 0, github_spdx, NULL FROM fx_licenses
+UNION ALL SELECT package_id, 'github_name', 0, github_name, NULL FROM fx_licenses
+UNION ALL SELECT package_id, 'version_spdx', unnest(range(len(version_spdx))), unnest(version_spdx), NULL FROM fx_licenses
+UNION ALL SELECT package_id, 'version_raw', unnest(range(len(version_raw))), unnest(version_raw), NULL FROM fx_licenses
+UNION ALL SELECT package_id, 'manifest', unnest(range(len(manifest))), unnest(manifest).name, unnest(manifest).url
+  FROM fx_licenses
+""",
+    "o_known_all": _normalized("o_spellings"),
+    "o_known": """
+SELECT * FROM o_known_all WHERE trim(coalesce(raw, '')) <> '' OR trim(coalesce(url, '')) <> ''
+""",
+    "o_usable": "SELECT * FROM o_known WHERE license_id IS NOT NULL AND upper(license_id) <> 'NOASSERTION'",
+    "o_version_ids": """
+SELECT DISTINCT package_id, license_id, is_spdx, slot, first_value(trim(raw)) OVER (
+  PARTITION BY package_id, slot, license_id ORDER BY position) AS raw
+FROM o_usable WHERE slot = 'version_spdx' OR (slot = 'version_raw' AND package_id NOT IN (
+  SELECT package_id FROM o_usable WHERE slot = 'version_spdx'))
+""",
+    "o_version_lists": """
+SELECT package_id, list({'id': license_id, 'raw': raw, 'spdx': is_spdx,
+    'src': CASE slot WHEN 'version_spdx' THEN 'depsdev-version-spdx' ELSE 'depsdev-version-raw' END}
+    ORDER BY license_id) AS vl
+FROM o_version_ids GROUP BY 1
+""",
+    "o_pom_rows": f"""
+SELECT package_id, position, CASE WHEN is_spdx THEN license_id ELSE coalesce({_url_id('url')}, '') END AS id,
+  CASE WHEN is_spdx THEN trim(raw) WHEN {_url_id('url')} IS NOT NULL THEN trim(url)
+    ELSE coalesce(nullif(trim(raw), ''), trim(url)) END AS raw,
+  is_spdx OR {_url_id('url')} IS NOT NULL AS spdx
+FROM o_known WHERE slot = 'manifest'
+""",
+    "o_pom": """
+SELECT package_id, list({'id': id, 'raw': raw, 'spdx': spdx,
+    'src': CASE WHEN spdx THEN 'maven-pom-spdx' ELSE 'maven-pom-nonstandard' END} ORDER BY position) AS pom,
+  first(id ORDER BY position) FILTER (WHERE spdx) AS best_id, first(raw ORDER BY position) FILTER (WHERE spdx) AS best_raw
+FROM (SELECT *, row_number() OVER (PARTITION BY package_id, CASE WHEN id <> '' THEN id ELSE 'raw:' || raw END
+    ORDER BY position) AS rn FROM o_pom_rows) p WHERE rn = 1 GROUP BY 1
+""",
+    "o_lic1": """
+SELECT f.package_id, f.requested_known, f.github_spdx, f.github_name,
+  CASE WHEN p.license_id IS NULL THEN NULL WHEN p.is_spdx THEN {'id': p.license_id, 'raw': trim(p.raw), 'spdx': TRUE,
+      'src': 'depsdev-project-spdx'}
+    ELSE {'id': '', 'raw': trim(p.raw), 'spdx': FALSE, 'src': 'depsdev-project-nonstandard'} END AS pl,
+  CASE WHEN f.requested_known THEN coalesce(v.vl, []) ELSE [] END AS vl,
+  g1.license_id AS g1_id, g1.is_spdx AS g1_spdx, g2.license_id AS g2_id, g2.is_spdx AS g2_spdx
+FROM fx_licenses f LEFT JOIN o_usable p ON p.package_id = f.package_id AND p.slot = 'project'
+LEFT JOIN o_version_lists v ON v.package_id = f.package_id
+LEFT JOIN o_usable g1 ON g1.package_id = f.package_id AND g1.slot = 'github_spdx'
+LEFT JOIN o_usable g2 ON g2.package_id = f.package_id AND g2.slot = 'github_name'
+""",
+    "o_lic2": """
+SELECT * EXCLUDE (vl), CASE WHEN requested_known AND pl.id <> ''
+    AND (len(vl) = 0 OR len(list_filter(vl, lambda x: x.spdx)) = 0)
+  THEN [{'id': pl.id, 'raw': pl.id, 'spdx': TRUE, 'src': 'project-fallback'}] ELSE vl END AS vl FROM o_lic1
+""",
+    "o_lic3": """
+SELECT * EXCLUDE (pl), CASE WHEN requested_known AND coalesce(pl.id, '') = '' AND len(vl) = 1 AND vl[1].spdx
+  THEN {'id': vl[1].id, 'raw': vl[1].id, 'spdx': TRUE, 'src': 'derived-from-version'} ELSE pl END AS pl FROM o_lic2
+""",
+    "o_lic4": """
+SELECT * EXCLUDE (pl), CASE WHEN pl.spdx THEN pl
+  WHEN g1_spdx THEN {'id': g1_id, 'raw': github_spdx, 'spdx': TRUE, 'src': 'github-project-spdx'}
+  WHEN g2_spdx THEN {'id': g2_id, 'raw': github_name, 'spdx': TRUE, 'src': 'github-project-spdx'}
+  WHEN host IS NULL OR (pl IS NOT NULL AND pl.raw = host) THEN pl
+  ELSE {'id': '', 'raw': host, 'spdx': FALSE, 'src': 'github-project-nonstandard'} END AS pl
+FROM (SELECT *, coalesce(CASE WHEN upper(trim(github_name)) NOT IN ('', 'NOASSERTION') THEN trim(github_name) END,
+  CASE WHEN upper(trim(github_spdx)) NOT IN ('', 'NOASSERTION') THEN trim(github_spdx) END) AS host FROM o_lic3) h
+""",
+    "o_licenses": """
+SELECT l.package_id, CASE WHEN (pl IS NULL OR NOT pl.spdx) AND best_id IS NOT NULL
+    THEN {'id': best_id, 'raw': best_raw, 'spdx': TRUE, 'src': 'maven-pom-spdx'}
+    WHEN pl IS NULL AND len(pom) > 0 THEN pom[1] ELSE pl END AS pl,
+  CASE WHEN len(pom) > 0 AND (len(vl) = 0 OR (len(list_filter(vl, lambda x: x.spdx)) = 0 AND best_id IS NOT NULL))
+    THEN pom ELSE vl END AS vl,
+  best_id AS manifest_spdx, CASE WHEN pl.spdx THEN pl.id END AS settled_spdx
+FROM o_lic4 l LEFT JOIN o_pom USING (package_id)
+""",
+    "o_license_flags": """
+SELECT *, pl IS NULL AS z, coalesce(pl.spdx, FALSE) AS sp, pl IS NOT NULL AND NOT pl.spdx AS od, len(vl) AS n,
+  len(vl) > 0 AND len(list_filter(vl, lambda x: x.spdx)) = 0 AS an,
+  coalesce(pl.spdx, FALSE) AND len(list_filter(vl, lambda x: x.id = pl.id)) > 0 AS has,
+  len(vl) = 1 AND coalesce(vl[1].src = 'project-fallback', FALSE) AS fb, coalesce(pl.src, '') AS src
+FROM o_licenses
+""",
+    "o_pom_expanded": """
+SELECT package_id, position, CASE WHEN name = '$' || '{license.name}' THEN
+    CASE WHEN package_id % 2 = 0 THEN b.value ELSE 'mit' END ELSE name END AS name,
+  CASE WHEN url = '$' || '{license.url}' THEN 'https://mit-license.org/' ELSE url END AS url
+FROM fx_pom_entries LEFT JOIN (SELECT * FROM fx_pom_properties WHERE key = 'base.name') b USING (package_id)
+""",
+    "o_pom_filled": """
+SELECT package_id, position, CASE WHEN name IS NULL AND raw_name = '$' || '{license.name}' THEN '$' || '{base.name}'
+  ELSE name END AS name, url
+FROM (SELECT x.*, e.name AS raw_name FROM o_pom_expanded x JOIN fx_pom_entries e USING (package_id, position)) y
+""",
+    "o_pom_known": _normalized("o_pom_filled", "name"),
+    "o_mentions": r"""
+SELECT doc_id, regexp_replace(trim(unnest(list_concat(
+  regexp_extract_all(text, '(?i)(?:licensed|released) under (?:the )?([^\n.]*(?:\.\d[^\n.]*)*)', 1),
+  regexp_extract_all(text, 'SPDX-License-Identifier:\s*([^\s*/]+)', 1)))), '[\s.,;]+$', '') AS raw FROM documents
+""",
+    "o_mentions_known": _normalized("o_mentions"),
+    "o_leaf_raw": r"""
+SELECT package_id, expression, trim(regexp_replace(regexp_replace(x, '(?i)(^|\s)with(\s.*)?$', ''), '\s+', ' ', 'g')) AS raw
+FROM (SELECT package_id, expression, unnest(regexp_split_to_array(regexp_replace(
+    regexp_replace(expression, '(?i)([\s()]|^)(?:or|and)([\s()]|$)', '\1#\2', 'g'), '[()]', '#', 'g'), '#')) AS x
+  FROM fx_expressions) e
+""",
+    "o_leaf_base": r"""
+SELECT *, regexp_matches(raw, '[^+]\+$') AS or_later, regexp_replace(raw, '([^+])\+$', '\1') AS base
+FROM o_leaf_raw WHERE raw <> ''
+""",
+    "o_leaf_known": _normalized("o_leaf_base", "base"),
 }
 
 # --- statements, one per registered query ---------------------------------------
@@ -454,6 +700,89 @@ SELECT CASE WHEN advisory_id LIKE 'GHSA-%' THEN 'GHSA' WHEN advisory_id LIKE 'CV
   min(CASE WHEN advisory_id LIKE 'GHSA-%' THEN 'https://github.com/advisories/' WHEN advisory_id LIKE 'CVE-%'
     THEN 'https://nvd.nist.gov/vuln/detail/' ELSE 'https://osv.dev/' END || advisory_id) AS first_url
 FROM fx_advisories GROUP BY 1, 2
+""",
+    "eol_text_message": _eol("fx_messages", "package_id", "message"),
+    "eol_text_readme": _eol("fx_readmes", "doc_id", "readme"),
+    "eol_text_registry": _eol("fx_readmes", "doc_id", "registry"),
+    "phrase_hits": " UNION ALL ".join(
+        f"SELECT doc_id, '{tier}' AS tier, '{p}' AS phrase FROM fx_readmes WHERE contains(lower(text), '{p}')"
+        for tier in ("strong", "reevaluate", "snippet")
+        for p in PHRASE_TIERS[tier]
+    ),
+    "phrase_stats": " UNION ALL ".join(
+        [
+            f"SELECT '{tier}' AS tier, '{p}' AS phrase, count(*) FILTER (WHERE contains(lower(text), '{p}')) AS documents "
+            "FROM fx_readmes"
+            for tier, phrases in PHRASE_TIERS.items()
+            for p in phrases
+        ]
+        + [
+            f"SELECT 'contextual', '{label}', count(*) FILTER (WHERE regexp_matches(lower(text), '{p}')) FROM fx_readmes"
+            for label, p, _ in CONTEXTUAL_PATTERNS
+        ]
+        + [f"SELECT 'explicit', '{EXPLICIT_LABEL}', count(*) FILTER (WHERE regexp_matches(text, '{README_EXPLICIT}')) FROM fx_readmes"]
+    ),
+    "npm_successors": "SELECT package_id, nxt AS successor FROM o_npm_next",
+    "repo_summaries": r"""
+SELECT repo_id AS key, CASE WHEN description IS NOT NULL THEN trim(regexp_replace(description, '\s+', ' ', 'g'))
+    ELSE 'Project ' || repo_id END AS summary,
+  CASE WHEN description IS NOT NULL THEN regexp_extract(description, '^(.*?\.)(?:\s|$)', 1) END AS first_sentence
+FROM fx_repos
+""",
+    "document_summaries": r"""
+SELECT doc_id AS key, CASE WHEN s = '' THEN NULL WHEN length(s) <= 200 THEN s ELSE rtrim(left(s, 199)) || '…' END AS summary
+FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS s FROM documents) d
+""",
+    "normalize_licenses": """
+SELECT package_id, slot, position, raw, license_id, is_spdx, match_type FROM o_known
+""",
+    "license_urls": f"SELECT package_id, position, url, {_url_id('url')} AS url_license FROM fx_pom_entries",
+    "version_licenses": "SELECT DISTINCT package_id, license_id FROM o_version_ids",
+    "license_report": """
+SELECT p.purl AS original_purl, p.purl AS effective_purl, l.n > 0 AS version_resolved,
+  coalesce(pl.id, '') AS project_license_identifier, coalesce(pl.raw, '') AS project_license_raw,
+  src AS project_license_source, sp AS project_license_is_spdx, z AS project_license_is_zero,
+  array_to_string(list_transform(vl, lambda x: x.id), ';') AS version_license_identifiers,
+  array_to_string(list_transform(vl, lambda x: x.raw), ';') AS version_license_raws,
+  array_to_string(list_transform(vl, lambda x: x.src), ';') AS version_license_sources, n AS version_license_count,
+  an AS version_licenses_all_non_spdx,
+  len(list_filter(vl, lambda x: regexp_matches(upper(x.id), ' AND | OR |[()]')
+    OR regexp_matches(upper(x.raw), ' AND | OR |[()]'))) > 0 AS version_licenses_any_composite_expr,
+  sp AND n > 0 AND NOT has AS project_vs_version_mismatch, (z OR od) AND (n = 0 OR an)
+    AS licenses_all_missing_or_nonstandard, fb AS fallback_applied, src = 'derived-from-version' AS derived_from_version,
+  src IN ('github-project-spdx', 'github-project-nonstandard') AS github_override_applied,
+  CASE WHEN fb THEN 'fallback_applied' WHEN src = 'derived-from-version' THEN 'derived_from_version'
+    WHEN src = 'github-project-spdx' THEN 'github_override_spdx'
+    WHEN src = 'github-project-nonstandard' THEN 'github_override_nonstandard'
+    WHEN n = 0 THEN CASE WHEN z THEN 'no_project_no_version' WHEN sp THEN 'project_spdx_no_version'
+      ELSE 'project_nonstandard_no_version' END
+    WHEN z THEN 'versions_only'
+    WHEN sp THEN CASE WHEN an THEN 'project_spdx_versions_all_nonspdx_mismatch'
+      WHEN has THEN 'project_spdx_version_all_spdx_consistent' ELSE 'project_spdx_version_all_spdx_mismatch' END
+    WHEN an THEN 'project_nonstandard_versions_all_nonspdx' ELSE 'project_nonstandard_versions_mixed' END
+    AS license_resolution_scenario,
+  CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS registry_url, r.repo_url AS repository_url
+FROM o_license_flags l JOIN fx_packages p USING (package_id) LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
+""",
+    "license_disagreements": """
+SELECT package_id, settled_spdx, manifest_spdx FROM o_licenses
+WHERE settled_spdx IS NOT NULL AND manifest_spdx IS NOT NULL AND lower(settled_spdx) <> lower(manifest_spdx)
+""",
+    "manifest_licenses": f"""
+SELECT package_id, min(position) AS position, id AS identifier, arg_min(raw, position) AS raw,
+  CASE WHEN id <> '' THEN 'maven-pom-spdx' ELSE 'maven-pom-nonstandard' END AS source
+FROM (SELECT package_id, position, CASE WHEN is_spdx THEN license_id ELSE coalesce({_url_id('url')}, '') END AS id,
+    CASE WHEN is_spdx THEN trim(name) WHEN {_url_id('url')} IS NOT NULL THEN trim(url)
+      ELSE coalesce(nullif(trim(name), ''), trim(url)) END AS raw
+  FROM o_pom_known WHERE coalesce(nullif(trim(name), ''), nullif(trim(url), '')) IS NOT NULL) m
+GROUP BY package_id, id, CASE WHEN id = '' THEN raw END
+""",
+    "license_mentions": "SELECT doc_id, raw, license_id, match_type FROM o_mentions_known WHERE raw <> ''",
+    "license_leaves": """
+SELECT package_id, raw, CASE WHEN is_spdx THEN license_id END AS license_id, or_later,
+  CASE WHEN regexp_matches(expression, '(?i)\\sand(\\s|$)') AND regexp_matches(expression, '(?i)\\sor\\s') THEN 'mixed'
+    WHEN regexp_matches(expression, '(?i)\\sand(\\s|$)') THEN 'and' WHEN regexp_matches(expression, '(?i)\\sor\\s') THEN 'or'
+    ELSE 'single' END AS operators, match_type FROM o_leaf_known
 """,
 }
 

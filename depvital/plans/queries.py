@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depvital.operators import advisories, assess, diet, eol_rules, graph, releases, reports, repos
+from depvital.functions import spdx
+from depvital.operators import (
+    advisories,
+    assess,
+    diet,
+    eol_rules,
+    eol_text,
+    graph,
+    licenses,
+    releases,
+    reports,
+    repos,
+)
 from depvital.plans import scan as scan_plan
 from depvital.plans.diet import removal_plan
 from depvital.plans.fixtures import AS_OF, Fixtures
@@ -281,3 +293,123 @@ def advisory_sources(fx: Fixtures) -> DataFrame:
         .groupBy("source", "severity")
         .agg(F.count(F.lit(1)).alias("advisories"), F.min("url").alias("first_url"))
     )
+
+
+# --- end-of-life text ------------------------------------------------------------------
+
+_EOL_COLUMNS = ("eol_kind", "eol_phrase", "eol_successor", "eol_date")
+
+
+@query
+def eol_text_message(fx: Fixtures) -> DataFrame:
+    return eol_text.detect_eol(fx["fx_messages"], "message").select("package_id", *_EOL_COLUMNS)
+
+
+@query
+def eol_text_readme(fx: Fixtures) -> DataFrame:
+    return eol_text.detect_eol(fx["fx_readmes"], "readme").select("doc_id", *_EOL_COLUMNS)
+
+
+@query
+def eol_text_registry(fx: Fixtures) -> DataFrame:
+    return eol_text.detect_eol(fx["fx_readmes"], "registry").select("doc_id", *_EOL_COLUMNS)
+
+
+@query
+def phrase_hits(fx: Fixtures) -> DataFrame:
+    return eol_text.phrase_hits(fx["fx_readmes"], ("strong", "reevaluate", "snippet"))
+
+
+@query
+def phrase_stats(fx: Fixtures) -> DataFrame:
+    return eol_text.phrase_stats(fx["fx_readmes"])
+
+
+@query
+def npm_successors(fx: Fixtures) -> DataFrame:
+    messages = fx["fx_registry"].where("source = 'npm'").select("package_id", "message")
+    named = messages.join(fx["fx_packages"], "package_id")
+    full = F.concat_ws("/", "namespace", "name")
+    return named.select(
+        "package_id", eol_text.npm_successor(F.col("message"), F.col("name"), full).alias("successor")
+    )
+
+
+@query
+def repo_summaries(fx: Fixtures) -> DataFrame:
+    docs = fx["fx_repos"].select(
+        F.col("repo_id").alias("key"),
+        F.lit("npm").alias("ecosystem"),
+        F.concat(F.lit("Project "), F.col("repo_id")).alias("project_description"),
+        F.col("description").alias("repo_description"),
+        F.lit(None).cast("string").alias("package_summary"),
+    )
+    return eol_text.summaries(docs)
+
+
+@query
+def document_summaries(fx: Fixtures) -> DataFrame:
+    return fx["documents"].select(
+        F.col("doc_id").alias("key"), eol_text.normalize_summary(F.col("text")).alias("summary")
+    )
+
+
+# --- licences ------------------------------------------------------------------------------
+
+
+def _spdx(fx: Fixtures) -> DataFrame:
+    return spdx.core_spdx(fx.spark)
+
+
+@query
+def normalize_licenses(fx: Fixtures) -> DataFrame:
+    return licenses.normalize_licenses(licenses.spellings(fx["fx_licenses"]), _spdx(fx)).drop("url")
+
+
+@query
+def license_urls(fx: Fixtures) -> DataFrame:
+    return licenses.license_url_lookup(fx["fx_pom_entries"]).drop("name")
+
+
+@query
+def version_licenses(fx: Fixtures) -> DataFrame:
+    return licenses.version_licenses(fx["fx_licenses"], _spdx(fx))
+
+
+@query
+def license_report(fx: Fixtures) -> DataFrame:
+    resolved = licenses.resolve_licenses(fx["fx_licenses"], _spdx(fx))
+    none = F.lit(None).cast("string")
+    analysis = (
+        resolved.join(fx["fx_packages"].select("package_id", "purl", "repo_id"), "package_id")
+        .join(fx["fx_repos"].select("repo_id", F.col("repo_url").alias("repository_url")), "repo_id", "left")
+        .withColumns(
+            {
+                "effective_purl": F.col("purl"),
+                "version_resolved": F.size("version_licenses") > 0,
+                "error": none,
+                "registry_url": none,
+            }
+        )
+    )
+    return licenses.license_report(analysis)
+
+
+@query
+def license_disagreements(fx: Fixtures) -> DataFrame:
+    return licenses.license_disagreements(licenses.resolve_licenses(fx["fx_licenses"], _spdx(fx)))
+
+
+@query
+def manifest_licenses(fx: Fixtures) -> DataFrame:
+    return licenses.manifest_licenses(fx["fx_pom_entries"], fx["fx_pom_properties"], _spdx(fx))
+
+
+@query
+def license_mentions(fx: Fixtures) -> DataFrame:
+    return licenses.license_mentions(fx["documents"], _spdx(fx))
+
+
+@query
+def license_leaves(fx: Fixtures) -> DataFrame:
+    return licenses.license_leaves(fx["fx_expressions"], _spdx(fx)).drop("position", "exception")
