@@ -364,19 +364,19 @@ def expand_properties(entries: DataFrame, properties: DataFrame, columns: tuple[
 
     def expand(text: Column) -> Column:
         keys = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{([^}]+)\}"), F.lit(1)))
-        return F.aggregate(
-            keys,
-            text,
-            lambda acc, key: F.replace(
-                acc,
-                F.concat(F.lit("${"), key, F.lit("}")),
-                F.coalesce(F.try_element_at("_properties", key), F.concat(F.lit("${"), key, F.lit("}"))),
-            ),
-        )
 
-    for _ in range(_EXPAND_PASSES):
-        result = result.withColumns({c: F.when(F.contains(c, F.lit("${")), expand(F.col(c))).otherwise(F.col(c)) for c in columns})
-    return result.drop("_properties")
+        def one(acc: Column, key: Column) -> Column:
+            mark = F.concat(F.lit("${"), key, F.lit("}"))
+            return F.replace(acc, mark, F.coalesce(F.try_element_at("_properties", key), mark))
+
+        return F.aggregate(keys, text, one)
+
+    rounds = F.sequence(F.lit(1), F.lit(_EXPAND_PASSES))
+    expanded = {
+        c: F.when(F.contains(c, F.lit("${")), F.aggregate(rounds, F.col(c), lambda acc, _: expand(acc))).otherwise(F.col(c))
+        for c in columns
+    }
+    return result.withColumns(expanded).drop("_properties")
 
 
 def manifest_licenses(entries: DataFrame, properties: DataFrame, spdx: DataFrame) -> DataFrame:

@@ -449,7 +449,7 @@ JOIN o_details d ON d.advisory_id = a.advisory_id
 """,
     "o_dict": _dictionary(),
     "o_spellings": """
-SELECT package_id, 'project' AS slot, 0 AS position, project_raw AS raw, NULL AS url FROM fx_licenses
+SELECT package_id, 'project' AS slot, 0 AS position, project_raw AS raw, CAST(NULL AS VARCHAR) AS url FROM fx_licenses
 UNION ALL SELECT package_id, 'github_spdx', 0, github_spdx, NULL FROM fx_licenses
 UNION ALL SELECT package_id, 'github_name', 0, github_name, NULL FROM fx_licenses
 UNION ALL SELECT package_id, 'version_spdx', unnest(range(len(version_spdx))), unnest(version_spdx), NULL FROM fx_licenses
