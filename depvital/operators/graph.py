@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depvital.session import cut_lineage
@@ -48,6 +48,33 @@ def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     return _union(found)
 
 
+def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
+    """(scope, node, payload, level): each reachable node once, at its lowest level, with the smallest payload.
+
+    ``edges`` has scope, src, dst; ``seeds`` has scope, node and the payload column. All seeds advance
+    together, so an edge is followed once however many seeds lead to it.
+    """
+    n = _partitions(edges.sparkSession)
+    key = ["scope", "node"]
+    links = cut_lineage(edges.select("scope", "src", "dst").distinct().repartition(n, "scope", "src"))
+    start = seeds.groupBy(*key).agg(F.min(payload).alias(payload)).withColumn("level", F.lit(0))
+    frontier = cut_lineage(start.repartition(n, *key))
+    found = [frontier]
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        step = frontier.select("scope", F.col("node").alias("src"), payload)
+        candidates = step.join(links, ["scope", "src"]).groupBy("scope", F.col("dst").alias("node")).agg(
+            F.min(payload).alias(payload)
+        )
+        fresh = candidates.join(_union(found).select(*key), key, "left_anti").withColumn("level", F.lit(level))
+        frontier = cut_lineage(fresh.repartition(n, *key))
+        found.append(frontier)
+        if len(found) > _COMPACT_EVERY:
+            found = [cut_lineage(_union(found).repartition(n, *key))]
+    return _union(found)
+
+
 def reachability(edges: DataFrame, direct: DataFrame) -> DataFrame:
     """(project_id, direct_id, node, level) for every node reachable from a direct dependency.
 
@@ -233,7 +260,7 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     return _union([*direct, inferred]).distinct()
 
 
-def _maven_group(purl: str) -> F.Column:
+def _maven_group(purl: str) -> Column:
     return F.lower(F.regexp_extract(purl, r"^pkg:maven/(.+)/[^/@]+(?:@|$)", 1))
 
 
@@ -283,16 +310,20 @@ def action_closure(direct_actions: DataFrame, composite_refs: DataFrame) -> Data
     """
     edges = composite_refs.select("scope", F.col("action").alias("src"), F.col("uses").alias("dst"))
     seeds = direct_actions.select("scope", F.col("action").alias("via"), F.col("action").alias("node"))
-    reach = closure(edges, seeds, "via").where("level > 0")
-    repo = F.regexp_extract("node", r"^([^/]+/[^/]+)", 1)
+    reach = first_reach(edges, seeds, "via").where("level > 0")
     found = (
-        reach.select("scope", repo.alias("repo"), "via", "level")
+        reach.withColumn("repo", _action_repo("node"))
         .groupBy("scope", "repo")
         .agg(F.min(F.struct("level", "via")).alias("first"))
         .select("scope", "repo", "first.level", "first.via")
     )
-    named = direct_actions.select("scope", F.regexp_extract("action", r"^([^/]+/[^/]+)", 1).alias("repo"))
-    return found.join(named.distinct(), ["scope", "repo"], "left_anti")
+    named = direct_actions.select("scope", _action_repo("action").alias("repo")).distinct()
+    return found.join(named, ["scope", "repo"], "left_anti")
+
+
+def _action_repo(action: str) -> Column:
+    """owner/repo of owner/repo/path."""
+    return F.regexp_extract(action, r"^([^/]+/[^/]+)", 1)
 
 
 def local_action_uses(workflow_paths: DataFrame, local_refs: DataFrame, remote_refs: DataFrame) -> DataFrame:
@@ -302,11 +333,11 @@ def local_action_uses(workflow_paths: DataFrame, local_refs: DataFrame, remote_r
     scope, path, action. The closure stays inside the repository; the lowest level, then the first path wins.
     """
     edges = local_refs.select("scope", F.col("path").alias("src"), F.col("uses_path").alias("dst"))
-    seeds = workflow_paths.select("scope", F.lit("workflow").alias("start"), F.col("path").alias("node"))
-    paths = closure(edges, seeds, "start").select("scope", F.col("node").alias("path"), "level")
+    seeds = workflow_paths.select("scope", F.col("path").alias("start"), F.col("path").alias("node"))
+    paths = first_reach(edges, seeds, "start").select("scope", F.col("node").alias("path"), "level")
     return (
         paths.join(remote_refs, ["scope", "path"])
-        .groupBy("scope", F.regexp_extract("action", r"^([^/]+/[^/]+)", 1).alias("repo"))
+        .groupBy("scope", _action_repo("action").alias("repo"))
         .agg(F.min(F.struct("level", "path")).alias("first"))
         .select("scope", "repo", F.col("first.path").alias("via_path"))
     )

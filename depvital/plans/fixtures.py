@@ -34,6 +34,13 @@ _BUILD_CHECKS = (
 )
 
 
+# PyPI distribution names differ from the module name for two packages of three
+_NAME = (
+    "CASE WHEN p.p_partkey % 8 = 1 AND p.p_partkey % 3 = 1 THEN 'py-' WHEN p.p_partkey % 8 = 1 AND p.p_partkey % 3 = 2 "
+    "THEN 'dist-' ELSE '' END || 'p' || p.p_partkey"
+)
+
+
 def _eco(key: str) -> str:
     return _ECO_CASE.replace("{key}", key)
 
@@ -68,12 +75,13 @@ SELECT package_id, version, published_at, is_default, is_deprecated FROM (
 """,
     "fx_packages": f"""
 SELECT p.p_partkey AS package_id, {_eco('p.p_partkey')} AS ecosystem,
-  CASE WHEN p.p_partkey % 8 IN (0, 2, 4, 6) THEN lower(replace(p.p_brand, '#', '')) END AS namespace,
-  'p' || p.p_partkey AS name, v.version,
+  CASE WHEN p.p_partkey % 8 = 0 THEN '@' ELSE '' END
+    || CASE WHEN p.p_partkey % 8 IN (0, 2, 4, 6) THEN lower(replace(p.p_brand, '#', '')) END AS namespace,
+  {_NAME} AS name, v.version,
   'pkg:' || {_eco('p.p_partkey')} || '/'
     || CASE WHEN p.p_partkey % 8 = 0 THEN '%40' ELSE '' END
     || CASE WHEN p.p_partkey % 8 IN (0, 2, 4, 6) THEN lower(replace(p.p_brand, '#', '')) || '/' ELSE '' END
-    || 'p' || p.p_partkey || coalesce('@' || v.version, '') AS purl,
+    || {_NAME} || coalesce('@' || v.version, '') AS purl,
   p.p_partkey % (2 * (SELECT count(DISTINCT user_id) FROM {{events}})) AS repo_id
 FROM {{part}} p LEFT JOIN (SELECT package_id, min(version) AS version FROM {{fx_versions}} GROUP BY 1) v
   ON v.package_id = p.p_partkey
@@ -262,6 +270,168 @@ SELECT package_id, name, {_ANNOUNCEMENT.replace('{key}', 'package_id')} AS text
 """
 
 
+# --- source files: every order is one file, every order line an import and its uses --------
+VIEWS["fx_lines"] = """
+SELECT o.o_custkey AS project_id, l.l_orderkey AS file_id, l.l_orderkey % 5 AS lang_no, l.n, l.l_partkey AS p,
+  l.l_suppkey AS s, lower(replace(t.p_brand, '#', '')) AS b
+FROM (SELECT l_orderkey, l_partkey, l_suppkey,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem}) d) l
+JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {part} t ON t.p_partkey = l.l_partkey
+"""
+_Q = "'\"'"
+# (import statement, body) per language and line variant n % 3; p package, s supplier, b brand
+_SOURCE_LINES = {
+    0: (
+        ("'\t' || Q || b || '/p' || p || '/sub' || Q", "'\tsub.Call' || s || '()'"),
+        ("'\tx' || p || ' ' || Q || b || '/p' || p || Q", "'\tx' || p || '.Call' || s || '(' || p || ') // x.y'"),
+        ("'\t_ ' || Q || b || '/p' || p || Q", "'\t// nothing.Here()'"),
+    ),
+    1: (
+        ("'import p' || p", "'p' || p || '.fn' || s || '(1)'"),
+        ("'from p' || p || '.mod import fn' || s || ' as g' || p", "'g' || p || '(2)  # g.h'"),
+        ("'import p' || p || ' as q' || p", "'v = q' || p || '.attr' || s"),
+    ),
+    2: (
+        ("'import x' || p || ' from ' || Q || '@' || b || '/p' || p || Q || ';'", "'x' || p || '.do' || s || '();'"),
+        ("'const y' || p || ' = require(' || Q || '@' || b || '/p' || p || '/lib' || Q || ');'", "'y' || p || '(' || p || ');'"),
+        ("'import ' || Q || '@' || b || '/p' || p || Q || ';'", "'// none'"),
+    ),
+    3: (
+        (
+            "'import ' || chr(123) || ' a' || p || ', b' || s || ' as c' || p || ' ' || chr(125) || ' from ' || Q || '@' || b || '/p' || p || Q || ';'",
+            "'new a' || p || '(); c' || p || '();'",
+        ),
+        ("'import type ' || chr(123) || ' T' || p || ' ' || chr(125) || ' from ' || Q || '@' || b || '/p' || p || Q || ';'", "'let z' || p || ' = 1;'"),
+        ("'export * from ' || Q || '@' || b || '/p' || p || Q || ';'", "'// re-export'"),
+    ),
+    4: (
+        (
+            "'import ' || b || '.p' || p || '.C' || s || ';'",
+            "'C' || s || ' v' || n || ' = new C' || s || '(); c' || s || '.run' || p || '();'",
+        ),
+        ("'import static ' || b || '.p' || p || '.Util.help' || s || ';'", "'help' || s || '(' || p || ');'"),
+        ("'import ' || b || '.p' || p || '.*;'", "'// star'"),
+    ),
+}
+
+
+def _by_variant(part: int) -> str:
+    langs = " ".join(
+        f"WHEN {lang} THEN CASE n % 3 " + " ".join(f"WHEN {v} THEN {texts[part]}" for v, texts in enumerate(variants)) + " END"
+        for lang, variants in _SOURCE_LINES.items()
+    )
+    return f"CASE lang_no {langs} END".replace(" Q ", f" {_Q} ").replace("'\t", "chr(9) || '").replace("|| Q", f"|| {_Q}")
+
+
+_EXTENSION = "CASE lang_no WHEN 0 THEN 'go' WHEN 1 THEN 'py' WHEN 2 THEN 'js' WHEN 3 THEN 'ts' ELSE 'java' END"
+_LANG = (
+    "CASE lang_no WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' ELSE 'java' END"
+)
+_SOURCE_TEXT = """
+SELECT project_id, 'src/f' || file_id || '.' || {extension} AS path, {lang} AS lang,
+  CASE lang_no WHEN 0 THEN 'package main' || chr(10) || 'import (' || chr(10) || head || chr(10) || ')' || chr(10)
+      || 'func main() ' || chr(123) || chr(10) || body || chr(10) || chr(125)
+    WHEN 4 THEN 'package demo;' || chr(10) || head || chr(10) || 'class Main ' || chr(123) || ' void go() ' || chr(123) || chr(10)
+      || body || chr(10) || chr(125) || chr(125)
+    ELSE head || chr(10) || body END || chr(10) AS text
+FROM (SELECT project_id, file_id, lang_no, {agg_head} AS head, {agg_body} AS body FROM (
+    SELECT project_id, file_id, lang_no, n, {head} AS h, {body} AS c FROM {{fx_lines}}) x
+  GROUP BY 1, 2, 3) y
+"""
+
+
+def _source_view(aggregate: str) -> str:
+    return _SOURCE_TEXT.format(
+        extension=_EXTENSION, lang=_LANG, head=_by_variant(0), body=_by_variant(1),
+        agg_head=aggregate.replace("X", "h"), agg_body=aggregate.replace("X", "c"),
+    )
+
+
+VIEWS["fx_sources"] = (
+    _source_view("listagg(X, chr(10)) WITHIN GROUP (ORDER BY n)"),
+    _source_view("string_agg(X, chr(10) ORDER BY n)"),
+)
+VIEWS["fx_wheel_files"] = """
+SELECT p_partkey AS package_id, CASE p_partkey % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'record' ELSE 'top_level' END AS kind,
+  CASE p_partkey % 3 WHEN 0 THEN 'p' || p_partkey || '/__init__.py' WHEN 1 THEN 'p' || p_partkey || '/__init__.py,sha256=x,10'
+    ELSE 'p' || p_partkey END AS line FROM {part}
+UNION ALL SELECT p_partkey AS package_id, 'record' AS kind, 'p' || p_partkey || '.dist-info/METADATA,,' AS line FROM {part}
+UNION ALL SELECT p_partkey AS package_id, 'file' AS kind, '_hidden/__init__.py' AS line FROM {part}
+"""
+
+
+# --- input lists, repository addresses and pages --------------------------------------------
+VIEWS["fx_inputs"] = """
+SELECT file_id, line_no, CASE WHEN file_id = 6 AND k % 13 NOT IN (9, 10) THEN 'require example v' || p ELSE
+  CASE k % 13 WHEN 0 THEN purl WHEN 1 THEN '  ' || purl || '  '
+    WHEN 2 THEN 'pkg:npm/@Scope/P' || (p % 100) || '@1.' || (p % 10) || '.0'
+    WHEN 3 THEN 'pkg:maven/org.acme:lib' || (p % 50) || '@1.0'
+    WHEN 4 THEN 'pkg:maven/org.acme%3Alib' || (p % 50) || '@2.0'
+    WHEN 5 THEN 'https://github.com/Owner' || (p % 20) || '/Repo' || p || '.git'
+    WHEN 6 THEN 'owner' || (p % 20) || '/repo' || p
+    WHEN 7 THEN 'github.com/owner' || (p % 20) || '/repo' || p || '/tree/main'
+    WHEN 8 THEN 'https://gitlab.com/group/repo' || p
+    WHEN 9 THEN '' WHEN 10 THEN '# comment ' || p WHEN 11 THEN 'pkg:hex/phoenix' || p || '@1.0'
+    ELSE purl || '?arch=x86#sub/path' END END AS line
+FROM (SELECT p.package_id AS p, p.package_id % 7 AS file_id, CAST((p.package_id - p.package_id % 7) / 7 AS BIGINT) + 1 AS line_no,
+    CAST((p.package_id - p.package_id % 7) / 7 AS BIGINT) AS k, p.purl FROM {fx_packages} p) x
+"""
+VIEWS["fx_repo_urls"] = """
+SELECT p.package_id, CASE p.package_id % 9 WHEN 0 THEN r.repo_url WHEN 1 THEN r.repo_url || '.git'
+  WHEN 2 THEN 'git+' || r.repo_url || '.git#main' WHEN 3 THEN replace(r.repo_url, 'https://github.com/', 'git@github.com:') || '.git'
+  WHEN 4 THEN replace(r.repo_url, 'https://', 'git://') || '/' WHEN 5 THEN replace(r.repo_url, 'https://github.com/', 'github:')
+  WHEN 6 THEN replace(r.repo_url, 'https://github.com/', 'git+ssh://git@github.com:')
+  WHEN 7 THEN replace(r.repo_url, 'owner', 'Owner') || '/tree/main?tab=x'
+  ELSE 'https://gitbox.apache.org/repos/asf/proj' || p.repo_id || '.git' END AS repo_url
+FROM {fx_packages} p JOIN {fx_repos} r ON r.repo_id = p.repo_id
+"""
+VIEWS["fx_repo_candidates"] = """
+SELECT package_id, 'link' AS kind, CASE WHEN package_id % 4 = 0 THEN 'SOURCE_REPO' ELSE 'HOMEPAGE' END AS label, 0 AS position,
+  CASE package_id % 3 WHEN 0 THEN 'https://git.example.org/x' || package_id || '.git'
+    WHEN 1 THEN 'https://github.com/link/r' || package_id || '/' ELSE 'https://docs.example.org/' || package_id END AS raw
+  FROM {fx_packages}
+UNION ALL SELECT package_id, 'related' AS kind, '' AS label, 0 AS position,
+  CASE WHEN package_id % 5 = 0 THEN 'https://github.com/related/r' || package_id ELSE '' END AS raw FROM {fx_packages}
+UNION ALL SELECT package_id, CASE WHEN ecosystem = 'pypi' THEN 'pypi' ELSE 'registry' END AS kind, 'Source' AS label, 1 AS position,
+  'git+https://github.com/reg/r' || package_id || '.git#v1' AS raw FROM {fx_packages} WHERE ecosystem <> 'gem'
+UNION ALL SELECT package_id, 'pypi' AS kind, 'Repository' AS label, 2 AS position,
+  'https://github.com/pypi/r' || package_id AS raw FROM {fx_packages} WHERE ecosystem = 'pypi'
+"""
+VIEWS["fx_repo_names"] = """
+SELECT repo_id AS repo_key, 'Owner' || (repo_id % 50) AS owner, 'Repo' || repo_id AS repo FROM {fx_repos}
+"""
+VIEWS["fx_manifest_managers"] = """
+SELECT repo_id AS repo_key, CASE repo_id % 10 WHEN 0 THEN 'NPM' WHEN 1 THEN 'pip' WHEN 2 THEN 'Maven' WHEN 3 THEN 'RUST'
+  WHEN 4 THEN 'GO' WHEN 5 THEN 'composer' WHEN 6 THEN 'SBT' ELSE NULL END AS manager FROM {fx_repos}
+UNION ALL SELECT repo_id AS repo_key, CASE WHEN repo_id % 4 = 0 THEN 'GO' ELSE 'unknown' END AS manager FROM {fx_repos}
+"""
+VIEWS["fx_languages"] = """
+SELECT repo_id AS repo_key, language, (repo_id * 97) % 1000 AS bytes FROM {fx_repos} WHERE language IS NOT NULL
+UNION ALL SELECT repo_id AS repo_key, 'PHP' AS language, (repo_id * 31) % 1000 AS bytes FROM {fx_repos}
+UNION ALL SELECT repo_id AS repo_key, 'Haskell' AS language, (repo_id * 13) % 1000 AS bytes FROM {fx_repos}
+"""
+VIEWS["fx_roundtrip"] = """
+SELECT p.package_id, r.repo_url AS input_url, CASE p.package_id % 5 WHEN 0 THEN replace(r.repo_url, 'owner', 'OWNER') || '.git'
+  WHEN 1 THEN '' WHEN 2 THEN 'https://gitlab.com/a/b' WHEN 3 THEN r.repo_url || 'x'
+  ELSE replace(r.repo_url, 'https://github.com/', 'git@github.com:') END AS resolved_url
+FROM {fx_packages} p JOIN {fx_repos} r ON r.repo_id = p.repo_id
+"""
+_HEAD = "'</head>'"
+_TAGS = (
+    "CASE page_id % 3 WHEN 0 THEN '<meta name=\"go-import\" content=\"go.v.org git https://github.com/owner' || page_id "
+    "|| '/root\"><meta content=\"go.v.org/x' || page_id || ' git https://github.com/owner' || page_id "
+    "|| '/deep.git\" name=\"go-import\">' "
+    "WHEN 1 THEN '<meta name=\"go-import\" content=\"go.v.org hg https://hg.example.org/r\">' "
+    "|| '<meta name=\"go-source\" content=\"go.v.org _ https://github.com/src' || page_id || '/tool/tree/master f\">' ELSE '' END"
+)
+VIEWS["fx_html"] = f"SELECT page_id, replace(html, {_HEAD}, {_TAGS} || {_HEAD}) AS html FROM {{pages}}"
+VIEWS["fx_vanity"] = """
+SELECT p.package_id, 'Go.v.org/x' || g.page_id || '/sub' AS import_path, g.page_id
+FROM {pages} g JOIN {fx_packages} p ON p.package_id = g.page_id
+"""
+
+
 def spark_text(name: str) -> str:
     view = VIEWS[name]
     return view[0] if isinstance(view, tuple) else view

@@ -563,6 +563,118 @@ SELECT *, regexp_matches(raw, '[^+]\+$') AS or_later, regexp_replace(raw, '([^+]
 FROM o_leaf_raw WHERE raw <> ''
 """,
     "o_leaf_known": _normalized("o_leaf_base", "base"),
+    "o_code": """
+SELECT project_id, 'src/f' || file_id || '.' || ['go', 'py', 'js', 'ts', 'java'][lang_no + 1] AS path,
+  ['go', 'python', 'javascript', 'typescript', 'java'][lang_no + 1] AS lang, u.ip AS import_path, u.al AS alias, u.kd AS kind,
+  u.sy AS symbol, u.n AS calls
+FROM (SELECT *, unnest(CASE lang_no * 3 + n % 3
+  WHEN 0 THEN [{'ip': b || '/p' || p || '/sub', 'al': 'sub', 'kd': 'normal', 'sy': 'Call' || s, 'n': 1}]
+  WHEN 1 THEN [{'ip': b || '/p' || p, 'al': 'x' || p, 'kd': 'normal', 'sy': 'Call' || s, 'n': 1}]
+  WHEN 2 THEN [{'ip': b || '/p' || p, 'al': '', 'kd': 'blank', 'sy': NULL, 'n': 0}]
+  WHEN 3 THEN [{'ip': 'p' || p, 'al': 'p' || p, 'kd': 'normal', 'sy': 'fn' || s, 'n': 1}]
+  WHEN 4 THEN [{'ip': 'p' || p || '.mod', 'al': 'g' || p, 'kd': 'normal', 'sy': 'g' || p, 'n': 1}]
+  WHEN 5 THEN [{'ip': 'p' || p, 'al': 'q' || p, 'kd': 'normal', 'sy': 'attr' || s, 'n': 1}]
+  WHEN 6 THEN [{'ip': '@' || b || '/p' || p, 'al': 'x' || p, 'kd': 'normal', 'sy': 'do' || s, 'n': 1}]
+  WHEN 7 THEN [{'ip': '@' || b || '/p' || p || '/lib', 'al': 'y' || p, 'kd': 'normal', 'sy': 'y' || p, 'n': 1}]
+  WHEN 8 THEN [{'ip': '@' || b || '/p' || p, 'al': '', 'kd': 'blank', 'sy': NULL, 'n': 0}]
+  WHEN 9 THEN [{'ip': '@' || b || '/p' || p, 'al': 'a' || p, 'kd': 'normal', 'sy': 'a' || p, 'n': 1},
+    {'ip': '@' || b || '/p' || p, 'al': 'c' || p, 'kd': 'normal', 'sy': 'c' || p, 'n': 1}]
+  WHEN 11 THEN [{'ip': '@' || b || '/p' || p, 'al': '', 'kd': 'blank', 'sy': NULL, 'n': 0}]
+  WHEN 12 THEN [{'ip': b || '.p' || p || '.C' || s, 'al': 'C' || s, 'kd': 'normal', 'sy': 'C' || s, 'n': 2},
+    {'ip': b || '.p' || p || '.C' || s, 'al': 'c' || s, 'kd': 'normal', 'sy': 'run' || p, 'n': 1}]
+  WHEN 13 THEN [{'ip': b || '.p' || p || '.Util.help' || s, 'al': 'help' || s, 'kd': 'normal', 'sy': 'help' || s, 'n': 1}]
+  WHEN 14 THEN [{'ip': b || '.p' || p, 'al': '', 'kd': 'wildcard', 'sy': NULL, 'n': 0}] END) AS u FROM fx_lines) x
+""",
+    "o_alias_uses": """
+SELECT project_id, path, alias, symbol, sum(calls) AS calls FROM o_code WHERE kind = 'normal' GROUP BY ALL
+""",
+    "o_imports": "SELECT DISTINCT project_id, path, lang, import_path, alias, kind FROM o_code",
+    "o_candidates": """
+SELECT DISTINCT package_id, lower(unnest(CASE
+  WHEN ecosystem IN ('golang', 'npm') THEN [coalesce(namespace || '/', '') || name]
+  WHEN ecosystem = 'pypi' THEN CASE WHEN name LIKE 'py-%' THEN [replace(name, '-', '_'), replace(name, 'py-', '')]
+    ELSE [replace(name, '-', '_')] END
+  WHEN ecosystem = 'maven' THEN [namespace, namespace || '.' || name] ELSE [name] END)) AS prefix
+FROM fx_packages
+""",
+    "o_targets": """
+SELECT DISTINCT d.project_id, c.prefix, c.package_id FROM fx_direct d JOIN o_candidates c USING (package_id)
+""",
+    "o_paths": """
+SELECT DISTINCT project_id, lower(import_path) AS w, lang = 'python' AS py,
+  CASE WHEN lang IN ('python', 'java') THEN '.' ELSE '/' END AS sep FROM o_imports
+""",
+    "o_path_match": """
+SELECT project_id, w, py, sep, prefix FROM (
+  SELECT p.*, t.prefix, row_number() OVER (PARTITION BY p.project_id, w, py, sep ORDER BY
+    CASE WHEN py AND t.prefix = w THEN 2000000 WHEN py AND t.prefix = split_part(w, '.', 1) THEN 1000000
+      ELSE length(t.prefix) END DESC) AS rn
+  FROM o_paths p JOIN (SELECT DISTINCT project_id, prefix FROM o_targets) t
+    ON t.project_id = p.project_id AND (p.w = t.prefix OR starts_with(p.w, t.prefix || p.sep))) x WHERE rn = 1
+""",
+    "o_matched": """
+SELECT DISTINCT i.*, t.package_id, m.prefix FROM o_imports i JOIN o_path_match m ON m.project_id = i.project_id
+  AND m.w = lower(i.import_path) AND m.py = (i.lang = 'python')
+  AND m.sep = CASE WHEN i.lang IN ('python', 'java') THEN '.' ELSE '/' END
+JOIN o_targets t ON t.project_id = i.project_id AND t.prefix = m.prefix
+""",
+    "o_pkg_alias": """
+SELECT project_id, package_id, path, alias, bool_or(kind = 'normal') AS normal, bool_or(kind = 'blank') AS blank,
+  bool_or(kind = 'dot') AS dot, bool_or(kind = 'wildcard') AS wild FROM o_matched GROUP BY ALL
+""",
+    "o_pkg_uses": """
+SELECT a.project_id, a.package_id, a.path, u.symbol, u.calls FROM o_pkg_alias a
+JOIN o_alias_uses u ON u.project_id = a.project_id AND u.path = a.path AND u.alias = a.alias WHERE a.normal
+""",
+    "o_coupling": """
+SELECT f.project_id, f.package_id, f.import_files,
+  CASE WHEN blank OR dot THEN greatest(coalesce(u.calls, 0), 1) ELSE coalesce(u.calls, 0) END AS call_sites,
+  coalesce(u.breadth, 0) AS api_breadth, blank AS has_blank_import, dot AS has_dot_import, wild AS has_wildcard_import
+FROM (SELECT project_id, package_id, count(DISTINCT path) AS import_files, bool_or(blank) AS blank, bool_or(dot) AS dot,
+    bool_or(wild) AS wild FROM o_pkg_alias GROUP BY 1, 2) f
+LEFT JOIN (SELECT project_id, package_id, sum(calls) AS calls, count(DISTINCT symbol) AS breadth FROM o_pkg_uses
+  GROUP BY 1, 2) u ON u.project_id = f.project_id AND u.package_id = f.package_id
+""",
+    "o_wheel_names": """
+SELECT DISTINCT p_partkey AS package_id, 'p' || p_partkey AS prefix FROM part WHERE p_partkey >= 0
+""",
+    "o_input_norm": r"""
+SELECT *, trim(line) AS t FROM fx_inputs WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%'
+""",
+    "o_input_kinds": r"""
+SELECT *, CASE WHEN t LIKE 'pkg:%' THEN 'package'
+  WHEN regexp_matches(t, '^https?://') THEN CASE WHEN regexp_matches(t, '^https?://[^/]*(?i:github\.com)[^/]*/+[^/?#]+/[^/?#]+')
+    THEN 'repository' ELSE 'unrecognised' END
+  WHEN regexp_matches(t, '^github\.com/[^/]+/[^/]+') OR regexp_matches(t, '^[^/@:]+/[^/@:]+$') THEN 'repository'
+  ELSE 'unrecognised' END AS kind FROM o_input_norm
+""",
+    "o_file_quality": """
+SELECT file_id, count(*) AS content_lines, count(*) FILTER (WHERE kind = 'package') AS packages,
+  count(*) FILTER (WHERE kind = 'repository') AS repositories,
+  avg(CASE WHEN kind = 'unrecognised' THEN 1.0 ELSE 0.0 END) AS unrecognised_share FROM o_input_kinds GROUP BY 1
+""",
+    "o_keys": r"""
+SELECT *, CASE WHEN pth <> '' THEN 'pkg:' || kind || '/' || lower(replace(replace(pth, '%40', '@'), '%3A', ':')) END AS canonical_key FROM (
+  SELECT *, lower(regexp_extract(bare, '^pkg:/*([A-Za-z][A-Za-z0-9.+-]*)/(.+)$', 1)) AS kind,
+    regexp_replace(regexp_extract(bare, '^pkg:/*[A-Za-z][A-Za-z0-9.+-]*/(.+)$', 1), '([^/])@[^@]*$', '\1') AS pth,
+    nullif(regexp_extract(regexp_extract(bare, '^pkg:/*[A-Za-z][A-Za-z0-9.+-]*/(.+)$', 1), '[^/]@([^@]*)$', 1), '') AS ver
+  FROM (SELECT file_id, line_no, t AS purl, regexp_replace(t, '[?#].*$', '') AS bare FROM o_input_norm
+    WHERE t LIKE 'pkg:%') a) b
+""",
+    "o_repo_norm": r"""
+SELECT *, regexp_replace(regexp_replace(regexp_replace(
+  CASE WHEN repo_url LIKE '%gitbox.apache.org%' THEN 'https://github.com/apache/' || regexp_extract(repo_url, '([^/=]+)\.git', 1)
+    WHEN repo_url LIKE 'github:%' THEN 'https://github.com/' || substr(repo_url, 8)
+    WHEN repo_url LIKE 'git+https://%' THEN substr(repo_url, 5)
+    WHEN repo_url LIKE 'git+ssh://git@%' THEN 'https://' || replace(substr(repo_url, 15), ':', '/')
+    WHEN repo_url LIKE 'git@%' THEN 'https://' || replace(substr(repo_url, 5), ':', '/')
+    WHEN repo_url LIKE 'git://%' THEN 'https://' || substr(repo_url, 7) ELSE repo_url END,
+  '[#?].*$', ''), '/+$', ''), '\.git$', '') AS url FROM fx_repo_urls
+""",
+    "o_repo_keys": r"""
+SELECT *, CASE WHEN contains(lower(url), 'github.com') THEN
+    'github.com/' || regexp_extract(lower(url), 'github\.com[:/]+([^/]+/[^/]+)', 1) ELSE url END AS repo_key FROM o_repo_norm
+""",
 }
 
 # --- statements, one per registered query ---------------------------------------
@@ -783,6 +895,117 @@ SELECT package_id, raw, CASE WHEN is_spdx THEN license_id END AS license_id, or_
   CASE WHEN regexp_matches(expression, '(?i)\\sand(\\s|$)') AND regexp_matches(expression, '(?i)\\sor\\s') THEN 'mixed'
     WHEN regexp_matches(expression, '(?i)\\sand(\\s|$)') THEN 'and' WHEN regexp_matches(expression, '(?i)\\sor\\s') THEN 'or'
     ELSE 'single' END AS operators, match_type FROM o_leaf_known
+""",
+    "source_imports": """
+SELECT i.*, coalesce(CASE WHEN kind = 'normal' THEN u.calls END, 0) AS uses FROM o_imports i LEFT JOIN (
+  SELECT project_id, path, alias, sum(calls) AS calls FROM o_alias_uses GROUP BY ALL) u
+  ON u.project_id = i.project_id AND u.path = i.path AND u.alias = i.alias
+""",
+    "source_calls": "SELECT project_id, path, alias, symbol, calls FROM o_alias_uses",
+    "candidate_imports": "SELECT package_id, prefix FROM o_candidates",
+    "matched_imports": "SELECT project_id, path, import_path, alias, kind, package_id, prefix AS matched_prefix FROM o_matched",
+    "coupling_metrics": "SELECT * FROM o_coupling",
+    "coupling_files": "SELECT DISTINCT project_id, package_id, path FROM o_matched",
+    "coupling_symbols": "SELECT DISTINCT project_id, package_id, symbol FROM o_pkg_uses",
+    "wheel_import_names": "SELECT * FROM o_wheel_names",
+    "pypi_retry": """
+WITH missed AS (SELECT d.project_id, d.package_id, 'p' || d.package_id AS prefix FROM fx_direct d
+  JOIN fx_packages p USING (package_id) WHERE p.ecosystem = 'pypi' AND NOT EXISTS (SELECT 1 FROM o_matched m
+    WHERE m.project_id = d.project_id AND m.package_id = d.package_id))
+SELECT DISTINCT i.project_id, i.path, i.import_path, i.alias, i.kind, m.package_id FROM o_imports i JOIN missed m
+  ON m.project_id = i.project_id AND (lower(i.import_path) = m.prefix OR starts_with(lower(i.import_path),
+    m.prefix || CASE WHEN i.lang IN ('python', 'java') THEN '.' ELSE '/' END))
+""",
+    "input_quality": """
+SELECT * REPLACE (round(unrecognised_share, 9) AS unrecognised_share), unrecognised_share > 0.5 AS failed FROM o_file_quality
+""",
+    "input_lines": """
+SELECT file_id, line_no, t AS line, kind FROM o_input_kinds WHERE kind <> 'unrecognised'
+  AND file_id IN (SELECT file_id FROM o_file_quality WHERE unrecognised_share <= 0.5)
+""",
+    "package_keys": "SELECT file_id, line_no, purl, canonical_key, ver AS purl_version FROM o_keys",
+    "key_variants": """
+SELECT canonical_key, count(*) AS inputs, count(DISTINCT purl) AS spellings, min(purl) AS first_spelling,
+  count(DISTINCT ver) AS versions FROM o_keys WHERE canonical_key IS NOT NULL GROUP BY 1
+""",
+    "dedup_inputs": """
+SELECT canonical_key, min(file_id * 1000000 + line_no) AS position, arg_min(purl, file_id * 1000000 + line_no) AS purl
+FROM o_keys WHERE canonical_key IS NOT NULL GROUP BY 1
+""",
+    "maven_repair": r"""
+SELECT file_id, line_no, purl, CASE WHEN fits THEN regexp_replace(regexp_replace(purl, '%3[aA]', ':'), ':([^:@/]+)(@|$)', '/\1\2')
+  ELSE purl END AS repaired, fits AS was_fixed
+FROM (SELECT *, purl LIKE 'pkg:maven/%' AND regexp_matches(purl, '^pkg:maven/[^:/@]*\.[^:/@]*(:|%3[aA])[^:/@?#]+([@?#]|$)') AS fits
+  FROM o_keys) k
+""",
+    "maven_repair_stats": r"""
+WITH k AS (SELECT purl, regexp_matches(purl, '^pkg:maven/[^:/@]*\.[^:/@]*(:|%3[aA])[^:/@?#]+([@?#]|$)') AS fits FROM o_keys
+  WHERE purl LIKE 'pkg:maven/%')
+SELECT count(*) AS maven_inputs, count(*) FILTER (WHERE fits) AS fixed, count(*) FILTER (WHERE NOT fits) AS already_canonical
+FROM k
+""",
+    "supported_split": """
+SELECT coalesce(kind IN ('npm', 'pypi', 'maven', 'nuget', 'cargo', 'golang', 'gem', 'composer', 'github'), FALSE) AS supported,
+  kind AS ecosystem, count(*) AS inputs FROM (SELECT CASE WHEN pth <> '' THEN kind END AS kind FROM o_keys) k GROUP BY 1, 2
+""",
+    "ecosystem_filter": "SELECT file_id, line_no, purl FROM o_keys WHERE kind = 'npm' AND pth <> ''",
+    "repo_groups": """
+SELECT repo_key, count(*) AS packages, count(DISTINCT repo_url) AS spellings, min(package_id) AS first_package
+FROM o_repo_keys GROUP BY 1
+""",
+    "repo_choice": """
+SELECT package_id, first(url ORDER BY pr, position, url) AS repo_url, first(kind ORDER BY pr, position, url) AS repo_source FROM (
+  SELECT c.*, CASE WHEN kind = 'link' AND label = 'SOURCE_REPO' THEN 0 WHEN kind = 'link' THEN 1 WHEN kind = 'related' THEN 2
+    WHEN kind = 'registry' THEN 50 ELSE 100 + coalesce(list_position(['repository', 'source', 'source code', 'github', 'code',
+      'homepage', 'home', 'project'], lower(label)) - 1, 8) END AS pr
+  FROM (SELECT package_id, kind, label, position, regexp_replace(regexp_replace(regexp_replace(
+      CASE WHEN raw LIKE 'git+https://%' THEN substr(raw, 5) ELSE raw END, '[#?].*$', ''), '/+$', ''), '\\.git$', '') AS url
+    FROM fx_repo_candidates) c WHERE url <> '') x
+WHERE pr = 0 OR contains(lower(url), 'github.com/') GROUP BY 1
+""",
+    "registry_pages": """
+SELECT package_id, registry_name,
+  CASE ecosystem WHEN 'npm' THEN 'https://www.npmjs.com/package/' || registry_name
+    WHEN 'pypi' THEN 'https://pypi.org/project/' || registry_name || '/' WHEN 'gem' THEN 'https://rubygems.org/gems/' || registry_name
+    WHEN 'composer' THEN 'https://packagist.org/packages/' || registry_name WHEN 'golang' THEN 'https://pkg.go.dev/' || registry_name
+    WHEN 'maven' THEN 'https://central.sonatype.com/artifact/' || namespace || '/' || name
+    WHEN 'cargo' THEN 'https://crates.io/crates/' || registry_name
+    WHEN 'nuget' THEN 'https://www.nuget.org/packages/' || registry_name END AS registry_url,
+  CASE ecosystem WHEN 'npm' THEN 'https://www.npmjs.com/package/' || registry_name || '/v/' || version
+    WHEN 'pypi' THEN 'https://pypi.org/project/' || registry_name || '/' || version || '/'
+    WHEN 'gem' THEN 'https://rubygems.org/gems/' || registry_name || '/versions/' || version
+    WHEN 'golang' THEN 'https://pkg.go.dev/' || registry_name || '@' || version
+    WHEN 'maven' THEN 'https://central.sonatype.com/artifact/' || namespace || '/' || name || '/' || version
+    WHEN 'cargo' THEN 'https://crates.io/crates/' || registry_name || '/' || version
+    WHEN 'nuget' THEN 'https://www.nuget.org/packages/' || registry_name || '/' || version END AS version_url
+FROM (SELECT *, CASE WHEN ecosystem = 'maven' THEN namespace || ':' || name WHEN namespace IS NULL THEN name
+  ELSE namespace || '/' || name END AS registry_name FROM fx_packages) p
+""",
+    "package_inference": """
+WITH m AS (SELECT repo_key, min(CASE upper(manager) WHEN 'NPM' THEN 'npm' WHEN 'PIP' THEN 'pypi' WHEN 'MAVEN' THEN 'maven'
+    WHEN 'RUST' THEN 'cargo' WHEN 'GO' THEN 'golang' WHEN 'COMPOSER' THEN 'composer' END) AS d FROM fx_manifest_managers GROUP BY 1),
+l AS (SELECT repo_key, arg_min(language, -bytes * 1000 + ascii(language)) AS lang FROM fx_languages WHERE bytes > 0 GROUP BY 1),
+e AS (SELECT r.repo_key, r.owner, r.repo, d, coalesce(d, CASE lang WHEN 'Go' THEN 'golang' WHEN 'Python' THEN 'pypi'
+    WHEN 'Java' THEN 'maven' WHEN 'Rust' THEN 'cargo' WHEN 'C#' THEN 'nuget' WHEN 'PHP' THEN 'composer' END, 'npm') AS eco
+  FROM fx_repo_names r LEFT JOIN m USING (repo_key) LEFT JOIN l USING (repo_key)),
+n AS (SELECT *, 'pkg:' || eco || '/' || CASE WHEN eco = 'golang' THEN 'github.com/' || owner || '/' || repo
+    WHEN eco IN ('maven', 'composer', 'github') THEN owner || '/' || repo
+    WHEN eco IN ('pypi', 'cargo', 'gem') THEN lower(repo) ELSE repo END AS u FROM e)
+SELECT repo_key, eco AS ecosystem, d IS NOT NULL AS from_manifest, CASE WHEN d IS NULL THEN u ELSE lower(u) END AS purl FROM n
+""",
+    "roundtrip_check": """
+SELECT package_id, repo_matches, NOT repo_matches AS repository_only FROM (
+  SELECT package_id, CASE WHEN coalesce(resolved_url, '') = '' THEN TRUE WHEN NOT contains(lower(resolved_url), 'github.com') THEN FALSE
+    ELSE lower(regexp_replace(regexp_extract(resolved_url, 'github\\.com[:/]+([^/]+/[^/#?]+)', 1), '\\.git$', ''))
+      = lower(regexp_extract(input_url, 'github\\.com/([^/]+/[^/]+)', 1)) END AS repo_matches FROM fx_roundtrip) r
+""",
+    "vanity_repos": """
+SELECT package_id, import_path, CASE page_id % 3 WHEN 0 THEN 'https://github.com/owner' || page_id || '/deep'
+    ELSE 'https://github.com/src' || page_id || '/tool' END AS repo_url,
+  CASE page_id % 3 WHEN 0 THEN 'go-import' ELSE 'go-source' END AS entry FROM fx_vanity WHERE page_id % 3 < 2
+""",
+    "graph_eligible": """
+SELECT package_id, ecosystem, version FROM fx_packages WHERE ecosystem IN ('npm', 'cargo', 'maven', 'pypi') AND version IS NOT NULL
 """,
 }
 

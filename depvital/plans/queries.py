@@ -11,10 +11,12 @@ from depvital.functions import spdx
 from depvital.operators import (
     advisories,
     assess,
+    coupling,
     diet,
     eol_rules,
     eol_text,
     graph,
+    keys,
     licenses,
     releases,
     reports,
@@ -23,6 +25,7 @@ from depvital.operators import (
 from depvital.plans import scan as scan_plan
 from depvital.plans.diet import removal_plan
 from depvital.plans.fixtures import AS_OF, Fixtures
+from depvital.sources import inputs
 
 Query = Callable[[Fixtures], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,3 +416,166 @@ def license_mentions(fx: Fixtures) -> DataFrame:
 @query
 def license_leaves(fx: Fixtures) -> DataFrame:
     return licenses.license_leaves(fx["fx_expressions"], _spdx(fx)).drop("position", "exception")
+
+
+# --- source coupling ----------------------------------------------------------------------
+
+
+@query
+def source_imports(fx: Fixtures) -> DataFrame:
+    found = coupling.extract_imports(fx["fx_sources"])
+    uses = F.when(F.col("kind") == "normal", F.size("symbols")).otherwise(0)
+    return found.select("project_id", "path", "lang", "import_path", "alias", "kind", uses.alias("uses"))
+
+
+@query
+def source_calls(fx: Fixtures) -> DataFrame:
+    return coupling.extract_calls(fx["fx_sources"])
+
+
+@query
+def candidate_imports(fx: Fixtures) -> DataFrame:
+    found = coupling.candidate_imports(fx["fx_packages"])
+    return found.select("package_id", F.lower("prefix").alias("prefix")).distinct()
+
+
+def _candidates(fx: Fixtures) -> DataFrame:
+    return coupling.candidate_imports(fx["fx_direct"].join(fx["fx_packages"], "package_id"))
+
+
+def _matched(fx: Fixtures) -> DataFrame:
+    return coupling.match_imports(coupling.extract_imports(fx["fx_sources"]), _candidates(fx))
+
+
+@query
+def matched_imports(fx: Fixtures) -> DataFrame:
+    return _matched(fx).select(
+        "project_id", "path", "import_path", "alias", "kind", "package_id", "matched_prefix"
+    )
+
+
+@query
+def coupling_metrics(fx: Fixtures) -> DataFrame:
+    return coupling.coupling_metrics(_matched(fx))
+
+
+@query
+def coupling_files(fx: Fixtures) -> DataFrame:
+    return coupling.coupling_files(_matched(fx))
+
+
+@query
+def coupling_symbols(fx: Fixtures) -> DataFrame:
+    return coupling.coupling_symbols(_matched(fx))
+
+
+@query
+def wheel_import_names(fx: Fixtures) -> DataFrame:
+    return coupling.wheel_import_names(fx["fx_wheel_files"])
+
+
+@query
+def pypi_retry(fx: Fixtures) -> DataFrame:
+    imports = coupling.extract_imports(fx["fx_sources"])
+    dependencies = fx["fx_direct"].join(fx["fx_packages"], "package_id")
+    found = coupling.retry_pypi_imports(dependencies, _matched(fx), imports, fx["fx_wheel_files"])
+    return found.select("project_id", "path", "import_path", "alias", "kind", "package_id")
+
+
+# --- inputs and keys ------------------------------------------------------------------------
+
+
+@query
+def input_quality(fx: Fixtures) -> DataFrame:
+    quality = inputs.read_inputs(fx["fx_inputs"])[1]
+    return quality.withColumn("unrecognised_share", F.round("unrecognised_share", 9))
+
+
+@query
+def input_lines(fx: Fixtures) -> DataFrame:
+    return inputs.read_inputs(fx["fx_inputs"])[0]
+
+
+def _purls(fx: Fixtures) -> DataFrame:
+    lines = inputs.classify_lines(fx["fx_inputs"]).where("kind = 'package'")
+    return lines.select("file_id", "line_no", F.col("line").alias("purl"))
+
+
+@query
+def package_keys(fx: Fixtures) -> DataFrame:
+    return keys.resolve_package_keys(_purls(fx)).select(
+        "file_id", "line_no", "purl", "canonical_key", "purl_version"
+    )
+
+
+@query
+def key_variants(fx: Fixtures) -> DataFrame:
+    return keys.key_variants(keys.resolve_package_keys(_purls(fx)))
+
+
+@query
+def dedup_inputs(fx: Fixtures) -> DataFrame:
+    resolved = keys.resolve_package_keys(_purls(fx)).where("canonical_key IS NOT NULL")
+    placed = resolved.select("canonical_key", (F.col("file_id") * 1_000_000 + F.col("line_no")).alias("position"), "purl")
+    return keys.dedup_inputs(placed, "canonical_key", "position")
+
+
+@query
+def maven_repair(fx: Fixtures) -> DataFrame:
+    return keys.repair_maven_inputs(_purls(fx))
+
+
+@query
+def maven_repair_stats(fx: Fixtures) -> DataFrame:
+    return keys.repair_stats(keys.repair_maven_inputs(_purls(fx)))
+
+
+@query
+def supported_split(fx: Fixtures) -> DataFrame:
+    supported, skipped = keys.split_supported(_purls(fx))
+    both = supported.withColumn("supported", F.lit(True)).unionByName(skipped.withColumn("supported", F.lit(False)))
+    return keys.resolve_package_keys(both).groupBy("supported", F.col("purl_type").alias("ecosystem")).agg(
+        F.count(F.lit(1)).alias("inputs")
+    )
+
+
+@query
+def ecosystem_filter(fx: Fixtures) -> DataFrame:
+    return keys.filter_ecosystem(_purls(fx), "NPM")
+
+
+@query
+def graph_eligible(fx: Fixtures) -> DataFrame:
+    return keys.graph_eligible(fx["fx_packages"]).select("package_id", "ecosystem", "version")
+
+
+@query
+def repo_groups(fx: Fixtures) -> DataFrame:
+    return keys.group_by_repo(fx["fx_repo_urls"])
+
+
+@query
+def repo_choice(fx: Fixtures) -> DataFrame:
+    return keys.choose_repo(fx["fx_repo_candidates"].withColumnRenamed("raw", "url"))
+
+
+@query
+def registry_pages(fx: Fixtures) -> DataFrame:
+    return keys.enrich_package(fx["fx_packages"]).select(
+        "package_id", "registry_name", "registry_url", "version_url"
+    )
+
+
+@query
+def package_inference(fx: Fixtures) -> DataFrame:
+    return keys.infer_package(fx["fx_repo_names"], fx["fx_manifest_managers"], fx["fx_languages"])
+
+
+@query
+def roundtrip_check(fx: Fixtures) -> DataFrame:
+    return keys.validate_roundtrip(fx["fx_roundtrip"]).select("package_id", "repo_matches", "repository_only")
+
+
+@query
+def vanity_repos(fx: Fixtures) -> DataFrame:
+    return keys.resolve_vanity(fx["fx_vanity"], fx["fx_html"])
