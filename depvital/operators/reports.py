@@ -82,21 +82,28 @@ def scan_rows(entries: DataFrame) -> DataFrame:
     return entries.select(*columns)
 
 
-def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str]) -> DataFrame:
-    """One row per package with a repository, one column per check (sorted), scores as text with two digits."""
+def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | None = None) -> DataFrame:
+    """One row per package with a repository, one column per check (sorted), scores as text with two digits.
+
+    Check names are a small set; without a list they are read from the scores first.
+    """
+    if checks is None:
+        checks = [row[0] for row in scores.select("check_name").distinct().collect()]
     ordered = sorted(checks)
     wide = scores.groupBy("repo_id").pivot("check_name", ordered).agg(F.first("score"))
-    named = [F.format_number(F.col(f"`{c}`").cast("double"), "0.00").alias(c) for c in ordered]
+    two_digits = lambda name: F.format_string("%.2f", F.col(f"`{name}`").cast("double"))
+    named = [F.when(F.col(f"`{c}`").isNotNull(), two_digits(c)).alias(c) for c in ordered]
     return (
         analysis.where("repo_url IS NOT NULL")
         .join(wide.select("repo_id", *named), "repo_id", "left")
         .select(
             "purl",
             "repo_url",
+            two_digits("overall_score").alias("overall_score"),
             *[F.col(f"`{c}`") for c in ordered],
-            "days_since_stable",
-            "days_since_prerelease",
-            "archived",
+            F.coalesce("days_since_stable", F.lit(0)).alias("days_since_stable"),
+            F.coalesce("days_since_prerelease", F.lit(0)).alias("days_since_prerelease"),
+            F.coalesce("archived", F.lit(False)).alias("archived"),
             "lifecycle_label",
             "lifecycle_reason",
         )

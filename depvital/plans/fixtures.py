@@ -432,6 +432,110 @@ FROM {pages} g JOIN {fx_packages} p ON p.package_id = g.page_id
 """
 
 
+VIEWS["fx_topics"] = """
+SELECT c_custkey AS key, '  ' || lower(c_mktsegment) || '  ' || lower(c_mktsegment) || ' t' || (c_custkey % 7) || ' ' AS text
+FROM {customer}
+"""
+VIEWS["fx_evidence"] = """
+SELECT l_partkey AS package_id, l_orderkey * 10 + l_linenumber AS position,
+  CASE WHEN l_returnflag = 'A' AND l_quantity > 45 THEN 'HumanCatalog' ELSE 'npmjs' END AS source,
+  min('evidence ' || l_orderkey || '/' || l_linenumber || '/' || l_suppkey) AS summary, max(l_discount) AS confidence
+FROM {lineitem} GROUP BY 1, 2, 3
+"""
+
+
+# --- documents of a project: bill of materials, module file, workflows --------------------------
+_AGGREGATES = ("listagg(X, ',') WITHIN GROUP (ORDER BY K)", "string_agg(X, ',' ORDER BY K)")
+_LINE_AGGREGATES = ("listagg(X, chr(10)) WITHIN GROUP (ORDER BY K)", "string_agg(X, chr(10) ORDER BY K)")
+
+
+def _aggregated(template: str, aggregates: tuple[str, str]) -> tuple[str, str]:
+    """Spark and DuckDB spellings of a text with AGG(expression ;; order)AGG."""
+    spell = lambda how: re.sub(
+        r"AGG\((.*?) ;; (.*?)\)AGG", lambda m: how.replace("X", m[1], 1).replace("K", m[2], 1), template, flags=re.S
+    )
+    return spell(aggregates[0]), spell(aggregates[1])
+
+
+VIEWS["fx_sbom_nodes"] = """
+SELECT n.project_id, n.node, p.purl FROM (
+  SELECT project_id, src AS node FROM {fx_edges} UNION SELECT project_id, dst AS node FROM {fx_edges}
+  UNION SELECT project_id, package_id AS node FROM {fx_direct}) n JOIN {fx_packages} p ON p.package_id = n.node
+"""
+# roots: 0 and 2 name their direct dependencies, 1 goes through a node without package, 3 has no entry
+VIEWS["fx_sbom"] = _aggregated(
+    """
+SELECT c.project_id, '{{"bomFormat":"CycloneDX","specVersion":"1.5","metadata":{{"component":{{"type":"application",'
+  || '"bom-ref":"root","name":"app"}}}},"components":[{{"type":"file","bom-ref":"mod"}},{{"type":"group","bom-ref":"group",'
+  || '"components":[' || coalesce(c.nested, '') || ']}}' || coalesce(',' || c.flat, '') || '],"dependencies":['
+  || CASE c.project_id % 4 WHEN 3 THEN '' WHEN 1 THEN '{{"ref":"root","dependsOn":["mod"]}},{{"ref":"mod","dependsOn":[' || d.refs
+    || ']}},' ELSE '{{"ref":"root","dependsOn":[' || d.refs || ']}},' END || '{{"ref":"lost","dependsOn":["nowhere"]}}'
+  || ',' || c.entries || ']}}' AS text
+FROM (SELECT i.project_id, AGG(CASE WHEN node % 5 <> 0 THEN item END ;; node)AGG AS flat,
+    AGG(CASE WHEN node % 5 = 0 THEN item END ;; node)AGG AS nested,
+    AGG('{{"ref":"r' || node || '","dependsOn":[' || coalesce(x.children, '') || ']}}' ;; node)AGG AS entries
+  FROM (SELECT project_id, node, '{{"type":"library","bom-ref":"r' || node || '","name":"p' || node || '","purl":"' || purl
+    || '?arch=x"}}' AS item FROM {fx_sbom_nodes}) i
+  LEFT JOIN (SELECT project_id, src, AGG('"r' || dst || '"' ;; dst)AGG AS children FROM {fx_edges} GROUP BY 1, 2) x
+    ON x.project_id = i.project_id AND x.src = i.node GROUP BY i.project_id) c
+JOIN (SELECT project_id, AGG('"r' || package_id || '"' ;; package_id)AGG AS refs FROM {fx_direct} GROUP BY 1) d
+  ON d.project_id = c.project_id
+""",
+    _AGGREGATES,
+)
+VIEWS["fx_gomod"] = _aggregated(
+    """
+SELECT project_id, 'module example.com/app' || project_id || chr(10) || 'go 1.24' || chr(10) || 'require (' || chr(10)
+  || AGG(chr(9) || 'example.com/m' || package_id || ' v1.' || (package_id % 10) || '.0'
+    || CASE WHEN package_id % 4 = 0 THEN ' // indirect' ELSE '' END ;; package_id)AGG || chr(10) || ')' || chr(10)
+  || 'require example.com/single v0.1.0' || chr(10) || 'replace (' || chr(10)
+  || AGG(CASE WHEN package_id % 9 = 0 THEN chr(9) || 'example.com/m' || package_id || ' => example.com/fork' || package_id || ' v2.0.0'
+    WHEN package_id % 11 = 0 THEN chr(9) || 'example.com/m' || package_id || ' v1.0.0 => ../local' || package_id
+    ELSE '// none' END ;; package_id)AGG || chr(10) || ')' || chr(10)
+  || AGG(CASE WHEN package_id % 13 = 0 THEN 'tool example.com/m' || package_id || '/cmd/run' ELSE '// no tool' END ;; package_id)AGG
+  || chr(10) AS text
+FROM {fx_direct} GROUP BY project_id
+""",
+    _LINE_AGGREGATES,
+)
+_ACTION = "'own' || (P % 50) || '/act' || P || CASE WHEN P % 6 = 0 THEN '/sub' ELSE '' END"
+VIEWS["fx_workflows"] = _aggregated(
+    """
+SELECT project_id AS scope, '.github/workflows/ci.yml' AS path, 'on: push' || chr(10) || 'jobs:' || chr(10) || '  build:' || chr(10)
+  || '    steps:' || chr(10) || '      - uses: docker://alpine:3' || chr(10) || '      - uses: ./.github/actions/first' || chr(10)
+  || '      - uses: ./../outside' || chr(10)
+  || AGG('      - uses: ' || ACTION(package_id) || '@v' || (package_id % 5) ;; package_id)AGG || chr(10) AS text
+FROM {fx_direct} GROUP BY project_id
+UNION ALL
+SELECT project_id AS scope, ACTION(src) || '/action.yml' AS path, 'name: x' || chr(10) || 'runs:' || chr(10) || '  using: '
+  || CASE WHEN src % 10 = 3 THEN 'node20' ELSE 'composite' END || chr(10) || '  steps:' || chr(10)
+  || AGG('    - uses: "' || ACTION(dst) || '@main"' ;; dst)AGG || chr(10) AS text
+FROM {fx_edges} GROUP BY project_id, src
+UNION ALL
+SELECT project_id AS scope, '.github/actions/first/action.yml' AS path, 'runs:' || chr(10) || '  using: composite' || chr(10)
+  || '  steps:' || chr(10) || '    - uses: ./.github/actions/x/../second/' || chr(10) || '    - uses: local/one@v1' || chr(10) AS text
+FROM {fx_direct} GROUP BY project_id
+UNION ALL
+SELECT project_id AS scope, '.github/actions/second/action.yml' AS path, 'runs:' || chr(10) || "  using: 'composite'" || chr(10)
+  || '  steps:' || chr(10) || '    - uses: ./.github/actions/first' || chr(10) || '    - uses: local/one@v2' || chr(10)
+  || '    - uses: local/two/sub@v2' || chr(10) AS text
+FROM {fx_direct} GROUP BY project_id
+""".replace("\"  using: 'composite'\"", "'  using: ' || chr(39) || 'composite' || chr(39)"),
+    _LINE_AGGREGATES,
+)
+VIEWS["fx_workflows"] = tuple(
+    re.sub(r"ACTION\((\w+)\)", lambda m: _ACTION.replace("P", m[1]), text) for text in VIEWS["fx_workflows"]
+)
+VIEWS["fx_files"] = """
+SELECT 'repo' || project_id || '/go.mod' AS path, text FROM {fx_gomod}
+UNION ALL SELECT 'repo' || project_id || '/renamed-' || project_id || '.txt' AS path, '// copy' || chr(10) || chr(10) || text AS text
+  FROM {fx_gomod}
+UNION ALL SELECT 'repo' || project_id || '/bom.json' AS path, text FROM {fx_sbom}
+UNION ALL SELECT 'repo' || scope || '/' || path AS path, text FROM {fx_workflows}
+UNION ALL SELECT 'docs/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.json' ELSE '.txt' END AS path, text FROM {documents}
+"""
+
+
 def spark_text(name: str) -> str:
     view = VIEWS[name]
     return view[0] if isinstance(view, tuple) else view

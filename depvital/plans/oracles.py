@@ -146,6 +146,61 @@ LEFT JOIN (SELECT {key}, arg_min(kind, i) AS kind, arg_min(phrase, i) AS phrase,
     return sql
 
 
+def _plan_parts(suffix: str, coupling: str) -> dict[str, str]:
+    """Entries and ranked plan over one coupling table."""
+    return {
+        "o_entries" + suffix: f"""
+SELECT g.project_id, g.direct_id AS package_id, p.purl, p.ecosystem, g.exclusive_transitive, g.total_transitive,
+  g.via_count, max(g.exclusive_transitive) OVER (PARTITION BY g.project_id) AS max_excl,
+  coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls, coalesce(c.api_breadth, 0) AS api,
+  coalesce(c.has_blank_import, FALSE) AS blank,
+  c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM {coupling}) AS is_unused,
+  coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status
+FROM o_gmetrics g JOIN fx_packages p ON p.package_id = g.direct_id
+LEFT JOIN {coupling} c ON c.project_id = g.project_id AND c.package_id = g.direct_id
+LEFT JOIN o_health h ON h.package_id = g.direct_id
+""",
+        "o_plan" + suffix: f"""
+SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank,
+  CASE WHEN effort < 1e-9 THEN 'trivial' WHEN effort < 0.25 THEN 'easy' WHEN effort < 0.6 THEN 'moderate' ELSE 'hard' END
+    AS difficulty
+FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0, 0.1::DOUBLE) ELSE p0 END AS priority FROM (
+  SELECT *, CASE WHEN is_unused THEN greatest(impact * health_risk * greatest(1 - effort, 0.05::DOUBLE),
+      0.3::DOUBLE * impact + 0.3::DOUBLE * health_risk + 0.2::DOUBLE)
+    ELSE impact * health_risk * greatest(1 - effort, 0.05::DOUBLE) END AS p0 FROM (
+    SELECT *, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
+        ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (exclusive_transitive / max_excl), 1.0::DOUBLE) END AS impact,
+      CASE WHEN is_unused OR (blank AND calls <= 1 AND api = 0) OR (files = 0 AND calls = 0 AND api = 0) THEN 0.0::DOUBLE
+        ELSE 0.4::DOUBLE * (1 / (1 + exp(-0.8::DOUBLE * (files - 5)))) + 0.4::DOUBLE * (1 / (1 + exp(-0.2::DOUBLE * (calls - 20))))
+          + 0.2::DOUBLE * (1 / (1 + exp(-0.4::DOUBLE * (api - 10)))) END AS effort
+    FROM o_entries{suffix}) e1) e2) e3
+""",
+    }
+
+
+def _coupling_parts(suffix: str, matched: str) -> dict[str, str]:
+    """Coupling figures over one table of matched imports."""
+    return {
+        "o_pkg_alias" + suffix: f"""
+SELECT project_id, package_id, path, alias, bool_or(kind = 'normal') AS normal, bool_or(kind = 'blank') AS blank,
+  bool_or(kind = 'dot') AS dot, bool_or(kind = 'wildcard') AS wild FROM {matched} GROUP BY ALL
+""",
+        "o_pkg_uses" + suffix: f"""
+SELECT a.project_id, a.package_id, a.path, u.symbol, u.calls FROM o_pkg_alias{suffix} a
+JOIN o_alias_uses u ON u.project_id = a.project_id AND u.path = a.path AND u.alias = a.alias WHERE a.normal
+""",
+        "o_coupling" + suffix: f"""
+SELECT f.project_id, f.package_id, f.import_files,
+  CASE WHEN blank OR dot THEN greatest(coalesce(u.calls, 0), 1) ELSE coalesce(u.calls, 0) END AS call_sites,
+  coalesce(u.breadth, 0) AS api_breadth, blank AS has_blank_import, dot AS has_dot_import, wild AS has_wildcard_import
+FROM (SELECT project_id, package_id, count(DISTINCT path) AS import_files, bool_or(blank) AS blank, bool_or(dot) AS dot,
+    bool_or(wild) AS wild FROM o_pkg_alias{suffix} GROUP BY 1, 2) f
+LEFT JOIN (SELECT project_id, package_id, sum(calls) AS calls, count(DISTINCT symbol) AS breadth FROM o_pkg_uses{suffix}
+  GROUP BY 1, 2) u ON u.project_id = f.project_id AND u.package_id = f.package_id
+""",
+    }
+
+
 PARTS: dict[str, str] = {
     "o_versions": r"""
 SELECT *, NOT regexp_matches(lower(version), 'alpha|beta|rc|dev|snapshot|pre') AS looks_stable,
@@ -400,32 +455,7 @@ FROM (SELECT *, CASE WHEN adv > 0 THEN least(r1 + max_cvss3 / 10.0 * 0.2, 1.0) E
       CASE WHEN s.archived THEN 0.85 ELSE 0.0 END, CASE WHEN s.days_any > 365 THEN 0.6 ELSE 0.0 END)::DOUBLE AS r1
   FROM o_scan s JOIN fx_packages p USING (package_id) LEFT JOIN fx_repos r ON r.repo_id = p.repo_id) h1) h2
 """,
-    "o_entries": """
-SELECT g.project_id, g.direct_id AS package_id, p.purl, p.ecosystem, g.exclusive_transitive, g.total_transitive,
-  g.via_count, max(g.exclusive_transitive) OVER (PARTITION BY g.project_id) AS max_excl,
-  coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls, coalesce(c.api_breadth, 0) AS api,
-  coalesce(c.has_blank_import, FALSE) AS blank,
-  c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM fx_coupling) AS is_unused,
-  coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status
-FROM o_gmetrics g JOIN fx_packages p ON p.package_id = g.direct_id
-LEFT JOIN fx_coupling c ON c.project_id = g.project_id AND c.package_id = g.direct_id
-LEFT JOIN o_health h ON h.package_id = g.direct_id
-""",
-    "o_plan": """
-SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank,
-  CASE WHEN effort < 1e-9 THEN 'trivial' WHEN effort < 0.25 THEN 'easy' WHEN effort < 0.6 THEN 'moderate' ELSE 'hard' END
-    AS difficulty
-FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0, 0.1::DOUBLE) ELSE p0 END AS priority FROM (
-  SELECT *, CASE WHEN is_unused THEN greatest(impact * health_risk * greatest(1 - effort, 0.05::DOUBLE),
-      0.3::DOUBLE * impact + 0.3::DOUBLE * health_risk + 0.2::DOUBLE)
-    ELSE impact * health_risk * greatest(1 - effort, 0.05::DOUBLE) END AS p0 FROM (
-    SELECT *, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
-        ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (exclusive_transitive / max_excl), 1.0::DOUBLE) END AS impact,
-      CASE WHEN is_unused OR (blank AND calls <= 1 AND api = 0) OR (files = 0 AND calls = 0 AND api = 0) THEN 0.0::DOUBLE
-        ELSE 0.4::DOUBLE * (1 / (1 + exp(-0.8::DOUBLE * (files - 5)))) + 0.4::DOUBLE * (1 / (1 + exp(-0.2::DOUBLE * (calls - 20))))
-          + 0.2::DOUBLE * (1 / (1 + exp(-0.4::DOUBLE * (api - 10)))) END AS effort
-    FROM o_entries) e1) e2) e3
-""",
+    **_plan_parts("", "fx_coupling"),
     "o_graph_plan": """
 SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank FROM (
   SELECT project_id, package_id, purl, CASE WHEN is_eol OR health_status = 'Archived'
@@ -618,23 +648,18 @@ SELECT DISTINCT i.*, t.package_id, m.prefix FROM o_imports i JOIN o_path_match m
   AND m.sep = CASE WHEN i.lang IN ('python', 'java') THEN '.' ELSE '/' END
 JOIN o_targets t ON t.project_id = i.project_id AND t.prefix = m.prefix
 """,
-    "o_pkg_alias": """
-SELECT project_id, package_id, path, alias, bool_or(kind = 'normal') AS normal, bool_or(kind = 'blank') AS blank,
-  bool_or(kind = 'dot') AS dot, bool_or(kind = 'wildcard') AS wild FROM o_matched GROUP BY ALL
-""",
-    "o_pkg_uses": """
-SELECT a.project_id, a.package_id, a.path, u.symbol, u.calls FROM o_pkg_alias a
-JOIN o_alias_uses u ON u.project_id = a.project_id AND u.path = a.path AND u.alias = a.alias WHERE a.normal
-""",
-    "o_coupling": """
-SELECT f.project_id, f.package_id, f.import_files,
-  CASE WHEN blank OR dot THEN greatest(coalesce(u.calls, 0), 1) ELSE coalesce(u.calls, 0) END AS call_sites,
-  coalesce(u.breadth, 0) AS api_breadth, blank AS has_blank_import, dot AS has_dot_import, wild AS has_wildcard_import
-FROM (SELECT project_id, package_id, count(DISTINCT path) AS import_files, bool_or(blank) AS blank, bool_or(dot) AS dot,
-    bool_or(wild) AS wild FROM o_pkg_alias GROUP BY 1, 2) f
-LEFT JOIN (SELECT project_id, package_id, sum(calls) AS calls, count(DISTINCT symbol) AS breadth FROM o_pkg_uses
-  GROUP BY 1, 2) u ON u.project_id = f.project_id AND u.package_id = f.package_id
+    **_coupling_parts("", "o_matched"),
+    "o_retry": """
+SELECT DISTINCT i.*, m.package_id, m.prefix FROM o_imports i JOIN (
+  SELECT d.project_id, d.package_id, 'p' || d.package_id AS prefix FROM fx_direct d
+  JOIN fx_packages p USING (package_id) WHERE p.ecosystem = 'pypi' AND NOT EXISTS (SELECT 1 FROM o_matched m
+    WHERE m.project_id = d.project_id AND m.package_id = d.package_id)) m
+  ON m.project_id = i.project_id AND (lower(i.import_path) = m.prefix OR starts_with(lower(i.import_path),
+    m.prefix || CASE WHEN i.lang IN ('python', 'java') THEN '.' ELSE '/' END))
 """,
+    "o_matched_all": "SELECT * FROM o_matched UNION SELECT * FROM o_retry",
+    **_coupling_parts("_all", "o_matched_all"),
+    **_plan_parts("_src", "o_coupling_all"),
     "o_wheel_names": """
 SELECT DISTINCT p_partkey AS package_id, 'p' || p_partkey AS prefix FROM part WHERE p_partkey >= 0
 """,
@@ -674,6 +699,62 @@ SELECT *, regexp_replace(regexp_replace(regexp_replace(
     "o_repo_keys": r"""
 SELECT *, CASE WHEN contains(lower(url), 'github.com') THEN
     'github.com/' || regexp_extract(lower(url), 'github\.com[:/]+([^/]+/[^/]+)', 1) ELSE url END AS repo_key FROM o_repo_norm
+""",
+    "o_purls": "SELECT package_id AS node, purl FROM fx_packages",
+    "o_sbom_edges": """
+SELECT e.project_id, a.purl AS src, b.purl AS dst FROM fx_edges e JOIN o_purls a ON a.node = e.src JOIN o_purls b ON b.node = e.dst
+""",
+    "o_sbom_direct": """
+WITH n AS (SELECT project_id, count(*) AS k, min(package_id) AS only_id FROM fx_direct GROUP BY 1),
+ids AS (
+  SELECT project_id, package_id AS node FROM fx_direct WHERE project_id % 4 IN (0, 2)
+  UNION SELECT d.project_id, d.package_id FROM fx_direct d JOIN n USING (project_id) WHERE project_id % 4 = 1 AND (k > 1
+    OR NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.project_id = d.project_id AND e.src = d.package_id))
+  UNION SELECT e.project_id, e.dst FROM fx_edges e JOIN n ON n.project_id = e.project_id AND n.k = 1 AND n.only_id = e.src
+    WHERE e.project_id % 4 = 1
+  UNION SELECT project_id, node FROM fx_sbom_nodes s WHERE project_id % 4 = 3
+    AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.project_id = s.project_id AND e.dst = s.node))
+SELECT i.project_id, p.purl FROM ids i JOIN o_purls p USING (node)
+""",
+    "o_action": """
+SELECT package_id AS p, 'own' || (package_id % 50) || '/act' || package_id || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END
+  AS action, 'own' || (package_id % 50) || '/act' || package_id AS repo FROM fx_packages
+""",
+    "o_action_edges": "SELECT project_id, src, dst FROM fx_edges WHERE src % 10 <> 3",
+    "o_action_levels": """
+SELECT project_id, package_id AS node, 0 AS level FROM fx_direct
+UNION SELECT l.project_id, e.dst, l.level + 1 FROM o_action_levels l
+JOIN o_action_edges e ON e.project_id = l.project_id AND e.src = l.node WHERE l.level < 40
+""",
+    "o_action_first": "SELECT project_id, node, min(level) AS level FROM o_action_levels GROUP BY 1, 2",
+    "o_action_via": """
+SELECT d.project_id, d.package_id AS node, 0 AS level, a.action AS via FROM fx_direct d JOIN o_action a ON a.p = d.package_id
+UNION SELECT v.project_id, e.dst, f.level, v.via FROM o_action_via v
+JOIN o_action_edges e ON e.project_id = v.project_id AND e.src = v.node
+JOIN o_action_first f ON f.project_id = e.project_id AND f.node = e.dst AND f.level = v.level + 1
+""",
+    "o_workflow_refs": """
+SELECT d.project_id AS scope, '.github/workflows/ci.yml' AS path, 'remote' AS kind, a.action, 'v' || (d.package_id % 5) AS ref,
+  CAST(NULL AS VARCHAR) AS local_path FROM fx_direct d JOIN o_action a ON a.p = d.package_id
+UNION ALL SELECT DISTINCT project_id, '.github/workflows/ci.yml', 'local', NULL, NULL, '.github/actions/first' FROM fx_direct
+UNION ALL SELECT e.project_id, s.action || '/action.yml', 'remote', t.action, 'main', NULL FROM o_action_edges e
+  JOIN o_action s ON s.p = e.src JOIN o_action t ON t.p = e.dst
+UNION ALL SELECT DISTINCT project_id, '.github/actions/first/action.yml', 'local', NULL, NULL, '.github/actions/second' FROM fx_direct
+UNION ALL SELECT DISTINCT project_id, '.github/actions/first/action.yml', 'remote', 'local/one', 'v1', NULL FROM fx_direct
+UNION ALL SELECT DISTINCT project_id, '.github/actions/second/action.yml', 'local', NULL, NULL, '.github/actions/first' FROM fx_direct
+UNION ALL SELECT DISTINCT project_id, '.github/actions/second/action.yml', 'remote', 'local/one', 'v2', NULL FROM fx_direct
+UNION ALL SELECT DISTINCT project_id, '.github/actions/second/action.yml', 'remote', 'local/two/sub', 'v2', NULL FROM fx_direct
+""",
+    "o_modules": """
+SELECT DISTINCT namespace AS brand, package_id, purl FROM fx_packages WHERE ecosystem = 'maven'
+""",
+    "o_module_edges": """
+SELECT DISTINCT m.brand, m.purl AS src, p.purl AS dst FROM o_modules m JOIN fx_edges e ON e.src = m.package_id
+JOIN o_purls p ON p.node = e.dst
+""",
+    "o_scan_repo": """
+SELECT s.*, p.repo_id, r.stars, r.overall_score FROM o_scan s JOIN fx_packages p USING (package_id)
+LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
 """,
 }
 
@@ -908,13 +989,10 @@ SELECT i.*, coalesce(CASE WHEN kind = 'normal' THEN u.calls END, 0) AS uses FROM
     "coupling_files": "SELECT DISTINCT project_id, package_id, path FROM o_matched",
     "coupling_symbols": "SELECT DISTINCT project_id, package_id, symbol FROM o_pkg_uses",
     "wheel_import_names": "SELECT * FROM o_wheel_names",
-    "pypi_retry": """
-WITH missed AS (SELECT d.project_id, d.package_id, 'p' || d.package_id AS prefix FROM fx_direct d
-  JOIN fx_packages p USING (package_id) WHERE p.ecosystem = 'pypi' AND NOT EXISTS (SELECT 1 FROM o_matched m
-    WHERE m.project_id = d.project_id AND m.package_id = d.package_id))
-SELECT DISTINCT i.project_id, i.path, i.import_path, i.alias, i.kind, m.package_id FROM o_imports i JOIN missed m
-  ON m.project_id = i.project_id AND (lower(i.import_path) = m.prefix OR starts_with(lower(i.import_path),
-    m.prefix || CASE WHEN i.lang IN ('python', 'java') THEN '.' ELSE '/' END))
+    "pypi_retry": "SELECT project_id, path, import_path, alias, kind, package_id FROM o_retry",
+    "diet_from_sources": """
+SELECT project_id, rank, package_id, round(priority, 9) AS priority, difficulty, is_unused, files AS import_files,
+  calls AS call_sites, api AS api_breadth FROM o_plan_src
 """,
     "input_quality": """
 SELECT * REPLACE (round(unrecognised_share, 9) AS unrecognised_share), unrecognised_share > 0.5 AS failed FROM o_file_quality
@@ -1006,6 +1084,151 @@ SELECT package_id, import_path, CASE page_id % 3 WHEN 0 THEN 'https://github.com
 """,
     "graph_eligible": """
 SELECT package_id, ecosystem, version FROM fx_packages WHERE ecosystem IN ('npm', 'cargo', 'maven', 'pypi') AND version IS NOT NULL
+""",
+    "sbom_components": "SELECT DISTINCT project_id, purl FROM fx_sbom_nodes",
+    "sbom_edges": "SELECT * FROM o_sbom_edges",
+    "sbom_direct": "SELECT * FROM o_sbom_direct",
+    "aggregator_modules": """
+WITH ok AS (SELECT brand FROM o_modules m GROUP BY brand
+  HAVING bool_and(EXISTS (SELECT 1 FROM o_module_edges e WHERE e.brand = m.brand AND e.src = m.purl))),
+below AS (SELECT DISTINCT e.brand, e.dst AS purl FROM o_module_edges e JOIN ok USING (brand)
+  WHERE NOT EXISTS (SELECT 1 FROM o_modules m WHERE m.brand = e.brand AND m.purl = e.dst))
+SELECT brand AS project_id, purl FROM below
+UNION ALL SELECT brand, purl FROM o_modules WHERE brand NOT IN (SELECT brand FROM below)
+""",
+    "go_requirements": """
+SELECT project_id, 'example.com/m' || package_id AS module,
+  CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' ELSE 'example.com/m' END || package_id AS name,
+  CASE WHEN package_id % 9 = 0 THEN 'v2.0.0' ELSE 'v1.' || (package_id % 10) || '.0' END AS version,
+  'pkg:golang/' || CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' || package_id || '@v2.0.0'
+    ELSE 'example.com/m' || package_id || '@v1.' || (package_id % 10) || '.0' END AS purl,
+  CASE WHEN package_id % 13 = 0 THEN 'tool' END AS scope FROM fx_direct WHERE package_id % 4 <> 0
+UNION ALL SELECT DISTINCT project_id, 'example.com/single', 'example.com/single', 'v0.1.0', 'pkg:golang/example.com/single@v0.1.0',
+  NULL FROM fx_direct
+""",
+    "workflow_refs": "SELECT * FROM o_workflow_refs",
+    "action_closure": """
+SELECT project_id AS scope, repo, arg_min(level, level) AS level, first(via ORDER BY level, via) AS via FROM (
+  SELECT v.project_id, a.repo, v.level, v.via FROM o_action_via v JOIN o_action a ON a.p = v.node WHERE v.level > 0) x
+WHERE NOT EXISTS (SELECT 1 FROM fx_direct d JOIN o_action a ON a.p = d.package_id WHERE d.project_id = x.project_id AND a.repo = x.repo)
+GROUP BY 1, 2
+""",
+    "local_action_uses": """
+SELECT DISTINCT project_id AS scope, 'local/one' AS repo, '.github/actions/first' AS via_path FROM fx_direct
+UNION ALL SELECT DISTINCT project_id, 'local/two', '.github/actions/second' FROM fx_direct
+""",
+    "file_formats": r"""
+SELECT path, CASE WHEN path LIKE '%/go.mod' OR path LIKE '%/renamed-%' OR regexp_matches(text, '^\s*module\s') THEN 'gomod'
+  WHEN path LIKE '%/bom.json' THEN 'sbom' WHEN path LIKE '%/.github/workflows/%' THEN 'workflow' ELSE 'list' END AS format
+FROM fx_files
+""",
+    "source_selection": r"""
+SELECT project_id, path, lang FROM (SELECT project_id, lang, CASE length(text) % 6 WHEN 0 THEN 'vendor/' || path
+  WHEN 1 THEN 'lib/build/' || path WHEN 2 THEN 'builder/' || path WHEN 3 THEN path || '.txt' ELSE path END AS path FROM fx_sources) s
+WHERE NOT regexp_matches(path, '(^|/)(vendor|node_modules|\.git|testdata|__pycache__|build|dist|target)/') AND path NOT LIKE '%.txt'
+""",
+    "repo_metadata": """
+SELECT repo_id, CASE WHEN stars > 0 THEN stars ELSE 7 END AS stars, CASE WHEN forks > 0 THEN forks ELSE 3 END AS forks,
+  coalesce(description, 'project ' || repo_id) AS description,
+  CASE WHEN repo_id % 2 = 0 THEN 'https://p.example.org' ELSE homepage END AS homepage, default_branch, language FROM fx_repos
+""",
+    "repo_topics": """
+SELECT key AS repo_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '),
+  lambda t: trim(t)), lambda t: t <> ''))), ';') AS topics FROM fx_topics
+""",
+    "dependent_counts": """
+SELECT p.package_id, p.ecosystem, CASE WHEN (p.package_id * 13) % 7 > 0 THEN (p.package_id * 13) % 7
+  WHEN p.ecosystem IN ('gem', 'composer') THEN (p.package_id * 29) % 1000 ELSE 0 END AS dependent_count FROM fx_packages p
+""",
+    "yanked_versions": """
+SELECT l_partkey AS package_id, l_linenumber AS version, bool_or(l_returnflag = 'R' AND l_quantity > 45) OR bool_and(l_linestatus = 'F')
+  AS yanked, count(*) AS file_count FROM lineitem GROUP BY 1, 2
+""",
+    "coverage_report": """
+SELECT count(*) AS packages, count(*) FILTER (WHERE r.repo_url IS NULL) AS missing_repository,
+  round(avg((r.repo_url IS NULL)::INT), 9) AS missing_repository_share,
+  count(*) FILTER (WHERE a.repo_id IS NULL) AS missing_project, round(avg((a.repo_id IS NULL)::INT), 9) AS missing_project_share,
+  count(*) FILTER (WHERE s.repo_id IS NULL) AS missing_scorecard, round(avg((s.repo_id IS NULL)::INT), 9) AS missing_scorecard_share
+FROM fx_packages p LEFT JOIN fx_repos r ON r.repo_id = p.repo_id LEFT JOIN o_activity a ON a.repo_id = p.repo_id
+LEFT JOIN o_scores s ON s.repo_id = p.repo_id
+""",
+    "missing_inputs": """
+SELECT p.package_id AS key, CASE WHEN v.package_id IS NULL AND r.package_id IS NULL THEN 'package not found' END AS error
+FROM fx_packages p LEFT JOIN (SELECT DISTINCT package_id FROM fx_versions) v USING (package_id)
+LEFT JOIN (SELECT DISTINCT package_id FROM fx_registry) r USING (package_id)
+""",
+    "not_found": """
+SELECT package_id AS key FROM fx_packages WHERE package_id NOT IN (SELECT package_id FROM fx_versions)
+""",
+    "new_actions": """
+SELECT DISTINCT a.action FROM o_action_edges e JOIN o_action a ON a.p = e.dst
+WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.package_id = e.dst)
+""",
+    "merged_results": """
+SELECT coalesce(b.package_id, a.package_id) AS key, CASE WHEN b.package_id IS NOT NULL THEN b.max_v ELSE a.min_v END AS value,
+  CASE WHEN b.package_id IS NOT NULL THEN 'second' ELSE 'first' END AS origin
+FROM (SELECT package_id, min(version) AS min_v FROM fx_versions GROUP BY 1) a
+FULL JOIN (SELECT package_id, max(version) AS max_v FROM fx_advisories GROUP BY 1) b ON a.package_id = b.package_id
+""",
+    "source_union": """
+SELECT purl AS key, 'purl' AS source, CAST(NULL AS VARCHAR) AS via FROM fx_packages
+UNION ALL SELECT repo_url, 'repository', NULL FROM fx_repos
+UNION ALL SELECT action, 'actions', NULL FROM (SELECT DISTINCT a.action FROM fx_direct d JOIN o_action a ON a.p = d.package_id) x
+UNION ALL SELECT repo, 'actions_transitive', min(action) FROM o_action GROUP BY repo
+""",
+    "distinct_lookup_keys": "SELECT DISTINCT advisory_id FROM fx_advisories",
+    "scan_rows": """
+SELECT verdict, purl, label AS lifecycle_label, reason AS lifecycle_reason, build_label, build_score, eol_successor AS successor,
+  adv AS advisory_count, CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss3, repo_url, error FROM o_scan
+""",
+    "scorecard_wide": f"""
+WITH c AS (SELECT repo_id, check_name, printf('%.2f', CAST(score AS DOUBLE)) AS t FROM fx_scores)
+SELECT s.purl, s.repo_url, printf('%.2f', s.overall_score) AS overall_score,
+  {', '.join(f"max(t) FILTER (WHERE check_name = '{c}') AS " + '"' + c + '"' for c in (
+      'Binary-Artifacts', 'Branch-Protection', 'Code-Review', 'Dangerous-Workflow', 'Maintained', 'Pinned-Dependencies',
+      'Token-Permissions', 'Vulnerabilities'))},
+  any_value(coalesce(s.stable_age, 0)) AS days_since_stable, any_value(coalesce(s.pre_age, 0)) AS days_since_prerelease,
+  any_value(s.archived) AS archived, any_value(s.label) AS lifecycle_label, any_value(s.reason) AS lifecycle_reason
+FROM o_scan_repo s LEFT JOIN c ON c.repo_id = s.repo_id WHERE s.repo_url IS NOT NULL GROUP BY 1, 2, 3
+""",
+    "lifecycle_summary": """
+SELECT purl, status AS final_status, label AS lifecycle_label, reason AS lifecycle_reason, eol_state, eol_successor,
+  eol_reason AS final_reason, status LIKE 'EOL%' AS is_end_of_life FROM o_scan
+""",
+    "verdict_filter": "SELECT package_id, verdict FROM o_scan WHERE verdict IN ('replace', 'review')",
+    "label_filter": "SELECT package_id, status FROM o_scan WHERE status = 'Review Needed' OR status LIKE 'EOL-%'",
+    "fail_policy": """
+SELECT d.project_id, bool_or(s.label IN ('EOL-Confirmed', 'EOL-Effective')) AS failed,
+  count(*) FILTER (WHERE s.label IN ('EOL-Confirmed', 'EOL-Effective')) AS hits
+FROM fx_direct d JOIN o_scan s USING (package_id) GROUP BY 1
+""",
+    "relation_filter": """
+SELECT n.project_id, n.node, CASE WHEN n.project_id NOT IN (SELECT project_id FROM fx_edges) THEN 'unknown' ELSE 'direct' END
+  AS relation FROM o_nodes n LEFT JOIN fx_direct d ON d.project_id = n.project_id AND d.package_id = n.node
+WHERE n.project_id NOT IN (SELECT project_id FROM fx_edges) OR d.package_id IS NOT NULL
+""",
+    "workspace_filter": """
+SELECT package_id, ecosystem, version FROM (SELECT package_id, ecosystem, CASE package_id % 5 WHEN 0 THEN 'workspace:*'
+  WHEN 1 THEN 'link:../x' WHEN 2 THEN '0.0.0-use.local' WHEN 3 THEN 'file:./y' ELSE version END AS version FROM fx_packages) p
+WHERE ecosystem <> 'npm' OR package_id % 5 = 4
+""",
+    "success_flags": """
+SELECT s.package_id, s.error IS NULL AND (coalesce(n.c, 0) > 0 OR s.label <> '') AS successful FROM o_scan s
+JOIN fx_packages p USING (package_id) LEFT JOIN (SELECT repo_id, count(*) AS c FROM fx_scores GROUP BY 1) n
+  ON n.repo_id = p.repo_id
+""",
+    "final_reasons": """
+SELECT package_id, coalesce(c.reason, h.reason) AS reason FROM (
+  SELECT package_id, first(summary ORDER BY (source = 'HumanCatalog') DESC, confidence DESC, position) AS reason FROM fx_evidence
+  GROUP BY 1) h FULL JOIN (SELECT package_id, reason FROM fx_registry WHERE source = 'catalog') c USING (package_id)
+""",
+    "project_scan": """
+SELECT d.project_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'ok') AS ok_count,
+  count(*) FILTER (WHERE verdict = 'caution') AS caution_count, count(*) FILTER (WHERE verdict = 'replace') AS replace_count,
+  count(*) FILTER (WHERE verdict = 'review') AS review_count, count(*) FILTER (WHERE build_label = 'Hardened') AS hardened_count,
+  count(*) FILTER (WHERE build_label = 'Moderate') AS moderate_count, count(*) FILTER (WHERE build_label = 'Weak') AS weak_count,
+  count(*) FILTER (WHERE build_label = 'Ungraded') AS ungraded_count
+FROM fx_direct d JOIN o_scan s USING (package_id) GROUP BY 1
 """,
 }
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depvital.functions import spdx
+from depvital.functions.scalars import age_days
 from depvital.operators import (
     advisories,
     assess,
@@ -22,10 +23,11 @@ from depvital.operators import (
     reports,
     repos,
 )
+from depvital.plans import diet as diet_plan_module
 from depvital.plans import scan as scan_plan
 from depvital.plans.diet import removal_plan
 from depvital.plans.fixtures import AS_OF, Fixtures
-from depvital.sources import inputs
+from depvital.sources import files, inputs, manifests, sbom
 
 Query = Callable[[Fixtures], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +42,7 @@ def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: QUERIES[name](Fixtures(spark, sf_dir))
 
 
-def _ts(name: str) -> F.Column:
+def _ts(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
@@ -439,12 +441,12 @@ def candidate_imports(fx: Fixtures) -> DataFrame:
     return found.select("package_id", F.lower("prefix").alias("prefix")).distinct()
 
 
-def _candidates(fx: Fixtures) -> DataFrame:
-    return coupling.candidate_imports(fx["fx_direct"].join(fx["fx_packages"], "package_id"))
+def _dependencies(fx: Fixtures) -> DataFrame:
+    return fx["fx_direct"].join(fx["fx_packages"], "package_id")
 
 
 def _matched(fx: Fixtures) -> DataFrame:
-    return coupling.match_imports(coupling.extract_imports(fx["fx_sources"]), _candidates(fx))
+    return diet_plan_module.matched_sources(fx["fx_sources"], _dependencies(fx))
 
 
 @query
@@ -476,12 +478,30 @@ def wheel_import_names(fx: Fixtures) -> DataFrame:
 
 @query
 def pypi_retry(fx: Fixtures) -> DataFrame:
-    imports = coupling.extract_imports(fx["fx_sources"])
-    dependencies = fx["fx_direct"].join(fx["fx_packages"], "package_id")
-    found = coupling.retry_pypi_imports(dependencies, _matched(fx), imports, fx["fx_wheel_files"])
+    imports = diet_plan_module.source_imports(fx["fx_sources"])
+    matched = coupling.match_imports(imports, coupling.candidate_imports(_dependencies(fx)))
+    found = coupling.retry_pypi_imports(_dependencies(fx), matched, imports, fx["fx_wheel_files"])
     return found.select("project_id", "path", "import_path", "alias", "kind", "package_id")
 
 
+@query
+def diet_from_sources(fx: Fixtures) -> DataFrame:
+    """The full plan: coupling read from source files, PyPI names retried through file listings."""
+    used = diet_plan_module.source_coupling(fx["fx_sources"], _dependencies(fx), fx["fx_wheel_files"])
+    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), used)
+    return plan.select(
+        "project_id",
+        "rank",
+        "package_id",
+        F.round("priority", 9).alias("priority"),
+        "difficulty",
+        "is_unused",
+        "import_files",
+        "call_sites",
+        "api_breadth",
+    )
+
+
 # --- inputs and keys ------------------------------------------------------------------------
 
 
@@ -579,3 +599,277 @@ def roundtrip_check(fx: Fixtures) -> DataFrame:
 @query
 def vanity_repos(fx: Fixtures) -> DataFrame:
     return keys.resolve_vanity(fx["fx_vanity"], fx["fx_html"])
+
+
+# --- bills of materials, module files and workflows --------------------------------------------
+
+
+@query
+def sbom_components(fx: Fixtures) -> DataFrame:
+    return sbom.unique_components(sbom.read_sboms(fx["fx_sbom"])[0])
+
+
+@query
+def sbom_edges(fx: Fixtures) -> DataFrame:
+    components, dependencies, _ = sbom.read_sboms(fx["fx_sbom"])
+    return graph.sbom_edges(sbom.reference_map(components), dependencies)
+
+
+@query
+def sbom_direct(fx: Fixtures) -> DataFrame:
+    components, dependencies, roots = sbom.read_sboms(fx["fx_sbom"])
+    return graph.direct_deps(sbom.reference_map(components), dependencies, roots)
+
+
+@query
+def aggregator_modules(fx: Fixtures) -> DataFrame:
+    """One project per Maven group: its packages are the direct dependencies of an aggregator root."""
+    modules = fx["fx_packages"].where("ecosystem = 'maven'").select(
+        F.col("namespace").alias("project_id"), "package_id", "purl"
+    )
+    purls = fx["fx_packages"].select(F.col("package_id").alias("dst"), F.col("purl").alias("dst_purl"))
+    edges = (
+        fx["fx_edges"].select("src", "dst").distinct()
+        .join(modules.withColumnRenamed("package_id", "src"), "src")
+        .join(purls, "dst")
+        .select("project_id", F.col("purl").alias("src"), F.col("dst_purl").alias("dst"))
+    )
+    roots = modules.select("project_id").distinct().select(
+        "project_id", F.concat(F.lit("pkg:maven/"), F.col("project_id"), F.lit("/root@1.0")).alias("root_purl")
+    )
+    return graph.flatten_aggregators(modules.select("project_id", "purl"), edges, roots)
+
+
+@query
+def go_requirements(fx: Fixtures) -> DataFrame:
+    return manifests.read_go_manifests(fx["fx_gomod"])
+
+
+@query
+def workflow_refs(fx: Fixtures) -> DataFrame:
+    return manifests.read_workflow_refs(fx["fx_workflows"])
+
+
+def _workflow_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    refs = manifests.read_workflow_refs(fx["fx_workflows"])
+    return refs.where("path LIKE '.github/workflows/%'"), refs.where("path NOT LIKE '.github/workflows/%'")
+
+
+def _folder(path: str) -> Column:
+    return F.regexp_replace(path, "/action.ya?ml$", "")
+
+
+@query
+def action_closure(fx: Fixtures) -> DataFrame:
+    direct, nested = _workflow_tables(fx)
+    composite = nested.where("kind = 'remote'").select(
+        "scope", _folder("path").alias("action"), F.col("action").alias("uses")
+    )
+    return graph.action_closure(direct.where("kind = 'remote'").select("scope", "action"), composite)
+
+
+@query
+def local_action_uses(fx: Fixtures) -> DataFrame:
+    direct, nested = _workflow_tables(fx)
+    start = direct.where("kind = 'local'").select("scope", F.col("local_path").alias("path"))
+    local = nested.where("kind = 'local'").select(
+        "scope", _folder("path").alias("path"), F.col("local_path").alias("uses_path")
+    )
+    remote = nested.where("kind = 'remote'").select("scope", _folder("path").alias("path"), "action")
+    return graph.local_action_uses(start, local, remote)
+
+
+@query
+def file_formats(fx: Fixtures) -> DataFrame:
+    return files.route_files(fx["fx_files"]).select("path", "format")
+
+
+@query
+def source_selection(fx: Fixtures) -> DataFrame:
+    placed = F.expr(
+        "CASE length(text) % 6 WHEN 0 THEN 'vendor/' || path WHEN 1 THEN 'lib/build/' || path "
+        "WHEN 2 THEN 'builder/' || path WHEN 3 THEN path || '.txt' ELSE path END"
+    )
+    moved = fx["fx_sources"].select("project_id", placed.alias("path"), "text")
+    return files.select_sources(moved).select("project_id", "path", "lang")
+
+
+# --- repository metadata and counts --------------------------------------------------------------
+
+
+@query
+def repo_metadata(fx: Fixtures) -> DataFrame:
+    none = F.lit(None).cast("string")
+    project = fx["fx_repos"].select(
+        "repo_id",
+        F.lit(7).cast("long").alias("stars"),
+        F.lit(3).cast("long").alias("forks"),
+        F.concat(F.lit("project "), F.col("repo_id")).alias("description"),
+        F.expr("CASE WHEN repo_id % 2 = 0 THEN 'https://p.example.org' END").alias("homepage"),
+        none.alias("default_branch"),
+        none.alias("language"),
+    )
+    return repos.merge_repo_metadata(project, fx["fx_repos"])
+
+
+@query
+def repo_topics(fx: Fixtures) -> DataFrame:
+    topics = fx["fx_topics"].select(F.col("key").alias("repo_id"), F.split("text", " ").alias("topics"))
+    return repos.repo_topics(topics).select("repo_id", F.array_join(F.array_sort("topics"), ";").alias("topics"))
+
+
+@query
+def dependent_counts(fx: Fixtures) -> DataFrame:
+    return repos.dependent_counts(fx["fx_packages"], fx["fx_dependents"])
+
+
+@query
+def yanked_versions(fx: Fixtures) -> DataFrame:
+    lines = fx["lineitem"].select(
+        F.col("l_partkey").alias("package_id"),
+        F.col("l_linenumber").alias("version"),
+        F.expr("l_returnflag = 'R' AND l_quantity > 45").alias("version_yanked"),
+        F.expr("l_linestatus = 'F'").alias("file_yanked"),
+    )
+    return releases.yanked_versions(lines)
+
+
+@query
+def coverage_report(fx: Fixtures) -> DataFrame:
+    def present(name: str, column: str) -> DataFrame:
+        return fx[name].select("repo_id").distinct().withColumn(column, F.lit(True))
+
+    joined = fx["fx_packages"]
+    for name, column in (("fx_repos", "has_repository"), ("fx_commits", "has_project"), ("fx_scores", "has_scorecard")):
+        joined = joined.join(present(name, column), "repo_id", "left").withColumn(
+            column, F.coalesce(column, F.lit(False))
+        )
+    return repos.coverage_report(joined)
+
+
+# --- result rows -----------------------------------------------------------------------------------
+
+
+@query
+def missing_inputs(fx: Fixtures) -> DataFrame:
+    key = F.col("package_id").alias("key")
+    return reports.mark_missing(
+        fx["fx_packages"].select(key), fx["fx_versions"].select(key), fx["fx_registry"].select(key)
+    )
+
+
+@query
+def not_found(fx: Fixtures) -> DataFrame:
+    key = F.col("package_id").alias("key")
+    return reports.not_found(fx["fx_packages"].select(key), fx["fx_versions"].select(key))
+
+
+@query
+def new_actions(fx: Fixtures) -> DataFrame:
+    direct, nested = _workflow_tables(fx)
+    found = nested.where("kind = 'remote' AND path LIKE 'own%'").select("action")
+    return reports.new_actions_only(found, direct.where("kind = 'remote'").select("action"))
+
+
+@query
+def merged_results(fx: Fixtures) -> DataFrame:
+    first = fx["fx_versions"].groupBy(F.col("package_id").alias("key")).agg(F.min("version").alias("value"))
+    second = fx["fx_advisories"].groupBy(F.col("package_id").alias("key")).agg(F.max("version").alias("value"))
+    return reports.merge_results(
+        first.withColumn("origin", F.lit("first")), second.withColumn("origin", F.lit("second"))
+    )
+
+
+@query
+def source_union(fx: Fixtures) -> DataFrame:
+    action = F.expr(
+        "'own' || (package_id % 50) || '/act' || package_id || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END"
+    )
+    named = fx["fx_packages"].select("package_id", action.alias("action"))
+    direct = named.join(fx["fx_direct"].select("package_id").distinct(), "package_id").select(F.col("action").alias("key"))
+    nested = named.groupBy(F.regexp_extract("action", "^([^/]+/[^/]+)", 1).alias("key")).agg(F.min("action").alias("via"))
+    return reports.union_sources(
+        purl=fx["fx_packages"].select(F.col("purl").alias("key")),
+        repository=fx["fx_repos"].select(F.col("repo_url").alias("key")),
+        actions=direct,
+        actions_transitive=nested,
+    )
+
+
+@query
+def distinct_lookup_keys(fx: Fixtures) -> DataFrame:
+    return reports.distinct_keys(fx["fx_advisories"], "advisory_id")
+
+
+@query
+def scan_rows(fx: Fixtures) -> DataFrame:
+    return reports.scan_rows(_scan(fx))
+
+
+@query
+def scorecard_wide(fx: Fixtures) -> DataFrame:
+    dated = _scan(fx).withColumns(
+        {
+            "days_since_stable": age_days(F.col("stable.published_at"), AS_OF),
+            "days_since_prerelease": age_days(F.col("prerelease.published_at"), AS_OF),
+        }
+    )
+    return reports.scorecard_wide(dated, fx["fx_scores"])
+
+
+@query
+def lifecycle_summary(fx: Fixtures) -> DataFrame:
+    return reports.lifecycle_summary(_scan(fx))
+
+
+@query
+def verdict_filter(fx: Fixtures) -> DataFrame:
+    return assess.filter_verdicts(_scan(fx), ["replace", "Review"]).select("package_id", "verdict")
+
+
+@query
+def label_filter(fx: Fixtures) -> DataFrame:
+    return assess.filter_labels(_scan(fx), only_review=True, only_eol=True).select("package_id", "status")
+
+
+@query
+def fail_policy(fx: Fixtures) -> DataFrame:
+    entries = fx["fx_direct"].join(_scan(fx), "package_id")
+    return assess.fail_policy(entries, ["eol-confirmed", "eol-effective"])
+
+
+@query
+def project_scan(fx: Fixtures) -> DataFrame:
+    return reports.scan_summary(fx["fx_direct"].join(_scan(fx), "package_id"), "project_id")
+
+
+@query
+def relation_filter(fx: Fixtures) -> DataFrame:
+    return assess.filter_relation(graph.classify_relation(_nodes(fx), fx["fx_direct"], fx["fx_edges"]))
+
+
+@query
+def workspace_filter(fx: Fixtures) -> DataFrame:
+    local = F.expr(
+        "CASE package_id % 5 WHEN 0 THEN 'workspace:*' WHEN 1 THEN 'link:../x' WHEN 2 THEN '0.0.0-use.local' "
+        "WHEN 3 THEN 'file:./y' ELSE version END"
+    )
+    return diet.drop_workspace(fx["fx_packages"].select("package_id", "ecosystem", local.alias("version")))
+
+
+@query
+def success_flags(fx: Fixtures) -> DataFrame:
+    flag = assess.is_success(F.col("error"), F.col("score_count"), F.col("lifecycle_label"))
+    return _scan(fx).select("package_id", flag.alias("successful"))
+
+
+@query
+def final_reasons(fx: Fixtures) -> DataFrame:
+    catalog = fx["fx_registry"].where("source = 'catalog'")
+    return eol_rules.final_reason(fx["fx_evidence"], catalog)
+
+
+@query
+def input_sample(fx: Fixtures) -> DataFrame:
+    classified = inputs.classify_lines(fx["fx_inputs"])
+    return keys.sample_inputs(classified, 25, seed=7)

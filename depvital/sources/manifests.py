@@ -36,10 +36,11 @@ def read_go_manifests(files: DataFrame) -> DataFrame:
     code = lambda line: F.btrim(F.regexp_replace(line, r"//.*$", ""))
     requires = (
         _lines(files, "require")
-        .where(~F.col("line").rlike(r"//\s*indirect\b"))
-        .select("project_id", code(F.col("line")).alias("line"))
+        .select("project_id", code(F.col("line")).alias("line"), F.col("line").rlike(r"//\s*indirect\b").alias("indirect"))
         .where("line <> ''")
-        .select("project_id", _word(F.col("line"), 1).alias("name"), _word(F.col("line"), 2).alias("version"))
+        .select(
+            "project_id", _word(F.col("line"), 1).alias("name"), _word(F.col("line"), 2).alias("version"), "indirect"
+        )
         .where("version <> ''")
     )
     sides = (
@@ -67,7 +68,8 @@ def read_go_manifests(files: DataFrame) -> DataFrame:
     name = F.coalesce("new.new_name", "name")
     version = F.coalesce("new.new_version", "version")
     return (
-        requires.join(replaces, ["project_id", "name"], "left")
+        requires.where("NOT indirect")
+        .join(replaces, ["project_id", "name"], "left")
         .join(tool_modules, ["project_id", "name"], "left")
         .select(
             "project_id",
