@@ -41,6 +41,11 @@ def purl_struct(raw: Column) -> Column:
     return let(F.regexp_replace(F.btrim(raw), r"[?#].*$", ""), parts)
 
 
+def is_purl(raw: Column) -> Column:
+    """A readable package URL: a type and a name."""
+    return raw.rlike(r"^\s*pkg:/*[A-Za-z][A-Za-z0-9.+-]*/+[^/?#\s]")
+
+
 def purl_type(raw: Column) -> Column:
     return purl_struct(raw)["type"]
 

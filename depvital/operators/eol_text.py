@@ -59,10 +59,16 @@ PROFILES = {
     ),
 }
 
-_TRIGGER = "(?i)" + "|".join(
+# what a sentence must contain for a strong or contextual hit: cheap substrings first, then one pattern
+_HINTS = (*P.STRONG_PHRASES, "eol", "life", "read-only", "will", "until", "after")
+_EXPLICIT_HINTS = (
+    "this project", "this package", "this repo", "no longer maintained", "no longer supported", "reached end of life",
+    "final release",
+)
+_TRIGGER = "|".join(
     [re.escape(p) for p in P.STRONG_PHRASES]
     + [r"\beol\b", r"end[\s-]?of[\s-]?life", r"read-only\s+mode", r"will\s+be\s+(removed|retired|sunset)"]
-    + [r"until\s", r"\bafter\s+[\w-]"]
+    + [r"(?:support\s+(?:continues|provided)|security\s+fixes)\s+until", r"\bafter\s+[\w-]"]
 )
 
 
@@ -83,8 +89,8 @@ def _cut(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Non-blank pieces that end after . ! ? or a line break, in order."""
-    pieces = F.transform(F.split(text, r"(?<=[.!?\n])"), _cut)
-    return F.filter(pieces, lambda s: s != "")
+    pieces = F.split(F.regexp_replace(text, r"([.!?\n])", "$1\x1f"), "\x1f")
+    return F.filter(F.transform(pieces, _cut), lambda s: s != "")
 
 
 def successor_in(text: Column, patterns: Iterable[tuple[str, int]]) -> Column:
@@ -140,19 +146,34 @@ def _date_of(sentence: Column, index: Column) -> Column:
     return F.nullif(chain, F.lit(""))
 
 
-def _sentence_hit(sentence: Column, profile: Profile, name: Column) -> Column:
+def _sentence_hit(sentence: Column, lowered: Column, profile: Profile, name: Column) -> Column:
     """Strong phrase, else contextual pattern, of one sentence; NULL when it has neither."""
+    contextual = let(
+        _contextual_index(lowered),
+        lambda i: F.when(i.isNotNull(), _hit("contextual", F.lit("end of life"), _date_of(sentence, i))),
+    )
+    found = let(
+        _strong_phrase(lowered, _has_token(lowered, profile, name)),
+        lambda p: F.when(p.isNotNull(), _hit("strong", p)).otherwise(contextual),
+    )
+    return F.when(~_any_of(lowered, P.SENTENCE_NEGATIVES), found)
 
-    def judge(lowered: Column) -> Column:
-        strong = _strong_phrase(lowered, _has_token(lowered, profile, name))
-        contextual = let(
-            _contextual_index(lowered),
-            lambda i: F.when(i.isNotNull(), _hit("contextual", F.lit("end of life"), _date_of(sentence, i))),
+
+def _first_hit(body: Column, lowered: Column, profile: Profile, name: Column) -> Column:
+    """Hit of the first sentence that has one. Patterns only see sentences with a hint in them."""
+    # the kind of mark does not matter to the patterns, so a plain split at one character will do
+    pieces = lambda text: F.split(F.translate(text, "!?\n", "..."), r"\.")
+
+    def judge(sentences: Column) -> Column:
+        hits = F.transform(
+            pieces(lowered),
+            lambda ls, i: F.when(
+                _any_of(ls, _HINTS) & ls.rlike(_TRIGGER), _sentence_hit(F.get(sentences, i), ls, profile, name)
+            ),
         )
-        found = let(strong, lambda p: F.when(p.isNotNull(), _hit("strong", p)).otherwise(contextual))
-        return F.when(~_any_of(lowered, P.SENTENCE_NEGATIVES), found)
+        return F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))
 
-    return let(F.lower(sentence), judge)
+    return let(pieces(body), judge)
 
 
 _LEADING_COMPONENTS = (
@@ -164,32 +185,26 @@ def _detect(text: Column, profile: Profile, name: Column) -> Column:
     """Core pass over one text: component sentences at the start are passed over, explicit wording wins,
     then the first sentence with a strong or contextual hit."""
 
-    def judge(body: Column) -> Column:
-        lowered = F.lower(body)
+    def judge(body: Column, lowered: Column) -> Column:
         scoped = ~body.rlike(P.COMPONENT_ANYWHERE) | lowered.contains("this project") | lowered.contains("this package")
-        worth_reading = F.filter(split_sentences(body), lambda s: s.rlike(_TRIGGER))
-        hits = F.filter(
-            F.transform(worth_reading, lambda s: _sentence_hit(s, profile, name)), lambda h: h.isNotNull()
-        )
-        return F.when(
-            (body != "") & ~body.rlike(P.COMPONENT_AT_START),
-            let(
-                F.regexp_extract(body, profile.explicit, 0),
-                lambda phrase: F.when((phrase != "") & scoped, _hit("explicit", phrase)).otherwise(
-                    F.get(hits, F.lit(0))
-                ),
+        explicit = F.when(_any_of(lowered, _EXPLICIT_HINTS), F.regexp_extract(body, profile.explicit, 0)).otherwise("")
+        found = let(
+            explicit,
+            lambda phrase: F.when((phrase != "") & scoped, _hit("explicit", phrase)).otherwise(
+                _first_hit(body, lowered, profile, name)
             ),
         )
+        return F.when((body != "") & ~body.rlike(P.COMPONENT_AT_START), found)
 
-    return let(_cut(F.regexp_replace(text, _LEADING_COMPONENTS, "")), judge)
+    cut = _cut(F.regexp_replace(text, _LEADING_COMPONENTS, ""))
+    return let(cut, lambda body: let(F.lower(body), lambda lowered: judge(body, lowered)))
 
 
-def _explicit_anywhere(text: Column, profile: Profile) -> Column:
-    lowered = F.lower(text)
+def _explicit_anywhere(text: Column, lowered: Column, profile: Profile) -> Column:
     scoped = ~text.rlike(P.COMPONENT_ANYWHERE) | (
         (lowered.contains("this project") | lowered.contains("this package")) & ~text.rlike(P.COMPONENT_AT_START)
     )
-    found = F.regexp_extract(text, profile.explicit, 0)
+    found = F.when(_any_of(lowered, _EXPLICIT_HINTS), F.regexp_extract(text, profile.explicit, 0)).otherwise("")
     return let(found, lambda phrase: F.when((phrase != "") & scoped, _hit("explicit", phrase)))
 
 
@@ -249,7 +264,7 @@ def eol_announcement(text: Column, name: Column, profile: str) -> Column:
     def with_hit(doc: Column, lowered: Column) -> Column:
         core = _detect(before_changelog(doc) if rules.trims_changelog else doc, rules, own_name)
         if rules.trims_changelog:
-            core = F.coalesce(_explicit_anywhere(doc, rules), core)
+            core = F.coalesce(_explicit_anywhere(doc, lowered, rules), core)
         return let(
             core,
             lambda hit: let(
@@ -260,8 +275,12 @@ def eol_announcement(text: Column, name: Column, profile: str) -> Column:
             ),
         )
 
-    trigger = (raw.rlike(rules.explicit) | raw.rlike(_TRIGGER)) & ~_any_of(F.lower(raw), rules.negatives)
-    return F.when(trigger, let(_cut(raw), lambda doc: let(F.lower(doc), lambda lowered: with_hit(doc, lowered))))
+
+    def guarded(doc: Column, lowered: Column) -> Column:
+        hinted = _any_of(lowered, _HINTS) | _any_of(lowered, _EXPLICIT_HINTS)
+        return F.when(hinted & ~_any_of(lowered, rules.negatives), with_hit(doc, lowered))
+
+    return let(_cut(raw), lambda doc: let(F.lower(doc), lambda lowered: guarded(doc, lowered)))
 
 
 def detect_eol(docs: DataFrame, profile: str, text: str = "text", name: str = "name") -> DataFrame:

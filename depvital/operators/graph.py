@@ -204,20 +204,30 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     without a package, if it has children itself. A root without an entry: direct are the references
     nothing depends on. A project without a root or without dependencies yields no row.
     """
-    children = dependencies.where("child_ref IS NOT NULL").select("project_id", "ref", "child_ref").distinct()
-    counts = children.groupBy("project_id", "ref").agg(F.count(F.lit(1)).alias("child_count"))
-    entries = dependencies.select("project_id", "ref").distinct()
+    n = _partitions(refs.sparkSession)
+    key = ["project_id", "ref"]
+    children = cut_lineage(
+        dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct().repartition(n, *key)
+    )
+    entries = dependencies.select(*key).distinct()
     rooted = roots.select("project_id", F.coalesce("root_ref", "root_purl").alias("ref"), "root_purl").where(
         "ref IS NOT NULL"
     )
-    explicit = rooted.join(entries, ["project_id", "ref"], "left_semi")
-    described = (
-        refs.select("project_id", "ref", "purl")
+    explicit = rooted.join(entries, key, "left_semi")
+    # what a reference stands for and how many children it has; references without a package appear by children only
+    counts = children.groupBy(*key).agg(F.count(F.lit(1)).alias("child_count"))
+    described = cut_lineage(
+        refs.select(*key, "purl")
+        .join(counts, key, "full")
         .join(rooted.select("project_id", "root_purl"), "project_id", "left")
-        .select("project_id", "ref", "purl", F.coalesce(F.col("purl") == F.col("root_purl"), F.lit(False)).alias("is_self"))
+        .select(
+            *key,
+            "purl",
+            F.coalesce("child_count", F.lit(0)).alias("child_count"),
+            F.coalesce(F.col("purl") == F.col("root_purl"), F.lit(False)).alias("is_self"),
+        )
+        .repartition(n, *key)
     )
-    described = cut_lineage(described.distinct())
-    counts = cut_lineage(counts)
 
     # frontier rows carry whether they are the sole child of a reference without a package
     frontier = explicit.join(children, ["project_id", "ref"]).select(
@@ -228,9 +238,8 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     while True:
         state = cut_lineage(
             frontier.distinct()
-            .join(described, ["project_id", "ref"], "left")
-            .join(counts, ["project_id", "ref"], "left")
-            .withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+            .join(described, key, "left")
+            .withColumns({"child_count": F.coalesce("child_count", F.lit(0)), "is_self": F.coalesce("is_self", F.lit(False))})
             .withColumn(
                 "passes",
                 F.col("purl").isNull() | F.col("is_self") | (F.col("sole") & (F.col("child_count") > 0)),
@@ -254,7 +263,7 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
         .select("project_id")
         .join(entries, "project_id")
         .join(children.select("project_id", F.col("child_ref").alias("ref")), ["project_id", "ref"], "left_anti")
-        .join(refs, ["project_id", "ref"])
+        .join(described.where("purl IS NOT NULL"), ["project_id", "ref"])
         .select("project_id", "purl")
     )
     return _union([*direct, inferred]).distinct()

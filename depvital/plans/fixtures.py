@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from depvital.operators import graph
-from depvital.session import ensure_checkpoint_dir
+from depvital.session import ensure_checkpoint_dir, spread
 from depvital.sources import facts
 
 AS_OF = "2024-02-01 00:00:00"
@@ -549,6 +549,9 @@ def duckdb_text(name: str) -> str:
     return named.replace("{{", "{").replace("}}", "}").strip()
 
 
+SNAPSHOTS = tuple(name for name in VIEWS if name.removeprefix("fx_") in facts.SCHEMAS)
+
+
 def _inputs(sql: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)))
 
@@ -586,6 +589,7 @@ class Fixtures:
                 return self._reach()
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = spread(df) if name in ("documents", "pages") else df
             elif table in facts.SCHEMAS:
                 if name not in self.saved:
                     facts.save_table(self._view(name), self.folder, table)

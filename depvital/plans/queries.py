@@ -27,6 +27,7 @@ from depvital.plans import diet as diet_plan_module
 from depvital.plans import scan as scan_plan
 from depvital.plans.diet import removal_plan
 from depvital.plans.fixtures import AS_OF, Fixtures
+from depvital.session import cut_lineage
 from depvital.sources import files, inputs, manifests, sbom
 
 Query = Callable[[Fixtures], DataFrame]
@@ -651,7 +652,7 @@ def workflow_refs(fx: Fixtures) -> DataFrame:
 
 
 def _workflow_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
-    refs = manifests.read_workflow_refs(fx["fx_workflows"])
+    refs = cut_lineage(manifests.read_workflow_refs(fx["fx_workflows"]))  # texts are read once
     return refs.where("path LIKE '.github/workflows/%'"), refs.where("path NOT LIKE '.github/workflows/%'")
 
 

@@ -48,6 +48,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out an input that was read in fewer pieces than there are cores; larger inputs stay as they are.
+
+    For tables straight from files that heavy per-row work follows. A file may hold one row group, and
+    then a single task would read all of it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, limits: BroadcastLimits = BroadcastLimits()) -> DataFrame:
     """Hint a lookup table for broadcast when its row count is under the bound, else leave it to Spark."""
     over = df.select(F.lit(1)).limit(limits.max_rows + 1).count()
