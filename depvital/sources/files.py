@@ -13,17 +13,29 @@ MAX_SOURCE_BYTES = 1 << 20
 SNIFF_CHARS = 512
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole text files: path, text."""
+def read_texts(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """Whole text files: path, text.
+
+    Spark passes over names that start with a dot or underscore while it lists folders; name such folders
+    in the path, as ``read_workflows`` does.
+    """
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
 
+def read_workflows(spark: SparkSession, root: str) -> DataFrame:
+    """Workflow files of the repositories below a folder: scope (first folder), path inside it, text."""
+    found = read_texts(spark, f"{root.rstrip('/')}/*/.github/workflows", "*.{yml,yaml}")
+    inside = r"([^/]+)/(\.github/workflows/.*)$"
+    return found.select(
+        F.regexp_extract("path", inside, 1).alias("scope"), F.regexp_extract("path", inside, 2).alias("path"), "text"
+    )
+
+
 def source_language(path: Column) -> Column:
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
