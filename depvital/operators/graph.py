@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from depvital.session import cut_lineage
 
-_COMPACT_EVERY = 8
+_COMPACT_EVERY = 6
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -24,6 +24,52 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class _Seen:
+    """Rows found so far, round by round.
+
+    ``stored`` frames are in the checkpoint folder and make up the result. ``pinned`` ones hold the same
+    rows cached by key: a cached frame keeps its partitioning, so new rows are checked against it without
+    moving the old ones again. A lost cache block is read back from the checkpoint.
+    """
+
+    def __init__(self, key: list[str], n: int) -> None:
+        self.key, self.n = key, n
+        self.stored: list[DataFrame] = []
+        self.pinned: list[DataFrame] = []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        frame = cut_lineage(rows)
+        self.stored.append(frame)
+        self.pinned.append(_pin(frame, self.n, *self.key))
+        if len(self.stored) > _COMPACT_EVERY:
+            merged = cut_lineage(_union(self.stored))
+            self.release()
+            self.stored, self.pinned = [merged], [_pin(merged, self.n, *self.key)]
+        return frame
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        for frame in self.pinned:
+            rows = rows.join(frame.select(*self.key), self.key, "left_anti")
+        return rows
+
+    def release(self) -> None:
+        for frame in self.pinned:
+            frame.unpersist()
+
+    def result(self) -> DataFrame:
+        self.release()
+        return _union(self.stored)
+
+
+def _pin(df: DataFrame, n: int, *key: str) -> DataFrame:
+    return df.repartition(n, *key).persist()
+
+
+def _links(edges: DataFrame, n: int) -> DataFrame:
+    """Distinct edges, cached by their start: shuffled once, not in every round."""
+    return _pin(cut_lineage(edges.select("scope", "src", "dst").distinct()), n, "scope", "src")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     """All (scope, origin, node, level) reachable from the seeds; the first (lowest) level is kept.
 
@@ -31,21 +77,18 @@ def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     the rows found in the round before, so every pair is expanded once and cycles end by themselves.
     """
     n = _partitions(edges.sparkSession)
-    links = cut_lineage(edges.select("scope", "src", "dst").distinct().repartition(n, "scope", "src"))
+    links = _links(edges, n)
     key = ["scope", origin, "node"]
-    frontier = cut_lineage(seeds.select(*key).distinct().withColumn("level", F.lit(0)).repartition(n, *key))
-    found = [frontier]
+    seen = _Seen(key, n)
+    frontier = seen.add(seeds.select(*key).distinct().withColumn("level", F.lit(0)))
     level = 0
     while not frontier.isEmpty():
         level += 1
-        step = frontier.select("scope", origin, F.col("node").alias("src")).repartition(n, "scope", "src")
-        candidates = step.join(links, ["scope", "src"]).select("scope", origin, F.col("dst").alias("node"))
-        fresh = candidates.distinct().join(_union(found).select(*key), key, "left_anti")
-        frontier = cut_lineage(fresh.withColumn("level", F.lit(level)).repartition(n, *key))
-        found.append(frontier)
-        if len(found) > _COMPACT_EVERY:
-            found = [cut_lineage(_union(found).repartition(n, *key))]
-    return _union(found)
+        step = frontier.select("scope", origin, F.col("node").alias("src"))
+        candidates = step.join(links, ["scope", "src"]).select("scope", origin, F.col("dst").alias("node")).distinct()
+        frontier = seen.add(seen.without(candidates).withColumn("level", F.lit(level)))
+    links.unpersist()
+    return seen.result()
 
 
 def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
@@ -55,11 +98,11 @@ def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
     together, so an edge is followed once however many seeds lead to it.
     """
     n = _partitions(edges.sparkSession)
+    links = _links(edges, n)
     key = ["scope", "node"]
-    links = cut_lineage(edges.select("scope", "src", "dst").distinct().repartition(n, "scope", "src"))
-    start = seeds.groupBy(*key).agg(F.min(payload).alias(payload)).withColumn("level", F.lit(0))
-    frontier = cut_lineage(start.repartition(n, *key))
-    found = [frontier]
+    seen = _Seen(key, n)
+    start = seeds.groupBy(*key).agg(F.min(payload).alias(payload))
+    frontier = seen.add(start.withColumn("level", F.lit(0)))
     level = 0
     while not frontier.isEmpty():
         level += 1
@@ -67,12 +110,9 @@ def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
         candidates = step.join(links, ["scope", "src"]).groupBy("scope", F.col("dst").alias("node")).agg(
             F.min(payload).alias(payload)
         )
-        fresh = candidates.join(_union(found).select(*key), key, "left_anti").withColumn("level", F.lit(level))
-        frontier = cut_lineage(fresh.repartition(n, *key))
-        found.append(frontier)
-        if len(found) > _COMPACT_EVERY:
-            found = [cut_lineage(_union(found).repartition(n, *key))]
-    return _union(found)
+        frontier = seen.add(seen.without(candidates).withColumn("level", F.lit(level)))
+    links.unpersist()
+    return seen.result()
 
 
 def reachability(edges: DataFrame, direct: DataFrame) -> DataFrame:
@@ -206,8 +246,8 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     """
     n = _partitions(refs.sparkSession)
     key = ["project_id", "ref"]
-    children = cut_lineage(
-        dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct().repartition(n, *key)
+    children = _pin(
+        cut_lineage(dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct()), n, *key
     )
     entries = dependencies.select(*key).distinct()
     rooted = roots.select("project_id", F.coalesce("root_ref", "root_purl").alias("ref"), "root_purl").where(
@@ -226,8 +266,8 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
             F.coalesce("child_count", F.lit(0)).alias("child_count"),
             F.coalesce(F.col("purl") == F.col("root_purl"), F.lit(False)).alias("is_self"),
         )
-        .repartition(n, *key)
     )
+    described = _pin(described, n, *key)
 
     # frontier rows carry whether they are the sole child of a reference without a package
     frontier = explicit.join(children, ["project_id", "ref"]).select(

@@ -756,6 +756,7 @@ JOIN o_purls p ON p.node = e.dst
 SELECT s.*, p.repo_id, r.stars, r.overall_score FROM o_scan s JOIN fx_packages p USING (package_id)
 LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
 """,
+
 }
 
 # --- statements, one per registered query ---------------------------------------
@@ -1229,6 +1230,17 @@ SELECT d.project_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'ok') A
   count(*) FILTER (WHERE build_label = 'Moderate') AS moderate_count, count(*) FILTER (WHERE build_label = 'Weak') AS weak_count,
   count(*) FILTER (WHERE build_label = 'Ungraded') AS ungraded_count
 FROM fx_direct d JOIN o_scan s USING (package_id) GROUP BY 1
+""",
+    "archived_by_check": """
+SELECT repo_id, 'Project is archived since repo ' || repo_id AS reason FROM fx_scores WHERE check_name = 'Maintained' AND score < 1
+""",
+    "vanity_entries": """
+SELECT page_id, 'go-import' AS kind, 'go.v.org' AS prefix, 'https://github.com/owner' || page_id || '/root' AS repo_url
+FROM pages WHERE page_id % 3 = 0 AND contains(html, '</head>')
+UNION ALL SELECT page_id, 'go-import', 'go.v.org/x' || page_id, 'https://github.com/owner' || page_id || '/deep'
+FROM pages WHERE page_id % 3 = 0 AND contains(html, '</head>')
+UNION ALL SELECT page_id, 'go-source', 'go.v.org', 'https://github.com/src' || page_id || '/tool'
+FROM pages WHERE page_id % 3 = 1 AND contains(html, '</head>')
 """,
 }
 

@@ -748,6 +748,19 @@ def coverage_report(fx: Fixtures) -> DataFrame:
     return repos.coverage_report(joined)
 
 
+@query
+def archived_by_check(fx: Fixtures) -> DataFrame:
+    """Repositories the Maintained check reports as archived."""
+    reason = F.expr("CASE WHEN score < 1 THEN 'Project is archived since repo ' || repo_id ELSE 'active' END")
+    checks = fx["fx_scores"].withColumn("reason", reason)
+    return checks.where(repos.archived_by_reason(F.col("check_name"), F.col("reason"))).select("repo_id", "reason")
+
+
+@query
+def vanity_entries(fx: Fixtures) -> DataFrame:
+    return keys.page_metadata(fx["fx_html"]).drop("position")
+
+
 # --- result rows -----------------------------------------------------------------------------------
 
 
