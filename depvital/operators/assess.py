@@ -20,7 +20,7 @@ from depvital.config import (
     VERDICTS,
     Thresholds,
 )
-from depvital.functions.scalars import age_days, round_half_up
+from depvital.functions.scalars import age_days, round_half_up, severity
 
 # Columns a lifecycle input row has; every fact may be NULL.
 LIFECYCLE_INPUTS = (
@@ -154,6 +154,75 @@ def lifecycle(analysis: DataFrame, as_of: str, cfg: Thresholds = DEFAULTS) -> Da
     )
 
 
+# What each rule looked at, in order; "advisories" stands for the count and the worst severity.
+_RULE_SIGNALS = {
+    "planned_eol": "eol_source eol_scheduled_date",
+    "archived_or_disabled": "repo_archived repo_disabled",
+    "primary_eol": "eol_source",
+    "residual_vulnerabilities": "last_human_commit maintained_score advisories",
+    "recent_stable": "recent_stable_release last_human_commit maintained_score",
+    "recent_prerelease": "recent_pre_release last_human_commit maintained_score",
+    "commits_vcs_direct": "last_human_commit ecosystem_delivery maintained_score",
+    "commit_data_missing": "last_human_commit",
+    "safe_by_vulnerability_score": "last_human_commit advisories",
+    "stalled_good_vulnerability_score": "last_human_commit advisories",
+    "safe_no_advisories": "last_human_commit advisory_count",
+    "low_maintenance_vulnerable": "last_human_commit maintained_score advisories",
+    "inactive_recent_publish": "last_human_commit days_since_release maintained_score",
+    "inactive_old_publish": "last_human_commit days_since_release maintained_score",
+    "no_commit_low_vulnerable": "last_human_commit maintained_score days_since_release advisories",
+    "no_commit_vulnerable_old": "last_human_commit maintained_score days_since_release advisories",
+    "no_commit_vulnerable_recent": "last_human_commit maintained_score days_since_release advisories",
+    "no_commit_recent_publish": "days_since_release advisory_count",
+    "no_commit_mid_publish": "days_since_release advisory_count",
+    "no_commit_old_publish": "days_since_release advisory_count",
+}
+_DEFAULT_SIGNALS = "last_human_commit maintained_score"
+# signals that are left out, not reported as absent, when they have no value
+_OPTIONAL_SIGNALS = ("eol_scheduled_date", "repo_archived", "repo_disabled", "max_advisory_severity")
+
+
+def lifecycle_signals(labelled: DataFrame, as_of: str, key: str = "package_id") -> DataFrame:
+    """Facts behind each lifecycle label: key, rule, position, name, value and role (used or absent)."""
+    split = lambda names: names.replace("advisories", "advisory_count max_advisory_severity").split()
+    literal = lambda names: F.array(*[F.lit(n) for n in split(names)])
+    chain = None
+    for rule, names in _RULE_SIGNALS.items():
+        test = F.col("lifecycle_rule") == rule
+        chain = F.when(test, literal(names)) if chain is None else chain.when(test, literal(names))
+    score = F.col("max_cvss3")
+    values = {
+        "eol_source": F.when(F.col("eol_state") == "Scheduled", "scheduled").otherwise(
+            F.coalesce(F.lower("eol_source"), F.lit("primary-source"))
+        ),
+        "eol_scheduled_date": F.col("eol_scheduled"),
+        "repo_archived": F.when(F.col("archived"), "true"),
+        "repo_disabled": F.when(F.col("disabled"), "true"),
+        "last_human_commit": F.when(F.col("has_commit_data"), F.date_format("latest_human_commit", "yyyy-MM-dd")),
+        "maintained_score": F.when(
+            F.col("maintained_score") >= 0, F.concat(F.col("maintained_score").cast("string"), F.lit("/10"))
+        ),
+        "recent_stable_release": F.lit("true"),
+        "recent_pre_release": F.lit("true"),
+        "ecosystem_delivery": F.lit("vcs-direct"),
+        "advisory_count": F.coalesce("advisory_count", F.lit(0)).cast("string"),
+        "max_advisory_severity": F.when(score > 0, F.concat(severity(score), F.lit(" "), F.format_string("%.1f", score))),
+        "days_since_release": F.least(
+            *[age_days(F.col(f"{s}.published_at"), as_of) for s in ("stable", "prerelease", "max_semver", "requested")]
+        ).cast("string"),
+    }
+    table = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+    named = labelled.select(
+        key, "lifecycle_rule", table.alias("_values"), chain.otherwise(literal(_DEFAULT_SIGNALS)).alias("_names")
+    )
+    rows = named.select(key, "lifecycle_rule", "_values", F.posexplode("_names").alias("position", "name")).select(
+        key, "lifecycle_rule", "position", "name", F.try_element_at("_values", F.col("name")).alias("value")
+    )
+    return rows.where(F.col("value").isNotNull() | ~F.col("name").isin(*_OPTIONAL_SIGNALS)).withColumn(
+        "role", F.when(F.col("value").isNull(), "absent").otherwise("used")
+    )
+
+
 def final_status(eol_state: Column, eol_scheduled: Column, label: Column) -> Column:
     """One status for consumers: registry end of life first, then planned end, then the label."""
     return (

@@ -757,6 +757,22 @@ SELECT s.*, p.repo_id, r.stars, r.overall_score FROM o_scan s JOIN fx_packages p
 LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
 """,
 
+    "o_signal_names": """
+SELECT *, unnest(CASE
+  WHEN rule_no = 1 THEN ['eol_source', 'eol_scheduled_date'] WHEN rule_no = 2 THEN ['repo_archived', 'repo_disabled']
+  WHEN rule_no = 3 THEN ['eol_source']
+  WHEN rule_no IN (4, 15) THEN ['last_human_commit', 'maintained_score', 'advisory_count', 'max_advisory_severity']
+  WHEN rule_no = 5 THEN ['recent_stable_release', 'last_human_commit', 'maintained_score']
+  WHEN rule_no = 6 THEN ['recent_pre_release', 'last_human_commit', 'maintained_score']
+  WHEN rule_no = 7 THEN ['last_human_commit', 'ecosystem_delivery', 'maintained_score']
+  WHEN rule_no IN (12, 13) THEN ['last_human_commit', 'advisory_count', 'max_advisory_severity']
+  WHEN rule_no = 14 THEN ['last_human_commit', 'advisory_count']
+  WHEN rule_no IN (19, 20) THEN ['last_human_commit', 'days_since_release', 'maintained_score']
+  WHEN rule_no IN (24, 26, 27) THEN ['last_human_commit', 'maintained_score', 'days_since_release', 'advisory_count',
+    'max_advisory_severity']
+  WHEN rule_no IN (28, 29, 30) THEN ['days_since_release', 'advisory_count']
+  ELSE ['last_human_commit', 'maintained_score'] END) AS sig FROM o_scan
+""",
 }
 
 # --- statements, one per registered query ---------------------------------------
@@ -1241,6 +1257,22 @@ UNION ALL SELECT page_id, 'go-import', 'go.v.org/x' || page_id, 'https://github.
 FROM pages WHERE page_id % 3 = 0 AND contains(html, '</head>')
 UNION ALL SELECT page_id, 'go-source', 'go.v.org', 'https://github.com/src' || page_id || '/tool'
 FROM pages WHERE page_id % 3 = 1 AND contains(html, '</head>')
+""",
+    "lifecycle_signals": """
+SELECT package_id, name, value, CASE WHEN value IS NULL THEN 'absent' ELSE 'used' END AS role FROM (
+  SELECT s.package_id, sig AS name, CASE sig
+    WHEN 'eol_source' THEN CASE WHEN s.eol_state = 'Scheduled' THEN 'scheduled' ELSE lower(e.eol_source) END
+    WHEN 'eol_scheduled_date' THEN s.eol_scheduled WHEN 'repo_archived' THEN CASE WHEN archived THEN 'true' END
+    WHEN 'repo_disabled' THEN CASE WHEN disabled THEN 'true' END
+    WHEN 'last_human_commit' THEN strftime(latest_human, '%Y-%m-%d')
+    WHEN 'maintained_score' THEN CASE WHEN maint >= 0 THEN maint || '/10' END
+    WHEN 'recent_stable_release' THEN 'true' WHEN 'recent_pre_release' THEN 'true'
+    WHEN 'ecosystem_delivery' THEN 'vcs-direct' WHEN 'advisory_count' THEN CAST(adv AS VARCHAR)
+    WHEN 'max_advisory_severity' THEN CASE WHEN max_cvss3 > 0 THEN CASE WHEN max_cvss3 < 4 THEN 'LOW' WHEN max_cvss3 < 7
+      THEN 'MEDIUM' WHEN max_cvss3 < 9 THEN 'HIGH' ELSE 'CRITICAL' END || ' ' || printf('%.1f', max_cvss3) END
+    WHEN 'days_since_release' THEN CAST(pub AS VARCHAR) END AS value
+  FROM o_signal_names s LEFT JOIN o_eol e ON e.package_id = s.package_id) x
+WHERE value IS NOT NULL OR name NOT IN ('eol_scheduled_date', 'repo_archived', 'repo_disabled', 'max_advisory_severity')
 """,
 }
 

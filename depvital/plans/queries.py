@@ -147,6 +147,11 @@ def lifecycle_scan(fx: Fixtures) -> DataFrame:
     )
 
 
+@query
+def lifecycle_signals(fx: Fixtures) -> DataFrame:
+    return assess.lifecycle_signals(_scan(fx), AS_OF).drop("lifecycle_rule", "position")
+
+
 @query
 def label_distribution(fx: Fixtures) -> DataFrame:
     return reports.label_distribution(_scan(fx))
