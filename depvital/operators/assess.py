@@ -186,10 +186,8 @@ def lifecycle_signals(labelled: DataFrame, as_of: str, key: str = "package_id")
     """Facts behind each lifecycle label: key, rule, position, name, value and role (used or absent)."""
     split = lambda names: names.replace("advisories", "advisory_count max_advisory_severity").split()
     literal = lambda names: F.array(*[F.lit(n) for n in split(names)])
-    chain = None
-    for rule, names in _RULE_SIGNALS.items():
-        test = F.col("lifecycle_rule") == rule
-        chain = F.when(test, literal(names)) if chain is None else chain.when(test, literal(names))
+    by_rule = F.create_map(*[x for rule, names in _RULE_SIGNALS.items() for x in (F.lit(rule), literal(names))])
+    names = F.coalesce(F.try_element_at(by_rule, F.col("lifecycle_rule")), literal(_DEFAULT_SIGNALS))
     score = F.col("max_cvss3")
     values = {
         "eol_source": F.when(F.col("eol_state") == "Scheduled", "scheduled").otherwise(
@@ -212,10 +210,9 @@ def lifecycle_signals(labelled: DataFrame, as_of: str, key: str = "package_id")
         ).cast("string"),
     }
     table = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
-    named = labelled.select(
-        key, "lifecycle_rule", table.alias("_values"), chain.otherwise(literal(_DEFAULT_SIGNALS)).alias("_names")
-    )
-    rows = named.select(key, "lifecycle_rule", "_values", F.posexplode("_names").alias("position", "name")).select(
+    named = labelled.select(key, "lifecycle_rule", table.alias("_values"), names.alias("_names"))
+    # outer: the list is never empty, and no test for that is to be pushed through the rules above
+    rows = named.select(key, "lifecycle_rule", "_values", F.posexplode_outer("_names").alias("position", "name")).select(
         key, "lifecycle_rule", "position", "name", F.try_element_at("_values", F.col("name")).alias("value")
     )
     return rows.where(F.col("value").isNotNull() | ~F.col("name").isin(*_OPTIONAL_SIGNALS)).withColumn(
