@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from depvital.llm.byte_bpe import digests
 from depvital.llm.common import read_table
 from depvital.llm.exact_dedup import exact_dedup
+from depvital.llm.line_dedup import line_dedup
 from depvital.llm.simhash import near_duplicates
+from depvital.llm.token_counts import apply_edits, build_counts, edits_by_pattern
+
+#: Rank file of op3 and op8, an installed file of under one megabyte.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: op8's edits: a run of one punctuation mark becomes a single one.
+PUNCTUATION_RUN = r"([^\w\s])\1+"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of whole texts before and after runs of punctuation are cut to one mark."""
+    state = build_counts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    edited = apply_edits(edits_by_pattern(state, PUNCTUATION_RUN, r"\1"), RANKS, public_tokenizers.PATTERN)
+    return edited.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "split_again", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL = {
@@ -29,4 +58,21 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
         FROM d JOIN g ON d.text = g.text
     """,
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+            FROM documents
+        ),
+        k AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l
+        ),
+        r AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT k.*, r.first_doc IS NOT NULL AND r.first_doc <> k.doc_id AS lost FROM k LEFT JOIN r ON k.key = r.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
