@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -14,7 +15,17 @@ from depvital.session import ensure_checkpoint_dir
 SALTS = 8
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever they were started; clusters install it or ship it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,3 +54,15 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[named(c) for c in left.columns]), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def range_of(key: Column, cuts: Column, count: int) -> Column:
+    """How many of the `count` sorted values in the array `cuts` are not above the key, by binary search."""
+    steps = [1 << b for b in range(count.bit_length() - 1, -1, -1)]
+    start = F.struct(F.lit(0).alias("n"), key.alias("key"))  # the key is computed once, not in each step
+
+    def step(state: Column, width: Column) -> Column:
+        n = state["n"] + width
+        return F.struct(F.when(F.get(cuts, n - 1) <= state["key"], n).otherwise(state["n"]).alias("n"), state["key"].alias("key"))
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, step, lambda state: state["n"])

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depvital.llm.common import keep_table, named
+from depvital.llm.common import keep_table, named, range_of
 
 #: Bytes of text sorted together, and splitter samples drawn for each range.
 RANGE_BYTES = 8 << 20
@@ -38,21 +38,6 @@ def _splitters(keys: DataFrame, rows: int, ranges: int) -> list[str]:
     return list(found["cuts"])
 
 
-def _range_of(key: Column, cuts: list[str]) -> Column:
-    """Number of splitters that are not above the key, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)]
-    table = F.split(F.lit(",".join(cuts)), ",")
-    start = F.struct(F.lit(0).alias("n"), key.alias("key"))
-
-    def step(state: Column, width: Column) -> Column:
-        n = state["n"] + width
-        return F.struct(F.when(F.get(table, n - 1) <= state["key"], n).otherwise(state["n"]).alias("n"), state["key"].alias("key"))
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), start, step, lambda state: state["n"])
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,7 +61,8 @@ def exact_dedup(
     content = rows.withColumn("digest", F.sha2("text", 256)).withColumn("content", F.concat(prefix, "digest"))
     key = F.concat("content", _descending(F.col("doc_id")))
     cuts = _splitters(content.select(key.alias("key")), size["n"], ranges) if ranges > 1 else []
-    dealt = content.withColumn("range", _range_of(key, cuts))
+    table = F.split(F.lit(",".join(cuts)), ",")
+    dealt = content.withColumn("range", range_of(key, table, len(cuts)) if cuts else F.lit(0))
 
     # neighbours in the sorted range: a new run starts where the full text differs from the one before
     inside = Window.partitionBy("range").orderBy("content", "text", F.col("doc_id").desc_nulls_last())

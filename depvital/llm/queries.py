@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import digests
-from depvital.llm.common import read_table
+from depvital.llm.common import new_folder, read_table
+from depvital.llm.embedding_dedup import near_vectors
 from depvital.llm.exact_dedup import exact_dedup
+from depvital.llm.language_id import classify, fit, held_out
 from depvital.llm.line_dedup import line_dedup
+from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_sources
+from depvital.llm.sharding import shard
 from depvital.llm.simhash import near_duplicates
 from depvital.llm.token_counts import apply_edits, build_counts, edits_by_pattern
+from depvital.llm.warc import archive_digests
 
 #: Rank file of op3 and op8, an installed file of under one megabyte.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: op10's limit: what a loader reads at once.
+SHARD_BYTES = 1 << 20
 #: op8's edits: a run of one punctuation mark becomes a single one.
 PUNCTUATION_RUN = r"([^\w\s])\1+"
 
@@ -23,14 +30,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(read_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return classify(rows, fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,12 +64,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "split_again", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
@@ -58,6 +92,14 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
         FROM d JOIN g ON d.text = g.text
     """,
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        g AS (SELECT payload, max(page_id) AS best FROM p WHERE strlen(payload) >= 1000 GROUP BY payload)
+        SELECT page_id, strlen(p.payload)::BIGINT AS payload_bytes, sha1(p.payload) AS payload_digest,
+            CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN best <> page_id THEN best END AS refers_to
+        FROM p LEFT JOIN g ON p.payload = g.payload
+    """,
     "op7_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -75,4 +117,52 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op6_mixing": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce('=' || source, '') AS key,
+                row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), 'g'), doc_id) - 1 AS n
+            FROM documents
+        ),
+        w AS (SELECT key, floor(sqrt(count(*)) * 1000)::BIGINT AS weight FROM d GROUP BY key),
+        a AS (SELECT sum(weight)::BIGINT AS whole, count(*) AS sources, greatest({PERIOD}, count(*) * {SLOTS_PER_SOURCE}) AS period FROM w),
+        u AS (SELECT key, weight, sum(weight) OVER (ORDER BY key)::BIGINT AS upto, row_number() OVER (ORDER BY key) AS pos FROM w),
+        s AS (
+            SELECT key, pos, period, 1 + (upto * (period - sources)) // whole - ((upto - weight) * (period - sources)) // whole AS share
+            FROM u, a
+        ),
+        q AS (SELECT list(share ORDER BY pos) AS q, max(period) AS period FROM s),
+        r AS (
+            SELECT -1::BIGINT AS t, list_transform(q, lambda x: 0::BIGINT) AS used, NULL::BIGINT AS best FROM q
+            UNION ALL
+            SELECT t + 1, list_transform(range(1, len(used) + 1), lambda i: used[i] + CASE WHEN i = b THEN 1 ELSE 0 END), b
+            FROM (
+                SELECT r.t, r.used, list_min(list_transform(range(1, len(q) + 1), lambda i: CASE
+                    WHEN used[i] < q[i] AND (used[i] * period) // q[i] <= t + 1
+                    THEN (((used[i] + 1) * period + q[i] - 1) // q[i]) * 1000000 + i END)) % 1000000 AS b
+                FROM r, q WHERE t + 1 < period
+            )
+        ),
+        p AS (SELECT best AS pos, t AS slot, row_number() OVER (PARTITION BY best ORDER BY t) - 1 AS turn FROM r WHERE t >= 0),
+        b AS (SELECT d.*, s.pos, s.period, s.share, n // {BLOCK_DOCS} AS block FROM d JOIN s ON d.key = s.key)
+        SELECT doc_id, source, block, (block // share) * period + slot AS slot, n % {BLOCK_DOCS} AS place
+        FROM b JOIN p ON b.pos = p.pos AND b.block % b.share = p.turn
+    """,
+    "op10_sharding": f"""
+        WITH d AS (
+            SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 15))::BIGINT AS hash
+            FROM documents
+        ),
+        n AS (
+            SELECT depth, hash >> (60 - depth) AS prefix, sum(bytes) AS bytes, count(*) AS docs
+            FROM d, range(0, 41) AS t(depth) GROUP BY ALL
+        ),
+        leaf AS (
+            SELECT n.* FROM n LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.prefix = n.prefix >> 1
+            WHERE (n.depth = 0 OR up.bytes > {SHARD_BYTES}) AND (n.bytes <= {SHARD_BYTES} OR n.depth = 40)
+        )
+        SELECT d.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth, d.bytes,
+            docs AS shard_docs, leaf.bytes AS shard_bytes, leaf.bytes > {SHARD_BYTES} AS over_limit
+        FROM d JOIN leaf ON d.hash >> (60 - leaf.depth) = leaf.prefix
+    """,
 }
