@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import ahocorasick
@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depvital.llm.common import named
+from depvital.llm.common import named, nullable
 
 #: Pieces and token pairs remembered by a worker; when full, the pieces not met since the last time are forgotten.
 REMEMBERED = 250_000
@@ -204,8 +204,11 @@ def read_ranks(ranks_path: str) -> bytes:
         return file.read()
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of each whole text without special tokens, as little-endian unsigned 32-bit integers.
+def encode_texts(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, *carry, n_tokens, ids): ids of each whole text without special tokens, as little-endian unsigned 32-bit
+    integers; the columns named in `carry` come along.
 
     Null and empty texts have no ids (empty binary). Rows come back as they went in, repeated rows and null identifiers
     included; other columns are not read. An empty table gives an empty result.
@@ -215,34 +218,30 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for whole in batches:
-            for batch in small_batches(whole, 1):
-                ids = [own.encode(text or "") for text in batch.column(1).to_pylist()]
+            for batch in small_batches(whole, 0):
+                ids = [own.encode(text or "") for text in batch.column(0).to_pylist()]
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                columns = [batch.column(0), counts, pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), counts, pa.array(ids, pa.binary())], names=["row", "n_tokens", "ids"])
 
-    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    rest = F.struct(named(id_col).cast("long").alias("doc_id"), *map(named, carry)).alias("row")
+    texts = docs.select(named(text_col).cast("string").alias("text"), rest)
+    schema = docs.select(rest, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).schema
+    return texts.mapInArrow(encode, nullable(schema)).select("row.*", "n_tokens", "ids")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows with `ids_col` replaced by `decoded`, the bytes that the ids stand for; null ids decode to nothing."""
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = [f for f in encoded.schema.fields if f.name != ids_col]
-    width = len(kept)
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for whole in batches:
-            for batch in small_batches(whole, width):
-                texts = pa.array([own.decode(x or b"") for x in batch.column(width).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], texts], names=[*batch.schema.names[:width], "decoded"])
-
-    rows = encoded.select(*[named(f.name) for f in kept], named(ids_col))
-    schema = rows.drop(ids_col).withColumn("decoded", F.lit(b"")).schema
-    for field in schema.fields:
-        field.nullable = True
-    return rows.mapInArrow(decode, schema)
+            for batch in small_batches(whole, 0):
+                texts = pa.array([own.decode(x or b"") for x in batch.column(0).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1), texts], names=["row", "decoded"])
+
+    rest = F.struct(*[named(f.name) for f in encoded.schema.fields if f.name not in (ids_col, "decoded")]).alias("row")
+    schema = encoded.select(rest, F.lit(b"").alias("decoded")).schema
+    return encoded.select(named(ids_col).alias("ids"), rest).mapInArrow(decode, nullable(schema)).select("row.*", "decoded")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

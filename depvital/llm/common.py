@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from depvital.session import ensure_checkpoint_dir
 
@@ -34,6 +35,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def nullable(schema: StructType) -> StructType:
+    """The schema with all columns nullable, as a Python task's output has to be declared."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Unused folder below the folder that all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import small_batches
-from depvital.llm.common import named
+from depvital.llm.common import named, nullable
 
 #: Hashed features; lengths of n-grams in bytes.
 DIMS = 8192
@@ -172,6 +172,4 @@ def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     rest = [named(f.name) for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
     rows = docs.select(F.struct(*rest).alias("row"), named(text_col).cast("string").alias("text"))
     schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
-    for field in schema.fields:
-        field.nullable = True
-    return rows.mapInArrow(predict, schema).select("row.*", "lang_pred", "score", "rejected")
+    return rows.mapInArrow(predict, nullable(schema)).select("row.*", "lang_pred", "score", "rejected")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import small_batches
-from depvital.llm.common import keep_table, named
+from depvital.llm.common import keep_table, named, nullable
 
 #: Distinct repeated lines in a shard on average, and probing rows that one copy of a shard's arrays serves.
 SHARD_LINES = 20_000
@@ -255,6 +255,4 @@ def line_dedup(
     hashes = keep_table(line_hashes(rows, min_chars), "line-hashes")
     joined = rows.join(lost_lines(hashes, shard_lines, probes_per_copy), "doc", "left").select("row", "text", "lost")
     schema = joined.select("row", *[F.lit(0).cast("long").alias(c) for c in ("n_lines", "n_dropped")], F.col("text").alias("kept_text")).schema
-    for field in schema.fields:
-        field.nullable = True
-    return joined.mapInArrow(_keep_lines(min_chars), schema).select("row.*", "n_lines", "n_dropped", "kept_text")
+    return joined.mapInArrow(_keep_lines(min_chars), nullable(schema)).select("row.*", "n_lines", "n_dropped", "kept_text")

@@ -27,21 +27,31 @@ BITS = 64
 TREE_NODES = 4096
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the word shingles: a bit is set if more than half the shingles' hashes have it; 0 without words."""
-    tokens = text.lower().split()
+def shingle_hashes(tokens: list[bytes], words: int) -> bytes:
+    """Eight bytes for each word shingle, in order; one for all words where there are fewer than a shingle's."""
     if not tokens:
-        return 0
+        return b""
     width = min(words, len(tokens))
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = [0, *ends[: len(tokens) - width].tolist()]
     stops = (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, stops)])
+    return b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, stops)])
+
+
+def majority(hashes: bytes) -> int:
+    """A bit is set if more than half the hashes have it; 0 without hashes."""
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of a text's word shingles."""
+    return majority(shingle_hashes(text.lower().split(), words))
 
 
 def signed(value: int) -> int:
@@ -198,3 +208,144 @@ def near_duplicates(
     named_by = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = lookup(rooted, named_by, ["root"]).select("fp", "component_id")
     return lookup(rows, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near copies by similarity: fingerprints lie too far apart for blocks of bits, so shards are shared shingles
+
+#: Fingerprints of texts that share four fifths of their shingles lie within so many bits.
+SIMILAR_BITS = 18
+#: Smallest hashes under so many orders name the shards of a text: two texts that share a part s of their shingles meet
+#: in one with probability 1 - (1 - s) ** SHARD_ORDERS.
+SHARD_ORDERS = 5
+#: Smallest distinct hashes kept of a text; with more shingles than these the similarity is estimated from them, and
+#: MARGIN keeps pairs just over the limit from being missed.
+SKETCH = 160
+MARGIN = 0.02
+_ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def are_similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity reaches `least`, from sorted distinct hashes: exact for whole sets, else estimated
+    over the smallest of the union, with the margin."""
+    common, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return len(common) >= least * len(union)
+    used = min(len(union), SKETCH)
+    return int(np.searchsorted(common, union[used - 1], side="right")) >= (least - MARGIN) * used
+
+
+def _features(words: int):
+    names = ["doc_id", "content", "fp", "shards", "sketch"]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                tokens = (text or b"").lower().split()
+                hashes = shingle_hashes(tokens, words)
+                found = np.unique(np.frombuffer(hashes, ">u8")).astype(np.uint64)
+                shards = []
+                if len(found):
+                    mixed = found[None, :] * _ORDERS[:SHARD_ORDERS, None]
+                    shards = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).view(np.int64).tolist()
+                sketch = (found[:SKETCH] >> np.uint64(24)).astype("<u8")  # the upper 40 bits keep the order
+                content = xxhash.xxh3_128_digest(b" ".join(tokens))
+                rows.append((content, signed(majority(hashes)), shards, sketch.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    return features
+
+
+def _unpacked(sketch: bytes) -> np.ndarray:
+    wide = np.zeros((len(sketch) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(sketch, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def similar_links(rows: list[tuple[int, int, int, bytes]], bits: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect the similar texts of one shard; rows: (role, node, fingerprint, sketch).
+
+    Role 0 goes into the tree, role 1 asks it, role 2 does both. Texts already connected are not compared again.
+    """
+    tree, places, lead = BKTree(), [], list(range(len(rows)))
+    sketches: list[np.ndarray | None] = [None] * len(rows)
+
+    def top(i: int) -> int:
+        while lead[i] != i:
+            lead[i] = lead[lead[i]]
+            i = lead[i]
+        return i
+
+    def sketch(i: int) -> np.ndarray:
+        if sketches[i] is None:
+            sketches[i] = _unpacked(rows[i][3])
+        return sketches[i]
+
+    for i, (role, _, fp, _) in enumerate(rows):
+        if role:
+            for node in tree.within(fp, bits):
+                j = places[node]
+                if (a := top(i)) != (b := top(j)) and are_similar(sketch(i), sketch(j), least):
+                    lead[max(a, b)] = min(a, b)
+        if role != 1:
+            tree.add(fp)
+            places.append(i)
+    return [(rows[i][1], rows[top(i)][1]) for i in range(len(rows)) if lead[i] != i]
+
+
+def _shard_stream(bits: int, least: float):
+    """Rows sorted by (place, value, part, role) to links inside each part of a shard."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        held_key = None
+        mask = (1 << BITS) - 1
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for *key, role, node, fp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != held_key:
+                    out += similar_links(held, bits, least) if len(held) > 1 else []
+                    held, held_key = [], key
+                held.append((role, node, fp & mask, sketch))
+            yield _edges(out)
+        yield _edges(similar_links(held, bits, least) if len(held) > 1 else [])
+
+    return links
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tree_nodes: int = TREE_NODES
+) -> DataFrame:
+    """(doc_id, component_id) for each row: texts are linked if their sets of word shingles have a Jaccard similarity of
+    `least` or more (estimated for texts of over SKETCH shingles); component_id is the smallest doc_id reachable.
+
+    Words as in `near_duplicates`. Texts of the same words are one text, blank and null texts too. A shard holds the
+    texts that share a smallest hash; a BK-tree over their fingerprints finds the candidates. A shard of more than
+    `tree_nodes` different texts is cut into blocks, and each pair of blocks has a task of its own. Null identifiers take
+    part but name a component only if nothing else does. Other columns are not read.
+    """
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("binary").alias("text"))
+    rows = keep_table(texts.mapInArrow(_features(words), "doc_id long, content binary, fp long, shards array<long>, sketch binary"), "shingle-features")
+    first = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"), *[F.any_value(c).alias(c) for c in ("fp", "shards", "sketch")])
+    first = keep_table(first.withColumn("node", F.monotonically_increasing_id()), "different-texts")
+
+    shards = first.select("node", F.posexplode("shards").alias("place", "value"))
+    shared = shards.groupBy("place", "value").agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    shared = keep_table(shared.where("n > 1").select("place", "value", "blocks"), "shared-shards")
+    members = lookup(shards, shared, ["place", "value"], "inner").join(first.select("node", "fp", "sketch"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    role = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    part = F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.select("place", "value", part["low"].alias("low"), part["high"].alias("high"), role.alias("role"), "node", "fp", "sketch")
+    key = ("place", "value", "low", "high")
+    links = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_shard_stream(SIMILAR_BITS, least), "a long, b long")
+
+    roots = components(links)
+    rooted = first.select("node", "content", "first_id").join(roots, "node", "left")
+    rooted = keep_table(rooted.select("content", "first_id", F.coalesce("root", "node").alias("root")), "rooted-texts")
+    named_by = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_text = lookup(rooted, named_by, ["root"]).select("content", "component_id")
+    return lookup(rows.select("doc_id", "content"), of_text, ["content"]).select("doc_id", "component_id")
