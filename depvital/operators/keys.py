@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +94,19 @@ def dedup_inputs(inputs: DataFrame, key: str, order: str) -> DataFrame:
     return first.select(key, "first.*")
 
 
-def sample_inputs(inputs: DataFrame, n: int, seed: int, kind: str = "kind") -> DataFrame:
-    """n random rows of every input kind: the n smallest random numbers, all rows where there are fewer.
+def sample_inputs(
+    inputs: DataFrame, n: int, seed: int, place: Sequence[str] = ("file_id", "line_no"), kind: str = "kind",
+    kinds: Sequence[str] = ("package", "repository"),
+) -> DataFrame:
+    """n pseudo-random rows of each of the kinds, all rows where there are fewer.
 
-    Kinds are few and fixed (package, repository), so each takes its own top-n.
+    The order is a hash of the seed and the row's place, so it does not depend on how rows are partitioned; each kind
+    takes its own top-n.
     """
-    tagged = inputs.withColumn("_random", F.rand(seed))
-    parts = [tagged.where(F.col(kind) == k).orderBy("_random").limit(n) for k in ("package", "repository")]
-    return parts[0].unionByName(parts[1]).drop("_random")
+    number = F.md5(F.concat_ws("/", F.lit(seed), *place).cast("binary"))
+    tagged = inputs.withColumn("_number", number)
+    parts = [tagged.where(F.col(kind) == k).orderBy("_number", *place).limit(n) for k in kinds]
+    return reduce(DataFrame.unionByName, parts).drop("_number")
 
 
 def input_kind(line: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depvital.functions.spdx import alias_key, dictionary, license_of_url
-from depvital.session import small_side
 
 # --- fixed values: where a licence came from ---------------------------------------
 PROJECT_SPDX = "depsdev-project-spdx"
@@ -30,7 +29,7 @@ def normalize_licenses(raws: DataFrame, spdx: DataFrame, raw: str = "raw") -> Da
     Spellings are looked up in the dictionary by their upper-case form, then by alias key; both lookups are
     hash joins against the same small table. What no entry matches keeps its words joined by dashes.
     """
-    entries = small_side(dictionary(spdx))
+    entries = dictionary(spdx)
     text = F.btrim(F.coalesce(F.col(raw), F.lit("")))
     exact = entries.where("rank = 0").select(F.col("key").alias("_upper"), F.col("license_id").alias("_exact"))
     alias = entries.select(F.col("key").alias("_alias_key"), F.col("license_id").alias("_alias"))
@@ -346,19 +345,44 @@ def license_scenario() -> Column:
 
 # --- manifests ------------------------------------------------------------------------------
 
-_EXPAND_PASSES = 5
+def _property_maps(properties: DataFrame, packages: DataFrame | None) -> DataFrame:
+    """(package_id, _properties, _cyclic): one value per key, and the keys whose values lead back to themselves.
 
-
-def expand_properties(entries: DataFrame, properties: DataFrame, columns: tuple[str, ...] = ("name", "url")) -> DataFrame:
-    """Replace ${key} by the package's property, up to five rounds; unknown keys stay.
+    Of a repeated key the row with the largest ``position`` counts (without that column the largest value). ``packages``
+    (package_id, namespace, name, version) adds the names that every manifest knows, below all others.
+    """
+    place = F.col("position") if "position" in properties.columns else F.lit(0)
+    rows = properties.select("package_id", "key", "value", place.cast("long").alias("place"))
+    if packages is not None:
+        fields = {"groupId": "namespace", "artifactId": "name", "version": "version"}
+        known = [F.struct(F.lit(f"{p}.{k}").alias("key"), F.col(c).cast("string").alias("value")) for p in ("project", "pom") for k, c in fields.items()]
+        own = packages.select("package_id", F.explode(F.array(*known)).alias("k")).select("package_id", "k.key", "k.value")
+        rows = rows.unionByName(own.where("value IS NOT NULL").withColumn("place", F.lit(-1).cast("long")))
+    single = rows.groupBy("package_id", "key").agg(F.max(F.struct("place", "value"))["value"].alias("value"))
+    maps = single.groupBy("package_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_properties"))
+    refs = F.transform_values("_properties", lambda _, v: F.array_distinct(F.regexp_extract_all(v, F.lit(r"\$\{([^}]+)\}"), F.lit(1))))
+
+    def reached(key: Column) -> Column:
+        """Keys that a key's value needs, however far."""
+        further = lambda names: F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at("_refs", n), F.array().cast("array<string>"))))
+        return F.aggregate(F.map_keys("_refs"), F.element_at("_refs", key), lambda names, _: F.array_union(names, further(names)))
+
+    linked = maps.withColumn("_refs", refs)
+    chained = F.exists(F.map_values("_refs"), lambda names: F.size(names) > 0)
+    cyclic = F.when(chained, F.filter(F.map_keys("_refs"), lambda k: F.array_contains(reached(k), k)))
+    return linked.withColumn("_cyclic", F.coalesce(cyclic, F.array().cast("array<string>"))).drop("_refs")
+
+
+def expand_properties(
+    entries: DataFrame, properties: DataFrame, columns: tuple[str, ...] = ("name", "url"), packages: DataFrame | None = None
+) -> DataFrame:
+    """Replace ${key} by the package's property until nothing changes; unknown keys and keys that need themselves stay.
 
     ``properties`` has package_id, key, value. A package's properties form one small map, built once and
-    joined by package; every round replaces all keys that occur in the text.
+    joined by package; every round replaces all keys that occur in the text, and a chain has at most as many links as
+    there are keys.
     """
-    maps = properties.groupBy("package_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_properties")
-    )
-    result = entries.join(maps, "package_id", "left").withColumn(
+    result = entries.join(_property_maps(properties, packages), "package_id", "left").withColumn(
         "_properties", F.coalesce("_properties", F.create_map().cast("map<string,string>"))
     )
 
@@ -367,25 +391,26 @@ def expand_properties(entries: DataFrame, properties: DataFrame, columns: tuple[
 
         def one(acc: Column, key: Column) -> Column:
             mark = F.concat(F.lit("${"), key, F.lit("}"))
-            return F.replace(acc, mark, F.coalesce(F.try_element_at("_properties", key), mark))
+            value = F.when(~F.array_contains("_cyclic", key), F.try_element_at("_properties", key))
+            return F.replace(acc, mark, F.coalesce(value, mark))
 
         return F.aggregate(keys, text, one)
 
-    rounds = F.sequence(F.lit(1), F.lit(_EXPAND_PASSES))
+    rounds = F.map_keys("_properties")  # one round for each key at most
     expanded = {
         c: F.when(F.contains(c, F.lit("${")), F.aggregate(rounds, F.col(c), lambda acc, _: expand(acc))).otherwise(F.col(c))
         for c in columns
     }
-    return result.withColumns(expanded).drop("_properties")
+    return result.withColumns(expanded).drop("_properties", "_cyclic")
 
 
-def manifest_licenses(entries: DataFrame, properties: DataFrame, spdx: DataFrame) -> DataFrame:
+def manifest_licenses(entries: DataFrame, properties: DataFrame, spdx: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """Licence entries of manifests in document order, each licence once.
 
     ``entries`` has package_id, position, name, url. The name decides if it is recognised, else the
     address, else the text stays as it is.
     """
-    expanded = expand_properties(entries, properties)
+    expanded = expand_properties(entries, properties, packages=packages)
     known = normalize_licenses(expanded, spdx, raw="name")
     url_id = license_of_url(F.col("url"))
     name = F.expr("nullif(btrim(name), '')")

@@ -51,7 +51,7 @@ def release_slots(versions: DataFrame, requested: DataFrame) -> DataFrame:
     exact = (
         versions.join(wanted, ["package_id", "version"])
         .groupBy("package_id")
-        .agg(F.first(_version_row()).alias("requested"))
+        .agg(F.max(_version_row()).alias("requested"))
     )
     return slots.join(exact, "package_id", "left")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depvital.functions.scalars import blank_to_null
 
+# --- fixed values: checks of the published scorecard --------------------------------
+CHECKS = (
+    "Binary-Artifacts", "Branch-Protection", "CI-Tests", "CII-Best-Practices", "Code-Review", "Contributors",
+    "Dangerous-Workflow", "Dependency-Update-Tool", "Fuzzing", "License", "Maintained", "Packaging",
+    "Pinned-Dependencies", "SAST", "Security-Policy", "Signed-Releases", "Token-Permissions", "Vulnerabilities",
+)
 # order of label groups in listings
 BUCKETS = ("active", "stalled", "eol", "review", "other")
 
@@ -41,8 +47,8 @@ def label_distribution(entries: DataFrame) -> DataFrame:
     counted = evaluated.groupingSets([["label"], ["label", "reason"]], "label", "reason").agg(
         F.grouping("reason").alias("is_total"), F.count(F.lit(1)).alias("rows")
     )
-    evaluated_rows = F.sum(F.when(F.col("is_total") == 1, F.col("rows"))).over(Window.partitionBy())
-    return counted.withColumn("evaluated", evaluated_rows).select(  # a few dozen rows by now
+    total = counted.where("is_total = 1").agg(F.sum("rows").alias("evaluated"))  # one row
+    return counted.join(F.broadcast(total)).select(
         "label",
         F.when(F.col("is_total") == 0, F.col("reason")).alias("reason"),
         F.col("rows").alias("packages"),
@@ -85,12 +91,10 @@ def scan_rows(entries: DataFrame) -> DataFrame:
 def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """One row per package with a repository, one column per check (sorted), scores as text with two digits.
 
-    Check names are a small set; without a list they are read from the scores first.
+    The checks are an argument, by default those the scorecard publishes; no pass over the scores looks for names.
     """
-    if checks is None:
-        checks = [row[0] for row in scores.select("check_name").distinct().collect()]
-    ordered = sorted(checks)
-    wide = scores.groupBy("repo_id").pivot("check_name", ordered).agg(F.first("score"))
+    ordered = sorted(CHECKS if checks is None else checks)
+    wide = scores.groupBy("repo_id").pivot("check_name", ordered).agg(F.max("score"))
     two_digits = lambda name: F.format_string("%.2f", F.col(f"`{name}`").cast("double"))
     named = [F.when(F.col(f"`{c}`").isNotNull(), two_digits(c)).alias(c) for c in ordered]
     return (

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from depvital.functions.scalars import age_days, blank_to_null
 
-TOPIC_LIMIT = 20
-
 
 def is_bot(login: Column) -> Column:
     """Logins that contain "bot"; an unknown author counts as human."""
@@ -75,13 +73,10 @@ def merge_repo_metadata(project: DataFrame, repo: DataFrame) -> DataFrame:
     )
 
 
-def repo_topics(topics: DataFrame) -> DataFrame:
-    """Trimmed, distinct, non-blank topics in their order, at most twenty; NULL stays "not fetched"."""
-    trimmed = F.filter(F.transform("topics", lambda t: F.trim(t)), lambda t: t != "")
-    return topics.select(
-        "repo_id",
-        F.slice(F.array_distinct(trimmed), 1, TOPIC_LIMIT).alias("topics"),
-    )
+def repo_topics(topics: DataFrame, limit: int | None = None) -> DataFrame:
+    """Trimmed, distinct, non-blank topics in their order, at most ``limit``; NULL stays "not fetched"."""
+    trimmed = F.array_distinct(F.filter(F.transform("topics", lambda t: F.trim(t)), lambda t: t != ""))
+    return topics.select("repo_id", (trimmed if limit is None else F.slice(trimmed, 1, limit)).alias("topics"))
 
 
 def dependent_counts(packages: DataFrame, dependents: DataFrame) -> DataFrame:

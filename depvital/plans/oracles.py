@@ -944,7 +944,7 @@ SELECT doc_id AS key, CASE WHEN s = '' THEN NULL WHEN length(s) <= 200 THEN s EL
 FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS s FROM documents) d
 """,
     "normalize_licenses": """
-SELECT package_id, slot, position, raw, license_id, is_spdx, match_type FROM o_known
+SELECT package_id, slot, position, raw, url, license_id, is_spdx, match_type FROM o_known
 """,
     "license_urls": f"SELECT package_id, position, url, {_url_id('url')} AS url_license FROM fx_pom_entries",
     "version_licenses": "SELECT DISTINCT package_id, license_id FROM o_version_ids",
@@ -1017,6 +1017,11 @@ SELECT * REPLACE (round(unrecognised_share, 9) AS unrecognised_share), unrecogni
     "input_lines": """
 SELECT file_id, line_no, t AS line, kind FROM o_input_kinds WHERE kind <> 'unrecognised'
   AND file_id IN (SELECT file_id FROM o_file_quality WHERE unrecognised_share <= 0.5)
+""",
+    "input_sample": """
+SELECT file_id, line_no, line, kind FROM (SELECT file_id, line_no, t AS line, kind, row_number() OVER (
+    PARTITION BY kind ORDER BY md5('7/' || file_id || '/' || line_no), file_id, line_no) AS n
+  FROM o_input_kinds WHERE kind <> 'unrecognised') k WHERE n <= 25
 """,
     "package_keys": "SELECT file_id, line_no, purl, canonical_key, ver AS purl_version FROM o_keys",
     "key_variants": """
@@ -1024,8 +1029,8 @@ SELECT canonical_key, count(*) AS inputs, count(DISTINCT purl) AS spellings, min
   count(DISTINCT ver) AS versions FROM o_keys WHERE canonical_key IS NOT NULL GROUP BY 1
 """,
     "dedup_inputs": """
-SELECT canonical_key, min(file_id * 1000000 + line_no) AS position, arg_min(purl, file_id * 1000000 + line_no) AS purl
-FROM o_keys WHERE canonical_key IS NOT NULL GROUP BY 1
+SELECT canonical_key, file_id, line_no, purl FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY file_id, line_no) AS n
+  FROM o_keys WHERE canonical_key IS NOT NULL) k WHERE n = 1
 """,
     "maven_repair": r"""
 SELECT file_id, line_no, purl, CASE WHEN fits THEN regexp_replace(regexp_replace(purl, '%3[aA]', ':'), ':([^:@/]+)(@|$)', '/\1\2')
@@ -1202,8 +1207,9 @@ SELECT verdict, purl, label AS lifecycle_label, reason AS lifecycle_reason, buil
 WITH c AS (SELECT repo_id, check_name, printf('%.2f', CAST(score AS DOUBLE)) AS t FROM fx_scores)
 SELECT s.purl, s.repo_url, printf('%.2f', s.overall_score) AS overall_score,
   {', '.join(f"max(t) FILTER (WHERE check_name = '{c}') AS " + '"' + c + '"' for c in (
-      'Binary-Artifacts', 'Branch-Protection', 'Code-Review', 'Dangerous-Workflow', 'Maintained', 'Pinned-Dependencies',
-      'Token-Permissions', 'Vulnerabilities'))},
+      'Binary-Artifacts', 'Branch-Protection', 'CI-Tests', 'CII-Best-Practices', 'Code-Review', 'Contributors',
+      'Dangerous-Workflow', 'Dependency-Update-Tool', 'Fuzzing', 'License', 'Maintained', 'Packaging', 'Pinned-Dependencies',
+      'SAST', 'Security-Policy', 'Signed-Releases', 'Token-Permissions', 'Vulnerabilities'))},
   any_value(coalesce(s.stable_age, 0)) AS days_since_stable, any_value(coalesce(s.pre_age, 0)) AS days_since_prerelease,
   any_value(s.archived) AS archived, any_value(s.label) AS lifecycle_label, any_value(s.reason) AS lifecycle_reason
 FROM o_scan_repo s LEFT JOIN c ON c.repo_id = s.repo_id WHERE s.repo_url IS NOT NULL GROUP BY 1, 2, 3

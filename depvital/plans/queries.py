@@ -374,7 +374,7 @@ def _spdx(fx: Fixtures) -> DataFrame:
 
 @query
 def normalize_licenses(fx: Fixtures) -> DataFrame:
-    return licenses.normalize_licenses(licenses.spellings(fx["fx_licenses"]), _spdx(fx)).drop("url")
+    return licenses.normalize_licenses(licenses.spellings(fx["fx_licenses"]), _spdx(fx))
 
 
 @query
@@ -542,8 +542,8 @@ def key_variants(fx: Fixtures) -> DataFrame:
 @query
 def dedup_inputs(fx: Fixtures) -> DataFrame:
     resolved = keys.resolve_package_keys(_purls(fx)).where("canonical_key IS NOT NULL")
-    placed = resolved.select("canonical_key", (F.col("file_id") * 1_000_000 + F.col("line_no")).alias("position"), "purl")
-    return keys.dedup_inputs(placed, "canonical_key", "position")
+    placed = resolved.select("canonical_key", F.struct("file_id", "line_no").alias("position"), "purl")
+    return keys.dedup_inputs(placed, "canonical_key", "position").select("canonical_key", "position.*", "purl")
 
 
 @query

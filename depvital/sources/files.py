@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,6 @@ from pyspark.sql import functions as F
 LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
              "ts": "typescript", "tsx": "typescript", "java": "java"}
 SKIPPED_FOLDERS = ("vendor", "node_modules", ".git", "testdata", "__pycache__", "build", "dist", "target")
-MAX_SOURCE_BYTES = 1 << 20
-SNIFF_CHARS = 512
 
 
 def read_texts(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
@@ -28,12 +29,27 @@ def read_texts(spark: SparkSession, path: str | list[str], pattern: str = "*") -
 
 
 def read_workflows(spark: SparkSession, root: str) -> DataFrame:
-    """Workflow files of the repositories below a folder: scope (first folder), path inside it, text."""
-    found = read_texts(spark, f"{root.rstrip('/')}/*/.github/workflows", "*.{yml,yaml}")
-    inside = r"([^/]+)/(\.github/workflows/.*)$"
-    return found.select(
-        F.regexp_extract("path", inside, 1).alias("scope"), F.regexp_extract("path", inside, 2).alias("path"), "text"
-    )
+    """Workflow and composite-action files of the repositories below a folder: scope (first folder), path inside it, text.
+
+    Action files may lie in any folder of a repository; ``.github`` is named because listings pass over it.
+    """
+    base = root.rstrip("/")
+    folders = [f"{base}/*/.github/workflows", f"{base}/*/.github/actions", base]
+    found = reduce(DataFrame.unionByName, [texts for texts in (_texts_below(spark, folder) for folder in folders) if texts])
+    relative = F.regexp_replace(F.split_part(F.col("path"), F.lit(base + "/"), F.lit(-1)), r"^[a-z]+:/+", "")
+    inside = F.regexp_extract(relative, r"^[^/]+/(.*)$", 1)
+    wanted = F.col("path").rlike(r"^\.github/workflows/[^/]+$") | F.col("path").rlike(r"(?:^|/)action\.ya?ml$")
+    return found.select(F.split_part(relative, F.lit("/"), F.lit(1)).alias("scope"), inside.alias("path"), "text").where(wanted)
+
+
+def _texts_below(spark: SparkSession, folder: str) -> DataFrame | None:
+    """YAML files below the folders of a pattern; None where the pattern matches nothing."""
+    try:
+        return read_texts(spark, folder, "*.{yml,yaml}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def source_language(path: Column) -> Column:
@@ -51,7 +67,7 @@ def is_skipped(path: Column) -> Column:
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """Source files of many projects: project_id (first folder below the root), path, lang, text.
 
-    Name, size and folder are checked on the file listing, so skipped files are never opened.
+    Name and folder are checked on the file listing, so skipped files are never opened.
     """
     files = (
         spark.read.format("binaryFile")
@@ -61,7 +77,7 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     )
     base = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.split_part(F.col("path"), F.lit(base), F.lit(-1)), r"^[a-z]+:/+", "")
-    listed = files.where(F.col("length") <= MAX_SOURCE_BYTES).withColumn("_relative", relative)
+    listed = files.withColumn("_relative", relative)
     return listed.where(~is_skipped(F.col("_relative"))).select(
         F.split_part("_relative", F.lit("/"), F.lit(1)).alias("project_id"),
         F.col("_relative").alias("path"),
@@ -73,21 +89,21 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
 def select_sources(files: DataFrame) -> DataFrame:
     """The same choice over a table of files (project_id, path, text)."""
     return (
-        files.where((F.octet_length("text") <= MAX_SOURCE_BYTES) & ~is_skipped(F.col("path")))
+        files.where(~is_skipped(F.col("path")))
         .withColumn("lang", source_language(F.col("path")))
         .where("lang IS NOT NULL")
     )
 
 
 def file_format(path: Column, text: Column) -> Column:
-    """gomod, sbom, workflow or list, from the name and the first 512 characters."""
-    head = F.substring(text, 1, SNIFF_CHARS)
+    """gomod, sbom, workflow or list, from the name and the whole text."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    gomod = (name == "go.mod") | head.rlike(r"^(?:\s*(?:/[^\n]*)?\n)*\s*module(?:\s|$)")
-    sbom = path.endswith(".json") & head.rlike(r'"bomFormat"\s*:\s*"(?i:CycloneDX)"')
+    statements = F.btrim(F.regexp_replace(text, r"(?m)^[ \t]*/[^\n]*$", ""), F.lit(" \t\r\n"))
+    gomod = (name == "go.mod") | statements.rlike(r"^module(?:\s|$)")
+    sbom = path.endswith(".json") & text.rlike(r'"bomFormat"\s*:\s*"(?i:CycloneDX)"')
     yaml = F.lower(path).rlike(r"\.ya?ml$")
     in_folder = path.contains("/.github/workflows/") | path.startswith(".github/workflows/")
-    marked = head.rlike(r'(?m)^"?on"?:') & head.rlike(r"(?m)^jobs:")
+    marked = text.rlike(r'(?m)^"?on"?:') & text.rlike(r"(?m)^jobs:")
     return F.when(gomod, "gomod").when(sbom, "sbom").when(yaml & (in_folder | marked), "workflow").otherwise("list")
 
 

@@ -11,15 +11,14 @@ from depvital.operators.prefixes import longest_prefix_join
 
 
 def _directive_lines(word: str) -> Column:
-    """Lines of a directive, from its blocks and from single-line uses."""
-    blocks = F.regexp_extract_all("text", F.lit(rf"(?m)^{word}\s*\(([^)]*)\)"), F.lit(1))
-    singles = F.regexp_extract_all("text", F.lit(rf"(?m)^{word}[ \t]+([^(\s][^\n]*)$"), F.lit(1))
-    return F.concat(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n"))), singles)
+    """Lines of a directive in file order, from its blocks and from single-line uses."""
+    uses = F.regexp_extract_all("text", F.lit(rf"(?m)^{word}\s*\([^)]*\)|^{word}[ \t]+[^(\s][^\n]*$"), F.lit(0))
+    return F.flatten(F.transform(uses, lambda u: F.split(F.regexp_replace(u, rf"^{word}\s*\(?|\)$", ""), "\n")))
 
 
 def _lines(files: DataFrame, word: str) -> DataFrame:
-    return files.select("project_id", F.explode(_directive_lines(word)).alias("_line")).select(
-        "project_id", F.btrim("_line", F.lit(" \t\r")).alias("line")
+    return files.select("project_id", F.posexplode(_directive_lines(word)).alias("position", "_line")).select(
+        "project_id", "position", F.btrim("_line", F.lit(" \t\r")).alias("line")
     )
 
 
@@ -30,8 +29,8 @@ def _word(text: Column, n: int) -> Column:
 def read_go_manifests(files: DataFrame) -> DataFrame:
     """Direct requirements of module files: project_id, name, version, purl, scope.
 
-    ``files`` has project_id, text. Lines marked indirect are left out; a replacement is applied unless
-    it is a local path; modules that a tool directive points into have scope "tool".
+    ``files`` has project_id, text. Lines marked indirect are left out; a module's last replacement is applied
+    unless it is a local path; modules that a tool directive points into have scope "tool".
     """
     code = lambda line: F.btrim(F.regexp_replace(line, r"//.*$", ""))
     requires = (
@@ -45,19 +44,20 @@ def read_go_manifests(files: DataFrame) -> DataFrame:
     )
     sides = (
         _lines(files, "replace")
-        .select("project_id", F.split(code(F.col("line")), r"\s*=>\s*").alias("s"))
+        .select("project_id", "position", F.split(code(F.col("line")), r"\s*=>\s*").alias("s"))
         .where(F.size("s") == 2)
     )
     replaces = (
         sides.select(
             "project_id",
+            "position",
             _word(F.col("s")[0], 1).alias("name"),
             _word(F.col("s")[1], 1).alias("new_name"),
             _word(F.col("s")[1], 2).alias("new_version"),
         )
-        .where("new_version <> '' AND NOT new_name LIKE '.%' AND NOT new_name LIKE '/%'")
         .groupBy("project_id", "name")
-        .agg(F.max(F.struct("new_name", "new_version")).alias("new"))
+        .agg(F.max_by(F.struct("new_name", "new_version"), "position").alias("new"))
+        .where("new.new_version <> '' AND NOT new.new_name LIKE '.%' AND NOT new.new_name LIKE '/%'")
     )
     tools = (
         _lines(files, "tool").select("project_id", _word(code(F.col("line")), 1).alias("path")).where("path <> ''").distinct()
@@ -89,7 +89,15 @@ def tool_modules(dependencies: DataFrame) -> DataFrame:
 
 # --- CI workflows -----------------------------------------------------------------------
 
-_USES = r"(?m)^[ \t]*(?:-[ \t]+)?uses:[ \t]*([^\s#]+|\"[^\"\n]*\"|'[^'\n]*')"
+# text under a key with | or > is no YAML, and inputs of a step are not its keys; both lie deeper than their key
+_BLOCK = r"[^\n]*?:[ \t]*[|>][-+0-9]*[ \t]*(?:#[^\n]*)?"
+_INPUTS = r"[\"']?(?:with|env|inputs|outputs|secrets|matrix)[\"']?[ \t]*:[ \t]*(?:#[^\n]*)?"
+_NESTED = (
+    rf"(?m)^([ \t]*)-([ \t]+)(?:{_BLOCK}|{_INPUTS})$(?:\n(?:\1[ \t]\2[ \t]+[^\n]*|[ \t]*$))*+"
+    rf"|^([ \t]*)(?!-)(?:{_BLOCK}|{_INPUTS})$(?:\n(?:\3[ \t]+[^\n]*|[ \t]*$))*+"
+)
+_VALUE = r"(\"[^\"\n]*\"|'[^'\n]*'|[^\s#,}\]'\"][^\s#,}\]]*)"
+_USES = rf"(?m)(?:^[ \t]*(?:-[ \t]+)*|[{{,][ \t]*)[\"']?uses[\"']?[ \t]*:[ \t]*{_VALUE}"
 
 
 def clean_local_path(uses: Column) -> Column:
@@ -113,7 +121,7 @@ def clean_local_path(uses: Column) -> Column:
 
 
 def read_workflow_refs(files: DataFrame) -> DataFrame:
-    """Action references of workflow and composite-action files, each once per file.
+    """Action references of workflow and composite-action files, each once per file with its smallest ref.
 
     ``files`` has scope (repository), path, text. Columns: scope, path, kind (remote or local), action
     (owner/repo[/path]), ref, local_path. Container images are left out, and so are action files that are
@@ -121,8 +129,9 @@ def read_workflow_refs(files: DataFrame) -> DataFrame:
     """
     is_action = F.col("path").rlike(r"(?:^|/)action\.ya?ml$")
     composite = F.col("text").rlike(r"(?im)^[ \t]*using:[ \t]*['\"]?composite['\"]?[ \t]*$")
+    keys = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), _NESTED, "")
     found = files.where(~is_action | composite).select(
-        "scope", "path", F.explode(F.regexp_extract_all("text", F.lit(_USES), F.lit(1))).alias("_uses")
+        "scope", "path", F.explode(F.regexp_extract_all(keys, F.lit(_USES), F.lit(1))).alias("_uses")
     )
     uses = F.btrim(F.btrim("_uses", F.lit("\"'")))
     target = F.regexp_extract("uses", r"^([^@]+)", 1)
@@ -139,7 +148,9 @@ def read_workflow_refs(files: DataFrame) -> DataFrame:
             local.alias("local_path"),
         )
         .where("kind IS NOT NULL")
-        .dropDuplicates(["scope", "path", "action", "local_path"])
+        .groupBy("scope", "path", "kind", "action", "local_path")
+        .agg(F.min("ref").alias("ref"))
+        .select("scope", "path", "kind", "action", "ref", "local_path")
     )
 
 

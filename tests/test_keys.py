@@ -84,7 +84,7 @@ def test_repo_choice(spark):
 def test_sample_and_dedup(spark):
     rows = [(f"p{i}", "package" if i % 2 else "repository") for i in range(40)]
     df = spark.createDataFrame(rows, "line STRING, kind STRING")
-    assert keys.sample_inputs(df, 5, 1).groupBy("kind").count().where("count = 5").count() == 2
-    assert keys.sample_inputs(df, 100, 1).count() == 40
+    assert keys.sample_inputs(df, 5, 1, ["line"]).groupBy("kind").count().where("count = 5").count() == 2
+    assert keys.sample_inputs(df, 100, 1, ["line"]).count() == 40
     lines = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("j", 2, "b")], "key STRING, line_no INT, text STRING")
     assert {tuple(r) for r in keys.dedup_inputs(lines, "key", "line_no").collect()} == {("k", 1, "a"), ("j", 2, "b")}

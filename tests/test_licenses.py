@@ -120,3 +120,15 @@ def test_manifests(spark):
     assert {(r.package_id, r.position, r.identifier, r.raw) for r in got.collect()} == {
         (1, 0, "Apache-2.0", "Apache 2.0"), (1, 1, "MIT", "https://opensource.org/licenses/MIT"), (1, 2, "", "${unknown}"),
         (2, 0, "Unlicense", "https://unlicense.org/")}
+
+
+def test_properties_expand_to_the_end(spark):
+    chain = [(1, f"k{i}", f"${{k{i + 1}}}") for i in range(8)] + [(1, "k8", "MIT")]
+    loops = [(1, "a", "x${b}"), (1, "b", "${a}${a}"), (1, "own", "${project.version}-${pom.artifactId}"), (1, "twice", "old"), (1, "twice", "new")]
+    rows = [(*r, i) for i, r in enumerate(chain + loops)]
+    properties = spark.createDataFrame(rows, "package_id BIGINT, key STRING, value STRING, position INT")
+    packages = spark.createDataFrame([(1, "g", "n", "1.2")], "package_id BIGINT, namespace STRING, name STRING, version STRING")
+    names = ["${k0}", "${a}", "${own}", "${twice}", "${unknown}"]
+    entries = spark.createDataFrame([(1, i, n, "") for i, n in enumerate(names)], "package_id BIGINT, position INT, name STRING, url STRING")
+    got = {r.position: r.name for r in licenses.expand_properties(entries, properties, packages=packages).collect()}
+    assert got == {0: "MIT", 1: "${a}", 2: "1.2-n", 3: "new", 4: "${unknown}"}

@@ -80,7 +80,8 @@ def test_sbom_nesting(spark):
 def test_files_and_lists(spark, tmp_path):
     for path, text in {
         "p1/go.mod": GOMOD, "p1/.github/workflows/ci.yml": WORKFLOW, "p1/bom.json": '{"bomFormat": "CycloneDX"}', "p1/x.json": "{}",
-        "p1/src/a.go": "package a", "p1/vendor/b.go": "package b", "p1/src/big.py": "#" * (files.MAX_SOURCE_BYTES + 1),
+        "p1/src/a.go": "package a", "p1/vendor/b.go": "package b", "p1/src/big.py": "#" * (2 << 20), "p1/.github/actions/x/action.yml": "runs: {using: composite}",
+        "p2/long.json": " " * 600 + '{"bomFormat": "CycloneDX"}', "p2/other.mod": "// note\n" * 100 + "module ex.com/m\n",
         "p2/src/x.tsx": "let x", "p2/list.txt": "pkg:npm/a@1\n\n# note\r\nowner/repo\njunk\n",
     }.items():
         target = tmp_path / path
@@ -89,10 +90,12 @@ def test_files_and_lists(spark, tmp_path):
     routed = files.route_files(files.read_texts(spark, str(tmp_path)))
     got = {r.path.split(str(tmp_path) + "/")[1]: r.format for r in routed.collect()}
     assert got["p1/go.mod"] == "gomod" and got["p1/bom.json"] == "sbom" and got["p1/x.json"] == "list"
-    workflow = files.route_files(files.read_workflows(spark, str(tmp_path))).first()
-    assert (workflow.scope, workflow.path, workflow.format) == ("p1", ".github/workflows/ci.yml", "workflow")
+    assert got["p2/long.json"] == "sbom" and got["p2/other.mod"] == "gomod"
+    found = files.route_files(files.read_workflows(spark, str(tmp_path))).collect()
+    assert {(r.scope, r.path) for r in found} == {("p1", ".github/workflows/ci.yml"), ("p1", ".github/actions/x/action.yml")}
+    assert {r.format for r in found if r.path.endswith("ci.yml")} == {"workflow"}
     sources = {(r.project_id, r.path, r.lang) for r in files.read_sources(spark, str(tmp_path)).collect()}
-    assert sources == {("p1", "p1/src/a.go", "go"), ("p2", "p2/src/x.tsx", "typescript")}
+    assert sources == {("p1", "p1/src/a.go", "go"), ("p1", "p1/src/big.py", "python"), ("p2", "p2/src/x.tsx", "typescript")}
     lines = inputs.read_lines(spark, str(tmp_path / "p2" / "list.txt")).withColumn("file_id", F.lit(1))
     kept, quality = inputs.read_inputs(lines)
     assert {(r.line_no, r.line, r.kind) for r in kept.collect()} == {(1, "pkg:npm/a@1", "package"), (4, "owner/repo", "repository")}
@@ -116,3 +119,61 @@ def test_result_joins(spark):
     assert union.where("source = 'one' AND via IS NULL").count() == 2
     named = a.withColumnRenamed("key", "action")
     assert reports.new_actions_only(named.unionByName(named), b.withColumnRenamed("key", "action")).count() == 1
+
+
+def test_last_replacement_counts(spark):
+    text = """module m
+require (
+	a/x v1.0.0
+	a/y v1.0.0
+	a/z v1.0.0
+)
+replace a/x => b/y v2.0.0
+replace a/x v1.0.0 => ../local
+replace (
+	a/y => c/first v9.0.0
+	a/y => c/last v1.1.0
+)
+replace a/z => d/block v3.0.0
+"""
+    got = manifests.read_go_manifests(spark.createDataFrame([(1, text)], "project_id BIGINT, text STRING")).collect()
+    assert {r.module: r.purl for r in got} == {"a/x": "pkg:golang/a/x@v1.0.0", "a/y": "pkg:golang/c/last@v1.1.0", "a/z": "pkg:golang/d/block@v3.0.0"}
+
+
+def test_uses_is_a_key_of_jobs_and_steps(spark):
+    text = """on: push
+jobs:
+  a:
+    steps:
+      - run: |
+          uses: not/run@v1
+          - uses: not/run2@v1
+
+      - { name: x, uses: flow/map@v1 }
+      - 'uses': quoted/key@v2
+      - name: y
+        with:
+          uses: not/input@v1
+        uses: after/with@v3
+      - run: >-
+          text
+        uses: after/run@v1
+      - uses: own/r@v2
+      - uses: own/r@v1
+  b: {uses: "re/use/.github/workflows/x.yml@main"}
+"""
+    rows = spark.createDataFrame([("r", ".github/workflows/ci.yml", text)], "scope STRING, path STRING, text STRING")
+    got = {(r.action, r.ref) for r in manifests.read_workflow_refs(rows).collect()}
+    assert got == {("flow/map", "v1"), ("quoted/key", "v2"), ("after/with", "v3"), ("after/run", "v1"), ("own/r", "v1"),
+                   ("re/use/.github/workflows/x.yml", "main")}
+
+
+def test_deep_components_and_repeated_refs(spark):
+    inner = {"bom-ref": "deep", "purl": "pkg:npm/deep@1"}
+    for i in range(12):
+        inner = {"bom-ref": f"w{i}", "components": [inner]}
+    bom = {"components": [{"bom-ref": "same", "purl": "pkg:npm/first@1", "components": [{"bom-ref": "same", "purl": "pkg:npm/nested@1"}]}, inner,
+                          {"bom-ref": "same", "purl": "pkg:npm/last@1"}]}
+    components = sbom.read_sboms(spark.createDataFrame([(1, json.dumps(bom))], "project_id BIGINT, text STRING"))[0]
+    refs = {r.ref: r.purl for r in sbom.reference_map(components).collect()}
+    assert refs["same"] == "pkg:npm/last@1" and refs["deep"] == "pkg:npm/deep@1"
