@@ -105,23 +105,52 @@ def transitive_advisories(
     )
 
 
+def with_transitive(
+    slots: DataFrame, advisories: DataFrame, reach: DataFrame, packages: DataFrame, graph_versions: DataFrame | None = None
+) -> DataFrame:
+    """The advisories of every version, and on the slots' versions those of all that the package depends on.
+
+    ``reach`` has direct_id and node of any project's graph, ``graph_versions`` package_id and the version that a graph
+    belongs to (without it every slot takes part). A dependency counts with its own stable version. Columns: package_id,
+    version, advisory_id, cvss3, relation, dependency_name (NULL for a package's own advisories).
+    """
+    names = packages.select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
+    below = reach.select(F.col("direct_id").alias("package_id"), F.col("node").alias("dependency_id")).distinct()
+    stable = slots.select("package_id", F.col("stable.version").alias("version"))
+    at_stable = stable.join(advisories, ["package_id", "version"])
+    carried = at_stable.select(F.col("package_id").alias("dependency_id"), "advisory_id", "cvss3")
+    if graph_versions is None:
+        graph_versions = packages.select("package_id", F.lit(None).cast("string").alias("graph_version"))
+    own = slot_versions(slots).join(advisories.select("package_id", "version", "advisory_id"), ["package_id", "version"])
+    # dependencies without advisories go before the names are joined
+    relevant = below.join(carried.select("dependency_id").distinct(), "dependency_id", "left_semi").join(names, "dependency_id")
+    found = transitive_advisories(slots, own, relevant, carried, graph_versions)
+    columns = ["package_id", "version", "advisory_id", "cvss3", "relation", "dependency_name"]
+    direct = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
+    return direct.select(*columns).unionByName(found.select(*columns).distinct())
+
+
 def top_advisories(advisories: DataFrame, n: int = 3) -> DataFrame:
-    """The n worst advisories per package version, how many more there are, and the dependencies shown.
+    """The n worst advisories per package version, how many more there are, and the dependencies that bring the shown ones.
 
     Positions come from one window; the remainder is joined from a grouped count, so no group is
     collected before the cut to n.
     """
+    if "dependency_name" not in advisories.columns:
+        advisories = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
     keys = ["package_id", "version"]
     rank = Window.partitionBy(*keys).orderBy(F.col("cvss3").desc(), F.col("advisory_id"))
     shown = advisories.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= n)
     lists = shown.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("position", "advisory_id", "cvss3"))).alias("shown"),
+        F.array_join(F.array_sort(F.collect_set("dependency_name")), ", ").alias("dependencies"),
     )
     totals = advisories.groupBy(*keys).agg(F.count(F.lit(1)).alias("advisory_count"))
     return lists.join(totals, keys).select(
         *keys,
         F.array_join(F.transform("shown", lambda a: a["advisory_id"]), ";").alias("top_ids"),
         F.element_at("shown", 1)["cvss3"].alias("top_cvss3"),
+        "dependencies",
         "advisory_count",
         F.greatest(F.col("advisory_count") - n, F.lit(0)).alias("more_count"),
     )

@@ -349,7 +349,7 @@ SELECT p.package_id, p.ecosystem, p.purl, p.namespace, p.name, p.version, s.vers
   {_age('s.stable_at')} AS stable_age, {_age('s.pre_at')} AS pre_age,
   coalesce(b.build_label, 'Ungraded') AS build_label, b.build_score
 FROM fx_packages p LEFT JOIN o_slots s USING (package_id)
-LEFT JOIN o_metrics m ON m.package_id = p.package_id AND m.version = coalesce(s.stable, s.top)
+LEFT JOIN o_all_metrics m ON m.package_id = p.package_id AND m.version = coalesce(s.stable, s.top)
 LEFT JOIN o_final_eol e ON e.package_id = p.package_id
 LEFT JOIN fx_repos r ON r.repo_id = p.repo_id LEFT JOIN o_activity a ON a.repo_id = p.repo_id
 LEFT JOIN o_scores sc ON sc.repo_id = p.repo_id LEFT JOIN o_build b ON b.repo_id = p.repo_id
@@ -476,6 +476,30 @@ SELECT s.package_id, s.slot, s.version, a.advisory_id, d.title, d.cvss3,
     ELSE 'CRITICAL' END AS severity, 'DIRECT' AS relation
 FROM o_slot_versions s JOIN fx_advisories a ON a.package_id = s.package_id AND a.version = s.version
 JOIN o_details d ON d.advisory_id = a.advisory_id
+""",
+    "o_transitive": """
+SELECT DISTINCT v.package_id, v.version, c.advisory_id, c.cvss3, 'TRANSITIVE' AS relation, c.dependency_name
+FROM o_slot_versions v JOIN (
+  SELECT p.package_id, CASE p.package_id % 3 WHEN 0 THEN s.stable WHEN 1 THEN NULL ELSE p.version END AS gv
+  FROM fx_packages p JOIN o_slots s USING (package_id)) g USING (package_id)
+JOIN (SELECT r.direct_id AS package_id, a.advisory_id, min(p.name) AS dependency_name, max(a.cvss3) AS cvss3
+  FROM (SELECT DISTINCT direct_id, node FROM o_pairs) r JOIN o_slots s ON s.package_id = r.node
+  JOIN fx_advisories a ON a.package_id = r.node AND a.version = s.stable
+  JOIN fx_packages p ON p.package_id = r.node GROUP BY 1, 2) c USING (package_id)
+WHERE (g.gv IS NULL OR g.gv = v.version) AND NOT EXISTS (SELECT 1 FROM fx_advisories k
+  WHERE k.package_id = v.package_id AND k.version = v.version AND k.advisory_id = c.advisory_id)
+""",
+    "o_all_advisories": """
+SELECT package_id, version, advisory_id, cvss3, relation, CAST(NULL AS VARCHAR) AS dependency_name FROM fx_advisories
+UNION ALL SELECT package_id, version, advisory_id, cvss3, relation, dependency_name FROM o_transitive
+""",
+    "o_all_metrics": """
+SELECT package_id, version, count(*) AS advisory_count,
+  count(*) FILTER (WHERE relation IS DISTINCT FROM 'TRANSITIVE') AS direct_count,
+  count(*) FILTER (WHERE relation = 'TRANSITIVE') AS transitive_count, max(cvss3) AS max_cvss3,
+  coalesce(max(cvss3) FILTER (WHERE relation = 'TRANSITIVE'), 0.0) AS max_transitive_cvss3,
+  count(*) FILTER (WHERE cvss3 >= 7) AS high_count, count(*) FILTER (WHERE cvss3 <= 0) AS unknown_count
+FROM o_all_advisories GROUP BY ALL
 """,
     "o_dict": _dictionary(),
     "o_spellings": """
@@ -881,26 +905,15 @@ FROM o_plan p LEFT JOIN (SELECT project_id, count(*) AS n FROM o_nodes o
 SELECT project_id, rank, package_id, round(priority, 9) AS priority, 'trivial' AS difficulty FROM o_graph_plan
 """,
     "slot_advisories": "SELECT * FROM o_slot_advisories",
-    "transitive_advisories": """
-WITH home AS (SELECT package_id, min(project_id) AS project_id FROM fx_direct GROUP BY 1),
-carried AS (SELECT r.direct_id AS package_id, a.advisory_id, min(p.name) AS dependency_name, max(a.cvss3) AS cvss3
-  FROM home h JOIN o_pairs r ON r.project_id = h.project_id AND r.direct_id = h.package_id
-  JOIN o_slots s ON s.package_id = r.node JOIN fx_advisories a ON a.package_id = r.node AND a.version = s.stable
-  JOIN fx_packages p ON p.package_id = r.node GROUP BY 1, 2),
-graphs AS (SELECT p.package_id, CASE p.package_id % 3 WHEN 0 THEN s.stable WHEN 1 THEN NULL ELSE p.version END AS gv
-  FROM fx_packages p JOIN o_slots s USING (package_id))
-SELECT v.package_id, v.slot, v.version, c.advisory_id, c.dependency_name, c.cvss3,
-  CASE WHEN c.cvss3 <= 0 THEN NULL WHEN c.cvss3 < 4 THEN 'LOW' WHEN c.cvss3 < 7 THEN 'MEDIUM' WHEN c.cvss3 < 9 THEN 'HIGH'
-    ELSE 'CRITICAL' END AS severity, 'TRANSITIVE' AS relation
-FROM o_slot_versions v JOIN graphs g USING (package_id) JOIN carried c USING (package_id)
-WHERE (g.gv IS NULL OR g.gv = v.version) AND NOT EXISTS (SELECT 1 FROM o_slot_advisories k
-  WHERE k.package_id = v.package_id AND k.slot = v.slot AND k.advisory_id = c.advisory_id)
-""",
+    "transitive_advisories": "SELECT * FROM o_transitive",
+    "slot_versions": "SELECT * FROM o_slot_versions",
+    "scan_advisories": "SELECT * FROM o_all_metrics",
     "top_advisories": """
 SELECT package_id, version, string_agg(advisory_id, ';' ORDER BY pos) FILTER (WHERE pos <= 3) AS top_ids,
-  max(cvss3) AS top_cvss3, count(*) AS advisory_count, greatest(count(*) - 3, 0) AS more_count
+  max(cvss3) AS top_cvss3, coalesce(string_agg(DISTINCT dependency_name, ', ' ORDER BY dependency_name) FILTER (WHERE pos <= 3), '')
+    AS dependencies, count(*) AS advisory_count, greatest(count(*) - 3, 0) AS more_count
 FROM (SELECT *, row_number() OVER (PARTITION BY package_id, version ORDER BY cvss3 DESC, advisory_id) AS pos
-  FROM fx_advisories) a GROUP BY 1, 2
+  FROM o_all_advisories) a GROUP BY 1, 2
 """,
     "advisory_sources": """
 SELECT CASE WHEN advisory_id LIKE 'GHSA-%' THEN 'GHSA' WHEN advisory_id LIKE 'CVE-%' THEN 'CVE'

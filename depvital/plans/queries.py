@@ -49,7 +49,7 @@ def _ts(name: str) -> Column:
 
 def _facts(fx: Fixtures) -> dict[str, DataFrame]:
     names = ("packages", "versions", "advisories", "commits", "repos", "scores", "registry")
-    return {name: fx[f"fx_{name}"] for name in names}
+    return {name: fx[f"fx_{name}"] for name in names} | {"reach": fx["fx_reach"], "graph_versions": _graph_versions(fx)}
 
 
 def _slots(fx: Fixtures) -> DataFrame:
@@ -261,39 +261,36 @@ def slot_advisories(fx: Fixtures) -> DataFrame:
     return _slot_advisories(fx, _slots(fx))
 
 
-def _transitive(fx: Fixtures) -> DataFrame:
-    slots = _slots(fx)
-    home = fx["fx_direct"].groupBy(F.col("package_id").alias("direct_id")).agg(F.min("project_id").alias("project_id"))
-    reach = (
-        fx["fx_reach"]
-        .join(home, ["project_id", "direct_id"])
-        .select(F.col("direct_id").alias("package_id"), F.col("node").alias("dependency_id"))
-    )
-    names = fx["fx_packages"].select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
-    stable = slots.select("package_id", F.col("stable.version").alias("version"))
-    version_advisories = (
-        stable.join(fx["fx_advisories"], ["package_id", "version"])
-        .select(F.col("package_id").alias("dependency_id"), "advisory_id", "cvss3")
-    )
-    roots = fx["fx_packages"].join(stable.withColumnRenamed("version", "stable_version"), "package_id").select(
-        "package_id",
-        F.expr("CASE package_id % 3 WHEN 0 THEN stable_version WHEN 1 THEN NULL ELSE version END").alias(
-            "graph_version"
-        ),
-    )
-    return advisories.transitive_advisories(
-        slots, _slot_advisories(fx, slots), reach.join(names, "dependency_id"), version_advisories, roots
-    )
+def _graph_versions(fx: Fixtures) -> DataFrame:
+    """Version that a package's graph belongs to: the stable one, an unnamed one, or that of the package row."""
+    stable = _slots(fx).select("package_id", F.col("stable.version").alias("stable_version"))
+    version = F.expr("CASE package_id % 3 WHEN 0 THEN stable_version WHEN 1 THEN NULL ELSE version END")
+    return fx["fx_packages"].join(stable, "package_id").select("package_id", version.alias("graph_version"))
+
+
+def _all_advisories(fx: Fixtures) -> DataFrame:
+    return advisories.with_transitive(_slots(fx), fx["fx_advisories"], fx["fx_reach"], fx["fx_packages"], _graph_versions(fx))
+
+
+@query
+def scan_advisories(fx: Fixtures) -> DataFrame:
+    """Advisory metrics as the scan sees them, with those of dependencies."""
+    return advisories.advisory_metrics(_all_advisories(fx))
+
+
+@query
+def slot_versions(fx: Fixtures) -> DataFrame:
+    return advisories.slot_versions(_slots(fx))
 
 
 @query
 def transitive_advisories(fx: Fixtures) -> DataFrame:
-    return _transitive(fx)
+    return _all_advisories(fx).where("relation = 'TRANSITIVE'")
 
 
 @query
 def top_advisories(fx: Fixtures) -> DataFrame:
-    described = advisories.describe_advisories(fx["fx_advisories"])
+    described = advisories.describe_advisories(_all_advisories(fx))
     return advisories.top_advisories(described)
 
 

@@ -37,7 +37,8 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
            enrichers: Iterable[Enricher] = ()) -> DataFrame:
     """All facts of every package in one row, without any assessment.
 
-    ``facts`` maps packages, versions, advisories, commits, repos, scores and registry to tables.
+    ``facts`` maps packages, versions, advisories, commits, repos, scores and registry to tables. With reach (and
+    graph_versions) the advisories of dependencies count on the slots they belong to.
     Per-package tables join on package_id first, so their exchanges are shared; repository facts are
     aggregated per repository and joined last.
     """
@@ -50,7 +51,10 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
     eol = eol_rules.eol_status(hits)
     for enricher in enrichers:
         eol = eol.transform(enricher)
-    metrics = adv.advisory_metrics(facts["advisories"], cfg).withColumnRenamed("version", "fact_version")
+    advisories = facts["advisories"]
+    if "reach" in facts:
+        advisories = adv.with_transitive(slots, advisories, facts["reach"], packages, facts.get("graph_versions"))
+    metrics = adv.advisory_metrics(advisories, cfg).withColumnRenamed("version", "fact_version")
     activity = repos.repo_activity(facts["commits"], as_of).withColumn("has_commit_data", F.lit(True))
     state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled", "overall_score")
     per_repo = (
