@@ -28,13 +28,6 @@ class Thresholds:
     high_cvss: float = 7.0
 
 
-@dataclass(frozen=True)
-class BroadcastLimits:
-    """Row bounds under which a lookup table is hinted for broadcast."""
-
-    max_rows: int = 200_000
-
-
 DEFAULTS = Thresholds()
 
 # --- fixed values -----------------------------------------------------------

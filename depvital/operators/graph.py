@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from depvital.session import cut_lineage
 
-_COMPACT_EVERY = 6
-
-
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -24,71 +21,62 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-class _Seen:
-    """Rows found so far, round by round.
-
-    ``stored`` frames are in the checkpoint folder and make up the result. ``pinned`` ones hold the same
-    rows cached by key: a cached frame keeps its partitioning, so new rows are checked against it without
-    moving the old ones again. A lost cache block is read back from the checkpoint.
-    """
-
-    def __init__(self, key: list[str], n: int) -> None:
-        self.key, self.n = key, n
-        self.stored: list[DataFrame] = []
-        self.pinned: list[DataFrame] = []
+def _pin(df: DataFrame, n: int, *key: str) -> DataFrame:
+    return df.repartition(n, *key).persist()
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        frame = cut_lineage(rows)
-        self.stored.append(frame)
-        self.pinned.append(_pin(frame, self.n, *self.key))
-        if len(self.stored) > _COMPACT_EVERY:
-            merged = cut_lineage(_union(self.stored))
-            self.release()
-            self.stored, self.pinned = [merged], [_pin(merged, self.n, *self.key)]
-        return frame
 
-    def without(self, rows: DataFrame) -> DataFrame:
-        for frame in self.pinned:
-            rows = rows.join(frame.select(*self.key), self.key, "left_anti")
-        return rows
+class _Found:
+    """Rows found so far, as tables in the checkpoint folder that are merged when the last is no smaller than the one
+    before: a row is written again a logarithmic number of times, and a round joins a few tables."""
 
-    def release(self) -> None:
-        for frame in self.pinned:
-            frame.unpersist()
+    def __init__(self) -> None:
+        self.tables: list[tuple[int, DataFrame]] = []
 
-    def result(self) -> DataFrame:
-        self.release()
-        return _union(self.stored)
+    def add(self, rows: DataFrame) -> tuple[int, DataFrame]:
+        new = cut_lineage(rows)
+        count = new.count()  # from the files' footers
+        if count:
+            self.tables.append((count, new))
+        while len(self.tables) > 1 and self.tables[-1][0] >= self.tables[-2][0]:
+            (a, x), (b, y) = self.tables[-2:]
+            self.tables[-2:] = [(a + b, cut_lineage(x.unionByName(y)))]
+        return count, new
 
+    def all(self, like: DataFrame) -> DataFrame:
+        return _union([table for _, table in self.tables] or [like])
 
-def _pin(df: DataFrame, n: int, *key: str) -> DataFrame:
-    return df.repartition(n, *key).persist()
 
+def _walk(edges: DataFrame, start: DataFrame, key: list[str], step) -> DataFrame:
+    """Rows of the start and of every further round; a round's rows are those of ``step`` whose key is new.
 
-def _links(edges: DataFrame, n: int) -> DataFrame:
-    """Distinct edges, cached by their start: shuffled once, not in every round."""
-    return _pin(cut_lineage(edges.select("scope", "src", "dst").distinct()), n, "scope", "src")
+    Each round joins only the rows found in the round before, so every pair is expanded once and cycles end by
+    themselves. Edges are cached by their start: shuffled once, not in every round.
+    """
+    n = _partitions(edges.sparkSession)
+    links = _pin(cut_lineage(edges.select("scope", "src", "dst").distinct()), n, "scope", "src")
+    found = _Found()
+    count, frontier = found.add(start.withColumn("level", F.lit(0)))
+    level = 0
+    while count:
+        level += 1
+        rows = step(frontier, links).join(found.all(frontier).select(*key), key, "left_anti")
+        count, frontier = found.add(rows.withColumn("level", F.lit(level)))
+    links.unpersist()
+    return found.all(frontier)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     """All (scope, origin, node, level) reachable from the seeds; the first (lowest) level is kept.
 
-    ``edges`` has scope, src, dst; ``seeds`` has scope, the origin column and node. Each round joins only
-    the rows found in the round before, so every pair is expanded once and cycles end by themselves.
+    ``edges`` has scope, src, dst; ``seeds`` has scope, the origin column and node.
     """
-    n = _partitions(edges.sparkSession)
-    links = _links(edges, n)
     key = ["scope", origin, "node"]
-    seen = _Seen(key, n)
-    frontier = seen.add(seeds.select(*key).distinct().withColumn("level", F.lit(0)))
-    level = 0
-    while not frontier.isEmpty():
-        level += 1
-        step = frontier.select("scope", origin, F.col("node").alias("src"))
-        candidates = step.join(links, ["scope", "src"]).select("scope", origin, F.col("dst").alias("node")).distinct()
-        frontier = seen.add(seen.without(candidates).withColumn("level", F.lit(level)))
-    links.unpersist()
-    return seen.result()
+
+    def step(frontier: DataFrame, links: DataFrame) -> DataFrame:
+        ends = frontier.select("scope", origin, F.col("node").alias("src")).join(links, ["scope", "src"])
+        return ends.select("scope", origin, F.col("dst").alias("node")).distinct()
+
+    return _walk(edges, seeds.select(*key).distinct(), key, step)
 
 
 def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
@@ -97,22 +85,13 @@ def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
     ``edges`` has scope, src, dst; ``seeds`` has scope, node and the payload column. All seeds advance
     together, so an edge is followed once however many seeds lead to it.
     """
-    n = _partitions(edges.sparkSession)
-    links = _links(edges, n)
-    key = ["scope", "node"]
-    seen = _Seen(key, n)
-    start = seeds.groupBy(*key).agg(F.min(payload).alias(payload))
-    frontier = seen.add(start.withColumn("level", F.lit(0)))
-    level = 0
-    while not frontier.isEmpty():
-        level += 1
-        step = frontier.select("scope", F.col("node").alias("src"), payload)
-        candidates = step.join(links, ["scope", "src"]).groupBy("scope", F.col("dst").alias("node")).agg(
-            F.min(payload).alias(payload)
-        )
-        frontier = seen.add(seen.without(candidates).withColumn("level", F.lit(level)))
-    links.unpersist()
-    return seen.result()
+    least = F.min(payload).alias(payload)
+
+    def step(frontier: DataFrame, links: DataFrame) -> DataFrame:
+        ends = frontier.select("scope", F.col("node").alias("src"), payload).join(links, ["scope", "src"])
+        return ends.groupBy("scope", F.col("dst").alias("node")).agg(least)
+
+    return _walk(edges, seeds.groupBy("scope", "node").agg(least), ["scope", "node"], step)
 
 
 def reachability(edges: DataFrame, direct: DataFrame) -> DataFrame:
@@ -246,9 +225,8 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     """
     n = _partitions(refs.sparkSession)
     key = ["project_id", "ref"]
-    children = _pin(
-        cut_lineage(dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct()), n, *key
-    )
+    stored_children = cut_lineage(dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct())
+    children = _pin(stored_children, n, *key)
     entries = dependencies.select(*key).distinct()
     rooted = roots.select("project_id", F.coalesce("root_ref", "root_purl").alias("ref"), "root_purl").where(
         "ref IS NOT NULL"
@@ -256,7 +234,7 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     explicit = rooted.join(entries, key, "left_semi")
     # what a reference stands for and how many children it has; references without a package appear by children only
     counts = children.groupBy(*key).agg(F.count(F.lit(1)).alias("child_count"))
-    described = cut_lineage(
+    stored = cut_lineage(
         refs.select(*key, "purl")
         .join(counts, key, "full")
         .join(rooted.select("project_id", "root_purl"), "project_id", "left")
@@ -267,7 +245,7 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
             F.coalesce(F.col("purl") == F.col("root_purl"), F.lit(False)).alias("is_self"),
         )
     )
-    described = _pin(described, n, *key)
+    described = _pin(stored, n, *key)
 
     # frontier rows carry whether they are the sole child of a reference without a package
     frontier = explicit.join(children, ["project_id", "ref"]).select(
@@ -298,12 +276,14 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
             F.col("child_ref").alias("ref"),
             (F.col("purl").isNull() & (F.col("child_count") == 1)).alias("sole"),
         )
+    children.unpersist()
+    described.unpersist()
     inferred = (
         rooted.join(entries, ["project_id", "ref"], "left_anti")
         .select("project_id")
         .join(entries, "project_id")
-        .join(children.select("project_id", F.col("child_ref").alias("ref")), ["project_id", "ref"], "left_anti")
-        .join(described.where("purl IS NOT NULL"), ["project_id", "ref"])
+        .join(stored_children.select("project_id", F.col("child_ref").alias("ref")), ["project_id", "ref"], "left_anti")
+        .join(stored.where("purl IS NOT NULL"), ["project_id", "ref"])
         .select("project_id", "purl")
     )
     return _union([*direct, inferred]).distinct()

@@ -1,13 +1,13 @@
-"""Session defaults, lineage cuts and size-checked broadcasts."""
+"""Session defaults and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depvital.config import BroadcastLimits
 
 
 def build_session(app: str = "depvital", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,22 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared checkpoint folder and read them from there.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out an input that was read in fewer pieces than there are cores; larger inputs stay as they are.
-
-    For tables straight from files that heavy per-row work follows. A file may hold one row group, and
-    then a single task would read all of it.
+    The plan runs once, later reads are pruned by column, and a lost executor costs no recomputation.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    typed = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    typed.write.parquet(path)
+    return df.sparkSession.read.schema(typed.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limits: BroadcastLimits = BroadcastLimits()) -> DataFrame:
-    """Hint a lookup table for broadcast when its row count is under the bound, else leave it to Spark."""
-    over = df.select(F.lit(1)).limit(limits.max_rows + 1).count()
-    return F.broadcast(df) if over <= limits.max_rows else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows to as many tasks as a shuffle has, for tables from few files that heavy per-row work follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
