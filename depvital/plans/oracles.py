@@ -29,6 +29,14 @@ def _age(ts: str) -> str:
     return f"CAST(trunc((epoch_us({_TS}) - epoch_us({ts})) / 86400000000.0) AS INTEGER)"
 
 
+_KEY = r"""CASE WHEN regexp_matches(purl, '^pkg:/*[A-Za-z]') THEN 'pkg:' || lower(regexp_extract(purl, '^pkg:/*([A-Za-z][A-Za-z0-9.+-]*)/', 1)) || '/'
+    || lower(replace(replace(regexp_replace(regexp_extract(regexp_replace(purl, '[?#].*$', ''), '^pkg:/*[A-Za-z][A-Za-z0-9.+-]*/(.+)$', 1),
+      '([^/])@[^@]*$', '\1'), '%40', '@'), '%3A', ':')) END"""
+_RESULTS = """coalesce(b.verdict, 'review') AS verdict, b.label AS lifecycle_label, b.reason AS lifecycle_reason, b.build_label,
+  coalesce(b.adv, 0) AS advisory_count, coalesce(b.transitive_count, 0) AS transitive_count, b.max_cvss3,
+  CASE WHEN b.canonical_key IS NULL THEN 'package not found' ELSE b.error END AS error"""
+
+
 def _dictionary() -> str:
     ids = ", ".join(f"('{i}')" for i in CORE_IDS)
     custom = ", ".join(f"('{k}', '{v}')" for k, v in CUSTOM_ALIASES.items())
@@ -500,6 +508,15 @@ SELECT package_id, version, count(*) AS advisory_count,
   coalesce(max(cvss3) FILTER (WHERE relation = 'TRANSITIVE'), 0.0) AS max_transitive_cvss3,
   count(*) FILTER (WHERE cvss3 >= 7) AS high_count, count(*) FILTER (WHERE cvss3 <= 0) AS unknown_count
 FROM o_all_advisories GROUP BY ALL
+""",
+    "o_by_key": r"""
+SELECT * FROM (SELECT s.*, m.transitive_count, k.canonical_key, row_number() OVER (PARTITION BY k.canonical_key ORDER BY s.package_id) AS kn
+  FROM o_scan s JOIN (SELECT package_id, KEY AS canonical_key FROM fx_packages) k ON k.package_id = s.package_id
+  LEFT JOIN o_all_metrics m ON m.package_id = s.package_id AND m.version = coalesce(s.stable, s.top)) x WHERE kn = 1
+""".replace("KEY", _KEY),
+    "o_sbom_reach": """
+SELECT project_id, purl AS direct, purl AS node FROM o_sbom_direct
+UNION SELECT r.project_id, r.direct, e.dst FROM o_sbom_reach r JOIN o_sbom_edges e ON e.project_id = r.project_id AND e.src = r.node
 """,
     "o_dict": _dictionary(),
     "o_spellings": """
@@ -907,6 +924,23 @@ SELECT project_id, rank, package_id, round(priority, 9) AS priority, 'trivial' A
     "slot_advisories": "SELECT * FROM o_slot_advisories",
     "transitive_advisories": "SELECT * FROM o_transitive",
     "slot_versions": "SELECT * FROM o_slot_versions",
+    "scan_from_inputs": f"""
+SELECT k.canonical_key, file_id, line_no, k.purl, {_RESULTS}
+FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY file_id, line_no) AS n FROM o_keys
+  WHERE canonical_key IS NOT NULL AND file_id IN (SELECT file_id FROM o_file_quality WHERE unrecognised_share <= 0.5)) k
+LEFT JOIN o_by_key b ON b.canonical_key = k.canonical_key WHERE n = 1
+""",
+    "scan_from_sbom": f"""
+SELECT k.canonical_key, k.project_id, k.purl, k.relation, CASE WHEN relation = 'transitive' THEN v.via END AS via,
+  CASE WHEN relation = 'transitive' THEN coalesce(v.n, 0) ELSE 0 END AS via_count, {_RESULTS}
+FROM (SELECT DISTINCT n.project_id, n.purl, {_KEY.replace('purl', 'n.purl')} AS canonical_key,
+    CASE WHEN n.project_id NOT IN (SELECT project_id FROM o_sbom_direct) THEN 'unknown' WHEN d.purl IS NOT NULL THEN 'direct'
+      ELSE 'transitive' END AS relation
+  FROM fx_sbom_nodes n LEFT JOIN (SELECT DISTINCT project_id, purl FROM o_sbom_direct) d ON d.project_id = n.project_id AND d.purl = n.purl) k
+LEFT JOIN (SELECT project_id, node, min(direct) AS via, count(*) AS n FROM o_sbom_reach WHERE node <> direct GROUP BY 1, 2) v
+  ON v.project_id = k.project_id AND v.node = k.purl
+LEFT JOIN o_by_key b ON b.canonical_key = k.canonical_key
+""",
     "scan_advisories": "SELECT * FROM o_all_metrics",
     "top_advisories": """
 SELECT package_id, version, string_agg(advisory_id, ';' ORDER BY pos) FILTER (WHERE pos <= 3) AS top_ids,

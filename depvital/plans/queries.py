@@ -24,6 +24,7 @@ from depvital.operators import (
     repos,
 )
 from depvital.plans import diet as diet_plan_module
+from depvital.plans import entrypoints
 from depvital.plans import scan as scan_plan
 from depvital.plans.diet import removal_plan
 from depvital.plans.fixtures import AS_OF, Fixtures
@@ -889,3 +890,38 @@ def final_reasons(fx: Fixtures) -> DataFrame:
 def input_sample(fx: Fixtures) -> DataFrame:
     classified = inputs.classify_lines(fx["fx_inputs"])
     return keys.sample_inputs(classified, 25, seed=7)
+
+
+# --- from documents to results ---------------------------------------------------------------------
+
+
+def _enrichers(fx: Fixtures) -> list:
+    return [scan_plan.catalog_from(fx["fx_registry"])]
+
+
+@query
+def scan_from_inputs(fx: Fixtures) -> DataFrame:
+    """Package lists to scan results: quality gate, keys, first occurrence, facts with transitive advisories."""
+    return entrypoints.scan_lines(fx["fx_inputs"], _facts(fx), AS_OF, enrichers=_enrichers(fx))
+
+
+@query
+def scan_from_sbom(fx: Fixtures) -> DataFrame:
+    """SBOM documents to scan results with relation and the direct dependency that brings a package in."""
+    return entrypoints.scan_sboms(fx["fx_sbom"], _facts(fx), AS_OF, enrichers=_enrichers(fx))
+
+
+@query
+def scan_from_gomod(fx: Fixtures) -> DataFrame:
+    """Module files to scan results."""
+    return entrypoints.scan_go_modules(fx["fx_gomod"], _facts(fx), AS_OF, enrichers=_enrichers(fx))
+
+
+@query
+def diet_from_sbom(fx: Fixtures) -> DataFrame:
+    """SBOM documents to a ranked removal plan, with a development tool in each project."""
+    tools = fx["fx_direct"].groupBy("project_id").agg(F.min("package_id").alias("package_id"))
+    named = fx["fx_packages"].select("package_id", F.concat_ws("/", "namespace", "name").alias("name"))
+    tools = tools.join(named, "package_id").select("project_id", "name")
+    plan = entrypoints.plan_from_sboms(fx["fx_sbom"], _facts(fx), AS_OF, enrichers=_enrichers(fx), tools=tools)
+    return reports.diet_rows(plan)

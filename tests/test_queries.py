@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 import check
-from depvital.plans.fixtures import SNAPSHOTS
+from depvital.plans.fixtures import SNAPSHOTS, Fixtures
 from depvital.sources import facts
 
 SF = "/root/testdata/sf0.001"
@@ -13,6 +13,7 @@ NAMES = [
     "release_slots", "advisory_metrics", "build_integrity", "registry_rule_hits", "label_distribution", "scan_summary",
     "graph_metrics", "diet_plan", "transitive_advisories", "top_advisories", "eol_text_readme", "license_report",
     "license_mentions", "coupling_metrics", "package_keys", "sbom_direct", "go_requirements", "workflow_refs", "vanity_repos",
+    "scan_from_inputs", "scan_from_sbom", "scan_advisories", "input_sample", "dedup_inputs", "scan_rows",
 ]
 
 
@@ -30,6 +31,27 @@ def test_matches_sql(spark, duck, name):
 def test_contract(spark):
     queries, statements = driver.queries(), driver.oracle_sql()
     assert set(statements) <= set(queries)
-    assert {n for n in set(queries) - set(statements) if not n.startswith("op") and n != "pipeline"} == set()
+    assert {n for n in set(queries) - set(statements) if not n.startswith("op") and n != "pipeline"} == {"scan_from_gomod", "diet_from_sbom"}
     assert driver.entry(spark).columns == ["label", "reason", "packages", "percent", "bucket"]
     assert {name.removeprefix("fx_") for name in SNAPSHOTS} <= set(facts.SCHEMAS)
+
+
+def test_plan_from_documents_equals_plan_from_tables(spark):
+    """Projects whose documents name their direct dependencies (0 and 2 of 4) get the plan that the edge tables give."""
+    queries = driver.queries()
+    from_tables = {
+        (r.project_id, r.package_id): r.priority for r in queries["graph_only_plan"](spark, SF).collect()
+    }
+    fixtures = Fixtures(spark, SF)
+    ids = {r.purl: r.package_id for r in fixtures["fx_packages"].select("purl", "package_id").collect()}
+    rows = [r for r in queries["diet_from_sbom"](spark, SF).collect() if r.project_id % 4 in (0, 2)]
+    assert rows and any(r.scope == "tool" for r in rows)
+    for r in rows:
+        assert r.scope is not None or from_tables[r.project_id, ids[r.purl]] == r.priority
+
+
+def test_scan_from_module_files(spark):
+    rows = driver.queries()["scan_from_gomod"](spark, SF).collect()
+    required = driver.queries()["go_requirements"](spark, SF).collect()
+    assert sorted((r.project_id, r.purl) for r in rows) == sorted((r.project_id, r.purl) for r in required)
+    assert all(r.relation == "direct" and (r.verdict == "review" if r.error else r.verdict) for r in rows)
