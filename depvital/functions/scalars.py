@@ -28,9 +28,9 @@ def blank_to_null(text: Column) -> Column:
 
 
 def severity(cvss: Column) -> Column:
-    """CVSS 3 base score to its severity band; NULL for zero (unknown)."""
+    """CVSS 3 base score to its severity band; NULL for zero and for no score."""
     return (
-        F.when(cvss <= 0, F.lit(None).cast("string"))
+        F.when(cvss.isNull() | (cvss <= 0), F.lit(None).cast("string"))
         .when(cvss <= 3.9, "LOW")
         .when(cvss <= 6.9, "MEDIUM")
         .when(cvss <= 8.9, "HIGH")

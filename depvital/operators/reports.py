@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depvital.functions.scalars import blank_to_null
+from depvital.functions.scalars import blank_to_null, severity
 
 # --- fixed values: checks of the published scorecard --------------------------------
 CHECKS = (
@@ -69,18 +69,24 @@ def order_by_bucket(entries: DataFrame, key: str = "purl") -> DataFrame:
 
 
 def scan_rows(entries: DataFrame) -> DataFrame:
-    """Flat scan export; absent values are NULL, and the relation is kept only when the input has one."""
+    """Flat scan export; absent values are NULL, and relation and via are kept only when the input has them."""
+    above = lambda name: F.when(F.col(name) > 0, F.col(name))
     columns = [
         "verdict",
         "purl",
-        *(["relation"] if "relation" in entries.columns else []),
+        *[c for c in ("relation", "relation_via") if c in entries.columns],
         "lifecycle_label",
         "lifecycle_reason",
         "build_label",
         "build_score",
         F.col("eol_successor").alias("successor"),
         F.coalesce("advisory_count", F.lit(0)).alias("advisory_count"),
-        F.when(F.col("max_cvss3") > 0, F.col("max_cvss3")).alias("max_cvss3"),
+        severity(above("max_cvss3")).alias("max_advisory_severity"),
+        above("max_cvss3").alias("max_cvss3"),
+        F.coalesce("direct_count", F.lit(0)).alias("direct_advisory_count"),
+        F.coalesce("transitive_count", F.lit(0)).alias("transitive_advisory_count"),
+        severity(above("max_transitive_cvss3")).alias("max_transitive_severity"),
+        above("max_transitive_cvss3").alias("max_transitive_cvss3"),
         "repo_url",
         *[c for c in ("source", "via") if c in entries.columns],
         blank_to_null(F.col("error")).alias("error"),
@@ -129,11 +135,17 @@ def lifecycle_summary(entries: DataFrame) -> DataFrame:
 
 
 def diet_rows(entries: DataFrame) -> DataFrame:
-    """Ranked removal plan, one flat row per direct dependency."""
+    """Ranked removal plan, one flat row per direct dependency.
+
+    What holds it in, the files and the symbols are rows of their own: ``graph.indirect_via``, ``coupling.coupling_files``
+    and ``coupling.coupling_symbols``.
+    """
     return entries.select(
         "project_id",
         "rank",
         "purl",
+        "name",
+        "version",
         "ecosystem",
         "scope",
         F.round("priority", 9).alias("priority"),
@@ -143,8 +155,17 @@ def diet_rows(entries: DataFrame) -> DataFrame:
         F.round("health_risk", 9).alias("health_risk"),
         "exclusive_transitive",
         "total_transitive",
+        (F.col("via_count") > 0).alias("stays_as_indirect"),
+        F.col("import_files").alias("import_file_count"),
+        F.col("call_sites").alias("call_site_count"),
+        "api_breadth",
+        "has_blank_import",
         "is_unused",
         F.col("health_status").alias("maintenance_status"),
+        (F.coalesce("advisory_count", F.lit(0)) > 0).alias("has_vulnerabilities"),
+        F.coalesce("advisory_count", F.lit(0)).alias("vulnerability_count"),
+        F.when(F.col("max_cvss3") > 0, F.col("max_cvss3")).alias("max_cvss_score"),
+        F.when(F.col("overall_score") > 0, F.col("overall_score")).alias("overall_score"),
     )
 
 

@@ -163,7 +163,7 @@ SELECT g.project_id, g.direct_id AS package_id, p.purl, p.ecosystem, g.exclusive
   coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls, coalesce(c.api_breadth, 0) AS api,
   coalesce(c.has_blank_import, FALSE) AS blank,
   c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM {coupling}) AS is_unused,
-  coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status
+  coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status, p.name, p.version, h.adv, h.max_cvss3, h.overall_score
 FROM o_gmetrics g JOIN fx_packages p ON p.package_id = g.direct_id
 LEFT JOIN {coupling} c ON c.project_id = g.project_id AND c.package_id = g.direct_id
 LEFT JOIN o_health h ON h.package_id = g.direct_id
@@ -907,7 +907,11 @@ SELECT package_id, is_eol, is_stalled, health_status, round(health_risk, 9) AS h
     "diet_plan": """
 SELECT project_id, rank, purl, ecosystem, CAST(NULL AS VARCHAR) AS scope, round(priority, 9) AS priority, difficulty,
   round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(health_risk, 9) AS health_risk,
-  exclusive_transitive, total_transitive, is_unused, health_status AS maintenance_status FROM o_plan
+  exclusive_transitive, total_transitive, is_unused, health_status AS maintenance_status, name, version,
+  via_count > 0 AS stays_as_indirect, files AS import_file_count, calls AS call_site_count, api AS api_breadth,
+  blank AS has_blank_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
+  CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss_score, CASE WHEN overall_score > 0 THEN overall_score END AS overall_score
+FROM o_plan
 """,
     "diet_summary": """
 SELECT p.project_id, count(*) AS total_direct, sum(exclusive_transitive) AS exclusive_total,
@@ -1247,8 +1251,13 @@ UNION ALL SELECT repo, 'actions_transitive', min(action) FROM o_action GROUP BY
 """,
     "distinct_lookup_keys": "SELECT DISTINCT advisory_id FROM fx_advisories",
     "scan_rows": """
-SELECT verdict, purl, label AS lifecycle_label, reason AS lifecycle_reason, build_label, build_score, eol_successor AS successor,
-  adv AS advisory_count, CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss3, repo_url, error FROM o_scan
+SELECT verdict, s.purl, label AS lifecycle_label, reason AS lifecycle_reason, build_label, build_score, eol_successor AS successor,
+  adv AS advisory_count, CASE WHEN s.max_cvss3 > 0 THEN s.max_cvss3 END AS max_cvss3,
+  CASE WHEN s.max_cvss3 > 0 THEN CASE WHEN s.max_cvss3 < 4 THEN 'LOW' WHEN s.max_cvss3 < 7 THEN 'MEDIUM' WHEN s.max_cvss3 < 9 THEN 'HIGH' ELSE 'CRITICAL' END END AS max_advisory_severity,
+  coalesce(m.direct_count, 0) AS direct_advisory_count, coalesce(m.transitive_count, 0) AS transitive_advisory_count,
+  CASE WHEN m.max_transitive_cvss3 > 0 THEN m.max_transitive_cvss3 END AS max_transitive_cvss3,
+  CASE WHEN m.max_transitive_cvss3 > 0 THEN CASE WHEN m.max_transitive_cvss3 < 4 THEN 'LOW' WHEN m.max_transitive_cvss3 < 7 THEN 'MEDIUM' WHEN m.max_transitive_cvss3 < 9 THEN 'HIGH' ELSE 'CRITICAL' END END AS max_transitive_severity, repo_url, error
+FROM o_scan s LEFT JOIN o_all_metrics m ON m.package_id = s.package_id AND m.version = coalesce(s.stable, s.top)
 """,
     "scorecard_wide": f"""
 WITH c AS (SELECT repo_id, check_name, printf('%.2f', CAST(score AS DOUBLE)) AS t FROM fx_scores)
