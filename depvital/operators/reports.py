@@ -122,12 +122,17 @@ def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | N
 
 def lifecycle_summary(entries: DataFrame) -> DataFrame:
     """Short lifecycle row for library users."""
+    human = F.when(F.col("eol_state") == "EOL", "EOL").when(F.col("eol_state") == "Scheduled", "Scheduled EOL")
+    human = human.when(F.col("eol_state") == "NotEOL", "Not EOL").otherwise("Unknown")
     return entries.select(
         "purl",
         F.col("status").alias("final_status"),
         "lifecycle_label",
         "lifecycle_reason",
         "eol_state",
+        human.alias("eol_human_state"),
+        F.col("eol_scheduled").alias("scheduled_at"),
+        F.col("evidence_summary").alias("eol_evidence"),
         "eol_successor",
         F.col("eol_reason").alias("final_reason"),
         (F.col("status").startswith("EOL")).alias("is_end_of_life"),

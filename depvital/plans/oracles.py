@@ -341,14 +341,14 @@ FROM (SELECT package_id,
     "o_final_eol": """
 SELECT package_id, coalesce(e.eol_state, CASE WHEN c.package_id IS NOT NULL THEN 'Scheduled' END) AS eol_state,
   coalesce(c.reason, e.eol_reason) AS eol_reason, coalesce(e.eol_successor, c.successor) AS eol_successor,
-  CASE WHEN e.eol_state IS NULL THEN c.scheduled END AS eol_scheduled
+  CASE WHEN e.eol_state IS NULL THEN c.scheduled END AS eol_scheduled, coalesce(c.reason, e.evidence_summary) AS evidence
 FROM o_eol e FULL JOIN (SELECT * FROM fx_registry WHERE source = 'catalog') c USING (package_id)
 """,
     "o_facts": f"""
 SELECT p.package_id, p.ecosystem, p.purl, p.namespace, p.name, p.version, s.version_count, s.stable, s.stable_at,
   s.pre_at, s.top, s.top_at, s.requested_at, r.repo_url, coalesce(r.archived, FALSE) AS archived,
   coalesce(r.disabled, FALSE) AS disabled,
-  e.eol_state, e.eol_reason, e.eol_successor, e.eol_scheduled,
+  e.eol_state, e.eol_reason, e.eol_successor, e.eol_scheduled, e.evidence,
   coalesce(m.advisory_count, 0) AS adv, m.max_cvss3, coalesce(m.high_count, 0) AS high,
   coalesce(m.unknown_count, 0) AS unknown_sev,
   coalesce(sc.maint, -1) AS maint, coalesce(sc.vuln, -1) AS vuln, a.repo_id IS NOT NULL AS has_commit,
@@ -1272,7 +1272,8 @@ FROM o_scan_repo s LEFT JOIN c ON c.repo_id = s.repo_id WHERE s.repo_url IS NOT
 """,
     "lifecycle_summary": """
 SELECT purl, status AS final_status, label AS lifecycle_label, reason AS lifecycle_reason, eol_state, eol_successor,
-  eol_reason AS final_reason, status LIKE 'EOL%' AS is_end_of_life FROM o_scan
+  CASE eol_state WHEN 'EOL' THEN 'EOL' WHEN 'Scheduled' THEN 'Scheduled EOL' ELSE 'Unknown' END AS eol_human_state,
+  eol_scheduled AS scheduled_at, evidence AS eol_evidence, eol_reason AS final_reason, status LIKE 'EOL%' AS is_end_of_life FROM o_scan
 """,
     "verdict_filter": "SELECT package_id, verdict FROM o_scan WHERE verdict IN ('replace', 'review')",
     "label_filter": "SELECT package_id, status FROM o_scan WHERE status = 'Review Needed' OR status LIKE 'EOL-%'",
