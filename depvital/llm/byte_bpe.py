@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from depvital.llm.common import named, nullable
 
 #: Pieces and token pairs remembered by a worker; when full, the pieces not met since the last time are forgotten.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer pieces are encoded anew each time.
 REMEMBERED_BYTES = 64
 #: Texts that go to a worker at once, so a batch stays small whatever the texts' lengths.
@@ -244,8 +244,28 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str =
     return encoded.select(named(ids_col).alias("ids"), rest).mapInArrow(decode, nullable(schema)).select("row.*", "decoded")
 
 
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """`encode_texts` with a further column decoded, the bytes that `decode_ids` makes of the ids, from one worker."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks.value, pattern)
+        for whole in batches:
+            for batch in small_batches(whole, 0):
+                ids = [own.encode(text or "") for text in batch.column(0).to_pylist()]
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                columns = [batch.column(1), counts, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "ids", "decoded"])
+
+    rest = F.struct(named(id_col).cast("long").alias("doc_id"), *map(named, carry)).alias("row")
+    texts = docs.select(named(text_col).cast("string").alias("text"), rest)
+    schema = docs.select(rest, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
+    return texts.mapInArrow(code, nullable(schema)).select("row.*", "n_tokens", "ids", "decoded")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes again, and digests both."""
-    encoded = encode_texts(docs, ranks_path, pattern)
-    decoded = decode_ids(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), ranks_path, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = round_trip(docs, ranks_path, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

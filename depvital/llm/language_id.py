@@ -167,9 +167,11 @@ def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             for batch in small_batches(whole, 1):
                 found = shared.value.predict(batch.column(1).to_pylist())
                 columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["row", "text", "lang_pred", "score", "rejected"])
 
-    rest = [named(f.name) for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+    names = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+    rest = [named(n) for n in names if n != text_col] or [F.lit(None).cast("string").alias("none")]
     rows = docs.select(F.struct(*rest).alias("row"), named(text_col).cast("string").alias("text"))
-    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
-    return rows.mapInArrow(predict, nullable(schema)).select("row.*", "lang_pred", "score", "rejected")
+    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    kept = [F.col("text").alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in names]
+    return rows.mapInArrow(predict, nullable(schema)).select(*kept, "lang_pred", "score", "rejected")
