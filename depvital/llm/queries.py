@@ -15,7 +15,7 @@ from depvital.llm.line_dedup import line_dedup
 from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_sources
 from depvital.llm.sharding import shard
 from depvital.llm.simhash import near_duplicates
-from depvital.llm.token_counts import apply_edits, build_counts, edits_by_pattern
+from depvital.llm.token_counts import replace_matches, unbuilt
 from depvital.llm.warc import archive_digests
 
 #: Rank file of op3 and op8, an installed file of under one megabyte.
@@ -59,8 +59,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of whole texts before and after runs of punctuation are cut to one mark."""
-    state = build_counts(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    edited = apply_edits(edits_by_pattern(state, PUNCTUATION_RUN, r"\1"), RANKS, public_tokenizers.PATTERN)
+    state = unbuilt(read_table(spark, sf_dir, "documents"))
+    edited = replace_matches(state, PUNCTUATION_RUN, r"\1", RANKS, public_tokenizers.PATTERN)
     return edited.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "split_again", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -9,13 +9,14 @@ in the new text too; the sums on the paths to the root change, all other counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import Codec, codec, read_ranks, small_batches
 from depvital.llm.common import named
@@ -24,7 +25,6 @@ from depvital.llm.common import named
 LEAF_PIECES = 64
 #: An edit can change the pre-token that ends up to one character before it; a leaf that ends earlier stays.
 CONTEXT = 2
-EDITS = "array<struct<start: int, stop: int, text: string>>"
 STATE = "doc_id long, text string, tree binary, n_tokens long"
 
 
@@ -171,52 +171,57 @@ def build_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     return texts.mapInArrow(build, STATE)
 
 
-def edits_by_pattern(state: DataFrame, pattern: str, replacement: str) -> DataFrame:
-    """The state with a column edits: each match of the pattern in the text is replaced (groups as \\1)."""
+def unbuilt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A state without trees; they are built by the task that applies the first edits."""
+    text = F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text")
+    none = F.lit(None).cast("binary").alias("tree"), F.lit(None).cast("long").alias("n_tokens")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), text, *none)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = regex.compile(pattern)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                found = [
-                    [{"start": m.start(), "stop": m.end(), "text": m.expand(replacement)} for m in search.finditer(t)]
-                    for t in batch.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "edits"])
-
-    return state.select("doc_id", "text", "tree", "n_tokens").mapInArrow(find, f"{STATE}, edits {EDITS}")
 
+Edit = tuple[int, int, str]
 
-def apply_edits(state: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """The state after its column edits (array of start, stop, text in characters of the old text).
 
-    Adds n_tokens_before, n_edits and split_again (characters that were split anew). Places beyond the text's end count
-    as its end; where edits overlap, the later one replaces what is left; null or no edits leave a row as it is.
-    """
+def _edited(state: DataFrame, edits: Sequence[str], edits_of: Callable[[str, list], list[Edit]], ranks_path: str, pattern: str) -> DataFrame:
+    """The state after the edits that `edits_of` gives for a text and its value of the columns `edits`."""
     ranks = state.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    names = ["doc_id", "text", "tree", "n_tokens", "n_tokens_before", "n_edits", "split_again"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks.value, pattern)
         for whole in batches:
             for batch in small_batches(whole, 1):
+                given = batch.column(4).to_pylist() if edits else [None] * batch.num_rows
                 rows = []
-                for text, stored, edits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4))):
-                    changes = [(e["start"], e["stop"], e["text"] or "") for e in edits or [] if e]
-                    again = 0
+                for text, stored, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), given):
+                    changes = edits_of(text, own)
+                    tree = CountTree.build(coder, text) if stored is None else CountTree.load(stored)
+                    before, again = tree.n_tokens, 0
                     if changes:
-                        tree = CountTree.load(stored)
                         text, again = tree.edit(coder, text, changes)
-                        stored = tree.store()
-                    rows.append((text, stored, CountTree.load(stored).n_tokens, len(changes), again))
-                texts, trees, after, n_edits, again = (list(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array(texts, pa.string()), pa.array(trees, pa.binary()), pa.array(after, pa.int64()),
-                        batch.column(3), pa.array(n_edits, pa.int64()), pa.array(again, pa.int64()),
-                    ],
-                    names=["doc_id", "text", "tree", "n_tokens", "n_tokens_before", "n_edits", "split_again"],
-                )
-
-    rows = state.select("doc_id", "text", "tree", "n_tokens", "edits")
+                    rows.append((text, tree.store(), tree.n_tokens, before, len(changes), again))
+                texts, trees, *counts = (list(x) for x in zip(*rows))
+                counts = [pa.array(c, pa.int64()) for c in counts]
+                columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(trees, pa.binary()), *counts]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = state.select("doc_id", "text", "tree", "n_tokens", *edits)
     return rows.mapInArrow(apply, f"{STATE}, n_tokens_before long, n_edits long, split_again long")
+
+
+def apply_edits(state: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The state after its column edits (array of start, stop, text in characters of the old text).
+
+    Adds n_tokens_before, n_edits and split_again (characters that were split anew). Places beyond the text's end count
+    as its end; where edits overlap, the later one replaces what is left; null or no edits leave a row as it is.
+    """
+
+    def given(text: str, edits: list | None) -> list[Edit]:
+        return [(e["start"], e["stop"], e["text"] or "") for e in edits or [] if e]
+
+    return _edited(state, ["edits"], given, ranks_path, pattern)
+
+
+def replace_matches(state: DataFrame, search: str, replacement: str, ranks_path: str, pattern: str) -> DataFrame:
+    """The state after each match of the search pattern was replaced (groups as \\1); columns as in `apply_edits`."""
+    matches = regex.compile(search).finditer
+    return _edited(state, [], lambda text, _: [(m.start(), m.end(), m.expand(replacement)) for m in matches(text)], ranks_path, pattern)

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 from depvital.llm import token_counts
-from depvital.llm.byte_bpe import Codec, decode_ids, encode_texts, read_ranks
+from depvital.llm.byte_bpe import Codec, decode_ids, encode_texts, read_ranks, round_trip
 from depvital.llm.queries import RANKS
 
 from .conftest import AWKWARD
@@ -52,6 +52,8 @@ def test_awkward_rows(documents, library):
     want = [(d, s, len(ids := library.encode_ordinary(t or "")), np.array(ids, "<u4").tobytes(), (t or "").encode()) for d, t, _, s in AWKWARD]
     key = repr
     assert sorted(((r.doc_id, r.source, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
+    both = round_trip(documents(AWKWARD), RANKS, public_tokenizers.PATTERN, carry=["source", "a.b"]).collect()
+    assert sorted(((r.doc_id, r.source, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in both), key=key) == sorted(want, key=key)
     assert encode_texts(documents([]), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
@@ -78,8 +80,10 @@ def test_an_edit_splits_only_its_surroundings(coder):
 
 
 def test_counts_of_awkward_rows(documents, library):
-    state = token_counts.build_counts(documents(AWKWARD), RANKS, public_tokenizers.PATTERN)
-    edited = token_counts.apply_edits(token_counts.edits_by_pattern(state, "t(e)", r"<\1>"), RANKS, public_tokenizers.PATTERN)
+    built = token_counts.build_counts(documents(AWKWARD), RANKS, public_tokenizers.PATTERN)
+    edited = token_counts.replace_matches(built, "t(e)", r"<\1>", RANKS, public_tokenizers.PATTERN)
+    at_once = token_counts.replace_matches(token_counts.unbuilt(documents(AWKWARD)), "t(e)", r"<\1>", RANKS, public_tokenizers.PATTERN)
+    assert sorted(at_once.drop("split_again").collect(), key=repr) == sorted(edited.drop("split_again").collect(), key=repr)
     want = []
     for doc, text, *_ in AWKWARD:
         text = text or ""
@@ -88,3 +92,11 @@ def test_counts_of_awkward_rows(documents, library):
     got = [(r.doc_id, r.text, r.n_tokens, r.n_tokens_before, r.n_edits) for r in edited.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert token_counts.build_counts(documents([]), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_given_edits(spark, documents, library):
+    state = token_counts.build_counts(documents([(1, "one two three"), (2, None), (3, "kept")]), RANKS, public_tokenizers.PATTERN)
+    edits = "CASE doc_id WHEN 1 THEN array(named_struct('start', 4, 'stop', 7, 'text', 'zwei'), named_struct('start', 50, 'stop', 60, 'text', '!')) WHEN 2 THEN array(named_struct('start', 0, 'stop', 0, 'text', 'new text')) END"
+    rows = token_counts.apply_edits(state.selectExpr("*", f"{edits} AS edits"), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: (r.text, r.n_edits) for r in rows} == {1: ("one zwei three!", 2), 2: ("new text", 1), 3: ("kept", 0)}
+    assert all(r.n_tokens == len(library.encode_ordinary(r.text)) for r in rows)
