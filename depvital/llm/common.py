@@ -52,6 +52,16 @@ def keep_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables that `keep_table` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join slim rows with a table that has one row per key; a hot key's left rows are spread over `salts` tasks.
 

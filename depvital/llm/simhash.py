@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depvital.llm.common import keep_table, lookup, named
+from depvital.llm.common import drop_tables, keep_table, lookup, named
 from depvital.llm.components import components
 
 SEED = 42
@@ -87,8 +87,10 @@ class BKTree:
             if far <= radius:
                 yield node
             edges = children[node]
-            if edges:
+            if len(edges) > 2 * radius:
                 todo += [edges[d] for d in range(far - radius, far + radius + 1) if d in edges]
+            elif edges:
+                todo += [child for d, child in edges.items() if -radius <= far - d <= radius]
 
     def add(self, key: int) -> int:
         new = len(self.keys)
@@ -348,4 +350,7 @@ def similar_documents(
     rooted = keep_table(rooted.select("content", "first_id", F.coalesce("root", "node").alias("root")), "rooted-texts")
     named_by = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_text = lookup(rooted, named_by, ["root"]).select("content", "component_id")
-    return lookup(rows.select("doc_id", "content"), of_text, ["content"]).select("doc_id", "component_id")
+    found = lookup(rows.select("doc_id", "content"), of_text, ["content"]).select("doc_id", "component_id")
+    found = keep_table(found, "similar-documents")
+    drop_tables(rows, first, shared, rooted)  # sketches are a large part of short texts
+    return found
