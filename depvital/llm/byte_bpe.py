@@ -30,7 +30,7 @@ REMEMBERED = 120_000
 #: Longer pieces are encoded anew each time.
 REMEMBERED_BYTES = 64
 #: Texts that go to a worker at once, so a batch stays small whatever the texts' lengths.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
 
 
 def _later_characters() -> dict[int, int]:
