@@ -10,7 +10,9 @@ through the short-distance keys around each fingerprint instead, which is linear
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depvital.llm.byte_bpe import small_batches
 from depvital.llm.common import drop_tables, keep_table, lookup, named
 from depvital.llm.components import components
 
@@ -219,43 +222,76 @@ SIMILAR_BITS = 18
 #: Smallest hashes under so many orders name the shards of a text: two texts that share a part s of their shingles meet
 #: in one with probability 1 - (1 - s) ** SHARD_ORDERS.
 SHARD_ORDERS = 5
-#: Smallest distinct hashes kept of a text; with more shingles than these the similarity is estimated from them, and
-#: MARGIN keeps pairs just over the limit from being missed.
+#: Smallest distinct hashes kept of a text to pass candidates. A similar pair falls below the bar of `least_common` with
+#: probability MISS at most; whatever passes is decided on all hashes of both texts.
 SKETCH = 160
-MARGIN = 0.02
+MISS = 1e-6
+#: Hashes held by a task that decides; larger groups of candidates are cut into blocks.
+HASHES_HELD = 4_000_000
 _ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+@lru_cache
+def least_common(used: int, least: float) -> int:
+    """How many of the `used` smallest hashes of a union both texts have at the least, but for probability MISS."""
+    below = 0.0
+    for k in range(used + 1):
+        below += comb(used, k) * least**k * (1 - least) ** (used - k)
+        if below > MISS:
+            return k
+    return used
+
+
 def are_similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity reaches `least`, from sorted distinct hashes: exact for whole sets, else estimated
-    over the smallest of the union, with the margin."""
-    common, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
+    """Whether the Jaccard similarity of two sets of hashes, sorted and distinct, reaches `least`."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
+        return False
+    if not len(a):
+        return True
+    common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return common >= least * (len(a) + len(b) - common)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether texts of these sketches are worth a comparison: false for a similar pair with probability MISS at most."""
     if len(a) < SKETCH and len(b) < SKETCH:
-        return len(common) >= least * len(union)
+        return are_similar(a, b, least)
+    common, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
     used = min(len(union), SKETCH)
-    return int(np.searchsorted(common, union[used - 1], side="right")) >= (least - MARGIN) * used
+    return int(np.searchsorted(common, union[used - 1], side="right")) >= least_common(used, least)
+
+
+def _distinct(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, ">u8")).astype(np.uint64)
+
+
+def text_key(text: Column) -> Column:
+    """What tells a text from others; a null text counts as empty."""
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
 def _features(words: int):
-    names = ["doc_id", "content", "fp", "shards", "sketch"]
+    names = ["doc_id", "text_md5", "content", "fp", "n", "shards", "sketch"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 tokens = (text or b"").lower().split()
                 hashes = shingle_hashes(tokens, words)
-                found = np.unique(np.frombuffer(hashes, ">u8")).astype(np.uint64)
+                found = _distinct(hashes)
                 shards = []
                 if len(found):
                     mixed = found[None, :] * _ORDERS[:SHARD_ORDERS, None]
                     shards = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).view(np.int64).tolist()
                 sketch = (found[:SKETCH] >> np.uint64(24)).astype("<u8")  # the upper 40 bits keep the order
                 content = xxhash.xxh3_128_digest(b" ".join(tokens))
-                rows.append((content, signed(majority(hashes)), shards, sketch.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                rows.append((content, signed(majority(hashes)), len(found), shards, sketch.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     return features
 
@@ -267,7 +303,7 @@ def _unpacked(sketch: bytes) -> np.ndarray:
 
 
 def similar_links(rows: list[tuple[int, int, int, bytes]], bits: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect the similar texts of one shard; rows: (role, node, fingerprint, sketch).
+    """Links that connect the texts of one shard that may be similar; rows: (role, node, fingerprint, sketch).
 
     Role 0 goes into the tree, role 1 asks it, role 2 does both. Texts already connected are not compared again.
     """
@@ -289,7 +325,7 @@ def similar_links(rows: list[tuple[int, int, int, bytes]], bits: int, least: flo
         if role:
             for node in tree.within(fp, bits):
                 j = places[node]
-                if (a := top(i)) != (b := top(j)) and are_similar(sketch(i), sketch(j), least):
+                if (a := top(i)) != (b := top(j)) and may_be_similar(sketch(i), sketch(j), least):
                     lead[max(a, b)] = min(a, b)
         if role != 1:
             tree.add(fp)
@@ -317,35 +353,120 @@ def _shard_stream(bits: int, least: float):
     return links
 
 
+def _needed_hashes(words: int):
+    """Rows (node, root, ..., content, text) to the same with all distinct hashes of the text in place of the last two."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, 3):
+                found = [_distinct(shingle_hashes(t.as_py().lower().split(), words)).astype("<u8").tobytes() for t in batch.column(3)]
+                columns = [*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "blocks", "hashes"])
+
+    return hashes
+
+
+def _exact_stream(least: float):
+    """Rows (root, low, high, role, node, hashes) sorted by (part, role, node) to links of the texts that are similar.
+
+    Texts of role 0 and 2 are held; those of role 1 and 2 are compared with the held ones, one after the other.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        lead: dict[int, int] = {}
+
+        def top(node: int) -> int:
+            while (above := lead.get(node, node)) != node:
+                lead[node] = node = lead.get(above, above)
+            return node
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            *keys, roles, names = (batch.column(i).to_pylist() for i in range(5))
+            for *part, role, node, hashes in zip(*keys, roles, names, batch.column(5)):
+                if part != key:
+                    key, nodes, sets, lead = part, [], [], {}
+                elif node == last:  # rows of one identifier and text
+                    continue
+                last, own = node, np.frombuffer(hashes.as_py(), "<u8")
+                if role:
+                    for other, held in zip(nodes, sets):
+                        if (a := top(node)) != (b := top(other)) and are_similar(own, held, least):
+                            lead[max(a, b)] = min(a, b)
+                            out.append((node, other))
+                if role != 1:
+                    nodes.append(node)
+                    sets.append(own)
+            yield _edges(out)
+
+    return links
+
+
+def _exact_links(texts: DataFrame, first: DataFrame, candidates: DataFrame, words: int, least: float, held: int, tree_nodes: int) -> DataFrame:
+    """Links of the candidates (node, root) that are similar by all their hashes, which are computed again from the texts."""
+    members = first.select("node", "n", "content", "sample").join(candidates, "node")
+    sizes = members.groupBy("root").agg(F.sum("n").alias("hashes"), F.count(F.lit(1)).alias("texts"))
+    blocks = F.greatest(F.ceil(F.col("hashes") / held), F.ceil(F.col("texts") / tree_nodes)).cast("int").alias("blocks")
+    needed = lookup(members, sizes.select("root", blocks), ["root"], "inner")
+    needed = keep_table(needed.select("node", "root", "blocks", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_md5").alias("sample_md5")), "candidate-texts")
+    same = F.col("doc_id").eqNullSafe(F.col("sample_id")) & (F.col("text_md5") == F.col("sample_md5"))
+    read = texts.join(needed, same).select("node", "root", "blocks", "text")
+    hashed = keep_table(read.mapInArrow(_needed_hashes(words), "node long, root long, blocks int, hashes binary"), "candidate-hashes")
+
+    key = ("root", "low", "high")
+    dealt = _dealt(hashed).select(*key, "role", "node", "hashes")
+    found = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_exact_stream(least), "a long, b long")
+    found = keep_table(found, "similar-pairs")
+    drop_tables(needed, hashed)
+    return found
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows with a number of blocks, once for each pair of blocks that theirs is in, with the pair (low, high) and their role."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    role = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "role": role})
+
+
 def similar_documents(
-    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tree_nodes: int = TREE_NODES
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tree_nodes: int = TREE_NODES,
+    hashes_held: int = HASHES_HELD,
 ) -> DataFrame:
     """(doc_id, component_id) for each row: texts are linked if their sets of word shingles have a Jaccard similarity of
-    `least` or more (estimated for texts of over SKETCH shingles); component_id is the smallest doc_id reachable.
+    `least` or more; component_id is the smallest doc_id reachable.
 
     Words as in `near_duplicates`. Texts of the same words are one text, blank and null texts too. A shard holds the
-    texts that share a smallest hash; a BK-tree over their fingerprints finds the candidates. A shard of more than
-    `tree_nodes` different texts is cut into blocks, and each pair of blocks has a task of its own. Null identifiers take
-    part but name a component only if nothing else does. Other columns are not read.
+    texts that share a smallest hash; a BK-tree over their fingerprints and a sketch find the candidates. Texts that
+    candidates connect are a group, inside which all hashes decide. A shard of more than `tree_nodes` different texts, and
+    a group of more than these or of more than `hashes_held` hashes, is cut into blocks, and each pair of blocks has a task
+    of its own. Null identifiers take part but name a component only if nothing else does. Other columns are not read.
     """
-    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("binary").alias("text"))
-    rows = keep_table(texts.mapInArrow(_features(words), "doc_id long, content binary, fp long, shards array<long>, sketch binary"), "shingle-features")
-    first = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"), *[F.any_value(c).alias(c) for c in ("fp", "shards", "sketch")])
+    binary = named(text_col).cast("binary")
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), text_key(binary).alias("text_md5"), binary.alias("text"))
+    schema = "doc_id long, text_md5 string, content binary, fp long, n long, shards array<long>, sketch binary"
+    rows = keep_table(texts.mapInArrow(_features(words), schema), "shingle-features")
+    sample = F.any_value(F.struct("doc_id", "text_md5")).alias("sample")  # a row that has the text
+    first = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"), sample, *[F.any_value(c).alias(c) for c in ("fp", "n", "shards", "sketch")])
     first = keep_table(first.withColumn("node", F.monotonically_increasing_id()), "different-texts")
 
     shards = first.select("node", F.posexplode("shards").alias("place", "value"))
     shared = shards.groupBy("place", "value").agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     shared = keep_table(shared.where("n > 1").select("place", "value", "blocks"), "shared-shards")
     members = lookup(shards, shared, ["place", "value"], "inner").join(first.select("node", "fp", "sketch"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    role = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    part = F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.select("place", "value", part["low"].alias("low"), part["high"].alias("high"), role.alias("role"), "node", "fp", "sketch")
     key = ("place", "value", "low", "high")
+    dealt = _dealt(members).select(*key, "role", "node", "fp", "sketch")
     links = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_shard_stream(SIMILAR_BITS, least), "a long, b long")
 
-    roots = components(links)
+    roots = components(_exact_links(texts, first, components(links), words, least, hashes_held, tree_nodes))
     rooted = first.select("node", "content", "first_id").join(roots, "node", "left")
     rooted = keep_table(rooted.select("content", "first_id", F.coalesce("root", "node").alias("root")), "rooted-texts")
     named_by = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -115,3 +115,27 @@ def test_components_of_a_path_and_a_star(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_components(rows, words=5, least=0.8):
+    sets = []
+    for _, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets.append({" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    roots = groups(len(rows), lambda i, j: sets[i] == sets[j] or bool(sets[i] & sets[j]) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+    return dict(zip((r[0] for r in rows), smallest([r[0] for r in rows], roots)))
+
+
+@pytest.mark.parametrize(("tree_nodes", "held"), [(4096, 4_000_000), (2, 500)])
+def test_long_texts_are_decided_exactly(documents, tree_nodes, held):
+    rng = random.Random(7)
+    rows = []
+    for base in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(300, 3000) if base % 10 else 300)]
+        rows.append((len(rows), " ".join(text)))
+        for alike in (rng.uniform(0.7, 0.8), rng.uniform(0.8, 0.9)):
+            n = len(text) - 4
+            same = round(2 * n * alike / (1 + alike)) + 4
+            rows.append((len(rows), " ".join(text[:same] + [f"x{rng.randrange(5000)}" for _ in text[same:]])))
+    got = simhash.similar_documents(documents(rows), tree_nodes=tree_nodes, hashes_held=held)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(rows)
