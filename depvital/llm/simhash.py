@@ -217,8 +217,9 @@ def near_duplicates(
 
 # ---- near copies by similarity: fingerprints lie too far apart for blocks of bits, so shards are shared shingles
 
-#: Fingerprints of texts that share four fifths of their shingles lie within so many bits.
-SIMILAR_BITS = 18
+#: Texts with a similar one of fewer than FEW shingles are compared with all of their shard, without the tree; their bits
+#: depend on too few hashes. `similar_bits` is the radius for the rest.
+FEW = 16
 #: Smallest hashes under so many orders name the shards of a text: two texts that share a part s of their shingles meet
 #: in one with probability 1 - (1 - s) ** SHARD_ORDERS.
 SHARD_ORDERS = 5
@@ -231,6 +232,43 @@ HASHES_HELD = 4_000_000
 _ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def _ones(n: int) -> np.ndarray:
+    """Probabilities of 0 to n set bits among n hashes."""
+    return np.array([comb(n, k) / 2**n for k in range(n + 1)])
+
+
+def _bit_differs(common: int, only_a: int, only_b: int) -> float:
+    """Probability that a fingerprint bit of two sets differs."""
+
+    def set_bit(only: int) -> np.ndarray:  # by the number of common hashes that have it
+        most = np.concatenate([[0.0], np.cumsum(_ones(only))])
+        return 1 - most[np.clip((common + only) // 2 + 1 - np.arange(common + 1), 0, only + 1)]
+
+    a, b = set_bit(only_a), set_bit(only_b)
+    return float((_ones(common) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@lru_cache
+def similar_bits(least: float) -> int:
+    """Radius that fingerprints of two similar texts exceed with probability MISS at most, if both have FEW distinct
+    shingles or more: the tail of the binomial with the worst probability of a differing bit. From 64 shingles on that
+    probability only falls towards its limit."""
+    worst = 0.0
+    for smaller in range(FEW, 65):
+        for only in range(smaller + 1):
+            common = smaller - only
+            more = int(common / least + 1e-9) - smaller
+            if more < only:
+                break
+            worst = max(worst, *(_bit_differs(common, only, x) for x in range(max(only, more - 1), more + 1)))
+    tail = 0.0
+    for r in range(BITS, 0, -1):
+        tail += comb(BITS, r) * worst**r * (1 - worst) ** (BITS - r)
+        if tail > MISS:
+            return r
+    return 0
+
+
 @lru_cache
 def least_common(used: int, least: float) -> int:
     """How many of the `used` smallest hashes of a union both texts have at the least, but for probability MISS."""
@@ -288,7 +326,7 @@ def _features(words: int):
                     shards = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).view(np.int64).tolist()
                 sketch = (found[:SKETCH] >> np.uint64(24)).astype("<u8")  # the upper 40 bits keep the order
                 content = xxhash.xxh3_128_digest(b" ".join(tokens))
-                rows.append((content, signed(majority(hashes)), len(found), shards, sketch.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+                rows.append((content, signed(majority(found.astype(">u8").tobytes())), len(found), shards, sketch.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
@@ -302,10 +340,12 @@ def _unpacked(sketch: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def similar_links(rows: list[tuple[int, int, int, bytes]], bits: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect the texts of one shard that may be similar; rows: (role, node, fingerprint, sketch).
+def similar_links(rows: list[tuple[int, int, int, int, bytes]], bits: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect the texts of one shard that may be similar; rows: (role, node, fingerprint,
+    number of distinct shingles, sketch).
 
-    Role 0 goes into the tree, role 1 asks it, role 2 does both. Texts already connected are not compared again.
+    Role 0 goes into the tree, role 1 asks it, role 2 does both. A text that a text of fewer than FEW shingles may be
+    similar to asks for all. Texts already connected are not compared again.
     """
     tree, places, lead = BKTree(), [], list(range(len(rows)))
     sketches: list[np.ndarray | None] = [None] * len(rows)
@@ -318,12 +358,12 @@ def similar_links(rows: list[tuple[int, int, int, bytes]], bits: int, least: flo
 
     def sketch(i: int) -> np.ndarray:
         if sketches[i] is None:
-            sketches[i] = _unpacked(rows[i][3])
+            sketches[i] = _unpacked(rows[i][4])
         return sketches[i]
 
-    for i, (role, _, fp, _) in enumerate(rows):
+    for i, (role, _, fp, n, _) in enumerate(rows):
         if role:
-            for node in tree.within(fp, bits):
+            for node in tree.within(fp, bits) if least * n >= FEW else range(len(places)):
                 j = places[node]
                 if (a := top(i)) != (b := top(j)) and may_be_similar(sketch(i), sketch(j), least):
                     lead[max(a, b)] = min(a, b)
@@ -342,11 +382,11 @@ def _shard_stream(bits: int, least: float):
         mask = (1 << BITS) - 1
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for *key, role, node, fp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, role, node, fp, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != held_key:
                     out += similar_links(held, bits, least) if len(held) > 1 else []
                     held, held_key = [], key
-                held.append((role, node, fp & mask, sketch))
+                held.append((role, node, fp & mask, n, sketch))
             yield _edges(out)
         yield _edges(similar_links(held, bits, least) if len(held) > 1 else [])
 
@@ -461,10 +501,10 @@ def similar_documents(
     shards = first.select("node", F.posexplode("shards").alias("place", "value"))
     shared = shards.groupBy("place", "value").agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     shared = keep_table(shared.where("n > 1").select("place", "value", "blocks"), "shared-shards")
-    members = lookup(shards, shared, ["place", "value"], "inner").join(first.select("node", "fp", "sketch"), "node")
+    members = lookup(shards, shared, ["place", "value"], "inner").join(first.select("node", "fp", "n", "sketch"), "node")
     key = ("place", "value", "low", "high")
-    dealt = _dealt(members).select(*key, "role", "node", "fp", "sketch")
-    links = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_shard_stream(SIMILAR_BITS, least), "a long, b long")
+    dealt = _dealt(members).select(*key, "role", "node", "fp", "n", "sketch")
+    links = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_shard_stream(similar_bits(least), least), "a long, b long")
 
     roots = components(_exact_links(texts, first, components(links), words, least, hashes_held, tree_nodes))
     rooted = first.select("node", "content", "first_id").join(roots, "node", "left")

@@ -139,3 +139,27 @@ def test_long_texts_are_decided_exactly(documents, tree_nodes, held):
             rows.append((len(rows), " ".join(text[:same] + [f"x{rng.randrange(5000)}" for _ in text[same:]])))
     got = simhash.similar_documents(documents(rows), tree_nodes=tree_nodes, hashes_held=held)
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(rows)
+
+
+def test_texts_that_repeat_themselves(documents):
+    rng = random.Random(11)
+    rows = []
+    for base in range(60):
+        few = base % 3 == 2
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(6, 24) if few else rng.choice([150, 400]))]
+        again = [f"x{rng.randrange(5000)}" for _ in range(8)] * (10 if len(text) == 150 else 20)
+        rows.append((len(rows), " ".join(text)))
+        rows.append((len(rows), " ".join(text[1:] if few else text + again)))
+    want = brute_components(rows)
+    assert len(set(want.values())) < len(rows) - 50
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()} == want
+
+
+def test_radius_covers_similar_texts():
+    assert 24 <= simhash.similar_bits(0.8) <= 28
+    rng = random.Random(5)
+    for n in [simhash.FEW, 20, 50, 500] * 100:
+        union = [rng.getrandbits(64) for _ in range(int(n / 0.9))]
+        gone = int(len(union) * 0.1)
+        fps = [simhash.majority(b"".join(h.to_bytes(8, "big") for h in part)) for part in (union[gone:], union[: len(union) - gone])]
+        assert (fps[0] ^ fps[1]).bit_count() <= simhash.similar_bits(0.8)
