@@ -481,8 +481,9 @@ def similar_documents(
     tree_nodes: int = TREE_NODES,
     hashes_held: int = HASHES_HELD,
 ) -> DataFrame:
-    """(doc_id, component_id) for each row: texts are linked if their sets of word shingles have a Jaccard similarity of
-    `least` or more; component_id is the smallest doc_id reachable.
+    """(doc_id, component_id, text_md5, kept) for each row: texts are linked if their sets of word shingles have a Jaccard similarity of
+    `least` or more; component_id is the smallest doc_id reachable. One pair of
+    doc_id and text_md5 is kept of each component: its smallest identifier's, of the texts under that the smallest MD5.
 
     Words as in `near_duplicates`. Texts of the same words are one text, blank and null texts too. A shard holds the
     texts that share a smallest hash; a BK-tree over their fingerprints and a sketch find the candidates. Texts that
@@ -494,8 +495,8 @@ def similar_documents(
     texts = docs.select(named(id_col).cast("long").alias("doc_id"), text_key(binary).alias("text_md5"), binary.alias("text"))
     schema = "doc_id long, text_md5 string, content binary, fp long, n long, shards array<long>, sketch binary"
     rows = keep_table(texts.mapInArrow(_features(words), schema), "shingle-features")
-    sample = F.any_value(F.struct("doc_id", "text_md5")).alias("sample")  # a row that has the text
-    first = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"), sample, *[F.any_value(c).alias(c) for c in ("fp", "n", "shards", "sketch")])
+    sample = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")).alias("sample")  # a row that has the text
+    first = rows.groupBy("content").agg(sample, *[F.any_value(c).alias(c) for c in ("fp", "n", "shards", "sketch")])
     first = keep_table(first.withColumn("node", F.monotonically_increasing_id()), "different-texts")
 
     shards = first.select("node", F.posexplode("shards").alias("place", "value"))
@@ -507,11 +508,13 @@ def similar_documents(
     links = dealt.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_shard_stream(similar_bits(least), least), "a long, b long")
 
     roots = components(_exact_links(texts, first, components(links), words, least, hashes_held, tree_nodes))
-    rooted = first.select("node", "content", "first_id").join(roots, "node", "left")
-    rooted = keep_table(rooted.select("content", "first_id", F.coalesce("root", "node").alias("root")), "rooted-texts")
-    named_by = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_text = lookup(rooted, named_by, ["root"]).select("content", "component_id")
-    found = lookup(rows.select("doc_id", "content"), of_text, ["content"]).select("doc_id", "component_id")
+    rooted = first.select("node", "content", "sample").join(roots, "node", "left")
+    rooted = keep_table(rooted.select("content", "sample", F.coalesce("root", "node").alias("root")), "rooted-texts")
+    named_by = rooted.groupBy("root").agg(F.min("sample").alias("first"))
+    of_text = lookup(rooted, named_by, ["root"]).select("content", "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_md5") == F.col("first.text_md5"))
+    found = lookup(rows.select("doc_id", "content", "text_md5"), of_text, ["content"])
+    found = found.select("doc_id", F.col("first.doc_id").alias("component_id"), "text_md5", kept.alias("kept"))
     found = keep_table(found, "similar-documents")
     drop_tables(rows, first, shared, rooted)  # sketches are a large part of short texts
     return found

@@ -13,10 +13,12 @@ import tiktoken
 import __spark_entry__ as driver
 import check
 import corpus_pipeline
-from depvital.llm import queries
+from depvital.llm import language_id, queries
 from depvital.llm.common import keep_table, read_table
 from depvital.llm.queries import RANKS
 
+from .conftest import AWKWARD
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -87,3 +89,42 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def awkward(spark):
+    """Rows with null and repeated identifiers, in the columns of the documents."""
+    rows = [(i, t, lang, source, len(t or "")) for i, t, lang, source in ((*r, *[None] * (4 - len(r))) for r in AWKWARD)]
+    rows += [(None, f"Null document number {n} " + " ".join(f"w{n}x{k}" for k in range(40)), "en", "a", 0) for n in range(6)]
+    rows += [(70, f"Shared identifier {n} " + " ".join(f"s{n}x{k}" for k in range(40)), "en", "a", 0) for n in range(3)]
+    rows += [(None, rows[-1][1], "en", "b", 0), (60, rows[-2][1], "en", "b", 0), (61, "  " + rows[-1][1], "en", "b", 0)]
+    columns = read_table(spark, SF, "documents").columns
+    assert columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
+
+
+def test_near_copies_of_null_and_repeated_identifiers(spark):
+    docs, rows = awkward(spark)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=repr)
+    groups = {}
+    for i, text, *_ in rows:
+        words = (text or "").lower().encode().split()
+        groups.setdefault(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else None, set()).add((i, text))
+    groups = list(groups.values())
+    long = [g for g in groups if any(t and len(t) > 10_000 for _, t in g)]  # LONG and LONG + "end"
+    groups = [g for g in groups if g not in long] + [set().union(*long)]
+    best = lambda g: min(g, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    want = [best(g) for g in groups]
+    spelt = lambda found: sorted(((i, t or "") for i, t in found), key=repr)
+    assert spelt(got) == spelt(want)
+
+
+def test_every_stage_on_awkward_rows(spark):
+    docs, rows = awkward(spark)
+    ids = lambda found: sorted((r[0] for r in found), key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        found = keep_table(stage(spark, docs, SF), "test-awkward").select("doc_id").collect()
+        if stage is corpus_pipeline.identify_language:
+            model = language_id.fit(docs)
+            assert ids(found) == ids(r for r, (_, _, gone) in zip(rows, model.predict([r[1] for r in rows])) if not gone)
+        elif stage is not corpus_pipeline.drop_near_copies:
+            assert ids(found) == ids(rows)
