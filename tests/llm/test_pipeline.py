@@ -128,3 +128,21 @@ def test_every_stage_on_awkward_rows(spark):
             assert ids(found) == ids(r for r, (_, _, gone) in zip(rows, model.predict([r[1] for r in rows])) if not gone)
         elif stage is not corpus_pipeline.drop_near_copies:
             assert ids(found) == ids(rows)
+
+
+def test_result_holds_the_mix(spark):
+    """The order and the shares of the sources, from run()'s rows written to several files and read again."""
+    rows = [tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "source", "mix_slot", "mix_place").collect()]
+    assert [r[2:] for r in rows] == sorted(r[2:] for r in rows) and len(set(r[2:] for r in rows)) == len(rows)
+    again = keep_table(spark.createDataFrame(rows, "doc_id long, source string, mix_slot long, mix_place long").repartition(3), "test-mix").collect()
+    assert [r.doc_id for r in sorted(again, key=lambda r: (r.mix_slot, r.mix_place))] == [r[0] for r in rows]
+    sources = {}
+    for doc, source, slot, _ in rows:
+        sources.setdefault(source, []).append((slot, doc))
+    weight = {s: len(found) ** 0.5 for s, found in sources.items()}
+    for source, found in sources.items():
+        digests = [hashlib.md5(str(doc).encode()).hexdigest() for _, doc in found]
+        assert digests == sorted(digests)
+        slots = sorted({slot for slot, _ in found})
+        for n, slot in enumerate(slots):  # the n-th block runs within a block of its target
+            assert abs(slot * weight[source] / sum(weight.values()) - n) < 1.1
