@@ -97,12 +97,16 @@ def scan_rows(entries: DataFrame) -> DataFrame:
 def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """One row per package with a repository, one column per check (sorted), scores as text with two digits.
 
-    The checks are an argument, by default those the scorecard publishes; no pass over the scores looks for names.
+    The checks are an argument, by default those of the scorecard and whatever further names the scores hold.
     """
-    ordered = sorted(CHECKS if checks is None else checks)
+    if checks is None:
+        names = scores.select("check_name").where("check_name IS NOT NULL").distinct()
+        checks = {*CHECKS, *(r["check_name"] for r in names.collect())}  # one row for each check
+    ordered = sorted(checks)
     wide = scores.groupBy("repo_id").pivot("check_name", ordered).agg(F.max("score"))
-    two_digits = lambda name: F.format_string("%.2f", F.col(f"`{name}`").cast("double"))
-    named = [F.when(F.col(f"`{c}`").isNotNull(), two_digits(c)).alias(c) for c in ordered]
+    column = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    two_digits = lambda name: F.format_string("%.2f", column(name).cast("double"))
+    named = [F.when(column(c).isNotNull(), two_digits(c)).alias(c) for c in ordered]
     return (
         analysis.where("repo_url IS NOT NULL")
         .join(wide.select("repo_id", *named), "repo_id", "left")
@@ -110,7 +114,7 @@ def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | N
             "purl",
             "repo_url",
             two_digits("overall_score").alias("overall_score"),
-            *[F.col(f"`{c}`") for c in ordered],
+            *[column(c) for c in ordered],
             F.coalesce("days_since_stable", F.lit(0)).alias("days_since_stable"),
             F.coalesce("days_since_prerelease", F.lit(0)).alias("days_since_prerelease"),
             F.coalesce("archived", F.lit(False)).alias("archived"),
