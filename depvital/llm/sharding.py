@@ -18,6 +18,8 @@ from depvital.llm.common import keep_table, lookup, named
 #: Bits of the hash (fifteen hexadecimal digits), and directory bits beyond those of an average shard.
 HASH_BITS = 60
 SPARE_BITS = 3
+#: Bits that name the shard of one hash that is over the limit, whatever the directory's width.
+LONE_BITS = 40
 MORE_BITS = 6
 
 
@@ -36,14 +38,17 @@ def shard_directory(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
         if bits == HASH_BITS or cells.where((F.col("bytes") > limit) & (F.col("low") < F.col("high"))).isEmpty():
             break
         bits = min(HASH_BITS, bits + MORE_BITS)
-    paths = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+    paths = cells.select("cell", "bytes", "docs", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
     paths = paths.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
     buckets = keep_table(paths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")), "buckets")
     split = buckets.where((F.col("bytes") > limit) & (F.col("depth") < bits)).select(F.col("depth").alias("parent_depth"), F.col("prefix").alias("parent"))
     inner = (F.col("depth") == F.col("parent_depth") + 1) & (F.shiftright("prefix", 1) == F.col("parent"))
     reached = buckets.join(split, inner, "left").where((F.col("depth") == 0) | F.col("parent").isNotNull())
     leaves = reached.where((F.col("bytes") <= limit) | (F.col("depth") == bits)).select("depth", "prefix", "bytes", "docs")
-    return paths.select("cell", "depth", "prefix").join(leaves, ["depth", "prefix"]), bits
+    directory = paths.select("cell", "depth", "prefix", "low", "high").join(leaves, ["depth", "prefix"])
+    lone = (F.col("bytes") > limit) & (F.col("low") == F.col("high")) & (F.col("depth") < LONE_BITS)
+    prefix = F.when(lone, F.shiftright("low", HASH_BITS - LONE_BITS)).otherwise(F.col("prefix"))
+    return directory.withColumns({"prefix": prefix, "depth": F.when(lone, F.lit(LONE_BITS)).otherwise(F.col("depth"))}), bits
 
 
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +56,7 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
 
     `bytes` is the text's length in UTF-8, 0 for null and empty texts. Every shard has at most `limit` bytes, unless all
     its documents share one hash: a document longer than the limit, or repeated rows of one identifier; such a shard holds
-    nothing else that could be split off and is marked over_limit. Null identifiers are placed by the hash of their text.
+    nothing else that could be split off, is named by LONE_BITS bits and is marked over_limit. Null identifiers are placed by the hash of their text.
     Other columns are not read. An empty table gives an empty result.
     """
     text = named(text_col).cast("string")

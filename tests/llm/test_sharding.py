@@ -3,8 +3,13 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import duckdb
+import pyarrow as pa
 import pytest
 
+import check
+
+from depvital.llm.queries import ORACLE_SQL, SHARD_BYTES
 from depvital.llm.sharding import HASH_BITS, shard, write_shards
 
 from .conftest import AWKWARD
@@ -59,3 +64,16 @@ def test_written_shards(spark, documents, tmp_path):
     write_shards(docs, placed, f"file://{tmp_path}/shards")
     again = spark.read.parquet(f"file://{tmp_path}/shards")
     assert again.count() == 64 and again.select("shard").distinct().count() == placed.select("shard").distinct().count()
+
+
+def test_texts_over_the_limit_match_sql(documents):
+    rows = [(i, "x" * (300_000 if i % 3 else 10)) for i in range(30)] + [(30, "y" * (SHARD_BYTES + 1)), (31, "z" * (3 * SHARD_BYTES))]
+    docs = documents(rows).select("doc_id", "text")
+    got = shard(docs, SHARD_BYTES)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}))
+    result = con.execute(ORACLE_SQL["op10_sharding"])
+    columns = [d[0] for d in result.description]
+    want = check.rows_of(columns, result.fetchall())
+    assert check.rows_of(got.columns, [tuple(r) for r in got.collect()]) == want
+    assert {r.depth for r in got.collect() if r.over_limit} == {40}
