@@ -11,6 +11,7 @@ from depvital.llm.common import new_folder, read_table
 from depvital.llm.embedding_dedup import near_vectors
 from depvital.llm.exact_dedup import exact_dedup
 from depvital.llm.language_id import classify, fit, held_out
+from depvital.llm.license_scan import AGREE, BASE, NOTICES, RARE_WORDS, license_labels, scan_licenses
 from depvital.llm.line_dedup import line_dedup
 from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_sources
 from depvital.llm.sharding import shard
@@ -72,6 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -83,8 +88,19 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op11_license_scan": op11_license_scan,
 }
 
+
+def _template_rows() -> str:
+    """Words of the licence templates as SQL rows (template, label, base, pos, word, in a key phrase)."""
+    return ", ".join(
+        f"({number}, '{t.label}', {t.base}, {pos}, '{word}', {pos in t.key_places})"
+        for number, t in enumerate(BASE + NOTICES)
+        for pos, word in enumerate(t.words)
+    )
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -165,4 +181,39 @@ ORACLE_SQL = {
             docs AS shard_docs, leaf.bytes AS shard_bytes, leaf.bytes > {SHARD_BYTES} AS over_limit
         FROM d JOIN leaf ON d.hash >> (60 - leaf.depth) = leaf.prefix
     """,
+    "op11_license_scan": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT r, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM d
+        ),
+        tok AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS spot FROM w),
+        tw(t, label, base, pos, word, key) AS (VALUES {_template_rows()}),
+        df AS (SELECT word, count(DISTINCT r) AS n FROM tok WHERE word IN (SELECT word FROM tw) GROUP BY word),
+        ranked AS (SELECT tw.*, n, row_number() OVER (PARTITION BY t ORDER BY n IS NULL, n, tw.word, pos) AS rnk FROM tw LEFT JOIN df USING (word)),
+        flagged AS (SELECT *, n IS NOT NULL AND rnk <= {RARE_WORDS} AS rare FROM ranked),
+        tpl AS (
+            SELECT t, count(*) AS len, count(*) FILTER (WHERE key) AS keys,
+                CASE WHEN bool_or(base) THEN count(*) FILTER (WHERE rare)
+                    ELSE greatest(1, floor(count(*) FILTER (WHERE rare) * {AGREE} + 0.5)) END AS need
+            FROM flagged GROUP BY t
+        ),
+        place AS (
+            SELECT r, f.t, f.label, f.base, spot - pos AS start, count(*) AS same, count(*) FILTER (WHERE key) AS key_hits, count(*) FILTER (WHERE rare) AS votes
+            FROM tok JOIN flagged f ON tok.word = f.word GROUP BY ALL
+        ),
+        found AS (
+            SELECT r, label, base, start, same / len AS share FROM place JOIN tpl ON place.t = tpl.t WHERE key_hits = keys AND votes >= need
+        ),
+        agg AS (
+            SELECT r, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM found GROUP BY r
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+            last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+        FROM w LEFT JOIN agg USING (r)
+    """,
 }
