@@ -17,6 +17,7 @@ from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_source
 from depvital.llm.sharding import shard
 from depvital.llm.simhash import near_duplicates
 from depvital.llm.token_counts import replace_matches, unbuilt
+from depvital.llm.vector_codes import code_errors, compress
 from depvital.llm.warc import archive_digests
 
 #: Rank file of op3 and op8, an installed file of under one megabyte.
@@ -25,6 +26,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SHARD_BYTES = 1 << 20
 #: op8's edits: a run of one punctuation mark becomes a single one.
 PUNCTUATION_RUN = r"([^\w\s])\1+"
+#: op12's codes: parts of a vector, entries of a codebook, rounds.
+VECTOR_PARTS, CODEBOOK_SIZE, LLOYD_ROUNDS = 8, 16, 6
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(scan_licenses(read_table(spark, sf_dir, "documents")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(read_table(spark, sf_dir, "embeddings"), parts=VECTOR_PARTS, size=CODEBOOK_SIZE, rounds=LLOYD_ROUNDS)
+    return code_errors(coded).withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -89,9 +97,57 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
     "op11_license_scan": op11_license_scan,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 
+def _lloyd_sql(parts: int, size: int, rounds: int) -> str:
+    """All rounds as one chain of tables: e0, e1, ... entries; a0, a1, ... parts with their entry and distance."""
+    steps = [
+        f"""
+        v AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        p AS (
+            SELECT r, part, w[part * (len(w) // {parts}) + 1 : (part + 1) * (len(w) // {parts})] AS x FROM v, range({parts}) AS t(part)
+        ),
+        e0 AS (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= {size})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, p.part, min_by(entry, (d, entry)) AS entry, min(d) AS d, any_value(x) AS x
+            FROM (
+                SELECT r, p.part, entry, x, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))::BIGINT AS d
+                FROM p JOIN e{i} ON p.part = e{i}.part
+            ) AS p GROUP BY r, p.part
+        )""")
+        if i < rounds:
+            steps.append(f"""
+        e{i + 1} AS MATERIALIZED (
+            SELECT e{i}.part, e{i}.entry, coalesce(m.e, e{i}.e) AS e FROM e{i} LEFT JOIN (
+                SELECT part, entry, list(mean ORDER BY place) AS e FROM (
+                    SELECT part, entry, place, floor_div AS mean FROM (
+                        SELECT part, entry, place, sum(c)::BIGINT AS s, count(*) AS n,
+                            (sum(c)::BIGINT - ((sum(c)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+                        FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS place FROM a{i}) GROUP BY ALL
+                    )
+                ) GROUP BY part, entry
+            ) AS m ON m.part = e{i}.part AND m.entry = e{i}.entry
+        )""")
+    return f"""
+        WITH {",".join(steps)},
+        c AS (
+            SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r
+        ),
+        h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS books FROM e{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256
+        FROM v JOIN c USING (r), h
+    """
+
+
 def _template_rows() -> str:
     """Words of the licence templates as SQL rows (template, label, base, pos, word, in a key phrase)."""
     return ", ".join(
@@ -216,4 +272,5 @@ ORACLE_SQL = {
             last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
         FROM w LEFT JOIN agg USING (r)
     """,
+    "op12_vector_codes": _lloyd_sql(VECTOR_PARTS, CODEBOOK_SIZE, LLOYD_ROUNDS),
 }
