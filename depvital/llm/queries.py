@@ -14,6 +14,7 @@ from depvital.llm.language_id import classify, fit, held_out
 from depvital.llm.license_scan import AGREE, BASE, NOTICES, RARE_WORDS, license_labels, scan_licenses
 from depvital.llm.line_dedup import line_dedup
 from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_sources
+from depvital.llm.prefix_trie import borrowed_paths, ordered_turns, prefix_trie
 from depvital.llm.sharding import shard
 from depvital.llm.simhash import near_duplicates
 from depvital.llm.token_counts import replace_matches, unbuilt
@@ -85,6 +86,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_errors(coded).withColumn("codebooks_sha256", F.lit(books.sha256()))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that begin with up to eight turns of the first of their family of five."""
+    turns = ordered_turns(read_table(spark, sf_dir, "conversations"))
+    borrowed = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return prefix_trie(borrowed_paths(turns, family=5, borrowed=borrowed, most=8))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -98,6 +106,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_license_scan": op11_license_scan,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -273,4 +282,43 @@ ORACLE_SQL = {
         FROM w LEFT JOIN agg USING (r)
     """,
     "op12_vector_codes": _lloyd_sql(VECTOR_PARTS, CODEBOOK_SIZE, LLOYD_ROUNDS),
+    # crc32 bit by bit: a list of the identifier's bytes, each followed by eight steps
+    "op13_prefix_trie": """
+        WITH RECURSIVE t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        v AS (
+            SELECT c, list(struct_pack(role := role, text := text) ORDER BY pos) AS own,
+                xor(4294967295, list_reduce(
+                    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END
+                )) % 9 AS h
+            FROM t GROUP BY c
+        ),
+        p AS (
+            SELECT v.c, list_concat(coalesce(b.own, [])[1 : v.h], v.own[v.h + 1 :]) AS path
+            FROM v LEFT JOIN v AS b ON b.c = v.c - v.c % 5
+        ),
+        x AS (SELECT c, len(path) AS length, d, path[1 : d] AS prefix, CASE WHEN d > 0 THEN strlen(path[d].text) ELSE 0 END AS bytes FROM p, unnest(range(0, len(path) + 1)) AS u(d)),
+        n AS (
+            SELECT prefix, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE length = d), '')) AS ends_sha256
+            FROM x GROUP BY prefix
+        ),
+        k AS (
+            SELECT n.*, up.conv_id AS parent_conv_id, up.prefix AS up, coalesce(kids.n, 0) AS n_children
+            FROM n LEFT JOIN n AS up ON n.depth > 0 AND up.prefix = n.prefix[1 : n.depth - 1]
+            LEFT JOIN (SELECT prefix[1 : depth - 1] AS prefix, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL) AS kids ON kids.prefix = n.prefix
+        ),
+        below AS (
+            SELECT prefix AS top, up AS next, n_children, (n_convs - 1) * bytes AS saved, prefix AS own FROM k
+            UNION ALL
+            SELECT k.prefix, k.up, below.n_children, below.saved, below.own FROM below JOIN k ON k.prefix = below.next
+        ),
+        s AS (SELECT top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY top)
+        SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+        FROM k JOIN s ON s.top = k.prefix
+    """,
 }
