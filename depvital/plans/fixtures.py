@@ -35,10 +35,9 @@ _BUILD_CHECKS = (
 
 
 # PyPI distribution names differ from the module name for two packages of three
-_NAME = (
-    "CASE WHEN p.p_partkey % 8 = 1 AND p.p_partkey % 3 = 1 THEN 'py-' WHEN p.p_partkey % 8 = 1 AND p.p_partkey % 3 = 2 "
-    "THEN 'dist-' ELSE '' END || 'p' || p.p_partkey"
-)
+_NAME = "CASE WHEN p.k % 8 = 1 AND p.k % 3 = 1 THEN 'py-' WHEN p.k % 8 = 1 AND p.k % 3 = 2 THEN 'dist-' ELSE '' END || 'p' || p.k"
+#: Identifiers of packages without a release start here, above those of all parts.
+UNRELEASED = 1_000_000_000_000
 
 
 def _eco(key: str) -> str:
@@ -59,7 +58,7 @@ _DUCK_CHECKS = _CHECK_STRUCTS.format(open="{{'check_name': ", sep=", 'score': ",
 # a view is one shared text, or a (Spark, DuckDB) pair where the two spell an explode differently
 VIEWS: dict[str, str | tuple[str, str]] = {
     # one row per (package, version); shifted publish dates spread the ages over all rules, and dates past the evaluation
-    # time move back; one package of nineteen has not been released
+    # time move back
     "fx_versions": f"""
 SELECT package_id, version, published_at - INTERVAL '1' YEAR * (CASE WHEN published_at > TIMESTAMP '{AS_OF}' THEN 8 ELSE 0 END)
   AS published_at, is_default, is_deprecated FROM (
@@ -71,29 +70,32 @@ SELECT package_id, version, published_at - INTERVAL '1' YEAR * (CASE WHEN publis
       WHEN l_partkey % 10 = 2 THEN 27 WHEN l_partkey % 10 = 3 THEN 21 ELSE 8 END)) AS published_at,
     bool_or(l_linestatus = 'O' AND l_linenumber = 1) AS is_default,
     bool_and(l_tax >= 0.08) AS is_deprecated
-  FROM {{lineitem}} WHERE l_partkey % 19 <> 7 GROUP BY 1, 2
+  FROM {{lineitem}} GROUP BY 1, 2
 ) v
 """,
+    # every part is a released package, every supplier one that was never released
     "fx_packages": f"""
-SELECT p.p_partkey AS package_id, {_eco('p.p_partkey')} AS ecosystem,
-  CASE WHEN p.p_partkey % 8 = 0 THEN '@' ELSE '' END
-    || CASE WHEN p.p_partkey % 8 IN (0, 2, 4, 6) THEN lower(replace(p.p_brand, '#', '')) END AS namespace,
+SELECT p.k AS package_id, {_eco('p.k')} AS ecosystem,
+  CASE WHEN p.k % 8 = 0 THEN '@' ELSE '' END || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand END AS namespace,
   {_NAME} AS name, v.version,
-  'pkg:' || {_eco('p.p_partkey')} || '/'
-    || CASE WHEN p.p_partkey % 8 = 0 THEN '%40' ELSE '' END
-    || CASE WHEN p.p_partkey % 8 IN (0, 2, 4, 6) THEN lower(replace(p.p_brand, '#', '')) || '/' ELSE '' END
+  'pkg:' || {_eco('p.k')} || '/'
+    || CASE WHEN p.k % 8 = 0 THEN '%40' ELSE '' END
+    || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand || '/' ELSE '' END
     || {_NAME} || coalesce('@' || v.version, '') AS purl,
-  p.p_partkey % (2 * (SELECT count(DISTINCT user_id) FROM {{events}})) AS repo_id
-FROM {{part}} p LEFT JOIN (SELECT package_id, min(version) AS version FROM {{fx_versions}} GROUP BY 1) v
-  ON v.package_id = p.p_partkey
+  p.k % (2 * (SELECT count(DISTINCT user_id) FROM {{events}})) AS repo_id
+FROM (SELECT p_partkey AS k, lower(replace(p_brand, '#', '')) AS brand FROM {{part}}
+  UNION ALL SELECT s_suppkey + {UNRELEASED} AS k, 'vendor' || (s_nationkey % 5) AS brand FROM {{supplier}}) p
+LEFT JOIN (SELECT package_id, min(version) AS version FROM {{fx_versions}} GROUP BY 1) v ON v.package_id = p.k
 """,
+    # advisories of returned lines concern versions that may be in use, all others early versions that no one uses
     "fx_advisories": """
 SELECT l_partkey AS package_id,
-  l_linenumber || '.' || CAST(l_quantity AS INT) || '.' || (l_suppkey % 10) AS version,
+  CASE WHEN l_returnflag = 'A' THEN l_linenumber || '.' || CAST(l_quantity AS INT) || '.' || (l_suppkey % 10)
+    ELSE '0.0.' || l_linenumber END AS version,
   CASE l_orderkey % 4 WHEN 0 THEN 'GHSA-' WHEN 1 THEN 'CVE-' WHEN 2 THEN 'GO-' ELSE 'PYSEC-' END
     || l_orderkey AS advisory_id,
   max(CAST(l_orderkey % 11 AS DOUBLE)) AS cvss3, CAST(NULL AS VARCHAR(9)) AS relation
-FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY 1, 2, 3
+FROM {lineitem} GROUP BY 1, 2, 3
 """,
     "fx_commits": """
 SELECT user_id AS repo_id, event_id AS commit_id,
@@ -166,18 +168,17 @@ SELECT DISTINCT o.o_custkey AS project_id, f.l_partkey AS package_id FROM (
   FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM {lineitem}) l
 ) f JOIN {orders} o ON o.o_orderkey = f.l_orderkey WHERE f.rn = 1
 """,
-    # import counts standing in for source analysis: order lines of a project that use a package
-    "fx_coupling": """
-SELECT o.o_custkey AS project_id, l.l_partkey AS package_id,
+    # import counts standing in for source analysis: a line of a finished order uses its part, an open one its supplier's package
+    "fx_coupling": f"""
+SELECT o.o_custkey AS project_id, CASE WHEN l.l_linestatus = 'F' THEN l.l_partkey ELSE l.l_suppkey + {UNRELEASED} END AS package_id,
   count(DISTINCT l.l_orderkey) AS import_files, count(*) AS call_sites,
   count(DISTINCT l.l_suppkey) AS api_breadth, bool_or(l.l_discount >= 0.09) AS has_blank_import
-FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey
-WHERE l.l_linestatus = 'F' GROUP BY 1, 2
+FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey GROUP BY 1, 2
 """,
-    "fx_dependents": f"""
-SELECT p_partkey AS package_id, 'depsdev' AS source, (p_partkey * 13) % 7 AS dependent_count FROM {{part}}
+    "fx_dependents": """
+SELECT package_id, 'depsdev' AS source, (package_id * 13) % 7 AS dependent_count FROM {fx_packages}
 UNION ALL
-SELECT p_partkey AS package_id, 'registry' AS source, (p_partkey * 29) % 1000 AS dependent_count FROM {{part}}
+SELECT package_id, 'registry' AS source, (package_id * 29) % 1000 AS dependent_count FROM {fx_packages}
 """,
 }
 

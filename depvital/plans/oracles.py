@@ -430,6 +430,14 @@ SELECT project_id, package_id AS direct_id, package_id AS node FROM fx_direct
 UNION
 SELECT r.project_id, r.direct_id, e.dst FROM o_reach r
 JOIN fx_edges e ON e.project_id = r.project_id AND e.src = r.node
+""",
+    # the newest rows of each step; a node found again at a later level does not lead on
+    "o_steps": """
+SELECT project_id, package_id AS direct_id, package_id AS node, 0 AS level FROM fx_direct
+UNION
+SELECT s.project_id, s.direct_id, e.dst, s.level + 1 FROM o_steps s
+JOIN fx_edges e ON e.project_id = s.project_id AND e.src = s.node
+WHERE s.level < (SELECT max(n) FROM (SELECT count(*) AS n FROM o_nodes GROUP BY project_id))
 """,
     "o_pairs": """
 SELECT r.*, d.package_id IS NOT NULL AS node_direct FROM o_reach r
@@ -799,7 +807,7 @@ LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
 """,
 
     "o_signal_names": """
-SELECT *, unnest(CASE
+SELECT *, unnest(sigs) AS sig, generate_subscripts(sigs, 1) - 1 AS position FROM (SELECT *, CASE
   WHEN rule_no = 1 THEN ['eol_source', 'eol_scheduled_date'] WHEN rule_no = 2 THEN ['repo_archived', 'repo_disabled']
   WHEN rule_no = 3 THEN ['eol_source']
   WHEN rule_no IN (4, 15) THEN ['last_human_commit', 'maintained_score', 'advisory_count', 'max_advisory_severity']
@@ -812,7 +820,19 @@ SELECT *, unnest(CASE
   WHEN rule_no IN (24, 26, 27) THEN ['last_human_commit', 'maintained_score', 'days_since_release', 'advisory_count',
     'max_advisory_severity']
   WHEN rule_no IN (28, 29, 30) THEN ['days_since_release', 'advisory_count']
-  ELSE ['last_human_commit', 'maintained_score'] END) AS sig FROM o_scan
+  ELSE ['last_human_commit', 'maintained_score'] END AS sigs FROM o_scan) AS listed
+""",
+    "o_marked_pages": r"""
+SELECT page_id, len(regexp_extract_all(string_split(html, '</head>')[1], '<meta\b[^>]*>')) AS ahead
+  FROM pages WHERE contains(html, '</head>')
+""",
+    "o_rule_names": r"""
+SELECT unnest(names) AS rule, generate_subscripts(names, 1) AS rule_no FROM (SELECT regexp_split_to_array('planned_eol archived_or_disabled primary_eol
+residual_vulnerabilities recent_stable recent_prerelease commits_vcs_direct commits_maintained commits_no_scorecard commits_low_maintenance
+commit_data_missing safe_by_vulnerability_score stalled_good_vulnerability_score safe_no_advisories low_maintenance_vulnerable
+low_maintenance_dormant low_maintenance maintained_inactive inactive_recent_publish inactive_old_publish inactive_no_registry
+commit_inconclusive no_commit_maintained no_commit_low_vulnerable no_commit_low no_commit_vulnerable_old no_commit_vulnerable_recent
+no_commit_recent_publish no_commit_mid_publish no_commit_old_publish no_data', '\s+') AS names)
 """,
 }
 
@@ -854,7 +874,7 @@ FROM o_rule_hits
 """,
     "registry_eol": """
 SELECT package_id, eol_state, coalesce(eol_source, warn_source) AS eol_source, eol_reason, eol_successor,
-  evidence_summary FROM o_eol
+  evidence_summary, CAST(NULL AS VARCHAR) AS eol_scheduled FROM o_eol
 """,
     "lifecycle_scan": """
 SELECT package_id, purl, label AS lifecycle_label, reason AS lifecycle_reason, status, verdict, build_label,
@@ -875,7 +895,9 @@ SELECT count(*) AS total, sum((verdict = 'ok')::INT) AS ok_count, sum((verdict =
   sum((build_label = 'Weak')::INT) AS weak_count, sum((build_label = 'Ungraded')::INT) AS ungraded_count
 FROM o_scan
 """,
-    "reachability": "SELECT project_id, direct_id, node FROM o_pairs",
+    "reachability": """
+SELECT project_id, direct_id, node, min(level) AS level FROM o_steps WHERE node <> direct_id GROUP BY 1, 2, 3
+""",
     "graph_metrics": "SELECT * FROM o_gmetrics",
     "indirect_via": """
 SELECT project_id, node AS direct_id, direct_id AS via_id FROM o_pairs WHERE node_direct
@@ -1234,8 +1256,9 @@ LEFT JOIN (SELECT DISTINCT package_id FROM fx_registry) r USING (package_id)
 SELECT package_id AS key FROM fx_packages WHERE package_id NOT IN (SELECT package_id FROM fx_versions)
 """,
     "new_actions": """
-SELECT DISTINCT a.action FROM o_action_edges e JOIN o_action a ON a.p = e.dst
-WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.package_id = e.dst)
+SELECT action FROM (SELECT DISTINCT a.action FROM o_action_edges e JOIN o_action a ON a.p = e.dst
+  WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.package_id = e.dst)) x
+UNION ALL SELECT DISTINCT unnest(['local/one', 'local/two/sub']) FROM fx_direct
 """,
     "merged_results": """
 SELECT coalesce(b.package_id, a.package_id) AS key, CASE WHEN b.package_id IS NOT NULL THEN b.max_v ELSE a.min_v END AS value,
@@ -1314,16 +1337,16 @@ FROM fx_direct d JOIN o_scan s USING (package_id) GROUP BY 1
 SELECT repo_id, 'Project is archived since repo ' || repo_id AS reason FROM fx_scores WHERE check_name = 'Maintained' AND score < 1
 """,
     "vanity_entries": """
-SELECT page_id, 'go-import' AS kind, 'go.v.org' AS prefix, 'https://github.com/owner' || page_id || '/root' AS repo_url
-FROM pages WHERE page_id % 3 = 0 AND contains(html, '</head>')
-UNION ALL SELECT page_id, 'go-import', 'go.v.org/x' || page_id, 'https://github.com/owner' || page_id || '/deep'
-FROM pages WHERE page_id % 3 = 0 AND contains(html, '</head>')
-UNION ALL SELECT page_id, 'go-source', 'go.v.org', 'https://github.com/src' || page_id || '/tool'
-FROM pages WHERE page_id % 3 = 1 AND contains(html, '</head>')
+SELECT page_id, 'go-import' AS kind, ahead AS position, 'go.v.org' AS prefix, 'https://github.com/owner' || page_id || '/root' AS repo_url
+FROM o_marked_pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'go-import', ahead + 1, 'go.v.org/x' || page_id, 'https://github.com/owner' || page_id || '/deep'
+FROM o_marked_pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'go-source', ahead + 1, 'go.v.org', 'https://github.com/src' || page_id || '/tool'
+FROM o_marked_pages WHERE page_id % 3 = 1
 """,
     "lifecycle_signals": """
-SELECT package_id, name, value, CASE WHEN value IS NULL THEN 'absent' ELSE 'used' END AS role FROM (
-  SELECT s.package_id, sig AS name, CASE sig
+SELECT package_id, rule AS lifecycle_rule, position, name, value, CASE WHEN value IS NULL THEN 'absent' ELSE 'used' END AS role FROM (
+  SELECT s.package_id, n.rule, s.position, sig AS name, CASE sig
     WHEN 'eol_source' THEN CASE WHEN s.eol_state = 'Scheduled' THEN 'scheduled' ELSE lower(e.eol_source) END
     WHEN 'eol_scheduled_date' THEN s.eol_scheduled WHEN 'repo_archived' THEN CASE WHEN archived THEN 'true' END
     WHEN 'repo_disabled' THEN CASE WHEN disabled THEN 'true' END
@@ -1334,7 +1357,7 @@ SELECT package_id, name, value, CASE WHEN value IS NULL THEN 'absent' ELSE 'used
     WHEN 'max_advisory_severity' THEN CASE WHEN max_cvss3 > 0 THEN CASE WHEN max_cvss3 < 4 THEN 'LOW' WHEN max_cvss3 < 7
       THEN 'MEDIUM' WHEN max_cvss3 < 9 THEN 'HIGH' ELSE 'CRITICAL' END || ' ' || printf('%.1f', max_cvss3) END
     WHEN 'days_since_release' THEN CAST(pub AS VARCHAR) END AS value
-  FROM o_signal_names s LEFT JOIN o_eol e ON e.package_id = s.package_id) x
+  FROM o_signal_names s JOIN o_rule_names n USING (rule_no) LEFT JOIN o_eol e ON e.package_id = s.package_id) x
 WHERE value IS NOT NULL OR name NOT IN ('eol_scheduled_date', 'repo_archived', 'repo_disabled', 'max_advisory_severity')
 """,
 }

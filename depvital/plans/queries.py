@@ -129,7 +129,7 @@ def registry_rule_hits(fx: Fixtures) -> DataFrame:
 @query
 def registry_eol(fx: Fixtures) -> DataFrame:
     with_slots = releases.join_versions(fx["fx_packages"], _slots(fx))
-    return eol_rules.eol_status(eol_rules.rule_hits(with_slots, fx["fx_registry"])).drop("eol_scheduled")
+    return eol_rules.eol_status(eol_rules.rule_hits(with_slots, fx["fx_registry"]))
 
 
 @query
@@ -150,7 +150,7 @@ def lifecycle_scan(fx: Fixtures) -> DataFrame:
 
 @query
 def lifecycle_signals(fx: Fixtures) -> DataFrame:
-    return assess.lifecycle_signals(_scan(fx), AS_OF).drop("lifecycle_rule", "position")
+    return assess.lifecycle_signals(_scan(fx), AS_OF)
 
 
 @query
@@ -168,7 +168,7 @@ def scan_summary(fx: Fixtures) -> DataFrame:
 
 @query
 def reachability(fx: Fixtures) -> DataFrame:
-    return graph.reachability(fx["fx_edges"], fx["fx_direct"]).drop("level")
+    return graph.reachability(fx["fx_edges"], fx["fx_direct"])
 
 
 @query
@@ -761,7 +761,7 @@ def archived_by_check(fx: Fixtures) -> DataFrame:
 
 @query
 def vanity_entries(fx: Fixtures) -> DataFrame:
-    return keys.page_metadata(fx["fx_html"]).drop("position")
+    return keys.page_metadata(fx["fx_html"])
 
 
 # --- result rows -----------------------------------------------------------------------------------
@@ -784,7 +784,7 @@ def not_found(fx: Fixtures) -> DataFrame:
 @query
 def new_actions(fx: Fixtures) -> DataFrame:
     direct, nested = _workflow_tables(fx)
-    found = nested.where("kind = 'remote' AND path LIKE 'own%'").select("action")
+    found = nested.where("kind = 'remote'").select("action")
     return reports.new_actions_only(found, direct.where("kind = 'remote'").select("action"))
 
 
