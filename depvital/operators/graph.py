@@ -1,7 +1,8 @@
 """Dependency graphs: resolution of direct dependencies, reachability and removal metrics.
 
-Tables are keyed by project. Joins use (project, node) keys, never the project alone, so one very large
-project spreads over all tasks. Iterations cut lineage in the shared checkpoint folder.
+Tables are keyed by project. A project of up to ``LARGE_EDGES`` edges is walked in one task (see ``walks``): one shuffle,
+no rounds. Larger ones are walked by joins on (project, node), never on the project alone, so they spread over all tasks;
+their rounds cut lineage in the shared checkpoint folder. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depvital.session import cut_lineage
+from depvital.operators.walks import LARGE_EDGES, first_labels, pairs, providers, split_by_size, start_metrics, walk_graphs
+from depvital.session import cut_lineage, drop_table
+
 
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,6 +43,9 @@ class _Found:
         while len(self.tables) > 1 and self.tables[-1][0] >= self.tables[-2][0]:
             (a, x), (b, y) = self.tables[-2:]
             self.tables[-2:] = [(a + b, cut_lineage(x.unionByName(y)))]
+            for merged in (x, y):
+                if merged is not new:  # the newest rows are the next frontier
+                    drop_table(merged)
         return count, new
 
     def all(self, like: DataFrame) -> DataFrame:
@@ -65,11 +71,28 @@ def _walk(edges: DataFrame, start: DataFrame, key: list[str], step) -> DataFrame
     return found.all(frontier)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
+def _apart(edges: DataFrame, starts: DataFrame, large_edges: int):
+    """(edges, starts) of the scopes that one task can hold, and of the others (None without any)."""
+    near, large = split_by_size(edges, large_edges)
+    if large is None:
+        return (near, starts), None
+    return (near, starts.join(large, "scope", "left_anti")), (edges.join(large, "scope", "left_semi"), starts.join(large, "scope", "left_semi"))
+
+
+def closure(edges: DataFrame, seeds: DataFrame, origin: str, large_edges: int = LARGE_EDGES) -> DataFrame:
     """All (scope, origin, node, level) reachable from the seeds; the first (lowest) level is kept.
 
-    ``edges`` has scope, src, dst; ``seeds`` has scope, the origin column and node.
+    ``edges`` has scope, src, dst; ``seeds`` has scope, the origin column and node, which are the same.
     """
+    near, far = _apart(edges, seeds.select("scope", "node"), large_edges)
+    found = walk_graphs(*near, pairs, [("scope", "scope"), (origin, "node"), ("node", "node"), ("level", "int")])
+    if far is None:
+        return found
+    by_joins = _closure_by_joins(far[0], far[1].withColumn(origin, F.col("node")), origin)
+    return found.unionByName(by_joins.select(*found.columns))
+
+
+def _closure_by_joins(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     key = ["scope", origin, "node"]
 
     def step(frontier: DataFrame, links: DataFrame) -> DataFrame:
@@ -79,32 +102,39 @@ def closure(edges: DataFrame, seeds: DataFrame, origin: str) -> DataFrame:
     return _walk(edges, seeds.select(*key).distinct(), key, step)
 
 
-def first_reach(edges: DataFrame, seeds: DataFrame, payload: str) -> DataFrame:
+def first_reach(edges: DataFrame, seeds: DataFrame, payload: str, large_edges: int = LARGE_EDGES) -> DataFrame:
     """(scope, node, payload, level): each reachable node once, at its lowest level, with the smallest payload.
 
-    ``edges`` has scope, src, dst; ``seeds`` has scope, node and the payload column. All seeds advance
+    ``edges`` has scope, src, dst; ``seeds`` has scope, node and the payload column (text). All seeds advance
     together, so an edge is followed once however many seeds lead to it.
     """
+    near, far = _apart(edges, seeds.select("scope", "node", payload), large_edges)
+    output = [("scope", "scope"), ("node", "node"), (payload, "string"), ("level", "int")]
+    found = walk_graphs(*near, first_labels, output, label=payload)
+    if far is None:
+        return found
     least = F.min(payload).alias(payload)
 
     def step(frontier: DataFrame, links: DataFrame) -> DataFrame:
         ends = frontier.select("scope", F.col("node").alias("src"), payload).join(links, ["scope", "src"])
         return ends.groupBy("scope", F.col("dst").alias("node")).agg(least)
 
-    return _walk(edges, seeds.groupBy("scope", "node").agg(least), ["scope", "node"], step)
+    by_joins = _walk(far[0], far[1].groupBy("scope", "node").agg(least), ["scope", "node"], step)
+    return found.unionByName(by_joins.select(*found.columns))
+
 
+def _by_scope(edges: DataFrame, direct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scoped = edges.select(F.col("project_id").alias("scope"), "src", "dst")
+    return scoped, direct.select(F.col("project_id").alias("scope"), F.col("package_id").alias("node"))
 
-def reachability(edges: DataFrame, direct: DataFrame) -> DataFrame:
+
+def reachability(edges: DataFrame, direct: DataFrame, large_edges: int = LARGE_EDGES) -> DataFrame:
     """(project_id, direct_id, node, level) for every node reachable from a direct dependency.
 
     The start itself is left out, also when a cycle leads back to it.
     """
-    reach = closure(
-        edges.select(F.col("project_id").alias("scope"), "src", "dst"),
-        direct.select(F.col("project_id").alias("scope"), F.col("package_id").alias("direct_id"),
-                      F.col("package_id").alias("node")),
-        "direct_id",
-    )
+    scoped, starts = _by_scope(edges, direct)
+    reach = closure(scoped, starts, "direct_id", large_edges)
     return reach.where("node <> direct_id").withColumnRenamed("scope", "project_id")
 
 
@@ -115,9 +145,44 @@ def _mark_direct(reach: DataFrame, direct: DataFrame) -> DataFrame:
     )
 
 
-def graph_metrics(reach: DataFrame, direct: DataFrame) -> DataFrame:
+def graph_metrics(edges: DataFrame, direct: DataFrame, large_edges: int = LARGE_EDGES) -> DataFrame:
     """Transitive nodes per direct dependency: total, exclusive to it, shared, and direct ones above it.
 
+    A node is exclusive where its smallest and its largest provider are the same, so no table of (direct, node) pairs is
+    built, but for projects that one task cannot hold.
+    """
+    near, far = _apart(*_by_scope(edges, direct), large_edges)
+    output = [("scope", "scope"), ("direct_id", "node"), ("total_transitive", "long"), ("exclusive_transitive", "long"), ("via_count", "long")]
+    found = walk_graphs(*near, start_metrics, output)
+    found = found.select(
+        F.col("scope").alias("project_id"),
+        "direct_id",
+        "total_transitive",
+        "exclusive_transitive",
+        (F.col("total_transitive") - F.col("exclusive_transitive")).alias("shared_transitive"),
+        "via_count",
+    )
+    if far is None:
+        return found
+    wide = far[0].withColumnRenamed("scope", "project_id"), far[1].select(F.col("scope").alias("project_id"), F.col("node").alias("package_id"))
+    return found.unionByName(pair_metrics(reachability(*wide, large_edges), wide[1].distinct()))
+
+
+def direct_providers(edges: DataFrame, direct: DataFrame, large_edges: int = LARGE_EDGES) -> DataFrame:
+    """(project_id, node, via, via_count): the smallest direct dependency that leads to a node, and how many do."""
+    near, far = _apart(*_by_scope(edges, direct), large_edges)
+    found = walk_graphs(*near, providers, [("scope", "scope"), ("node", "node"), ("via", "node"), ("via_count", "long")])
+    found = found.withColumnRenamed("scope", "project_id")
+    if far is None:
+        return found
+    wide = far[0].withColumnRenamed("scope", "project_id"), far[1].select(F.col("scope").alias("project_id"), F.col("node").alias("package_id"))
+    reach = reachability(*wide, large_edges)
+    return found.unionByName(reach.groupBy("project_id", "node").agg(F.min("direct_id").alias("via"), F.count(F.lit(1)).alias("via_count")))
+
+
+def pair_metrics(reach: DataFrame, direct: DataFrame) -> DataFrame:
+    """``graph_metrics`` from a table of reachable pairs.
+
     A node with a single provider belongs to that provider, so exclusive nodes come from one count and
     minimum per node instead of a window over all providers of the node.
     """
@@ -223,18 +288,15 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
     without a package, if it has children itself. A root without an entry: direct are the references
     nothing depends on. A project without a root or without dependencies yields no row.
     """
-    n = _partitions(refs.sparkSession)
     key = ["project_id", "ref"]
-    stored_children = cut_lineage(dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct())
-    children = _pin(stored_children, n, *key)
+    children = cut_lineage(dependencies.where("child_ref IS NOT NULL").select(*key, "child_ref").distinct())
     entries = dependencies.select(*key).distinct()
     rooted = roots.select("project_id", F.coalesce("root_ref", "root_purl").alias("ref"), "root_purl").where(
         "ref IS NOT NULL"
     )
-    explicit = rooted.join(entries, key, "left_semi")
     # what a reference stands for and how many children it has; references without a package appear by children only
     counts = children.groupBy(*key).agg(F.count(F.lit(1)).alias("child_count"))
-    stored = cut_lineage(
+    described = cut_lineage(
         refs.select(*key, "purl")
         .join(counts, key, "full")
         .join(rooted.select("project_id", "root_purl"), "project_id", "left")
@@ -245,48 +307,32 @@ def direct_deps(refs: DataFrame, dependencies: DataFrame, roots: DataFrame) -> D
             F.coalesce(F.col("purl") == F.col("root_purl"), F.lit(False)).alias("is_self"),
         )
     )
-    described = _pin(stored, n, *key)
-
-    # frontier rows carry whether they are the sole child of a reference without a package
-    frontier = explicit.join(children, ["project_id", "ref"]).select(
-        "project_id", F.col("child_ref").alias("ref"), F.lit(False).alias("sole")
+    # a state is a reference, marked when it is the sole child of one without a package; states that pass lead on
+    state = lambda sole, ref: F.concat(F.when(sole, "*").otherwise("-"), ref)
+    always = F.col("purl").isNull() | F.col("is_self")
+    passing = described.select(
+        *key,
+        F.explode(F.expr("CASE WHEN purl IS NULL OR is_self THEN array(true, false) WHEN child_count > 0 THEN array(true) END")).alias("sole"),
+        (F.col("purl").isNull() & (F.col("child_count") == 1)).alias("only"),
     )
-    walked: list[DataFrame] = []
-    direct: list[DataFrame] = []
-    while True:
-        state = cut_lineage(
-            frontier.distinct()
-            .join(described, key, "left")
-            .withColumns({"child_count": F.coalesce("child_count", F.lit(0)), "is_self": F.coalesce("is_self", F.lit(False))})
-            .withColumn(
-                "passes",
-                F.col("purl").isNull() | F.col("is_self") | (F.col("sole") & (F.col("child_count") > 0)),
-            )
-        )
-        if state.isEmpty():
-            break
-        direct.append(state.where(~F.col("passes")).select("project_id", "purl"))
-        onward = state.where("passes").select("project_id", "ref", "purl", "child_count").distinct()
-        if walked:
-            onward = onward.join(_union(walked), ["project_id", "ref"], "left_anti")
-        onward = cut_lineage(onward)
-        walked.append(onward.select("project_id", "ref"))
-        frontier = onward.join(children, ["project_id", "ref"]).select(
-            "project_id",
-            F.col("child_ref").alias("ref"),
-            (F.col("purl").isNull() & (F.col("child_count") == 1)).alias("sole"),
-        )
-    children.unpersist()
-    described.unpersist()
+    links = passing.join(children, key).select(
+        F.col("project_id").alias("scope"), state(F.col("sole"), F.col("ref")).alias("src"), state(F.col("only"), F.col("child_ref")).alias("dst")
+    )
+    starts = rooted.join(entries, key, "left_semi").join(children, key).select(
+        F.col("project_id").alias("scope"), state(F.lit(False), F.col("child_ref")).alias("node"), F.lit("").alias("start")
+    )
+    reached = first_reach(links, starts, "start").select(
+        F.col("scope").alias("project_id"), F.expr("substr(node, 2)").alias("ref"), F.col("node").startswith("*").alias("sole")
+    )
+    ends = reached.join(described, key).where(~always & ~(F.col("sole") & (F.col("child_count") > 0)))
     inferred = (
-        rooted.join(entries, ["project_id", "ref"], "left_anti")
+        rooted.join(entries, key, "left_anti")
         .select("project_id")
         .join(entries, "project_id")
-        .join(stored_children.select("project_id", F.col("child_ref").alias("ref")), ["project_id", "ref"], "left_anti")
-        .join(stored.where("purl IS NOT NULL"), ["project_id", "ref"])
-        .select("project_id", "purl")
+        .join(children.select("project_id", F.col("child_ref").alias("ref")), key, "left_anti")
+        .join(described.where("purl IS NOT NULL"), key)
     )
-    return _union([*direct, inferred]).distinct()
+    return ends.select("project_id", "purl").unionByName(inferred.select("project_id", "purl")).distinct()
 
 
 def _maven_group(purl: str) -> Column:

@@ -173,7 +173,7 @@ def reachability(fx: Fixtures) -> DataFrame:
 
 @query
 def graph_metrics(fx: Fixtures) -> DataFrame:
-    return graph.graph_metrics(fx["fx_reach"], fx["fx_direct"])
+    return graph.graph_metrics(fx["fx_edges"], fx["fx_direct"])
 
 
 @query
@@ -224,7 +224,7 @@ def health_risk(fx: Fixtures) -> DataFrame:
 
 
 def _plan(fx: Fixtures) -> DataFrame:
-    return removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), fx["fx_coupling"], reach=fx["fx_reach"])
+    return removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), fx["fx_coupling"])
 
 
 @query
@@ -242,7 +242,7 @@ def diet_summary(fx: Fixtures) -> DataFrame:
 @query
 def graph_only_plan(fx: Fixtures) -> DataFrame:
     """The plan without source coupling: nothing is unused and no effort is counted."""
-    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), reach=fx["fx_reach"])
+    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx))
     return plan.select("project_id", "rank", "package_id", F.round("priority", 9).alias("priority"), "difficulty")
 
 
@@ -492,7 +492,7 @@ def pypi_retry(fx: Fixtures) -> DataFrame:
 def diet_from_sources(fx: Fixtures) -> DataFrame:
     """The full plan: coupling read from source files, PyPI names retried through file listings."""
     used = diet_plan_module.source_coupling(fx["fx_sources"], _dependencies(fx), fx["fx_wheel_files"])
-    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), used, reach=fx["fx_reach"])
+    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), used)
     return plan.select(
         "project_id",
         "rank",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def build_session(app: str = "depvital", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs expect; cluster settings given elsewhere are kept."""
     builder = SparkSession.builder.appName(app)
@@ -26,6 +26,15 @@ def build_session(app: str = "depvital", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever they were started; clusters install it or ship it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session; a local one is made only for local masters."""
     context = spark.sparkContext
@@ -53,6 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(typed.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Remove a table that ``cut_lineage`` wrote, once nothing that is still to run reads it."""
+    files = table.inputFiles()
+    if files:
+        jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows to as many tasks as a shuffle has, for tables from few files that heavy per-row work follows."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from depvital.operators import graph
+import pytest
+
+from depvital.operators import graph, walks
 
 EDGES = "project_id BIGINT, src STRING, dst STRING"
 DIRECT = "project_id BIGINT, package_id STRING"
@@ -42,9 +44,9 @@ def brute_metrics(edges, direct):
     }
 
 
-def metrics(spark, edges, direct):
+def metrics(spark, edges, direct, large_edges=graph.LARGE_EDGES):
     e, d = tables(spark, edges, direct)
-    rows = graph.graph_metrics(graph.reachability(e, d), d).collect()
+    rows = graph.graph_metrics(e, d, large_edges).collect()
     return {r.direct_id: (r.total_transitive, r.exclusive_transitive, r.via_count) for r in rows}
 
 
@@ -69,18 +71,64 @@ def test_random_graphs_against_brute_force(spark):
         assert metrics(spark, [e for e in edges if e[0] != e[1]], direct) == brute_metrics(edges, direct)
 
 
-def test_long_chain_is_compacted(spark):
+@pytest.mark.parametrize("large_edges", [graph.LARGE_EDGES, 5])
+def test_long_chain(spark, large_edges):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]
     e, d = tables(spark, chain, ["n00"])
-    rows = {r.node: r.level for r in graph.reachability(e, d).collect()}
+    rows = {r.node: r.level for r in graph.reachability(e, d, large_edges).collect()}
     assert rows == {f"n{i:02d}": i for i in range(1, 21)}
 
 
-def test_first_reach_takes_lowest_level_then_smallest_origin(spark):
+def many_projects(spark, seed):
+    """Projects of all sizes, one with over 64 direct dependencies, one without edges, one without direct dependencies."""
+    rnd = random.Random(seed)
+    edges, direct = [], []
+    for project in range(12):
+        nodes = [f"n{i}" for i in range(rnd.choice([3, 10, 40]) if project else 200)]
+        edges += {(project, rnd.choice(nodes), rnd.choice(nodes)) for _ in range(0 if project == 3 else 2 * len(nodes))}
+        direct += [(project, n) for n in rnd.sample(nodes, 150 if not project else 2)] if project != 5 else []
+    return edges, direct, spark.createDataFrame(edges, EDGES).repartition(3), spark.createDataFrame(direct, DIRECT)
+
+
+@pytest.mark.parametrize("large_edges", [graph.LARGE_EDGES, 30, 0])
+def test_projects_of_all_sizes(spark, large_edges):
+    edges, direct, e, d = many_projects(spark, 8)
+    wants, reached, above = {}, {}, {}
+    for project in {p for p, _ in direct}:
+        own = [(a, b) for p, a, b in edges if p == project and a != b]
+        starts = [n for p, n in direct if p == project]
+        wants |= {(project, n): m for n, m in brute_metrics(own, starts).items()}
+        for s in starts:
+            for n in brute_reach(own, s):
+                reached.setdefault((project, n), []).append(s)
+    got = {(r.project_id, r.direct_id): (r.total_transitive, r.exclusive_transitive, r.via_count) for r in graph.graph_metrics(e, d, large_edges).collect()}
+    assert got == wants
+    via = {(r.project_id, r.node): (r.via, r.via_count) for r in graph.direct_providers(e, d, large_edges).collect()}
+    assert via == {k: (min(v), len(v)) for k, v in reached.items()}
+    pairs = {(r.project_id, r.direct_id, r.node) for r in graph.reachability(e, d, large_edges).collect()}
+    assert pairs == {(p, s, n) for (p, n), starts in reached.items() for s in starts}
+
+
+def test_a_slice_holds_whole_projects(spark):
+    _, _, e, d = many_projects(spark, 9)
+    scoped, starts = graph._by_scope(e, d)
+    output = [("scope", "scope"), ("start", "node"), ("total", "long"), ("exclusive", "long"), ("above", "long")]
+    one = walks.walk_graphs(scoped, starts, walks.start_metrics, output, slice_rows=1)
+    all_ = walks.walk_graphs(scoped, starts, walks.start_metrics, output)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, all_.collect()))
+
+
+def test_empty_graphs(spark):
+    e, d = spark.createDataFrame([], EDGES), spark.createDataFrame([], DIRECT)
+    assert graph.reachability(e, d).collect() == [] and graph.graph_metrics(e, d).collect() == [] and graph.direct_providers(e, d).collect() == []
+
+
+@pytest.mark.parametrize("large_edges", [graph.LARGE_EDGES, 2])
+def test_first_reach_takes_lowest_level_then_smallest_origin(spark, large_edges):
     edges = [("a", "x"), ("b", "x"), ("b", "y"), ("x", "z"), ("y", "w"), ("z", "a")]
     e = spark.createDataFrame([("s", p, q) for p, q in edges], "scope STRING, src STRING, dst STRING")
     seeds = spark.createDataFrame([("s", "b", "b"), ("s", "a", "a")], "scope STRING, node STRING, via STRING")
-    got = {r.node: (r.level, r.via) for r in graph.first_reach(e, seeds, "via").collect()}
+    got = {r.node: (r.level, r.via) for r in graph.first_reach(e, seeds, "via", large_edges).collect()}
     assert got == {"a": (0, "a"), "b": (0, "b"), "x": (1, "a"), "y": (1, "b"), "z": (2, "a"), "w": (2, "b")}
 
 
