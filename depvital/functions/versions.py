@@ -36,24 +36,26 @@ def semver_key(version: Column) -> Column:
     A release sorts above its pre-releases; numeric identifiers sort below words, and a shorter
     identifier list below a longer one with the same start (array comparison does both).
     """
-    pre = prerelease_part(version)
+    # one pass of the pattern instead of one for each of its groups
+    parts = F.split(F.regexp_replace(version, _CORE, "$1|$2|$3|$4"), r"\|")
+    pre = parts[3]
+    number = r"^\d+$"
     idents = F.transform(
         F.split(pre, r"\."),
         lambda part: F.struct(
-            (~part.rlike(r"^\d+$")).cast("int").alias("is_word"),
-            F.when(part.rlike(r"^\d+$"), part.try_cast("decimal(38,0)"))
-            .otherwise(F.lit(0).cast("decimal(38,0)"))
-            .alias("num"),
-            F.when(part.rlike(r"^\d+$"), F.lit("")).otherwise(part).alias("word"),
+            (~part.rlike(number)).cast("int").alias("is_word"),
+            F.when(part.rlike(number), part.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"),
+            F.when(part.rlike(number), F.lit("")).otherwise(part).alias("word"),
         ),
     )
+    release = F.array(F.struct(F.lit(1).alias("is_word"), F.lit(0).cast("decimal(38,0)").alias("num"), F.lit("").alias("word")))
     return F.when(
         is_semver(version),
         F.struct(
-            _number(F.regexp_extract(version, _CORE, 1)).alias("major"),
-            _number(F.regexp_extract(version, _CORE, 2)).alias("minor"),
-            _number(F.regexp_extract(version, _CORE, 3)).alias("patch"),
+            _number(parts[0]).alias("major"),
+            _number(parts[1]).alias("minor"),
+            _number(parts[2]).alias("patch"),
             (pre == "").cast("int").alias("is_release"),
-            idents.alias("pre"),
+            F.when(pre == "", release).otherwise(idents).alias("pre"),
         ),
     )

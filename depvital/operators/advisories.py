@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depvital.config import DEFAULTS, Thresholds
 from depvital.functions.scalars import advisory_source, advisory_url, severity
+from depvital.operators.keys import graph_eligible
+from depvital.operators.releases import fallback_versions, resolved_version
 
 
 def _is_transitive() -> Column:
@@ -68,66 +70,65 @@ def join_advisories(slots: DataFrame, advisory_keys: DataFrame, details: DataFra
     )
 
 
+def choose_graphs(with_slots: DataFrame, versions: DataFrame, package_graphs: DataFrame) -> DataFrame:
+    """(package_id, graph_version, position): the version whose dependency graph stands for a package.
+
+    First (position 0) the requested or else the stable or highest version; where that one has no graph, the first of the
+    two fallback versions that has one. Only ecosystems with graphs are looked up.
+    """
+    resolved = with_slots.select("package_id", "ecosystem", resolved_version().alias("version"))
+    wanted = graph_eligible(resolved).select("package_id", "version")
+    known = package_graphs.select("package_id", F.col("graph_version").alias("version")).distinct()
+    exact = wanted.join(known, ["package_id", "version"], "left_semi")
+    missing = wanted.join(known, ["package_id", "version"], "left_anti")
+    # the few packages left are all that versions are ranked for
+    tried = fallback_versions(versions.join(missing.select("package_id"), "package_id", "left_semi"), missing)
+    backup = (
+        tried.join(known, ["package_id", "version"], "left_semi")
+        .groupBy("package_id")
+        .agg(F.min(F.struct("position", "version")).alias("first"))
+        .select("package_id", F.col("first.version").alias("graph_version"), "first.position")
+    )
+    return exact.select("package_id", F.col("version").alias("graph_version"), F.lit(0).alias("position")).unionByName(backup)
+
+
 def transitive_advisories(
-    slots: DataFrame, slot_advisories: DataFrame, reach: DataFrame, version_advisories: DataFrame, roots: DataFrame
+    slots: DataFrame, advisories: DataFrame, chosen: DataFrame, package_graphs: DataFrame, packages: DataFrame
 ) -> DataFrame:
-    """Advisories reached through the dependency graph, per slot, without those the slot already has.
+    """Advisories of the packages in a package's own graph, on the slots of the graph's version.
 
-    ``reach`` has package_id, dependency_name, dependency_id (never the package itself), ``roots`` has
-    package_id, graph_version (NULL when the graph names none), and ``version_advisories`` has
-    dependency_id, advisory_id, cvss3. The graph belongs to one version, so only a slot with that
-    version receives its advisories. One row per (slot, advisory); the first dependency name wins.
+    ``chosen`` has package_id, graph_version; ``package_graphs`` has package_id, graph_version, dependency_id,
+    dependency_version (never the package itself); ``advisories`` has package_id, version, advisory_id, cvss3. A node counts
+    with its own version, an advisory that the slot's version already has does not count again, and one row stays for each
+    (version, advisory), with the first dependency name. Columns: package_id, version, advisory_id, cvss3, dependency_name.
     """
-    carried = reach.join(version_advisories, "dependency_id")
-    first = carried.groupBy("package_id", "advisory_id").agg(
-        F.min("dependency_name").alias("dependency_name"), F.max("cvss3").alias("cvss3")
-    )
-    targets = (
-        slot_versions(slots)
-        .join(roots, "package_id")
-        .where(F.col("graph_version").isNull() | (F.col("graph_version") == F.col("version")))
-        .select("package_id", "slot", "version")
-    )
-    known = slot_advisories.select("package_id", "slot", "advisory_id")
-    return (
-        targets.join(first, "package_id")
-        .join(known, ["package_id", "slot", "advisory_id"], "left_anti")
-        .select(
-            "package_id",
-            "slot",
-            "version",
-            "advisory_id",
-            "dependency_name",
-            "cvss3",
-            severity(F.col("cvss3")).alias("severity"),
-            F.lit("TRANSITIVE").alias("relation"),
-        )
+    keys = ["package_id", "version"]
+    # versions that can receive anything come first: neither graphs nor advisories of others are expanded
+    targets = slot_versions(slots).select(*keys).distinct().join(
+        chosen.select("package_id", F.col("graph_version").alias("version")), keys, "left_semi"
     )
+    below = targets.join(package_graphs.withColumnRenamed("graph_version", "version"), keys)
+    of_nodes = advisories.select(F.col("package_id").alias("dependency_id"), F.col("version").alias("dependency_version"), "advisory_id", "cvss3")
+    names = packages.select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
+    carried = below.join(of_nodes, ["dependency_id", "dependency_version"]).join(names, "dependency_id")
+    first = carried.groupBy(*keys, "advisory_id").agg(F.min("dependency_name").alias("dependency_name"), F.max("cvss3").alias("cvss3"))
+    own = advisories.select(*keys, "advisory_id")
+    return first.join(own, [*keys, "advisory_id"], "left_anti").select(*keys, "advisory_id", "cvss3", "dependency_name")
 
 
 def with_transitive(
-    slots: DataFrame, advisories: DataFrame, reach: DataFrame, packages: DataFrame, graph_versions: DataFrame | None = None
+    with_slots: DataFrame, advisories: DataFrame, versions: DataFrame, package_graphs: DataFrame
 ) -> DataFrame:
-    """The advisories of every version, and on the slots' versions those of all that the package depends on.
+    """The advisories of every version, and on the slots' versions those that the package's own graph brings in.
 
-    ``reach`` has direct_id and node of any project's graph, ``graph_versions`` package_id and the version that a graph
-    belongs to (without it every slot takes part). A dependency counts with its own stable version. Columns: package_id,
-    version, advisory_id, cvss3, relation, dependency_name (NULL for a package's own advisories).
+    ``with_slots`` has the packages with their slots. Columns: package_id, version, advisory_id, cvss3, relation,
+    dependency_name (NULL for a package's own advisories).
     """
-    names = packages.select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
-    below = reach.select(F.col("direct_id").alias("package_id"), F.col("node").alias("dependency_id")).distinct()
-    stable = slots.select("package_id", F.col("stable.version").alias("version"))
-    at_stable = stable.join(advisories, ["package_id", "version"])
-    carried = at_stable.select(F.col("package_id").alias("dependency_id"), "advisory_id", "cvss3")
-    if graph_versions is None:
-        graph_versions = packages.select("package_id", F.lit(None).cast("string").alias("graph_version"))
-    own = slot_versions(slots).join(advisories.select("package_id", "version", "advisory_id"), ["package_id", "version"])
-    # dependencies without advisories go before the names are joined
-    relevant = below.join(carried.select("dependency_id").distinct(), "dependency_id", "left_semi").join(names, "dependency_id")
-    found = transitive_advisories(slots, own, relevant, carried, graph_versions)
+    chosen = choose_graphs(with_slots, versions, package_graphs)
+    found = transitive_advisories(with_slots, advisories, chosen, package_graphs, with_slots)
     columns = ["package_id", "version", "advisory_id", "cvss3", "relation", "dependency_name"]
     direct = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
-    return direct.select(*columns).unionByName(found.select(*columns).distinct())
+    return direct.select(*columns).unionByName(found.withColumn("relation", F.lit("TRANSITIVE")).select(*columns))
 
 
 def top_advisories(advisories: DataFrame, n: int = 3) -> DataFrame:

@@ -27,16 +27,21 @@ def release_slots(versions: DataFrame, requested: DataFrame) -> DataFrame:
     ``versions`` has package_id, version, published_at, is_default, is_deprecated; ``requested`` has
     package_id, version. All slots come out of one grouped aggregation (partial on the map side).
     """
-    stable_looking = is_stable_looking(F.col("version"))
-    order = _newest_first()
+    # keys are worked out once for each row, not once for each slot
+    keyed = versions.withColumns(
+        {
+            "_stable": is_stable_looking(F.col("version")),
+            "_order": _newest_first(),
+            "_semver": F.when(is_semver(F.col("version")), F.struct(semver_key(F.col("version")), "version")),
+        }
+    )
+    stable_looking, order = F.col("_stable"), F.col("_order")
     row = _version_row()
-    picked = versions.groupBy("package_id").agg(
+    picked = keyed.groupBy("package_id").agg(
         F.min_by(row, F.when(F.col("is_default"), order)).alias("newest_default"),
         F.min_by(row, F.when(stable_looking, order)).alias("newest_stable"),
         F.min_by(row, F.when(~stable_looking, order)).alias("prerelease"),
-        F.max_by(row, F.when(is_semver(F.col("version")), F.struct(semver_key(F.col("version")), "version"))).alias(
-            "highest"
-        ),
+        F.max_by(row, "_semver").alias("highest"),
         F.min_by(row, order).alias("newest"),
         F.count(F.lit(1)).alias("version_count"),
     )
@@ -73,19 +78,23 @@ def join_versions(packages: DataFrame, slots: DataFrame) -> DataFrame:
     return packages.join(slots, "package_id", "left")
 
 
+def resolved_version() -> Column:
+    """The version that was asked for, else the stable or the highest one."""
+    return F.coalesce(F.when(F.trim("version") != "", F.trim("version")), "stable.version", "max_semver.version")
+
+
 def effective_versions(packages_with_slots: DataFrame) -> DataFrame:
     """Three version orders that must stay apart.
 
     Facts are read for stable, highest, pre-release, else the input; the latest release never falls back
     to the input; the resolved version prefers the input.
     """
-    pinned = F.when(F.trim("version") != "", F.trim("version"))
     return packages_with_slots.select(
         "package_id",
         "purl",
         F.coalesce("stable.version", "max_semver.version", "prerelease.version", "version").alias("effective_version"),
         F.coalesce("stable.version", "max_semver.version", "prerelease.version").alias("latest_release"),
-        F.coalesce(pinned, "stable.version", "max_semver.version").alias("resolved_version"),
+        resolved_version().alias("resolved_version"),
     )
 
 

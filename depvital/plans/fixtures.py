@@ -55,6 +55,12 @@ _CHECK_STRUCTS = ", ".join(
 _SPARK_CHECKS = _CHECK_STRUCTS.format(open="named_struct('check_name', ", sep=", 'score', ", close=")")
 _DUCK_CHECKS = _CHECK_STRUCTS.format(open="{{'check_name': ", sep=", 'score': ", close="}}")
 
+_LINE_VERSIONS = (
+    "SELECT l_orderkey, l_linenumber AS n, l_partkey AS package_id, l_linenumber || '.' || CAST(l_quantity AS INT) || '.' || (l_suppkey % 10) "
+    "|| CASE WHEN l_returnflag = 'R' THEN '-rc.' || l_linenumber ELSE '' END AS version FROM {lineitem}"
+)
+_REASON = "CASE WHEN c.check_name = 'Maintained' AND c.score < 1 THEN 'Project is archived since repo ' || repo_id ELSE 'active' END"
+
 # a view is one shared text, or a (Spark, DuckDB) pair where the two spell an explode differently
 VIEWS: dict[str, str | tuple[str, str]] = {
     # one row per (package, version); shifted publish dates spread the ages over all rules, and dates past the evaluation
@@ -73,15 +79,15 @@ SELECT package_id, version, published_at - INTERVAL '1' YEAR * (CASE WHEN publis
   FROM {{lineitem}} GROUP BY 1, 2
 ) v
 """,
-    # every part is a released package, every supplier one that was never released
+    # every part is a released package, one of five named without a version; every supplier is one never released
     "fx_packages": f"""
 SELECT p.k AS package_id, {_eco('p.k')} AS ecosystem,
   CASE WHEN p.k % 8 = 0 THEN '@' ELSE '' END || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand END AS namespace,
-  {_NAME} AS name, v.version,
+  {_NAME} AS name, CASE WHEN p.k % 5 <> 2 THEN v.version END AS version,
   'pkg:' || {_eco('p.k')} || '/'
     || CASE WHEN p.k % 8 = 0 THEN '%40' ELSE '' END
     || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand || '/' ELSE '' END
-    || {_NAME} || coalesce('@' || v.version, '') AS purl,
+    || {_NAME} || coalesce('@' || CASE WHEN p.k % 5 <> 2 THEN v.version END, '') AS purl,
   p.k % (2 * (SELECT count(DISTINCT user_id) FROM {{events}})) AS repo_id
 FROM (SELECT p_partkey AS k, lower(replace(p_brand, '#', '')) AS brand FROM {{part}}
   UNION ALL SELECT s_suppkey + {UNRELEASED} AS k, 'vendor' || (s_nationkey % 5) AS brand FROM {{supplier}}) p
@@ -106,7 +112,8 @@ FROM {events}
 """,
     "fx_repos": """
 SELECT repo_id, 'https://github.com/owner' || (repo_id % 50) || '/repo' || repo_id AS repo_url,
-  repo_id % 17 = 0 AS archived, repo_id % 41 = 0 AS disabled, repo_id % 9 = 0 AS fork,
+  CASE WHEN repo_id % 5 <> 2 THEN repo_id % 17 = 0 END AS archived, repo_id % 41 = 0 AS disabled, repo_id % 9 = 0 AS fork,
+  CASE WHEN repo_id % 9 = 0 THEN 'upstream/repo' || repo_id END AS fork_source,
   CAST((repo_id * 31) % 101 AS DOUBLE) / 10 AS overall_score, (repo_id * 37) % 5000 AS stars, (repo_id * 11) % 700 AS forks,
   CASE WHEN repo_id % 3 = 0 THEN 'https://home.example.org/' || repo_id END AS homepage,
   CASE WHEN repo_id % 4 <> 1 THEN 'Repository   ' || repo_id || ' of the sample. It has more text' END AS description,
@@ -116,9 +123,9 @@ SELECT repo_id, 'https://github.com/owner' || (repo_id % 50) || '/repo' || repo_
 FROM (SELECT DISTINCT p_partkey % (2 * (SELECT count(DISTINCT user_id) FROM {events})) AS repo_id FROM {part}) r
 """,
     "fx_scores": (
-        f"SELECT repo_id, c.check_name, c.score FROM {{fx_repos}} LATERAL VIEW explode(array({_SPARK_CHECKS})) t AS c "
+        f"SELECT repo_id, c.check_name, c.score, {_REASON} AS reason FROM {{fx_repos}} LATERAL VIEW explode(array({_SPARK_CHECKS})) t AS c "
         "WHERE c.score > -2",
-        f"SELECT repo_id, c.check_name, c.score FROM (SELECT repo_id, unnest([{_DUCK_CHECKS}]) AS c FROM {{fx_repos}}) t "
+        f"SELECT repo_id, c.check_name, c.score, {_REASON} AS reason FROM (SELECT repo_id, unnest([{_DUCK_CHECKS}]) AS c FROM {{fx_repos}}) t "
         "WHERE c.score > -2",
     ),
     "fx_registry": """
@@ -153,6 +160,19 @@ SELECT package_id, source, flag, version, reason, message, successor, scheduled
     CASE WHEN package_id % 2 = 0 THEN 'catalog-next' END AS successor, '2025-06-30' AS scheduled
   FROM {fx_packages}
 ) r WHERE flag IS NOT NULL
+""",
+    # facts of the same repositories from another source, which knows some that have no state
+    "fx_projects": """
+SELECT repo_id, CAST(7 AS BIGINT) AS stars, CAST(3 AS BIGINT) AS forks, 'project ' || repo_id AS description,
+  CASE WHEN repo_id % 2 = 0 THEN 'https://p.example.org' END AS homepage, CAST(NULL AS VARCHAR(10)) AS default_branch,
+  CAST(NULL AS VARCHAR(10)) AS language FROM {fx_repos}
+""",
+    # graph of a package version: the later lines of its orders, the next one directly; last lines have no graph
+    "fx_package_graphs": f"""
+SELECT a.package_id, a.version AS graph_version, b.package_id AS dependency_id, b.version AS dependency_version,
+  min(CASE WHEN b.n = a.n + 1 THEN 'DIRECT' ELSE 'INDIRECT' END) AS relation
+FROM ({_LINE_VERSIONS}) a JOIN ({_LINE_VERSIONS}) b ON b.l_orderkey = a.l_orderkey AND b.n > a.n
+WHERE a.package_id <> b.package_id GROUP BY 1, 2, 3, 4
 """,
     "fx_edges": """
 SELECT DISTINCT o.o_custkey AS project_id, e.src, e.dst FROM (
@@ -567,6 +587,7 @@ class Fixtures:
     """
 
     _folders: dict[tuple[str, str], str] = {}
+    _buckets: dict[tuple[str, str], int] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
@@ -576,7 +597,8 @@ class Fixtures:
         if key not in self._folders:
             self._folders[key] = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
             self._saved[key] = set()
-        self.folder = self._folders[key]
+            self._buckets[key] = facts.default_buckets(spark)
+        self.folder, self.buckets = self._folders[key], self._buckets[key]
         self.saved = self._saved[key]
 
     _saved: dict[tuple[str, str], set[str]] = {}
@@ -595,9 +617,9 @@ class Fixtures:
                 df = spread(df) if name in ("documents", "pages") else df
             elif table in facts.SCHEMAS:
                 if name not in self.saved:
-                    facts.save_table(self._view(name), self.folder, table)
+                    facts.save_table(self._view(name), self.folder, table, self.buckets)
                     self.saved.add(name)
-                df = facts.load_table(self.spark, self.folder, table)
+                df = facts.load_table(self.spark, self.folder, table, self.buckets)
             else:
                 df = self._view(name)
             self._built[name] = df
@@ -607,9 +629,9 @@ class Fixtures:
         """Reachable pairs, computed once per session; several jobs start from them."""
         if "fx_reach" not in self.saved:
             found = graph.reachability(self["fx_edges"], self["fx_direct"])
-            facts.save_table(found, self.folder, "reach")
+            facts.save_table(found, self.folder, "reach", self.buckets)
             self.saved.add("fx_reach")
-        self._built["fx_reach"] = facts.load_table(self.spark, self.folder, "reach")
+        self._built["fx_reach"] = facts.load_table(self.spark, self.folder, "reach", self.buckets)
         return self._built["fx_reach"]
 
 

@@ -269,7 +269,8 @@ FROM (SELECT repo_id, count(*) AS n,
 """,
     "o_scores": """
 SELECT repo_id, max(score) FILTER (WHERE check_name = 'Maintained') AS maint,
-  max(score) FILTER (WHERE check_name = 'Vulnerabilities') AS vuln
+  max(score) FILTER (WHERE check_name = 'Vulnerabilities') AS vuln,
+  bool_or(check_name = 'Maintained' AND contains(lower(reason), 'project is archived')) AS by_check
 FROM fx_scores GROUP BY repo_id
 """,
     "o_npm_next": r"""
@@ -346,7 +347,7 @@ FROM o_eol e FULL JOIN (SELECT * FROM fx_registry WHERE source = 'catalog') c US
 """,
     "o_facts": f"""
 SELECT p.package_id, p.ecosystem, p.purl, p.namespace, p.name, p.version, s.version_count, s.stable, s.stable_at,
-  s.pre_at, s.top, s.top_at, s.requested_at, r.repo_url, coalesce(r.archived, FALSE) AS archived,
+  s.pre_at, s.top, s.top_at, s.requested_at, r.repo_url, coalesce(r.archived, sc.by_check, FALSE) AS archived,
   coalesce(r.disabled, FALSE) AS disabled,
   e.eol_state, e.eol_reason, e.eol_successor, e.eol_scheduled, e.evidence,
   coalesce(m.advisory_count, 0) AS adv, m.max_cvss3, coalesce(m.high_count, 0) AS high,
@@ -492,18 +493,34 @@ SELECT s.package_id, s.slot, s.version, a.advisory_id, d.title, d.cvss3,
     ELSE 'CRITICAL' END AS severity, 'DIRECT' AS relation
 FROM o_slot_versions s JOIN fx_advisories a ON a.package_id = s.package_id AND a.version = s.version
 JOIN o_details d ON d.advisory_id = a.advisory_id
+""",
+    "o_resolved": """
+SELECT package_id, ecosystem, coalesce(version, stable, top) AS version FROM fx_packages LEFT JOIN o_slots USING (package_id)
+""",
+    "o_graph_tries": """
+SELECT package_id, version, 0 AS position FROM o_resolved
+UNION ALL SELECT package_id, version, position FROM (
+  SELECT v.package_id, v.version, row_number() OVER (PARTITION BY v.package_id
+    ORDER BY v4 DESC, v1 DESC, v2 DESC, v3 DESC, v5 DESC) AS position
+  FROM o_versions v JOIN o_resolved r ON r.package_id = v.package_id WHERE NOT v.is_deprecated AND v.version <> r.version) f
+WHERE position <= 2
+""",
+    "o_graph_choice": """
+SELECT t.package_id, arg_min(t.version, position) AS graph_version, min(position) AS position
+FROM o_graph_tries t JOIN o_resolved r ON r.package_id = t.package_id AND r.ecosystem IN ('npm', 'cargo', 'maven', 'pypi')
+  AND r.version IS NOT NULL
+WHERE EXISTS (SELECT 1 FROM fx_package_graphs g WHERE g.package_id = t.package_id AND g.graph_version = t.version) GROUP BY 1
 """,
     "o_transitive": """
-SELECT DISTINCT v.package_id, v.version, c.advisory_id, c.cvss3, 'TRANSITIVE' AS relation, c.dependency_name
-FROM o_slot_versions v JOIN (
-  SELECT p.package_id, CASE p.package_id % 3 WHEN 0 THEN s.stable WHEN 1 THEN NULL ELSE p.version END AS gv
-  FROM fx_packages p JOIN o_slots s USING (package_id)) g USING (package_id)
-JOIN (SELECT r.direct_id AS package_id, a.advisory_id, min(p.name) AS dependency_name, max(a.cvss3) AS cvss3
-  FROM (SELECT DISTINCT direct_id, node FROM o_pairs) r JOIN o_slots s ON s.package_id = r.node
-  JOIN fx_advisories a ON a.package_id = r.node AND a.version = s.stable
-  JOIN fx_packages p ON p.package_id = r.node GROUP BY 1, 2) c USING (package_id)
-WHERE (g.gv IS NULL OR g.gv = v.version) AND NOT EXISTS (SELECT 1 FROM fx_advisories k
-  WHERE k.package_id = v.package_id AND k.version = v.version AND k.advisory_id = c.advisory_id)
+SELECT g.package_id, g.graph_version AS version, a.advisory_id, max(a.cvss3) AS cvss3, 'TRANSITIVE' AS relation,
+  min(p.name) AS dependency_name
+FROM o_graph_choice c JOIN fx_package_graphs g ON g.package_id = c.package_id AND g.graph_version = c.graph_version
+JOIN fx_advisories a ON a.package_id = g.dependency_id AND a.version = g.dependency_version
+JOIN fx_packages p ON p.package_id = g.dependency_id
+WHERE EXISTS (SELECT 1 FROM o_slot_versions v WHERE v.package_id = g.package_id AND v.version = g.graph_version)
+  AND NOT EXISTS (SELECT 1 FROM fx_advisories k WHERE k.package_id = g.package_id AND k.version = g.graph_version
+    AND k.advisory_id = a.advisory_id)
+GROUP BY 1, 2, 3
 """,
     "o_all_advisories": """
 SELECT package_id, version, advisory_id, cvss3, relation, CAST(NULL AS VARCHAR) AS dependency_name FROM fx_advisories
@@ -949,6 +966,7 @@ SELECT project_id, rank, package_id, round(priority, 9) AS priority, 'trivial' A
 """,
     "slot_advisories": "SELECT * FROM o_slot_advisories",
     "transitive_advisories": "SELECT * FROM o_transitive",
+    "graph_choice": "SELECT * FROM o_graph_choice",
     "slot_versions": "SELECT * FROM o_slot_versions",
     "scan_from_inputs": f"""
 SELECT k.canonical_key, file_id, line_no, k.purl, {_RESULTS}
@@ -1334,7 +1352,7 @@ SELECT d.project_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'ok') A
 FROM fx_direct d JOIN o_scan s USING (package_id) GROUP BY 1
 """,
     "archived_by_check": """
-SELECT repo_id, 'Project is archived since repo ' || repo_id AS reason FROM fx_scores WHERE check_name = 'Maintained' AND score < 1
+SELECT repo_id, reason FROM fx_scores WHERE check_name = 'Maintained' AND reason LIKE 'Project is archived%'
 """,
     "vanity_entries": """
 SELECT page_id, 'go-import' AS kind, ahead AS position, 'go.v.org' AS prefix, 'https://github.com/owner' || page_id || '/root' AS repo_url

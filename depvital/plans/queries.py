@@ -49,8 +49,8 @@ def _ts(name: str) -> Column:
 
 
 def _facts(fx: Fixtures) -> dict[str, DataFrame]:
-    names = ("packages", "versions", "advisories", "commits", "repos", "scores", "registry")
-    return {name: fx[f"fx_{name}"] for name in names} | {"reach": fx["fx_reach"], "graph_versions": _graph_versions(fx)}
+    names = ("packages", "versions", "advisories", "commits", "repos", "projects", "scores", "registry", "package_graphs")
+    return {name: fx[f"fx_{name}"] for name in names}
 
 
 def _slots(fx: Fixtures) -> DataFrame:
@@ -262,15 +262,16 @@ def slot_advisories(fx: Fixtures) -> DataFrame:
     return _slot_advisories(fx, _slots(fx))
 
 
-def _graph_versions(fx: Fixtures) -> DataFrame:
-    """Version that a package's graph belongs to: the stable one, an unnamed one, or that of the package row."""
-    stable = _slots(fx).select("package_id", F.col("stable.version").alias("stable_version"))
-    version = F.expr("CASE package_id % 3 WHEN 0 THEN stable_version WHEN 1 THEN NULL ELSE version END")
-    return fx["fx_packages"].join(stable, "package_id").select("package_id", version.alias("graph_version"))
+def _all_advisories(fx: Fixtures) -> DataFrame:
+    with_slots = releases.join_versions(fx["fx_packages"], _slots(fx))
+    return advisories.with_transitive(with_slots, fx["fx_advisories"], fx["fx_versions"], fx["fx_package_graphs"])
 
 
-def _all_advisories(fx: Fixtures) -> DataFrame:
-    return advisories.with_transitive(_slots(fx), fx["fx_advisories"], fx["fx_reach"], fx["fx_packages"], _graph_versions(fx))
+@query
+def graph_choice(fx: Fixtures) -> DataFrame:
+    """Version whose graph stands for a package, with up to two fallback versions."""
+    with_slots = releases.join_versions(fx["fx_packages"], _slots(fx))
+    return advisories.choose_graphs(with_slots, fx["fx_versions"], fx["fx_package_graphs"])
 
 
 @query
@@ -703,17 +704,7 @@ def source_selection(fx: Fixtures) -> DataFrame:
 
 @query
 def repo_metadata(fx: Fixtures) -> DataFrame:
-    none = F.lit(None).cast("string")
-    project = fx["fx_repos"].select(
-        "repo_id",
-        F.lit(7).cast("long").alias("stars"),
-        F.lit(3).cast("long").alias("forks"),
-        F.concat(F.lit("project "), F.col("repo_id")).alias("description"),
-        F.expr("CASE WHEN repo_id % 2 = 0 THEN 'https://p.example.org' END").alias("homepage"),
-        none.alias("default_branch"),
-        none.alias("language"),
-    )
-    return repos.merge_repo_metadata(project, fx["fx_repos"])
+    return repos.merge_repo_metadata(fx["fx_projects"], fx["fx_repos"])
 
 
 @query
@@ -754,8 +745,7 @@ def coverage_report(fx: Fixtures) -> DataFrame:
 @query
 def archived_by_check(fx: Fixtures) -> DataFrame:
     """Repositories the Maintained check reports as archived."""
-    reason = F.expr("CASE WHEN score < 1 THEN 'Project is archived since repo ' || repo_id ELSE 'active' END")
-    checks = fx["fx_scores"].withColumn("reason", reason)
+    checks = fx["fx_scores"]
     return checks.where(repos.archived_by_reason(F.col("check_name"), F.col("reason"))).select("repo_id", "reason")
 
 

@@ -11,8 +11,11 @@ from depvital.config import BUILD_CHECKS, DEFAULTS, Thresholds
 from depvital.functions.scalars import round_half_up
 from depvital.operators import advisories as adv
 from depvital.operators import assess, eol_rules, releases, repos
+from depvital.session import cut_by
 
 Enricher = Callable[[DataFrame], DataFrame]
+#: Descriptive columns of a repository.
+METADATA = ("stars", "forks", "description", "homepage", "default_branch", "language")
 
 
 def repo_scores(scores: DataFrame) -> DataFrame:
@@ -26,6 +29,7 @@ def repo_scores(scores: DataFrame) -> DataFrame:
         F.sum(weight).alias("_weights"),
         F.count(weight).alias("build_signals"),
         F.count(F.lit(1)).alias("score_count"),
+        *([F.bool_or(repos.archived_by_reason(F.col("check_name"), F.col("reason"))).alias("archived_by_check")] if "reason" in scores.columns else []),
     )
     raw = F.when(F.col("build_signals") >= assess.BUILD_MIN_SIGNALS, F.col("_weighted") / F.col("_weights"))
     return sums.withColumns(
@@ -37,31 +41,38 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
            enrichers: Iterable[Enricher] = ()) -> DataFrame:
     """All facts of every package in one row, without any assessment.
 
-    ``facts`` maps packages, versions, advisories, commits, repos, scores and registry to tables. With reach (and
-    graph_versions) the advisories of dependencies count on the slots they belong to.
-    Per-package tables join on package_id first, so their exchanges are shared; repository facts are
-    aggregated per repository and joined last.
+    ``facts`` maps packages, versions, advisories, commits, repos, scores and registry to tables. With package_graphs the
+    advisories of dependencies count on the slots they belong to; with projects, repository facts overlay those of another
+    source. A repository whose state is not known is archived where its Maintained check says so.
+    Per-package tables join on package_id first, which snapshots are bucketed by; repository facts are aggregated per
+    repository and joined last.
     """
     packages = facts["packages"].select(
         "package_id", "ecosystem", "namespace", "name", "version", "purl", "repo_id"
     )
     slots = releases.release_slots(facts["versions"], packages.select("package_id", "version"))
-    with_slots = releases.join_versions(packages, slots)
+    with_slots = cut_by(releases.join_versions(packages, slots), "package_id")  # versions are read and ordered once
     hits = eol_rules.rule_hits(with_slots, facts["registry"])
     eol = eol_rules.eol_status(hits)
     for enricher in enrichers:
         eol = eol.transform(enricher)
     advisories = facts["advisories"]
-    if "reach" in facts:
-        advisories = adv.with_transitive(slots, advisories, facts["reach"], packages, facts.get("graph_versions"))
+    if "package_graphs" in facts:
+        advisories = adv.with_transitive(with_slots, advisories, facts["versions"], facts["package_graphs"])
     metrics = adv.advisory_metrics(advisories, cfg).withColumnRenamed("version", "fact_version")
     activity = repos.repo_activity(facts["commits"], as_of).withColumn("has_commit_data", F.lit(True))
-    state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled", "overall_score")
+    state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled", "overall_score", "fork", "fork_source")
+    metadata = facts["repos"].select("repo_id", *METADATA)
+    if "projects" in facts:
+        metadata = repos.merge_repo_metadata(facts["projects"], metadata)
     per_repo = (
-        state.join(activity.select("repo_id", "latest_human_commit", "days_since_commit", "has_commit_data"),
+        state.join(metadata, "repo_id", "left")
+        .join(activity.select("repo_id", "latest_human_commit", "days_since_commit", "has_commit_data"),
                    "repo_id", "left")
         .join(repo_scores(facts["scores"]), "repo_id", "left")
     )
+    if "archived_by_check" in per_repo.columns:
+        per_repo = per_repo.withColumn("archived", F.coalesce("archived", "archived_by_check")).drop("archived_by_check")
     return (
         with_slots.withColumn("fact_version", F.coalesce("stable.version", "max_semver.version"))
         .join(eol, "package_id", "left")

@@ -62,6 +62,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(typed.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut_lineage`` into a table bucketed by a key: joins on it with tables of as many buckets need no exchange."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_table(table: DataFrame) -> None:
     """Remove a table that ``cut_lineage`` wrote, once nothing that is still to run reads it."""
     files = table.inputFiles()
