@@ -387,32 +387,37 @@ def action_closure(direct_actions: DataFrame, composite_refs: DataFrame) -> Data
     seeds = direct_actions.select("scope", F.col("action").alias("via"), F.col("action").alias("node"))
     reach = first_reach(edges, seeds, "via").where("level > 0")
     found = (
-        reach.withColumn("repo", _action_repo("node"))
+        reach.withColumn("repo", action_repo("node"))
         .groupBy("scope", "repo")
         .agg(F.min(F.struct("level", "via")).alias("first"))
         .select("scope", "repo", "first.level", "first.via")
     )
-    named = direct_actions.select("scope", _action_repo("action").alias("repo")).distinct()
+    named = direct_actions.select("scope", action_repo("action").alias("repo")).distinct()
     return found.join(named, ["scope", "repo"], "left_anti")
 
 
-def _action_repo(action: str) -> Column:
+def action_repo(action: str) -> Column:
     """owner/repo of owner/repo/path."""
     return F.regexp_extract(action, r"^([^/]+/[^/]+)", 1)
 
 
-def local_action_uses(workflow_paths: DataFrame, local_refs: DataFrame, remote_refs: DataFrame) -> DataFrame:
-    """Remote actions used inside a repository's own composite actions, with the local path that names them.
+def local_action_refs(workflow_paths: DataFrame, local_refs: DataFrame, remote_refs: DataFrame) -> DataFrame:
+    """(scope, action, level, path): remote actions named by a repository's own composite actions, and where.
 
-    ``workflow_paths`` has scope, path; ``local_refs`` has scope, path, uses_path; ``remote_refs`` has
-    scope, path, action. The closure stays inside the repository; the lowest level, then the first path wins.
+    ``workflow_paths`` has scope, path; ``local_refs`` has scope, path, uses_path; ``remote_refs`` has scope, path, action.
+    The closure stays inside the repository.
     """
     edges = local_refs.select("scope", F.col("path").alias("src"), F.col("uses_path").alias("dst"))
     seeds = workflow_paths.select("scope", F.col("path").alias("start"), F.col("path").alias("node"))
     paths = first_reach(edges, seeds, "start").select("scope", F.col("node").alias("path"), "level")
+    return paths.join(remote_refs, ["scope", "path"]).select("scope", "action", "level", "path")
+
+
+def local_action_uses(workflow_paths: DataFrame, local_refs: DataFrame, remote_refs: DataFrame) -> DataFrame:
+    """Repositories named by ``local_action_refs``, with the path at the lowest level, then the first path."""
     return (
-        paths.join(remote_refs, ["scope", "path"])
-        .groupBy("scope", _action_repo("action").alias("repo"))
+        local_action_refs(workflow_paths, local_refs, remote_refs)
+        .groupBy("scope", action_repo("action").alias("repo"))
         .agg(F.min(F.struct("level", "path")).alias("first"))
         .select("scope", "repo", F.col("first.path").alias("via_path"))
     )

@@ -390,9 +390,9 @@ SELECT file_id, line_no, CASE WHEN file_id = 6 AND k % 13 NOT IN (9, 10) THEN 'r
     WHEN 2 THEN 'pkg:npm/@Scope/P' || (p % 100) || '@1.' || (p % 10) || '.0'
     WHEN 3 THEN 'pkg:maven/org.acme:lib' || (p % 50) || '@1.0'
     WHEN 4 THEN 'pkg:maven/org.acme%3Alib' || (p % 50) || '@2.0'
-    WHEN 5 THEN 'https://github.com/Owner' || (p % 20) || '/Repo' || p || '.git'
-    WHEN 6 THEN 'owner' || (p % 20) || '/repo' || p
-    WHEN 7 THEN 'github.com/owner' || (p % 20) || '/repo' || p || '/tree/main'
+    WHEN 5 THEN 'https://github.com/Owner' || (p % 50) || '/Repo' || p || '.git'
+    WHEN 6 THEN 'owner' || (p % 50) || '/repo' || p
+    WHEN 7 THEN 'github.com/owner' || (p % 50) || '/repo' || p || '/tree/main'
     WHEN 8 THEN 'https://gitlab.com/group/repo' || p
     WHEN 9 THEN '' WHEN 10 THEN '# comment ' || p WHEN 11 THEN 'pkg:hex/phoenix' || p || '@1.0'
     ELSE purl || '?arch=x86#sub/path' END END AS line
@@ -506,22 +506,26 @@ JOIN (SELECT project_id, AGG('"r' || package_id || '"' ;; package_id)AGG AS refs
 """,
     _AGGREGATES,
 )
+VIEWS["fx_modules"] = """
+SELECT d.project_id, d.package_id, CASE WHEN p.ecosystem = 'golang' THEN p.namespace || '/' || p.name ELSE 'example.com/m' || d.package_id END AS module
+FROM {fx_direct} d JOIN {fx_packages} p ON p.package_id = d.package_id
+"""
 VIEWS["fx_gomod"] = _aggregated(
     """
 SELECT project_id, 'module example.com/app' || project_id || chr(10) || 'go 1.24' || chr(10) || 'require (' || chr(10)
-  || AGG(chr(9) || 'example.com/m' || package_id || ' v1.' || (package_id % 10) || '.0'
-    || CASE WHEN package_id % 4 = 0 THEN ' // indirect' ELSE '' END ;; package_id)AGG || chr(10) || ')' || chr(10)
+  || AGG(chr(9) || module || ' v1.' || (package_id % 10) || '.0'
+    || CASE WHEN package_id % 4 = 1 THEN ' // indirect' ELSE '' END ;; package_id)AGG || chr(10) || ')' || chr(10)
   || 'require example.com/single v0.1.0' || chr(10) || 'replace (' || chr(10)
-  || AGG(CASE WHEN package_id % 9 = 0 THEN chr(9) || 'example.com/m' || package_id || ' => example.com/fork' || package_id || ' v2.0.0'
-    WHEN package_id % 11 = 0 THEN chr(9) || 'example.com/m' || package_id || ' v1.0.0 => ../local' || package_id
+  || AGG(CASE WHEN package_id % 9 = 0 THEN chr(9) || module || ' => example.com/fork' || package_id || ' v2.0.0'
+    WHEN package_id % 11 = 0 THEN chr(9) || module || ' v1.0.0 => ../local' || package_id
     ELSE '// none' END ;; package_id)AGG || chr(10) || ')' || chr(10)
-  || AGG(CASE WHEN package_id % 13 = 0 THEN 'tool example.com/m' || package_id || '/cmd/run' ELSE '// no tool' END ;; package_id)AGG
+  || AGG(CASE WHEN package_id % 13 = 0 THEN 'tool ' || module || '/cmd/run' ELSE '// no tool' END ;; package_id)AGG
   || chr(10) AS text
-FROM {fx_direct} GROUP BY project_id
+FROM {fx_modules} GROUP BY project_id
 """,
     _LINE_AGGREGATES,
 )
-_ACTION = "'own' || (P % 50) || '/act' || P || CASE WHEN P % 6 = 0 THEN '/sub' ELSE '' END"
+_ACTION = "'owner' || (P % 40) || '/repo' || (P % 40) || '/act' || P || CASE WHEN P % 6 = 0 THEN '/sub' ELSE '' END"
 VIEWS["fx_workflows"] = _aggregated(
     """
 SELECT project_id AS scope, '.github/workflows/ci.yml' AS path, 'on: push' || chr(10) || 'jobs:' || chr(10) || '  build:' || chr(10)

@@ -783,8 +783,9 @@ ids AS (
 SELECT i.project_id, p.purl FROM ids i JOIN o_purls p USING (node)
 """,
     "o_action": """
-SELECT package_id AS p, 'own' || (package_id % 50) || '/act' || package_id || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END
-  AS action, 'own' || (package_id % 50) || '/act' || package_id AS repo FROM fx_packages
+SELECT package_id AS p, 'owner' || (package_id % 40) || '/repo' || (package_id % 40) || '/act' || package_id
+  || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END AS action, 'owner' || (package_id % 40) || '/repo' || (package_id % 40) AS repo
+FROM fx_packages
 """,
     "o_action_edges": "SELECT project_id, src, dst FROM fx_edges WHERE src % 10 <> 3",
     "o_action_levels": """
@@ -823,6 +824,55 @@ SELECT s.*, p.repo_id, r.stars, r.overall_score FROM o_scan s JOIN fx_packages p
 LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
 """,
 
+    "o_required": """
+SELECT project_id, module, CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' || package_id ELSE module END AS name,
+  CASE WHEN package_id % 9 = 0 THEN 'v2.0.0' ELSE 'v1.' || (package_id % 10) || '.0' END AS version,
+  'pkg:golang/' || CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' || package_id || '@v2.0.0'
+    ELSE module || '@v1.' || (package_id % 10) || '.0' END AS purl,
+  CASE WHEN package_id % 13 = 0 THEN 'tool' END AS scope FROM fx_modules WHERE package_id % 4 <> 1
+UNION ALL SELECT DISTINCT project_id, 'example.com/single', 'example.com/single', 'v0.1.0', 'pkg:golang/example.com/single@v0.1.0',
+  NULL FROM fx_direct
+""",
+    "o_listed": """
+SELECT DISTINCT i.file_id, 'github.com/' || regexp_extract(lower(i.t), '^(?:https://github\\.com/|github\\.com/)?([^/]+/[^/.]+)', 1) AS repo_key
+FROM o_input_kinds i JOIN o_file_quality q ON q.file_id = i.file_id WHERE kind = 'repository' AND unrecognised_share <= 0.5
+""",
+    "o_project_repos": """
+SELECT DISTINCT project_id, 'github.com/owner' || (project_id % 50) || '/repo' || project_id AS repo_key FROM fx_direct
+""",
+    "o_named_actions": """
+SELECT d.project_id, a.repo, 2 AS rank, 0 AS level, CAST(NULL AS VARCHAR) AS via FROM fx_direct d JOIN o_action a ON a.p = d.package_id
+UNION ALL SELECT DISTINCT project_id, unnest(['local/one', 'local/two']), 3, unnest([0, 1]),
+  unnest(['.github/actions/first', '.github/actions/second']) FROM fx_direct
+UNION ALL SELECT v.project_id, a.repo, 4, v.level, v.via FROM o_action_via v JOIN o_action a ON a.p = v.node WHERE v.level > 0
+""",
+    "o_file_repos": """
+SELECT file_id, repo_key, source, via FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id, repo_key ORDER BY rank, scope, level, via) AS n FROM (
+    SELECT file_id, repo_key, 1 AS rank, repo_key AS scope, 0 AS level, CAST(NULL AS VARCHAR) AS via, 'repository' AS source FROM o_listed
+    UNION ALL SELECT l.file_id, 'github.com/' || a.repo, rank, l.repo_key, level, via,
+      CASE rank WHEN 2 THEN 'actions' WHEN 3 THEN 'actions-local' ELSE 'actions-transitive' END
+    FROM o_listed l JOIN o_project_repos p ON p.repo_key = l.repo_key JOIN o_named_actions a ON a.project_id = p.project_id) x) y
+WHERE n = 1
+""",
+    "o_repo_packages": """
+SELECT -repo_id - 1 AS package_id, 'github' AS ecosystem, CAST(NULL AS VARCHAR) AS namespace, CAST(NULL AS VARCHAR) AS name,
+  CAST(NULL AS VARCHAR) AS version, 'pkg:' || substr(repo_url, 9) AS purl, repo_id FROM fx_repos
+""",
+    "o_sbom_pairs": """
+SELECT r.project_id, r.direct, r.node, d.purl IS NOT NULL AS node_direct FROM o_sbom_reach r
+LEFT JOIN o_sbom_direct d ON d.project_id = r.project_id AND d.purl = r.node WHERE r.node <> r.direct
+""",
+    "o_sbom_entries": """
+SELECT d.project_id, d.purl, coalesce(t.total, 0) AS total, coalesce(t.excl, 0) AS excl, coalesce(v.n, 0) AS via_count,
+  max(coalesce(t.excl, 0)) OVER (PARTITION BY d.project_id) AS max_excl
+FROM o_sbom_direct d
+LEFT JOIN (SELECT project_id, direct, count(*) AS total, count(*) FILTER (WHERE providers = 1) AS excl FROM (
+    SELECT *, count(*) OVER (PARTITION BY project_id, node) AS providers FROM o_sbom_pairs WHERE NOT node_direct) x GROUP BY 1, 2) t
+  ON t.project_id = d.project_id AND t.direct = d.purl
+LEFT JOIN (SELECT project_id, node, count(*) AS n FROM o_sbom_pairs WHERE node_direct GROUP BY 1, 2) v
+  ON v.project_id = d.project_id AND v.node = d.purl
+""",
     "o_signal_names": """
 SELECT *, unnest(sigs) AS sig, generate_subscripts(sigs, 1) - 1 AS position FROM (SELECT *, CASE
   WHEN rule_no = 1 THEN ['eol_source', 'eol_scheduled_date'] WHEN rule_no = 2 THEN ['repo_archived', 'repo_disabled']
@@ -853,6 +903,10 @@ no_commit_recent_publish no_commit_mid_publish no_commit_old_publish no_data', '
 """,
 }
 
+# repositories judged as packages without versions: the same tables over other rows
+for _name, _from, _to in (("facts", "fx_packages", "o_repo_packages"), ("ruled", "o_facts", "o_repo_facts"), ("scan", "o_ruled", "o_repo_ruled")):
+    PARTS[f"o_repo_{_name}"] = PARTS[f"o_{_name}"].replace(_from, _to)
+
 # --- statements, one per registered query ---------------------------------------
 SQL: dict[str, str] = {
     "release_slots": """
@@ -984,6 +1038,37 @@ FROM (SELECT DISTINCT n.project_id, n.purl, {_KEY.replace('purl', 'n.purl')} AS
 LEFT JOIN (SELECT project_id, node, min(direct) AS via, count(*) AS n FROM o_sbom_reach WHERE node <> direct GROUP BY 1, 2) v
   ON v.project_id = k.project_id AND v.node = k.purl
 LEFT JOIN o_by_key b ON b.canonical_key = k.canonical_key
+""",
+    "scan_from_gomod": f"""
+SELECT k.*, {_RESULTS} FROM (SELECT project_id, purl, 'direct' AS relation, scope, {_KEY} AS canonical_key FROM o_required) k
+LEFT JOIN o_by_key b ON b.canonical_key = k.canonical_key
+""",
+    "scan_from_repos": f"""
+SELECT file_id, 'purl' AS source, k.purl AS input, CAST(NULL AS VARCHAR) AS via, {_RESULTS}
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id, canonical_key ORDER BY line_no) AS n FROM o_keys
+  WHERE canonical_key IS NOT NULL AND file_id IN (SELECT file_id FROM o_file_quality WHERE unrecognised_share <= 0.5)) k
+LEFT JOIN o_by_key b ON b.canonical_key = k.canonical_key WHERE n = 1
+UNION ALL SELECT file_id, k.source, k.repo_key, k.via, {_RESULTS.replace('b.canonical_key', 'b.package_id').replace('b.transitive_count', '0')}
+FROM o_file_repos k LEFT JOIN o_repo_scan b ON b.purl = 'pkg:' || k.repo_key
+""",
+    "diet_from_sbom": """
+SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank, purl, ecosystem, scope,
+  round(priority, 9) AS priority, CASE WHEN effort < 1e-9 THEN 'trivial' WHEN effort < 0.25 THEN 'easy' WHEN effort < 0.6 THEN 'moderate'
+    ELSE 'hard' END AS difficulty, round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(risk, 9) AS health_risk,
+  excl AS exclusive_transitive, total AS total_transitive, FALSE AS is_unused, health_status AS maintenance_status, name, version,
+  via_count > 0 AS stays_as_indirect, 0 AS import_file_count, 0 AS call_site_count, CASE WHEN scope IS NULL THEN 0 ELSE 1 END AS api_breadth,
+  FALSE AS has_blank_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
+  CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss_score, CASE WHEN overall_score > 0 THEN overall_score END AS overall_score
+FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0, 0.1::DOUBLE) ELSE p0 END AS priority FROM (
+  SELECT *, impact * risk * greatest(1 - effort, 0.05::DOUBLE) AS p0 FROM (
+    SELECT e.*, p.ecosystem, p.name, p.version, h.health_status, h.is_eol, h.adv, h.max_cvss3, h.overall_score,
+      coalesce(h.health_risk, 0.5) AS risk, CASE WHEN t.package_id IS NOT NULL THEN 'tool' WHEN p.name = 'postgresql' THEN 'runtime' END AS scope,
+      CASE WHEN max_excl = 0 THEN 0.1::DOUBLE ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (excl / max_excl), 1.0::DOUBLE) END AS impact,
+      CASE WHEN t.package_id IS NULL AND p.name <> 'postgresql' THEN 0.0::DOUBLE
+        ELSE 0.4::DOUBLE * (1 / (1 + exp(4::DOUBLE))) + 0.4::DOUBLE * (1 / (1 + exp(4::DOUBLE))) + 0.2::DOUBLE * (1 / (1 + exp(3.6::DOUBLE))) END AS effort
+    FROM o_sbom_entries e JOIN fx_packages p ON p.purl = e.purl LEFT JOIN o_health h ON h.package_id = p.package_id
+    LEFT JOIN (SELECT project_id, min(package_id) AS package_id FROM fx_direct GROUP BY 1) t
+      ON t.project_id = e.project_id AND t.package_id = p.package_id) a) b) c
 """,
     "scan_advisories": "SELECT * FROM o_all_metrics",
     "top_advisories": """
@@ -1209,16 +1294,7 @@ below AS (SELECT DISTINCT e.brand, e.dst AS purl FROM o_module_edges e JOIN ok U
 SELECT brand AS project_id, purl FROM below
 UNION ALL SELECT brand, purl FROM o_modules WHERE brand NOT IN (SELECT brand FROM below)
 """,
-    "go_requirements": """
-SELECT project_id, 'example.com/m' || package_id AS module,
-  CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' ELSE 'example.com/m' END || package_id AS name,
-  CASE WHEN package_id % 9 = 0 THEN 'v2.0.0' ELSE 'v1.' || (package_id % 10) || '.0' END AS version,
-  'pkg:golang/' || CASE WHEN package_id % 9 = 0 THEN 'example.com/fork' || package_id || '@v2.0.0'
-    ELSE 'example.com/m' || package_id || '@v1.' || (package_id % 10) || '.0' END AS purl,
-  CASE WHEN package_id % 13 = 0 THEN 'tool' END AS scope FROM fx_direct WHERE package_id % 4 <> 0
-UNION ALL SELECT DISTINCT project_id, 'example.com/single', 'example.com/single', 'v0.1.0', 'pkg:golang/example.com/single@v0.1.0',
-  NULL FROM fx_direct
-""",
+    "go_requirements": "SELECT * FROM o_required",
     "workflow_refs": "SELECT * FROM o_workflow_refs",
     "action_closure": """
 SELECT project_id AS scope, repo, arg_min(level, level) AS level, first(via ORDER BY level, via) AS via FROM (

@@ -790,7 +790,7 @@ def merged_results(fx: Fixtures) -> DataFrame:
 @query
 def source_union(fx: Fixtures) -> DataFrame:
     action = F.expr(
-        "'own' || (package_id % 50) || '/act' || package_id || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END"
+        "'owner' || (package_id % 40) || '/repo' || (package_id % 40) || '/act' || package_id || CASE WHEN package_id % 6 = 0 THEN '/sub' ELSE '' END"
     )
     named = fx["fx_packages"].select("package_id", action.alias("action"))
     direct = named.join(fx["fx_direct"].select("package_id").distinct(), "package_id").select(F.col("action").alias("key"))
@@ -907,6 +907,14 @@ def scan_from_gomod(fx: Fixtures) -> DataFrame:
     return entrypoints.scan_go_modules(fx["fx_gomod"], _facts(fx), AS_OF, enrichers=_enrichers(fx))
 
 
+@query
+def scan_from_repos(fx: Fixtures) -> DataFrame:
+    """List files to scan results of their packages, repositories, and the actions that these repositories use."""
+    repo = F.concat(F.lit("github.com/owner"), (F.col("scope") % 50).cast("string"), F.lit("/repo"), F.col("scope").cast("string"))
+    workflows = fx["fx_workflows"].withColumn("scope", repo)
+    return entrypoints.scan_repos(fx["fx_inputs"], workflows, _facts(fx), AS_OF, enrichers=_enrichers(fx))
+
+
 @query
 def diet_from_sbom(fx: Fixtures) -> DataFrame:
     """SBOM documents to a ranked removal plan, with a development tool in each project."""
