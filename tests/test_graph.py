@@ -5,6 +5,7 @@ import random
 import pytest
 
 from depvital.operators import graph, walks
+from depvital.sources import facts
 
 EDGES = "project_id BIGINT, src STRING, dst STRING"
 DIRECT = "project_id BIGINT, package_id STRING"
@@ -118,6 +119,19 @@ def test_a_slice_holds_whole_projects(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, all_.collect()))
 
 
+def test_bucketed_tables_keep_projects_whole(spark, tmp_path):
+    rnd = random.Random(3)
+    edges = list({(p, rnd.randrange(30), rnd.randrange(30)) for p in range(40) for _ in range(50)})
+    direct = [(p, n) for p in range(40) for n in rnd.sample(range(30), 3)]
+    plain = spark.createDataFrame(edges, "project_id BIGINT, src BIGINT, dst BIGINT"), spark.createDataFrame(direct, "project_id BIGINT, package_id BIGINT")
+    stored = [facts.save_table(t.repartition(3), f"file://{tmp_path}", n) for t, n in zip(plain, ("edges", "direct"))]
+    assert stored[0].count() == len(edges)
+    want = sorted(map(tuple, graph.graph_metrics(*plain).collect()))
+    assert sorted(map(tuple, graph.graph_metrics(*stored).collect())) == want and any(r[3] for r in want)
+    both = stored[0].select("project_id").unionAll(stored[1].select("project_id")).groupBy("project_id").count()
+    assert both.count() == 40
+
+
 def test_empty_graphs(spark):
     e, d = spark.createDataFrame([], EDGES), spark.createDataFrame([], DIRECT)
     assert graph.reachability(e, d).collect() == [] and graph.graph_metrics(e, d).collect() == [] and graph.direct_providers(e, d).collect() == []
