@@ -316,11 +316,11 @@ FROM fx_registry JOIN fx_packages p USING (package_id) WHERE p.ecosystem = 'pypi
 UNION ALL
 SELECT package_id, 6, TRUE, 'PyPI', 'Version yanked on PyPI: ' || message, 0.95, NULL
 FROM fx_registry r JOIN fx_packages p USING (package_id) LEFT JOIN o_slots s USING (package_id)
-WHERE p.ecosystem = 'pypi' AND flag = 'yanked' AND r.version = coalesce(p.version, s.stable)
+WHERE p.ecosystem = 'pypi' AND flag = 'yanked' AND coalesce(r.version, p.version, s.stable) = coalesce(p.version, s.stable)
 UNION ALL
 SELECT package_id, 7, TRUE, 'crates.io', 'Version yanked on crates.io', 1.0, NULL
 FROM fx_registry r JOIN fx_packages p USING (package_id) LEFT JOIN o_slots s USING (package_id)
-WHERE p.ecosystem = 'cargo' AND flag = 'yanked' AND r.version = coalesce(p.version, s.stable)
+WHERE p.ecosystem = 'cargo' AND flag = 'yanked' AND coalesce(r.version, p.version, s.stable) = coalesce(p.version, s.stable)
 UNION ALL
 SELECT package_id, 8, TRUE, 'Maven', 'Artifact relocated: ' || message, 0.95, successor
 FROM fx_registry r JOIN fx_packages p USING (package_id)
