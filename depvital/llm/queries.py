@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import digests
@@ -13,7 +13,7 @@ from depvital.llm.exact_dedup import exact_dedup
 from depvital.llm.language_id import classify, fit, held_out
 from depvital.llm.license_scan import AGREE, BASE, NOTICES, RARE_WORDS, license_labels, scan_licenses
 from depvital.llm.line_dedup import line_dedup
-from depvital.llm.mixing import BLOCK_DOCS, PERIOD, SLOTS_PER_SOURCE, mix_sources
+from depvital.llm.mixing import BLOCK_DOCS, mix_sources
 from depvital.llm.prefix_trie import borrowed_paths, ordered_turns, prefix_trie
 from depvital.llm.sharding import shard
 from depvital.llm.simhash import near_duplicates
@@ -27,6 +27,13 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SHARD_BYTES = 1 << 20
 #: op8's edits: a run of one punctuation mark becomes a single one.
 PUNCTUATION_RUN = r"([^\w\s])\1+"
+
+
+def target_weight(source: Column, docs: Column) -> Column:
+    """Targets of op6 and the pipeline: 1 to 9 parts for a source, whatever it holds, told by its name."""
+    return 1 + F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 4), 16, 10).cast("long") % 9
+
+
 #: op12's codes: parts of a vector, entries of a codebook, rounds.
 VECTOR_PARTS, CODEBOOK_SIZE, LLOYD_ROUNDS = 8, 16, 6
 
@@ -54,7 +61,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix_sources(read_table(spark, sf_dir, "documents"), target_weight)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,16 +208,12 @@ ORACLE_SQL = {
     "op6_mixing": f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, coalesce('=' || source, '') AS key,
-                row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), 'g'), doc_id) - 1 AS n
+                row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), 'g' || md5(coalesce(text, '')))) - 1 AS n
             FROM documents
         ),
-        w AS (SELECT key, floor(sqrt(count(*)) * 1000)::BIGINT AS weight FROM d GROUP BY key),
-        a AS (SELECT sum(weight)::BIGINT AS whole, count(*) AS sources, greatest({PERIOD}, count(*) * {SLOTS_PER_SOURCE}) AS period FROM w),
-        u AS (SELECT key, weight, sum(weight) OVER (ORDER BY key)::BIGINT AS upto, row_number() OVER (ORDER BY key) AS pos FROM w),
-        s AS (
-            SELECT key, pos, period, 1 + (upto * (period - sources)) // whole - ((upto - weight) * (period - sources)) // whole AS share
-            FROM u, a
-        ),
+        w AS (SELECT key, any_value(1 + ('0x' || substr(md5(coalesce(source, '')), 1, 4))::BIGINT % 9) AS weight FROM d GROUP BY key),
+        g AS (SELECT sum(weight)::BIGINT AS whole, list_reduce(list(weight), lambda a, b: gcd(a, b)) AS divisor FROM w),
+        s AS (SELECT key, row_number() OVER (ORDER BY key) AS pos, whole // divisor AS period, weight // divisor AS share FROM w, g),
         q AS (SELECT list(share ORDER BY pos) AS q, max(period) AS period FROM s),
         r AS (
             SELECT -1::BIGINT AS t, list_transform(q, lambda x: 0::BIGINT) AS used, NULL::BIGINT AS best FROM q
@@ -218,7 +221,7 @@ ORACLE_SQL = {
             SELECT t + 1, list_transform(range(1, len(used) + 1), lambda i: used[i] + CASE WHEN i = b THEN 1 ELSE 0 END), b
             FROM (
                 SELECT r.t, r.used, list_min(list_transform(range(1, len(q) + 1), lambda i: CASE
-                    WHEN used[i] < q[i] AND (used[i] * period) // q[i] <= t + 1
+                    WHEN (used[i] * period) // q[i] <= t + 1
                     THEN (((used[i] + 1) * period + q[i] - 1) // q[i]) * 1000000 + i END)) % 1000000 AS b
                 FROM r, q WHERE t + 1 < period
             )
