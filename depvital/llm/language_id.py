@@ -1,8 +1,9 @@
 """Language identification by the nearest centroid.
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams. Each language has several centroids, clusters of its
-training vectors; a text gets the language of the centroid with the largest cosine, and is rejected if it lies farther
-from that centroid than nearly all training texts of the cluster do.
+training vectors; a text gets the language of the centroid with the largest cosine. It is rejected by its distance from
+that centroid: for each language and text length, the limit lies between the cosines of the language's own training texts
+and those of the texts of all other languages, which are what an unseen language would look like.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depvital.llm.byte_bpe import small_batches
-from depvital.llm.common import named, nullable
+from depvital.llm.common import find_package, keep_table, named, nullable
 
 #: Hashed features; lengths of n-grams in bytes.
 DIMS = 8192
@@ -27,11 +28,11 @@ GRAMS = (1, 2, 3, 4)
 #: frequencies come from all training texts.
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 1500
-#: A text is rejected below this part of the cosine that all but a hundredth of a centroid's training texts have. Short
-#: texts lie far from any centroid: below FULL_TERMS features the limit shrinks with the square root of their number.
-REJECT = 0.35
-LOW_SHARE = 0.01
-FULL_TERMS = 300
+#: Limits are kept for lengths of half octaves of features. A language's own texts lie above the first quantile, other
+#: languages' texts below the second one; where few own texts tell the length, the limit stays farther below them.
+LENGTHS = 2 * 14
+OWN_QUANTILE, FOREIGN_QUANTILE = 0.002, 0.99
+SLACK, FEW, LEAST_TEXTS = 0.97, 100, 5
 _SPAN = 1 << 20
 _ROWS = 256
 #: ASCII letters in lower case, other ASCII characters blank, bytes of other characters as they are.
@@ -60,13 +61,41 @@ def term_weights(text: str) -> np.ndarray:
     return np.log1p(counts).astype(np.float32)
 
 
+def length_of(weights: np.ndarray) -> np.ndarray:
+    """Length class of each row: half octaves of its number of features."""
+    terms = np.maximum(1, (weights > 0).sum(axis=-1))
+    return np.minimum(LENGTHS - 1, np.floor(2 * np.log2(terms))).astype(np.int64)
+
+
+def least_cosines(own: dict[int, tuple[float, int]], foreign: dict[int, float]) -> np.ndarray:
+    """Limit for each length, from (low quantile, number) of own texts and the high quantile of others by length.
+
+    Longer texts lie nearer, so limits never fall with the length; lengths with hardly any own texts take over from the
+    next longer ones, at a lower rate the shorter they are.
+    """
+    limits = np.full(LENGTHS, np.inf)
+    own = {at: found for at, found in own.items() if found[1] >= LEAST_TEXTS} or own
+    for at, (low, n) in own.items():
+        floor = low * min(SLACK, 1 - 0.5 * n**-0.5)
+        limits[at] = (floor + foreign[at]) / 2 if n >= FEW and foreign.get(at, floor) < floor else floor
+    if not own:
+        return np.zeros(LENGTHS)
+    longest = max(own)
+    limits[longest + 1 :] = limits[longest]
+    limits = np.minimum.accumulate(limits[::-1])[::-1]
+    shortest = min(own)
+    limits[:shortest] = limits[shortest] * 0.9 ** (shortest - np.arange(shortest))
+    return limits
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages, the language of each centroid, centroids as unit rows, the least cosine each accepts, IDF weights."""
+    """Languages, the language of each centroid, centroids as unit rows, the least cosine that each language accepts by
+    length, IDF weights."""
 
     languages: list[str]
     of_centroid: np.ndarray
@@ -83,7 +112,7 @@ class LanguageModel:
             weights = np.stack([term_weights(texts[i]) for i in part])
             cosines = _unit(weights * self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
-            limits = self.least[best] * np.sqrt(np.minimum(1.0, (weights > 0).sum(axis=1) / FULL_TERMS))
+            limits = self.least[self.of_centroid[best], length_of(weights)]
             for i, b, c, limit in zip(part, best.tolist(), cosines[np.arange(len(part)), best].tolist(), limits.tolist()):
                 out[i] = (self.languages[self.of_centroid[b]], min(1.0, max(0.0, c)), c < limit)
         return out
@@ -112,9 +141,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from the rows that are not held out and have an identifier, a label and a text with a letter.
 
-    Document frequencies are counted over all of these; centroids are clustered from at most `sample_per_language` texts
-    of each language, chosen by a hash of the identifier. Without such rows the model knows no language.
+    Document frequencies are counted over all of these; centroids are clustered, and limits measured, on at most
+    `sample_per_language` texts of each language, chosen by a hash of the identifier. Without such rows the model knows no
+    language.
     """
+    find_package(docs.sparkSession)
     text, lang, doc = named(text_col).cast("string"), named(lang_col).cast("string"), named(id_col).cast("long")
     rows = docs.where(~held_out(id_col) & doc.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}"))
     rows = rows.select(doc.alias("doc_id"), lang.alias("lang"), text.alias("text"))
@@ -142,16 +173,38 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         vectors = _unit(np.stack([term_weights(t) for t in group["text"]]) * idf)
-        found, own = cluster(vectors, CENTROIDS)
-        least = [REJECT * float(np.quantile(vectors[own == c] @ found[c], LOW_SHARE)) if (own == c).any() else 0.0 for c in range(len(found))]
+        found, _ = cluster(vectors, CENTROIDS)
         blobs = [c.astype("<f4").tobytes() for c in found]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "number": range(len(found)), "centroid": blobs, "least": least})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "number": range(len(found)), "centroid": blobs})
 
-    model = sample.groupBy("lang").applyInPandas(centroids, "lang string, number int, centroid binary, least double")
+    sample = keep_table(sample, "language-sample")
+    model = sample.groupBy("lang").applyInPandas(centroids, "lang string, number int, centroid binary")
     rows_of = sorted(model.collect(), key=lambda r: (r["lang"], r["number"]))  # a few rows for each language
     languages = sorted({r["lang"] for r in rows_of})
+    of_centroid = np.array([languages.index(r["lang"]) for r in rows_of], np.int64)
     table = np.stack([np.frombuffer(r["centroid"], "<f4") for r in rows_of]) if rows_of else np.zeros((0, DIMS), np.float32)
-    return LanguageModel(languages, np.array([languages.index(r["lang"]) for r in rows_of]), table, np.array([r["least"] for r in rows_of]), idf)
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                weights = term_weights(text)
+                near = _unit((weights * idf)[None, :]) @ table.T
+                best = np.full(len(languages), -1.0)
+                np.maximum.at(best, of_centroid, near[0])
+                columns = [np.arange(len(languages)), np.array(languages) == lang, np.full(len(languages), length_of(weights)), best]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["to", "own", "length", "cosine"])
+
+    least = np.zeros((len(languages), LENGTHS))
+    if languages:
+        quantile = lambda q: F.percentile_approx("cosine", q, 10_000)
+        spread = sample.mapInArrow(cosines, "to long, own boolean, length long, cosine double").groupBy("to", "own", "length")
+        low, high = quantile(OWN_QUANTILE).alias("low"), quantile(FOREIGN_QUANTILE).alias("high")
+        found = spread.agg(low, high, F.count(F.lit(1)).alias("n")).collect()  # a few dozen rows for each language
+        for k in range(len(languages)):
+            mine = [r for r in found if r["to"] == k]
+            own = {r["length"]: (r["low"], r["n"]) for r in mine if r["own"]}
+            least[k] = least_cosines(own, {r["length"]: r["high"] for r in mine if not r["own"]})
+    return LanguageModel(languages, of_centroid, table, least, idf)
 
 
 def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
