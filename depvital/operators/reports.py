@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depvital.functions.ranking import rank_within
 from depvital.functions.scalars import blank_to_null, severity
 
 # --- fixed values: checks of the published scorecard --------------------------------
@@ -13,6 +14,8 @@ CHECKS = (
     "Dangerous-Workflow", "Dependency-Update-Tool", "Fuzzing", "License", "Maintained", "Packaging",
     "Pinned-Dependencies", "SAST", "Security-Policy", "Signed-Releases", "Token-Permissions", "Vulnerabilities",
 )
+#: Names that a list column shows; the total stands beside it.
+LIST_LIMIT = 10
 # order of label groups in listings
 BUCKETS = ("active", "stalled", "eol", "review", "other")
 
@@ -58,14 +61,21 @@ def label_distribution(entries: DataFrame) -> DataFrame:
 
 
 def order_distribution(distribution: DataFrame) -> DataFrame:
-    """Largest label first, ties by name; reasons follow in the same way."""
-    return distribution.orderBy(F.col("packages").desc(), F.col("label"), F.col("reason"))
+    """Positions of a listing: largest label first, ties by name; a label's own row, then its reasons in the same way.
+
+    A distribution has as many rows as there are labels and reasons.
+    """
+    size = F.max(F.when(F.col("reason").isNull(), F.col("packages"))).over(Window.partitionBy("label"))
+    sized = distribution.withColumn("_size", size)
+    order = Window.orderBy(F.col("_size").desc(), "label", F.col("reason").isNotNull(), F.col("packages").desc(), "reason")
+    return sized.withColumn("position", F.row_number().over(order)).drop("_size")
 
 
 def order_by_bucket(entries: DataFrame, key: str = "purl") -> DataFrame:
-    """Active, stalled, end of life, review, others; then by key."""
-    rank = F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), label_bucket(F.col("lifecycle_label")))
-    return entries.orderBy(rank, key)
+    """Positions inside each label group (active, stalled, end of life, review, others), by key, and the group's place."""
+    bucket = label_bucket(F.col("lifecycle_label"))
+    rank = F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), bucket).cast("int")
+    return rank_within(entries.withColumns({"bucket": bucket, "bucket_place": rank}), "bucket", [F.col(key)], "position")
 
 
 def scan_rows(entries: DataFrame) -> DataFrame:
@@ -97,7 +107,7 @@ def scan_rows(entries: DataFrame) -> DataFrame:
 def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """One row per package with a repository, one column per check (sorted), scores as text with two digits.
 
-    The checks are an argument, by default those of the scorecard and whatever further names the scores hold.
+    Counts and flags that the analysis does not have are 0 and false. The checks are an argument, by default those of the scorecard and whatever further names the scores hold.
     """
     if checks is None:
         names = scores.select("check_name").where("check_name IS NOT NULL").distinct()
@@ -107,19 +117,26 @@ def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | N
     column = lambda name: F.col("`" + name.replace("`", "``") + "`")
     two_digits = lambda name: F.format_string("%.2f", column(name).cast("double"))
     named = [F.when(column(c).isNotNull(), two_digits(c)).alias(c) for c in ordered]
+    have = set(analysis.columns)
+    number = lambda name: F.coalesce(column(name), F.lit(0)) if name in have else F.lit(0)
+    flag = lambda name: F.coalesce(column(name), F.lit(False)) if name in have else F.lit(False)
     return (
         analysis.where("repo_url IS NOT NULL")
         .join(wide.select("repo_id", *named), "repo_id", "left")
         .select(
             "purl",
             "repo_url",
+            F.concat(F.lit("https://scorecard.dev/viewer/?uri="), F.url_encode("repo_url")).alias("scorecard_url"),
+            F.concat(F.lit("https://api.scorecard.dev/projects/"), "repo_url").alias("scorecard_api_url"),
+            F.when(F.col("version_count").isNotNull(), F.col("repo_url")).otherwise("").alias("release_url"),
             two_digits("overall_score").alias("overall_score"),
             *[column(c) for c in ordered],
-            F.coalesce("days_since_stable", F.lit(0)).alias("days_since_stable"),
-            F.coalesce("days_since_prerelease", F.lit(0)).alias("days_since_prerelease"),
-            F.coalesce("archived", F.lit(False)).alias("archived"),
+            *[number(c).cast("long").alias(c) for c in ("stars", "days_since_stable", "days_since_prerelease", "days_since_commit", "dependents", "direct_deps", "transitive_deps")],
+            *[flag(c).alias(c) for c in ("archived", "disabled", "fork")],
+            (F.coalesce(column("fork_source"), F.lit("")) if "fork_source" in have else F.lit("")).alias("fork_source"),
             "lifecycle_label",
             "lifecycle_reason",
+            F.format_string("Archived:%s,Disabled:%s", flag("archived"), flag("disabled")).alias("repo_state"),
         )
     )
 
@@ -143,12 +160,40 @@ def lifecycle_summary(entries: DataFrame) -> DataFrame:
     )
 
 
-def diet_rows(entries: DataFrame) -> DataFrame:
-    """Ranked removal plan, one flat row per direct dependency.
+def first_values(rows: DataFrame, keys: list[str], value: str, name: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """Per key the first ``limit`` distinct values, joined by semicolons, and how many there are.
+
+    The rank is cut in each task before the shuffle (and again after it), so no list grows with its group.
+    """
+    distinct = rows.select(*keys, value).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    shown = distinct.withColumn("_n", rank).where(F.col("_n") <= limit)
+    lists = shown.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), ";").alias(name))
+    return lists.join(distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_count")), keys)
 
-    What holds it in, the files and the symbols are rows of their own: ``graph.indirect_via``, ``coupling.coupling_files``
-    and ``coupling.coupling_symbols``.
+
+def diet_export(entries: DataFrame, via: DataFrame, symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """Ranked removal plan with what holds a dependency in, its symbols and its files, each a list with its total.
+
+    ``via`` has project_id, direct_id, via_id; ``symbols`` and ``files`` have project_id, package_id and symbol or path;
+    ``names`` has package_id, name.
     """
+    keys = ["project_id", "package_id"]
+    held = via.join(names.select(F.col("package_id").alias("via_id"), F.col("name").alias("via_name")), "via_id")
+    held = held.withColumnRenamed("direct_id", "package_id")
+    out = entries
+    for rows, value, name in ((held, "via_name", "indirect_via"), (symbols, "symbol", "symbols"), (files, "path", "import_file_names")):
+        out = out.join(first_values(rows, keys, value, name), keys, "left")
+    counts = [F.coalesce(f"{n}_count", F.lit(0)).alias(f"{n}_count") for n in ("indirect_via", "symbols", "import_file_names")]
+    return out.select(
+        "project_id", "rank", "purl", F.round("priority", 9).alias("priority"), "difficulty", "is_unused", "import_files", "call_sites",
+        "api_breadth", "has_blank_import", "has_dot_import", "has_wildcard_import", F.col("health_status").alias("lifecycle"),
+        "indirect_via", "symbols", "import_file_names", *counts,
+    )
+
+
+def diet_rows(entries: DataFrame) -> DataFrame:
+    """Ranked removal plan, one flat row per direct dependency; ``diet_export`` adds what holds it in, files and symbols."""
     return entries.select(
         "project_id",
         "rank",
@@ -169,6 +214,8 @@ def diet_rows(entries: DataFrame) -> DataFrame:
         F.col("call_sites").alias("call_site_count"),
         "api_breadth",
         "has_blank_import",
+        "has_dot_import",
+        "has_wildcard_import",
         "is_unused",
         F.col("health_status").alias("maintenance_status"),
         (F.coalesce("advisory_count", F.lit(0)) > 0).alias("has_vulnerabilities"),

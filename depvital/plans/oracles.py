@@ -822,8 +822,11 @@ SELECT DISTINCT m.brand, m.purl AS src, p.purl AS dst FROM o_modules m JOIN fx_e
 JOIN o_purls p ON p.node = e.dst
 """,
     "o_scan_repo": """
-SELECT s.*, p.repo_id, r.stars, r.overall_score FROM o_scan s JOIN fx_packages p USING (package_id)
-LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
+SELECT s.*, p.repo_id, r.stars, r.overall_score, r.fork, r.fork_source, g.direct_deps, g.transitive_deps, CASE
+    WHEN (p.package_id * 13) % 7 > 0 THEN (p.package_id * 13) % 7 WHEN p.ecosystem IN ('gem', 'composer') THEN (p.package_id * 29) % 1000 ELSE 0 END AS dependents
+FROM o_scan s JOIN fx_packages p USING (package_id) LEFT JOIN fx_repos r ON r.repo_id = p.repo_id
+LEFT JOIN (SELECT package_id, count(*) FILTER (WHERE relation = 'DIRECT') AS direct_deps, count(*) FILTER (WHERE relation = 'INDIRECT') AS transitive_deps
+  FROM fx_package_graphs JOIN o_graph_choice USING (package_id, graph_version) GROUP BY 1) g ON g.package_id = s.package_id
 """,
 
     "o_required": """
@@ -874,6 +877,14 @@ LEFT JOIN (SELECT project_id, direct, count(*) AS total, count(*) FILTER (WHERE
   ON t.project_id = d.project_id AND t.direct = d.purl
 LEFT JOIN (SELECT project_id, node, count(*) AS n FROM o_sbom_pairs WHERE node_direct GROUP BY 1, 2) v
   ON v.project_id = d.project_id AND v.node = d.purl
+""",
+    "o_evaluated": "SELECT label, reason FROM o_scan WHERE error IS NULL",
+    "o_distribution": """
+SELECT label, reason, packages, round(packages * 100.0 / (SELECT count(*) FROM o_evaluated), 9) AS percent,
+  CASE WHEN label = 'Active' THEN 'active' WHEN label = 'Stalled' THEN 'stalled' WHEN label LIKE 'EOL-%' THEN 'eol'
+    WHEN label = 'Review Needed' THEN 'review' ELSE 'other' END AS bucket
+FROM (SELECT label, NULL AS reason, count(*) AS packages FROM o_evaluated GROUP BY label
+      UNION ALL SELECT label, reason, count(*) FROM o_evaluated GROUP BY label, reason) d
 """,
     "o_signal_names": """
 SELECT *, unnest(sigs) AS sig, generate_subscripts(sigs, 1) - 1 AS position FROM (SELECT *, CASE
@@ -953,14 +964,7 @@ SELECT package_id, eol_state, coalesce(eol_source, warn_source) AS eol_source, e
 SELECT package_id, purl, label AS lifecycle_label, reason AS lifecycle_reason, status, verdict, build_label,
   build_score, adv AS advisory_count, error FROM o_scan
 """,
-    "label_distribution": """
-WITH e AS (SELECT label, reason FROM o_scan WHERE error IS NULL), n AS (SELECT count(*) AS total FROM e)
-SELECT label, reason, packages, round(packages * 100.0 / (SELECT total FROM n), 9) AS percent,
-  CASE WHEN label = 'Active' THEN 'active' WHEN label = 'Stalled' THEN 'stalled' WHEN label LIKE 'EOL-%' THEN 'eol'
-    WHEN label = 'Review Needed' THEN 'review' ELSE 'other' END AS bucket
-FROM (SELECT label, NULL AS reason, count(*) AS packages FROM e GROUP BY label
-      UNION ALL SELECT label, reason, count(*) FROM e GROUP BY label, reason) d
-""",
+    "label_distribution": "SELECT * FROM o_distribution",
     "scan_summary": """
 SELECT count(*) AS total, sum((verdict = 'ok')::INT) AS ok_count, sum((verdict = 'caution')::INT) AS caution_count,
   sum((verdict = 'replace')::INT) AS replace_count, sum((verdict = 'review')::INT) AS review_count,
@@ -1004,7 +1008,7 @@ SELECT project_id, rank, purl, ecosystem, scope, round(priority, 9) AS priority,
   round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(health_risk, 9) AS health_risk,
   exclusive_transitive, total_transitive, is_unused, health_status AS maintenance_status, name, version,
   via_count > 0 AS stays_as_indirect, files AS import_file_count, calls AS call_site_count, api AS api_breadth,
-  blank AS has_blank_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
+  blank AS has_blank_import, FALSE AS has_dot_import, FALSE AS has_wildcard_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
   CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss_score, CASE WHEN overall_score > 0 THEN overall_score END AS overall_score
 FROM o_plan
 """,
@@ -1059,7 +1063,7 @@ SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY priority
     ELSE 'hard' END AS difficulty, round(impact, 9) AS graph_impact, round(effort, 9) AS coupling_effort, round(risk, 9) AS health_risk,
   excl AS exclusive_transitive, total AS total_transitive, FALSE AS is_unused, health_status AS maintenance_status, name, version,
   via_count > 0 AS stays_as_indirect, 0 AS import_file_count, 0 AS call_site_count, CASE WHEN scope IS NULL THEN 0 ELSE 1 END AS api_breadth,
-  FALSE AS has_blank_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
+  FALSE AS has_blank_import, FALSE AS has_dot_import, FALSE AS has_wildcard_import, coalesce(adv, 0) > 0 AS has_vulnerabilities, coalesce(adv, 0) AS vulnerability_count,
   CASE WHEN max_cvss3 > 0 THEN max_cvss3 END AS max_cvss_score, CASE WHEN overall_score > 0 THEN overall_score END AS overall_score
 FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0, 0.1::DOUBLE) ELSE p0 END AS priority FROM (
   SELECT *, impact * risk * greatest(1 - effort, 0.05::DOUBLE) AS p0 FROM (
@@ -1071,6 +1075,31 @@ FROM (SELECT *, CASE WHEN is_eol OR health_status = 'Archived' THEN greatest(p0,
     FROM o_sbom_entries e JOIN fx_packages p ON p.purl = e.purl LEFT JOIN o_health h ON h.package_id = p.package_id
     LEFT JOIN (SELECT project_id, min(package_id) AS package_id FROM fx_direct GROUP BY 1) t
       ON t.project_id = e.project_id AND t.package_id = p.package_id) a) b) c
+""",
+    "ordered_distribution": """
+SELECT label, reason, packages, percent, bucket, row_number() OVER (ORDER BY size DESC, label, reason IS NOT NULL, packages DESC, reason) AS position
+FROM (SELECT *, max(CASE WHEN reason IS NULL THEN packages END) OVER (PARTITION BY label) AS size FROM o_distribution) e
+""",
+    "ordered_entries": """
+SELECT purl, bucket, bucket_place, row_number() OVER (PARTITION BY bucket ORDER BY purl) AS position FROM (
+  SELECT purl, b.bucket, b.place AS bucket_place FROM o_scan s JOIN (VALUES ('active', 1), ('stalled', 2), ('eol', 3), ('review', 4), ('other', 5)) b(bucket, place)
+    ON b.bucket = CASE WHEN s.label = 'Active' THEN 'active' WHEN s.label = 'Stalled' THEN 'stalled' WHEN s.label LIKE 'EOL-%' THEN 'eol'
+      WHEN s.label = 'Review Needed' THEN 'review' ELSE 'other' END) x
+""",
+    "diet_export": """
+SELECT p.project_id, p.rank, p.purl, round(p.priority, 9) AS priority, p.difficulty, p.is_unused, p.files AS import_files, p.calls AS call_sites,
+  p.api AS api_breadth, p.blank AS has_blank_import, coalesce(c.has_dot_import, FALSE) AS has_dot_import,
+  coalesce(c.has_wildcard_import, FALSE) AS has_wildcard_import, p.health_status AS lifecycle,
+  v.shown AS indirect_via, s.shown AS symbols, f.shown AS import_file_names, coalesce(v.n, 0) AS indirect_via_count,
+  coalesce(s.n, 0) AS symbols_count, coalesce(f.n, 0) AS import_file_names_count
+FROM o_plan_src p LEFT JOIN o_coupling_all c ON c.project_id = p.project_id AND c.package_id = p.package_id
+LEFT JOIN (SELECT project_id, node, array_to_string(list_sort(list(DISTINCT name))[1:10], ';') AS shown, count(DISTINCT name) AS n
+  FROM (SELECT o.project_id, o.node, p.name FROM o_pairs o JOIN fx_packages p ON p.package_id = o.direct_id WHERE node_direct) x GROUP BY 1, 2) v
+  ON v.project_id = p.project_id AND v.node = p.package_id
+LEFT JOIN (SELECT project_id, package_id, array_to_string(list_sort(list(DISTINCT symbol))[1:10], ';') AS shown, count(DISTINCT symbol) AS n
+  FROM o_pkg_uses_all GROUP BY 1, 2) s ON s.project_id = p.project_id AND s.package_id = p.package_id
+LEFT JOIN (SELECT project_id, package_id, array_to_string(list_sort(list(DISTINCT path))[1:10], ';') AS shown, count(DISTINCT path) AS n
+  FROM o_matched_all GROUP BY 1, 2) f ON f.project_id = p.project_id AND f.package_id = p.package_id
 """,
     "scan_advisories": "SELECT * FROM o_all_metrics",
     "top_advisories": """
@@ -1380,14 +1409,20 @@ FROM o_scan s LEFT JOIN o_all_metrics m ON m.package_id = s.package_id AND m.ver
 """,
     "scorecard_wide": f"""
 WITH c AS (SELECT repo_id, check_name, printf('%.2f', CAST(score AS DOUBLE)) AS t FROM fx_scores)
-SELECT s.purl, s.repo_url, printf('%.2f', s.overall_score) AS overall_score,
+SELECT s.purl, s.repo_url, 'https://scorecard.dev/viewer/?uri=' || url_encode(s.repo_url) AS scorecard_url,
+  'https://api.scorecard.dev/projects/' || s.repo_url AS scorecard_api_url, any_value(CASE WHEN s.version_count IS NULL THEN '' ELSE s.repo_url END) AS release_url,
+  printf('%.2f', s.overall_score) AS overall_score,
   {', '.join(f"max(t) FILTER (WHERE check_name = '{c}') AS " + '"' + c + '"' for c in (
       'Binary-Artifacts', 'Branch-Protection', 'CI-Tests', 'CII-Best-Practices', 'Code-Review', 'Contributors',
       'Dangerous-Workflow', 'Dependency-Update-Tool', 'Fuzzing', 'License', 'Maintained', 'Packaging', 'Pinned-Dependencies',
       'SAST', 'Security-Policy', 'Signed-Releases', 'Token-Permissions', 'Vulnerabilities'))},
   any_value(coalesce(s.stable_age, 0)) AS days_since_stable, any_value(coalesce(s.pre_age, 0)) AS days_since_prerelease,
-  any_value(s.archived) AS archived, any_value(s.label) AS lifecycle_label, any_value(s.reason) AS lifecycle_reason
-FROM o_scan_repo s LEFT JOIN c ON c.repo_id = s.repo_id WHERE s.repo_url IS NOT NULL GROUP BY 1, 2, 3
+  any_value(CASE WHEN s.stars > 0 THEN s.stars ELSE 7 END) AS stars, any_value(coalesce(s.days_any, 0)) AS days_since_commit,
+  any_value(s.dependents) AS dependents, any_value(coalesce(s.direct_deps, 0)) AS direct_deps, any_value(coalesce(s.transitive_deps, 0)) AS transitive_deps,
+  any_value(s.archived) AS archived, any_value(s.disabled) AS disabled, any_value(s.fork) AS fork, any_value(coalesce(s.fork_source, '')) AS fork_source,
+  any_value(s.label) AS lifecycle_label, any_value(s.reason) AS lifecycle_reason,
+  any_value('Archived:' || s.archived || ',Disabled:' || s.disabled) AS repo_state
+FROM o_scan_repo s LEFT JOIN c ON c.repo_id = s.repo_id WHERE s.repo_url IS NOT NULL GROUP BY s.package_id, s.purl, s.repo_url, s.overall_score
 """,
     "lifecycle_summary": """
 SELECT purl, status AS final_status, label AS lifecycle_label, reason AS lifecycle_reason, eol_state, eol_successor,

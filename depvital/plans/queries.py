@@ -815,13 +815,39 @@ def scan_rows(fx: Fixtures) -> DataFrame:
 
 @query
 def scorecard_wide(fx: Fixtures) -> DataFrame:
-    dated = _scan(fx).withColumns(
+    entries = _scan(fx)
+    dated = entries.withColumns(
         {
             "days_since_stable": age_days(F.col("stable.published_at"), AS_OF),
             "days_since_prerelease": age_days(F.col("prerelease.published_at"), AS_OF),
         }
     )
-    return reports.scorecard_wide(dated, fx["fx_scores"])
+    with_slots = releases.join_versions(fx["fx_packages"], _slots(fx))
+    chosen = advisories.choose_graphs(with_slots, fx["fx_versions"], fx["fx_package_graphs"]).select("package_id", "graph_version")
+    nodes = fx["fx_package_graphs"].join(chosen, ["package_id", "graph_version"]).select("package_id", "relation")
+    counts = repos.dependency_counts(fx["fx_packages"].select("package_id"), nodes)
+    dependents = repos.dependent_counts(fx["fx_packages"], fx["fx_dependents"]).select("package_id", F.col("dependent_count").alias("dependents"))
+    counts = counts.select("package_id", F.col("direct_count").alias("direct_deps"), F.col("transitive_count").alias("transitive_deps"))
+    return reports.scorecard_wide(dated.join(counts, "package_id").join(dependents, "package_id"), fx["fx_scores"])
+
+
+@query
+def ordered_distribution(fx: Fixtures) -> DataFrame:
+    return reports.order_distribution(reports.label_distribution(_scan(fx)))
+
+
+@query
+def ordered_entries(fx: Fixtures) -> DataFrame:
+    return reports.order_by_bucket(_scan(fx)).select("purl", "bucket", "bucket_place", "position")
+
+
+@query
+def diet_export(fx: Fixtures) -> DataFrame:
+    """The plan from source files with list columns."""
+    matched = cut_lineage(diet_plan_module.matched_sources(fx["fx_sources"], _dependencies(fx), fx["fx_wheel_files"]))
+    plan = removal_plan(fx["fx_edges"], fx["fx_direct"], fx["fx_packages"], _scan(fx), coupling.coupling_metrics(matched))
+    via = graph.indirect_via(fx["fx_reach"], fx["fx_direct"])
+    return reports.diet_export(plan, via, coupling.coupling_symbols(matched), coupling.coupling_files(matched), fx["fx_packages"])
 
 
 @query
