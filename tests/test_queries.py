@@ -13,7 +13,8 @@ NAMES = [
     "release_slots", "advisory_metrics", "build_integrity", "registry_rule_hits", "label_distribution", "scan_summary",
     "graph_metrics", "diet_plan", "transitive_advisories", "top_advisories", "eol_text_readme", "license_report",
     "license_mentions", "coupling_metrics", "package_keys", "sbom_direct", "go_requirements", "workflow_refs", "vanity_repos",
-    "scan_from_inputs", "scan_from_sbom", "scan_advisories", "input_sample", "dedup_inputs", "scan_rows",
+    "scan_from_inputs", "scan_from_sbom", "scan_from_gomod", "scan_from_repos", "diet_from_sbom", "diet_export", "graph_choice", "scorecard_wide",
+    "ordered_distribution", "ordered_entries", "reachability", "lifecycle_signals", "scan_advisories", "input_sample", "dedup_inputs", "scan_rows",
 ]
 
 
@@ -31,7 +32,7 @@ def test_matches_sql(spark, duck, name):
 def test_contract(spark):
     queries, statements = driver.queries(), driver.oracle_sql()
     assert set(statements) <= set(queries)
-    assert {n for n in set(queries) - set(statements) if not n.startswith("op") and n != "pipeline"} == {"scan_from_gomod", "diet_from_sbom"}
+    assert {n for n in set(queries) - set(statements) if not n.startswith("op") and n != "pipeline"} == set()
     assert driver.entry(spark).columns == ["label", "reason", "packages", "percent", "bucket"]
     assert {name.removeprefix("fx_") for name in SNAPSHOTS} <= set(facts.SCHEMAS)
 
@@ -50,8 +51,13 @@ def test_plan_from_documents_equals_plan_from_tables(spark):
         assert r.scope is not None or from_tables[r.project_id, ids[r.purl]] == r.priority
 
 
-def test_scan_from_module_files(spark):
+def test_scans_find_facts(spark):
+    """Module files and repositories lead to packages and repositories that facts are known of, and to some without."""
     rows = driver.queries()["scan_from_gomod"](spark, SF).collect()
     required = driver.queries()["go_requirements"](spark, SF).collect()
     assert sorted((r.project_id, r.purl) for r in rows) == sorted((r.project_id, r.purl) for r in required)
-    assert all(r.relation == "direct" and (r.verdict == "review" if r.error else r.verdict) for r in rows)
+    assert len({r.verdict for r in rows}) >= 3 and all(r.verdict == "review" for r in rows if r.error)
+    rows = driver.queries()["scan_from_repos"](spark, SF).collect()
+    assert {r.source for r in rows} >= {"purl", "repository", "actions", "actions-local"}
+    assert len({r.verdict for r in rows if r.source in ("repository", "actions")}) >= 3
+    assert all(r.via for r in rows if r.source in ("actions-local", "actions-transitive"))
