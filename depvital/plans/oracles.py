@@ -1224,6 +1224,11 @@ SELECT * REPLACE (round(unrecognised_share, 9) AS unrecognised_share), unrecogni
     "input_lines": """
 SELECT file_id, line_no, t AS line, kind FROM o_input_kinds WHERE kind <> 'unrecognised'
   AND file_id IN (SELECT file_id FROM o_file_quality WHERE unrecognised_share <= 0.5)
+""",
+    "input_range": """
+SELECT i.file_id, i.line_no, i.t AS line, i.kind FROM o_input_kinds i WHERE line_no BETWEEN 3 AND 14 AND kind <> 'unrecognised'
+  AND file_id IN (SELECT file_id FROM o_input_kinds WHERE line_no BETWEEN 3 AND 14 GROUP BY 1
+    HAVING avg(CASE WHEN kind = 'unrecognised' THEN 1.0 ELSE 0.0 END) <= 0.5)
 """,
     "input_sample": """
 SELECT file_id, line_no, line, kind FROM (SELECT file_id, line_no, t AS line, kind, row_number() OVER (

@@ -521,6 +521,12 @@ def input_lines(fx: Fixtures) -> DataFrame:
     return inputs.read_inputs(fx["fx_inputs"])[0]
 
 
+@query
+def input_range(fx: Fixtures) -> DataFrame:
+    """Inputs of an inclusive line range; the quality of a file is judged inside it."""
+    return inputs.read_inputs(fx["fx_inputs"], line_range="3:14")[0]
+
+
 def _purls(fx: Fixtures) -> DataFrame:
     lines = inputs.classify_lines(fx["fx_inputs"]).where("kind = 'package'")
     return lines.select("file_id", "line_no", F.col("line").alias("purl"))

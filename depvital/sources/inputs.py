@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depvital.operators.keys import input_kind
-from depvital.sources.files import read_texts
 
 UNRECOGNISED_LIMIT = 0.5
 
@@ -24,20 +23,24 @@ def parse_line_range(text: str) -> tuple[int, int | None]:
     return start, end
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """Numbered lines of whole files: path, line_no (from 1), line."""
-    return files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("_pos", "line")).select(
-        "path", (F.col("_pos") + 1).alias("line_no"), "line"
-    )
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of list files.
+    """Numbered lines of list files: path, line_no (from 1), line.
 
-    Line numbers need file order, so each file is read whole by one task; lists are small files, many of
-    them in a corpus.
+    Files are read in splits by many tasks. A first pass counts the lines of each split, a table with one row per split;
+    its running sums per file, added to a line's place in its split, number the lines. Both passes pack the splits alike,
+    so a line has the same identifier in them.
     """
-    return lines_of(read_texts(spark, path))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("value").alias("line"),
+    )
+    splits = lines.groupBy("path", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "split", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    numbered = lines.join(before, ["path", "split"])
+    return numbered.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
 
 
 def classify_lines(lines: DataFrame, line_range: str | None = None) -> DataFrame:

@@ -177,3 +177,20 @@ def test_deep_components_and_repeated_refs(spark):
     components = sbom.read_sboms(spark.createDataFrame([(1, json.dumps(bom))], "project_id BIGINT, text STRING"))[0]
     refs = {r.ref: r.purl for r in sbom.reference_map(components).collect()}
     assert refs["same"] == "pkg:npm/last@1" and refs["deep"] == "pkg:npm/deep@1"
+
+
+def test_lines_of_a_split_file_are_numbered_whole(spark, tmp_path):
+    for name, n in (("a.txt", 3000), ("b.txt", 7), ("empty.txt", 0)):
+        (tmp_path / name).write_bytes(b"".join(b"line %d\r\n" % i if i % 2 else b"line %d\n" % i for i in range(1, n + 1)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = inputs.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 20
+        rows = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    assert len(rows) == 3007 and all(r.line == f"line {r.line_no}" for r in rows)
+    assert sum(r.path.endswith("/a.txt") for r in rows) == 3000
