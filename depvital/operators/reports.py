@@ -128,7 +128,7 @@ def scorecard_wide(analysis: DataFrame, scores: DataFrame, checks: list[str] | N
             "repo_url",
             F.concat(F.lit("https://scorecard.dev/viewer/?uri="), F.url_encode("repo_url")).alias("scorecard_url"),
             F.concat(F.lit("https://api.scorecard.dev/projects/"), "repo_url").alias("scorecard_api_url"),
-            F.when(F.col("version_count").isNotNull(), F.col("repo_url")).otherwise("").alias("release_url"),
+            (F.when(column("version_count").isNotNull(), F.col("repo_url")).otherwise("") if "version_count" in have else F.lit("")).alias("release_url"),
             two_digits("overall_score").alias("overall_score"),
             *[column(c) for c in ordered],
             *[number(c).cast("long").alias(c) for c in ("stars", "days_since_stable", "days_since_prerelease", "days_since_commit", "dependents", "direct_deps", "transitive_deps")],
