@@ -111,11 +111,38 @@ def transitive_advisories(
     of_nodes = advisories.select(F.col("package_id").alias("dependency_id"), F.col("version").alias("dependency_version"), "advisory_id", "cvss3")
     names = packages.select(F.col("package_id").alias("dependency_id"), F.col("name").alias("dependency_name"))
     carried = below.join(of_nodes, ["dependency_id", "dependency_version"]).join(names, "dependency_id")
+    # dealt by package, as the advisories lie: the grouping and the lookup of a slot's own ones need no further exchange
+    carried = carried.repartition(int(carried.sparkSession.conf.get("spark.sql.shuffle.partitions")), "package_id")
     first = carried.groupBy(*keys, "advisory_id").agg(F.min("dependency_name").alias("dependency_name"), F.max("cvss3").alias("cvss3"))
     own = advisories.select(*keys, "advisory_id")
     return first.join(own, [*keys, "advisory_id"], "left_anti").select(*keys, "advisory_id", "cvss3", "dependency_name")
 
 
+def slot_transitive(
+    with_slots: DataFrame, advisories: DataFrame, versions: DataFrame, package_graphs: DataFrame
+) -> DataFrame:
+    """On the slots' versions, the advisories that the package's own graph brings in."""
+    chosen = choose_graphs(with_slots, versions, package_graphs)
+    found = transitive_advisories(with_slots, advisories, chosen, package_graphs, with_slots)
+    return found.withColumn("relation", F.lit("TRANSITIVE"))
+
+
+def add_metrics(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with advisory metrics, and those of further advisories added: counts are summed, of maxima the larger stays.
+
+    Both tables of metrics are joined as they are grouped, so advisories are not shuffled into one table first.
+    """
+    names = [c for c in more.columns if c not in keys]
+    joined = rows.join(more.select(*keys, *[F.col(c).alias(f"_{c}") for c in names]), keys, "left")
+
+    def both(c: str) -> Column:
+        if c.startswith("max_"):
+            return F.greatest(c, f"_{c}")
+        return F.coalesce(F.col(c) + F.col(f"_{c}"), F.col(c), F.col(f"_{c}"))
+
+    return joined.withColumns({c: both(c) for c in names}).drop(*[f"_{c}" for c in names])
+
+
 def with_transitive(
     with_slots: DataFrame, advisories: DataFrame, versions: DataFrame, package_graphs: DataFrame
 ) -> DataFrame:
@@ -124,30 +151,30 @@ def with_transitive(
     ``with_slots`` has the packages with their slots. Columns: package_id, version, advisory_id, cvss3, relation,
     dependency_name (NULL for a package's own advisories).
     """
-    chosen = choose_graphs(with_slots, versions, package_graphs)
-    found = transitive_advisories(with_slots, advisories, chosen, package_graphs, with_slots)
+    found = slot_transitive(with_slots, advisories, versions, package_graphs)
     columns = ["package_id", "version", "advisory_id", "cvss3", "relation", "dependency_name"]
     direct = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
-    return direct.select(*columns).unionByName(found.withColumn("relation", F.lit("TRANSITIVE")).select(*columns))
+    return direct.select(*columns).unionByName(found.select(*columns))
 
 
 def top_advisories(advisories: DataFrame, n: int = 3) -> DataFrame:
     """The n worst advisories per package version, how many more there are, and the dependencies that bring the shown ones.
 
-    Positions come from one window; the remainder is joined from a grouped count, so no group is
-    collected before the cut to n.
+    Positions come from one window and everything else from one grouping on top of it, so the advisories are read and
+    shuffled once; lists hold the n shown ones only.
     """
     if "dependency_name" not in advisories.columns:
         advisories = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
     keys = ["package_id", "version"]
     rank = Window.partitionBy(*keys).orderBy(F.col("cvss3").desc(), F.col("advisory_id"))
-    shown = advisories.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= n)
-    lists = shown.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("position", "advisory_id", "cvss3"))).alias("shown"),
-        F.array_join(F.array_sort(F.collect_set("dependency_name")), ", ").alias("dependencies"),
+    placed = advisories.select(*keys, "advisory_id", "cvss3", "dependency_name").withColumn("position", F.row_number().over(rank))
+    is_shown = F.col("position") <= n
+    lists = placed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(is_shown, F.struct("position", "advisory_id", "cvss3")))).alias("shown"),
+        F.array_join(F.array_sort(F.collect_set(F.when(is_shown, F.col("dependency_name")))), ", ").alias("dependencies"),
+        F.count(F.lit(1)).alias("advisory_count"),
     )
-    totals = advisories.groupBy(*keys).agg(F.count(F.lit(1)).alias("advisory_count"))
-    return lists.join(totals, keys).select(
+    return lists.select(
         *keys,
         F.array_join(F.transform("shown", lambda a: a["advisory_id"]), ";").alias("top_ids"),
         F.element_at("shown", 1)["cvss3"].alias("top_cvss3"),

@@ -56,10 +56,7 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
     eol = eol_rules.eol_status(hits)
     for enricher in enrichers:
         eol = eol.transform(enricher)
-    advisories = facts["advisories"]
-    if "package_graphs" in facts:
-        advisories = adv.with_transitive(with_slots, advisories, facts["versions"], facts["package_graphs"])
-    metrics = adv.advisory_metrics(advisories, cfg).withColumnRenamed("version", "fact_version")
+    metrics = adv.advisory_metrics(facts["advisories"], cfg).withColumnRenamed("version", "fact_version")
     activity = repos.repo_activity(facts["commits"], as_of).withColumn("has_commit_data", F.lit(True))
     state = facts["repos"].select("repo_id", "repo_url", "archived", "disabled", "overall_score", "fork", "fork_source")
     metadata = facts["repos"].select("repo_id", *METADATA)
@@ -73,10 +70,13 @@ def gather(facts: Mapping[str, DataFrame], as_of: str, cfg: Thresholds = DEFAULT
     )
     if "archived_by_check" in per_repo.columns:
         per_repo = per_repo.withColumn("archived", F.coalesce("archived", "archived_by_check")).drop("archived_by_check")
+    keys = ["package_id", "fact_version"]
+    versioned = with_slots.withColumn("fact_version", F.coalesce("stable.version", "max_semver.version")).join(metrics, keys, "left")
+    if "package_graphs" in facts:
+        found = adv.slot_transitive(with_slots, facts["advisories"], facts["versions"], facts["package_graphs"])
+        versioned = adv.add_metrics(versioned, adv.advisory_metrics(found, cfg).withColumnRenamed("version", "fact_version"), keys)
     return (
-        with_slots.withColumn("fact_version", F.coalesce("stable.version", "max_semver.version"))
-        .join(eol, "package_id", "left")
-        .join(metrics, ["package_id", "fact_version"], "left")
+        versioned.join(eol, "package_id", "left")
         .join(per_repo, "repo_id", "left")
         .withColumn(
             "error",
