@@ -161,13 +161,14 @@ def top_advisories(advisories: DataFrame, n: int = 3) -> DataFrame:
     """The n worst advisories per package version, how many more there are, and the dependencies that bring the shown ones.
 
     Positions come from one window and everything else from one grouping on top of it, so the advisories are read and
-    shuffled once; lists hold the n shown ones only.
+    shuffled once; lists hold the n shown ones only. Rows without a package or version belong to none and are left out.
     """
     if "dependency_name" not in advisories.columns:
         advisories = advisories.withColumn("dependency_name", F.lit(None).cast("string"))
     keys = ["package_id", "version"]
     rank = Window.partitionBy(*keys).orderBy(F.col("cvss3").desc(), F.col("advisory_id"))
-    placed = advisories.select(*keys, "advisory_id", "cvss3", "dependency_name").withColumn("position", F.row_number().over(rank))
+    known = advisories.where("package_id IS NOT NULL AND version IS NOT NULL")
+    placed = known.select(*keys, "advisory_id", "cvss3", "dependency_name").withColumn("position", F.row_number().over(rank))
     is_shown = F.col("position") <= n
     lists = placed.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(is_shown, F.struct("position", "advisory_id", "cvss3")))).alias("shown"),

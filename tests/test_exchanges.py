@@ -69,6 +69,7 @@ def test_top_advisories_read_their_input_once(spark, no_broadcast):
     top = advisories.top_advisories(table)
     assert plan(top).count("FileScan") == 1 and "Join" not in plan(top)
     found = {(r.package_id, r.version): r for r in top.collect()}
+    assert set(found) == {(a.package_id, a.version) for a in rows(spark).collect() if a.package_id is not None and a.version is not None}
     for key, r in found.items():
         mine = [a for a in rows(spark).collect() if (a.package_id, a.version) == key]
         worst = sorted(mine, key=lambda a: (a.cvss3 is None, -(a.cvss3 or 0.0), a.advisory_id))[:3]
