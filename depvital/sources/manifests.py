@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depvital.functions.binding import let
 from depvital.operators.prefixes import longest_prefix_join
 
 # --- Go modules -----------------------------------------------------------------------
@@ -91,7 +94,8 @@ def tool_modules(dependencies: DataFrame) -> DataFrame:
 
 # text under a key with | or > is no YAML, and inputs of a step are not its keys; both lie deeper than their key
 _BLOCK = r"[^\n]*?:[ \t]*[|>][-+0-9]*[ \t]*(?:#[^\n]*)?"
-_INPUTS = r"[\"']?(?:with|env|inputs|outputs|secrets|matrix)[\"']?[ \t]*:[ \t]*(?:#[^\n]*)?"
+_INPUT_KEYS = ("with", "env", "inputs", "outputs", "secrets", "matrix")
+_INPUTS = rf"[\"']?(?:{'|'.join(_INPUT_KEYS)})[\"']?[ \t]*:[ \t]*(?:#[^\n]*)?"
 _NESTED = (
     rf"(?m)^([ \t]*)-([ \t]+)(?:{_BLOCK}|{_INPUTS})$(?:\n(?:\1[ \t]\2[ \t]+[^\n]*|[ \t]*$))*+"
     rf"|^([ \t]*)(?!-)(?:{_BLOCK}|{_INPUTS})$(?:\n(?:\3[ \t]+[^\n]*|[ \t]*$))*+"
@@ -120,34 +124,58 @@ def clean_local_path(uses: Column) -> Column:
     return F.when(inside & (cleaned != "") & ~cleaned.startswith(".."), cleaned)
 
 
+def _own_keys(text: Column) -> Column:
+    """The text without what lies deeper than its key; looked for only where the text holds a sign or word that every match holds."""
+    may_nest = reduce(Column.__or__, [text.contains(word) for word in ("|", ">", *_INPUT_KEYS)])
+    return F.when(may_nest, F.regexp_replace(text, _NESTED, "")).otherwise(text)
+
+
+def _reference(value: Column) -> Column:
+    """A reference as (kind, action, local_path, uses), worked out once; NULL for container images and paths outside."""
+    nothing = F.lit(None).cast("string")
+
+    def entry(kind: str, action: Column, local: Column, uses: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), action.alias("action"), local.alias("local_path"), uses.alias("uses"))
+
+    def read(uses: Column) -> Column:
+        def by_target(target: Column) -> Column:
+            named = (F.split_part(target, F.lit("/"), F.lit(1)) != "") & (F.split_part(target, F.lit("/"), F.lit(2)) != "")
+            return F.when(named, entry("remote", F.regexp_replace(target, "/+$", ""), nothing, uses))
+
+        def by_path(path: Column) -> Column:
+            return F.when(path.isNotNull(), entry("local", nothing, path, uses))
+
+        elsewhere = uses.startswith("../") | uses.startswith("docker://")
+        return F.when(uses.startswith("./"), let(clean_local_path(uses), by_path)).when(
+            ~elsewhere, let(F.substring_index(uses, "@", 1), by_target)
+        )
+
+    return let(F.btrim(F.btrim(value, F.lit("\"'"))), read)
+
+
 def read_workflow_refs(files: DataFrame) -> DataFrame:
     """Action references of workflow and composite-action files, each once per file with its smallest ref.
 
     ``files`` has scope (repository), path, text. Columns: scope, path, kind (remote or local), action
     (owner/repo[/path]), ref, local_path. Container images are left out, and so are action files that are
-    not composite.
+    not composite. References are dealt by repository, so a table bucketed by it is written as they lie.
     """
     is_action = F.col("path").rlike(r"(?:^|/)action\.ya?ml$")
     composite = F.col("text").rlike(r"(?im)^[ \t]*using:[ \t]*['\"]?composite['\"]?[ \t]*$")
-    keys = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), _NESTED, "")
+    uses = F.regexp_extract_all(_own_keys(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))), F.lit(_USES), F.lit(1))
     found = files.where(~is_action | composite).select(
-        "scope", "path", F.explode(F.regexp_extract_all(keys, F.lit(_USES), F.lit(1))).alias("_uses")
+        "scope", "path", F.explode(F.filter(F.transform(uses, _reference), lambda r: r.isNotNull())).alias("_r")
     )
-    uses = F.btrim(F.btrim("_uses", F.lit("\"'")))
-    target = F.regexp_extract("uses", r"^([^@]+)", 1)
-    remote = ~F.col("uses").rlike(r"^\.\.?/|^docker://") & target.rlike(r"^[^/]+/[^/]+")
-    local = clean_local_path(F.col("uses"))
     return (
-        found.select("scope", "path", uses.alias("uses"))
-        .select(
+        found.select(
             "scope",
             "path",
-            F.when(remote, "remote").when(local.isNotNull(), "local").alias("kind"),
-            F.when(remote, F.regexp_replace(target, "/+$", "")).alias("action"),
-            F.when(remote, F.nullif(F.regexp_extract("uses", r"^[^@]+@(.*)$", 1), F.lit(""))).alias("ref"),
-            local.alias("local_path"),
+            "_r.kind",
+            "_r.action",
+            F.when(F.col("_r.kind") == "remote", F.nullif(F.regexp_extract("_r.uses", r"^[^@]+@(.*)$", 1), F.lit(""))).alias("ref"),
+            "_r.local_path",
         )
-        .where("kind IS NOT NULL")
+        .repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scope")
         .groupBy("scope", "path", "kind", "action", "local_path")
         .agg(F.min("ref").alias("ref"))
         .select("scope", "path", "kind", "action", "ref", "local_path")

@@ -194,3 +194,15 @@ def test_lines_of_a_split_file_are_numbered_whole(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
     assert len(rows) == 3007 and all(r.line == f"line {r.line_no}" for r in rows)
     assert sum(r.path.endswith("/a.txt") for r in rows) == 3000
+
+
+def test_references_are_read_once_and_dealt_by_repository(spark, capsys):
+    text = "using: composite\nsteps:\n- uses: docker://a/b\n- uses: ./../out\n- uses: ./x/../y//\n- uses: own/r/sub/@v2\n- uses: own/r/sub@v1\n- uses: '@v1'\n- uses: a//b@v1\n"
+    files_ = [("r", "p/action.yml", text), ("r", "p/action.yml", text), (None, "p/action.yml", text), ("r", "q/action.yml", None)]
+    refs = manifests.read_workflow_refs(spark.createDataFrame(files_, "scope STRING, path STRING, text STRING"))
+    found = [(s, "p/action.yml", *rest) for s in ("r", None) for rest in (("remote", "own/r/sub", "v1", None), ("local", None, None, "y"))]
+    assert sorted(map(tuple, refs.collect()), key=str) == sorted(found, key=str)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    refs.drop("ref").repartition(buckets, "scope").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and plan.count("docker://") == 1
