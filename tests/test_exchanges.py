@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depvital.operators import advisories, graph
+from depvital.plans import entrypoints
 from depvital.plans.fixtures import Fixtures
 from depvital.session import cut_by
 from depvital.sources import sbom
@@ -96,3 +97,41 @@ def test_documents_are_dealt_by_project_once(spark, no_broadcast):
     }
     assert {(r.project_id, r.src, r.dst) for r in edges.collect()} == {(p, "pkg:npm/z@1", d) for p in (1, 2) for d in ("pkg:npm/b@1", "pkg:npm/c@1")}
     assert refs.where(F.col("project_id").isNull()).count() == 6
+
+
+def test_more_frames_follow_in_the_same_buckets(spark, no_broadcast):
+    """Levels of components went through a union, which was dealt anew."""
+    first = cut_by(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "project_id BIGINT, ref STRING"), "project_id")
+    second = spark.createDataFrame([("d", 1), ("e", 3)], "ref STRING, project_id BIGINT")
+    table = cut_by(first, "project_id", dealt=True, more=[second, second.where("ref = 'e'")])
+    assert sorted(r.ref for r in table.collect()) == ["a", "b", "c", "d", "e", "e"]
+    counted = table.groupBy("project_id").count()
+    assert {(r.project_id, r["count"]) for r in counted.collect()} == {(1, 2), (2, 1), (3, 2), (None, 1)}
+    assert "hashpartitioning" not in plan(counted)
+
+
+def test_references_of_a_project_are_described_where_they_lie(spark, no_broadcast, monkeypatch):
+    """A full join lies by no key: what references stand for was dealt again after it."""
+    plans = []
+    monkeypatch.setattr(graph, "cut_by", lambda df, key, dealt=False: plans.append(plan(df)) or cut_by(df, key, dealt))
+    table = lambda rows, schema: cut_by(spark.createDataFrame(rows, schema), "project_id")
+    refs = table([(1, "r", "pkg:npm/root"), (1, "a", "pkg:npm/a"), (1, "b", "pkg:npm/b"), (2, "a", "pkg:npm/a")], "project_id BIGINT, ref STRING, purl STRING")
+    entries = [(1, "top", "r"), (1, "r", "a"), (1, "r", "mid"), (1, "mid", "b"), (2, "top", "a")]
+    dependencies = table(entries, "project_id BIGINT, ref STRING, child_ref STRING")
+    # a project may have several documents, and so several roots
+    roots = table([(1, "top", "pkg:npm/root"), (1, "top", "pkg:npm/other"), (2, "top", None)], "project_id BIGINT, root_ref STRING, root_purl STRING")
+    direct = graph.direct_deps(refs, dependencies, roots, dealt=True)
+    # the first root's own package leads to its children, and it is a package to the second
+    assert {tuple(r) for r in direct.collect()} == {(1, "pkg:npm/root"), (1, "pkg:npm/a"), (1, "pkg:npm/b"), (2, "pkg:npm/a")}
+    assert len(plans) == 2 and not any("hashpartitioning" in p for p in plans)
+
+
+def test_results_are_found_once_for_each_package_url(spark):
+    """Rows that share a package URL had their keys worked out one by one, and were shuffled with them."""
+    rows = spark.createDataFrame([(1, "pkg:npm/a@1"), (2, "pkg:npm/a@1"), (2, "pkg:npm/a@2"), (3, "no url"), (4, None), (5, "pkg:npm/z@1")], "project_id BIGINT, purl STRING")
+    assessed = spark.createDataFrame([("pkg:npm/a", "ok", None, 2, None)], "canonical_key STRING, verdict STRING, error STRING, advisory_count BIGINT, transitive_count BIGINT")
+    each = entrypoints._with_results(rows, assessed)
+    once = entrypoints._with_results(rows, assessed, rows.unionByName(rows))
+    assert once.columns == each.columns
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
+    assert {(r.project_id, r.verdict) for r in once.collect()} == {(1, "ok"), (2, "ok"), (3, "review"), (4, "review"), (5, "review")}
